@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Module and query function of each operator.
 OPERATORS = {
     "op1_token_counts": "token_counts",
+    "op3_media_columns": "media",
+    "op4_histogram_sort": "sharding",
+    "op5_jaccard_join": "jaccard_join",
     "op8_bpe_codec": "bpe_codec",
 }
 
