@@ -13,7 +13,9 @@ OPERATORS = {
     "op3_media_columns": "media",
     "op4_histogram_sort": "sharding",
     "op5_jaccard_join": "jaccard_join",
+    "op7_secret_scans": "secrets",
     "op8_bpe_codec": "bpe_codec",
+    "op10_fingerprints": "fingerprints",
 }
 
 
