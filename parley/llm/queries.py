@@ -15,6 +15,7 @@ OPERATORS = {
     "op5_jaccard_join": "jaccard_join",
     "op7_secret_scans": "secrets",
     "op8_bpe_codec": "bpe_codec",
+    "op9_lm_scores": "backoff_lm",
     "op10_fingerprints": "fingerprints",
 }
 
