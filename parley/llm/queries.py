@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Module and query function of each operator.
 OPERATORS = {
     "op1_token_counts": "token_counts",
+    "op2_language_id": "language_id",
     "op3_media_columns": "media",
     "op4_histogram_sort": "sharding",
     "op5_jaccard_join": "jaccard_join",
