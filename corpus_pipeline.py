@@ -1,13 +1,83 @@
-"""Language identification, near-duplicate removal, secret scanning and packing of the documents, stage by stage."""
+"""Language identification, near-duplicate removal, secret scanning and packing of the documents, stage by stage.
+
+Each stage takes (spark, docs, sf_dir) and works on every row that the stage before has kept. A stage's result is written
+as Parquet to the cluster's shared folder and read again by the next one.
+"""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parley.llm.common import durable, shared_folder
+from parley.llm.jaccard_join import jaccard_groups
+from parley.llm.language_id import predict_languages, train
+from parley.llm.packing import pack, text_length
+from parley.llm.secrets import redact_live
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+#: A text stays if its words' mean posterior for its language is at least this.
+LEAST_SCORE = 0.35
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts in a learned language stay, with that language as lang; texts without letters or of no clear language go.
+
+    Where nothing can be learned, since no row has a language, only texts without letters go.
+    """
+    model = train(docs, F.lit(True))
+    found = predict_languages(docs.select(*COLUMNS), model, passed=tuple(c for c in COLUMNS if c != "doc_id"))
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return kept.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of texts linked at a similarity of 0.8 over five-word shingles stays: that of least id."""
+    groups = jaccard_groups(docs, percent=80, width=5)
+    kept = durable(groups.where("doc_id = component_id").select("doc_id").distinct())
+    few = kept.count() <= 2_000_000
+    chosen = docs.join(F.broadcast(kept) if few else kept, "doc_id", "left_semi")
+    rest = docs.where(F.col("doc_id").isNull())  # without an id nothing can be chosen, so nothing is dropped
+    return chosen.select(*COLUMNS).dropDuplicates(["doc_id"]).union(rest.select(*COLUMNS)) if _repeats(docs) else chosen.select(*COLUMNS).union(rest.select(*COLUMNS))
+
+
+def _repeats(docs: DataFrame) -> bool:
+    ids = docs.select("doc_id").where("doc_id is not null")
+    return ids.count() > ids.distinct().count()
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; the value of each live-looking credential is replaced in the text."""
+    clean = redact_live(docs.select(*COLUMNS))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their places in training sequences."""
+    return pack(docs, text_length())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_stage),
+    ("jaccard_join", near_duplicate_stage),
+    ("secret_scans", secret_stage),
+    ("best_fit_packing", packing_stage),
+]
 
-STAGES: list = []
+#: Trained models and iterated components are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+        docs = spark.read.parquet(f"{folder}/{k}-{name}")
     return docs

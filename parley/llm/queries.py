@@ -14,6 +14,7 @@ OPERATORS = {
     "op3_media_columns": "media",
     "op4_histogram_sort": "sharding",
     "op5_jaccard_join": "jaccard_join",
+    "op6_best_fit_packing": "packing",
     "op7_secret_scans": "secrets",
     "op8_bpe_codec": "bpe_codec",
     "op9_lm_scores": "backoff_lm",
