@@ -56,11 +56,14 @@ def join_words(words: str | Column) -> Column:
     return fix_spacing(F.array_join(trimmed, " "))
 
 
+#: A search term: a run of letters and digits that is no stop word; a plural s is left outside the group.
+_RUN = r"[\p{L}\p{N}]"
+TERM = rf"(?<!{_RUN})(?!(?:{'|'.join(STOP_WORDS)})(?!{_RUN}))({_RUN}{{4,}}(?=s(?!{_RUN}))|{_RUN}{{2,}})"
+
+
 def terms(x: str | Column) -> Column:
     """Search terms: letters and digits in lower case without stop words, plural s cut off."""
-    words = F.regexp_extract_all(F.lower(text(x)), F.lit(r"([\p{L}\p{N}]+)"), 1)
-    kept = F.filter(words, lambda w: ~w.isin(STOP_WORDS) & (F.length(w) > 1))
-    return F.transform(kept, lambda w: F.when(w.endswith("s") & (F.length(w) > 4), F.left(w, F.length(w) - 1)).otherwise(w))
+    return F.regexp_extract_all(F.lower(text(x)), F.lit(TERM), 1)
 
 
 def spoken_words(x: str | Column) -> Column:
