@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 
 from parley.functions.text import cited_numbers, terms
 from parley.operators.tasks import LINE_END
+from parley.sources.tables import durable
 
 #: BM25's constants, the bonus of a term in a title, characters of a part and of a passage, what a
 #: passage costs besides its own characters, how many are selected, and from how many meetings the first ones come.
@@ -89,18 +90,17 @@ def question_terms(chunks: DataFrame, question: str) -> list[str]:
 
 
 def bm25(chunks: DataFrame, question: str) -> DataFrame:
-    """chunks (chunk, meeting, title, text) with ``score`` for the question.
+    """chunks (chunk, meeting, title, text) with ``score`` for the question and, in place of the text, its ``characters``.
 
-    Only counts of the question's terms are made, in one pass without a shuffle; the corpus's figures (one number a
-    term) are read from a second pass's single row.
+    One pass over the texts counts the question's terms, without a shuffle. The counts are kept, since several steps read them:
+    the corpus's figures (one number a term, as a single row), the ranking, the selection.
     """
     wanted = question_terms(chunks, question)
-    counted = chunks.withColumn("__terms", terms("text")).withColumn("__length", F.size("__terms"))
-
-    def times(word: str) -> Column:
-        return F.col("__length") - F.size(F.array_remove("__terms", word))
-
-    counted = counted.withColumns({f"__n{k}": times(w) for k, w in enumerate(wanted)})
+    titled = F.size(F.array_intersect(terms("title"), F.array(*map(F.lit, wanted)).cast("array<string>"))).alias("__titled")
+    rest = [c for c in chunks.columns if c != "text"]
+    # The terms are counted in a lambda's argument, so that each text is cut once, however many terms there are.
+    counts = F.transform(F.array(terms("text")), lambda own: F.struct(F.size(own).alias("length"), F.array(*(F.size(own) - F.size(F.array_remove(own, w)) for w in wanted)).cast("array<int>").alias("n")))[0]
+    counted = durable(chunks.select(*rest, F.length("text").alias("characters"), titled, counts.alias("__c")).select(*rest, "characters", "__titled", F.coalesce("__c.length", F.lit(0)).alias("__length"), *(F.coalesce(F.get("__c.n", F.lit(k)), F.lit(0)).alias(f"__n{k}") for k in range(len(wanted)))))
     figures = counted.agg(F.count("*").alias("n"), F.avg("__length").alias("average"), *(F.count_if(F.col(f"__n{k}") > 0).alias(f"d{k}") for k in range(len(wanted)))).first()
     average = figures["average"] or 1.0
     score = F.lit(0.0)
@@ -108,8 +108,7 @@ def bm25(chunks: DataFrame, question: str) -> DataFrame:
         weight = F.log1p(F.lit((figures["n"] - figures[f"d{k}"] + 0.5) / (figures[f"d{k}"] + 0.5)))
         n = F.col(f"__n{k}")
         score = score + F.when(n > 0, weight * n * (K1 + 1) / (n + K1 * (1 - B + B * F.col("__length") / average))).otherwise(0.0)
-    titled = F.size(F.array_intersect(terms("title"), F.array(*map(F.lit, wanted)).cast("array<string>")))
-    return counted.withColumn("score", score + TITLE_BONUS * titled).select(*chunks.columns, "score")
+    return counted.select(*rest, "characters", (score + TITLE_BONUS * F.col("__titled")).alias("score"))
 
 
 def ranked(scored: DataFrame, most: int) -> DataFrame:

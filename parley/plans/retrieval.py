@@ -80,7 +80,7 @@ p AS (SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS used, 0 AS k, CAST(NUL
 SELECT chunk, k AS number FROM p WHERE chunk IS NOT NULL"""
 )
 def bm25_budgeted_selection(spark, sf_dir):
-    found = r.diversified(r.bm25(chunks(spark, sf_dir), QUESTION)).withColumn("cost", F.length("text") + 80)
+    found = r.diversified(r.bm25(chunks(spark, sf_dir), QUESTION)).withColumn("cost", F.col("characters") + r.OVERHEAD)
     return r.select_within(found, 9000).select("chunk", "number")
 
 
