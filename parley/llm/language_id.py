@@ -186,7 +186,7 @@ def fit(sample: pd.DataFrame, rounds: int = 25, mixed_share: float = 0.3, seed:
         if 0 < len(ids) < SEQUENCE:  # a short text's words are repeated
             sequences.append((ids * SEQUENCE)[:SEQUENCE])
             labels.append([number[lang]] * SEQUENCE)
-    x, y = np.array(sequences).reshape(-1, SEQUENCE), np.array(labels).reshape(-1, SEQUENCE)
+    x, y = np.array(sequences, np.int64).reshape(-1, SEQUENCE), np.array(labels, np.int64).reshape(-1, SEQUENCE)
     order, half = rng.permutation(len(x)), SEQUENCE // 2
     a, b = order[: int(len(x) * mixed_share)], order[::-1][: int(len(x) * mixed_share)]
     x, y = np.concatenate((x, np.concatenate((x[a, :half], x[b, half:]), axis=1))), np.concatenate((y, np.concatenate((y[a, :half], y[b, half:]), axis=1)))
@@ -252,7 +252,7 @@ class Tagger:
 
     def __init__(self, model: Model, limit: int = 400_000):
         self.model, self.limit = model, limit
-        self.move = np.exp(model.steps - model.steps.max())
+        self.move = np.exp(model.steps - model.steps.max(initial=-np.inf))
         self.clear()
 
     def clear(self) -> None:

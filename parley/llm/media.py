@@ -302,13 +302,16 @@ def histograms(samples: np.ndarray, bins: int = 16) -> np.ndarray:
 def cuts(shares: np.ndarray, window: int = 8, strictness: float = 3.0, least: float = 0.2) -> np.ndarray:
     """Frames that begin a new shot.
 
-    The distance of neighbouring histograms is held against its mean and deviation over the ``window`` distances before
-    it; a cut lies above both that adaptive threshold and ``least``.
+    The distance of neighbouring histograms is held against mean and deviation over the ``window`` distances before
+    it; a cut lies above both that adaptive threshold and ``least``. In the window, a distance counts at most as much as the
+    larger of its neighbours, so that motion raises the threshold but a cut by itself does not.
     """
     if len(shares) < 2:
         return np.zeros(0, np.int64)
     distance = np.abs(np.diff(shares, axis=0)).sum(axis=1) / 2
-    total, squares = (np.concatenate(([0.0], np.cumsum(x))) for x in (distance, distance**2))
+    apart = np.concatenate(([0.0], distance, [0.0]))
+    motion = np.minimum(distance, np.maximum(apart[:-2], apart[2:]))
+    total, squares = (np.concatenate(([0.0], np.cumsum(x))) for x in (motion, motion**2))
     end = np.arange(len(distance))
     begin = np.maximum(0, end - window)
     n = np.maximum(1, end - begin)
