@@ -124,17 +124,18 @@ def frame_counts(reference: DataFrame, hypothesis: DataFrame, keys: list[str], m
     def edges(spans: DataFrame, name: str) -> DataFrame:
         return spans.select(*keys, F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias(name)), F.struct(F.col("end").alias("at"), F.lit(-1).alias(name)))).alias("e")).select(*keys, "e.*")
 
-    steps = edges(reference, "r").unionByName(edges(hypothesis, "h"), True).unionByName(edges(masked, "m"), True)
-    points = steps.groupBy(*keys, "at").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "rhm"))
+    names = ("__r", "__h", "__m")
+    steps = edges(reference, "__r").unionByName(edges(hypothesis, "__h"), True).unionByName(edges(masked, "__m"), True)
+    points = steps.groupBy(*keys, "at").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names))
     order = W.partitionBy(*keys).orderBy("at")
-    level = points.select(*keys, (F.lead("at").over(order) - F.col("at")).alias("frames"), *(F.sum(c).over(order.rowsBetween(W.unboundedPreceding, 0)).alias(c) for c in "rhm"))
-    zero = F.lit(0)
-    scored = level.where("m = 0 and frames > 0")
+    level = points.select(*keys, (F.lead("at").over(order) - F.col("at")).alias("frames"), *(F.sum(c).over(order.rowsBetween(W.unboundedPreceding, 0)).alias(c) for c in names))
+    zero, r, h = F.lit(0), F.col("__r"), F.col("__h")
+    scored = level.where("__m = 0 and frames > 0")
     return scored.groupBy(*keys).agg(
-        F.sum(F.col("r") * F.col("frames")).alias("total"),
-        F.sum(F.greatest(zero, F.col("r") - F.col("h")) * F.col("frames")).alias("missed"),
-        F.sum(F.greatest(zero, F.col("h") - F.col("r")) * F.col("frames")).alias("false_alarm"),
-        F.sum(F.least("r", "h") * F.col("frames")).alias("both"),
+        F.sum(r * F.col("frames")).alias("total"),
+        F.sum(F.greatest(zero, r - h) * F.col("frames")).alias("missed"),
+        F.sum(F.greatest(zero, h - r) * F.col("frames")).alias("false_alarm"),
+        F.sum(F.least(r, h) * F.col("frames")).alias("both"),
     )
 
 

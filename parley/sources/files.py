@@ -53,7 +53,7 @@ def assignments_of(records: DataFrame) -> DataFrame:
 
 def read_notes(spark: SparkSession, path: str) -> DataFrame:
     """path, stem, header and body of Markdown notes; folders that begin with a dot are left out."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).text(path)
+    rows = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).text(path, wholetext=True)
     named = rows.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("_metadata.file_name", r"\.md$", "").alias("stem"), front_matter("value").alias("note"))
     return named.where(~F.col("path").rlike(r"/\.[^/]+/")).select("path", "stem", "note.header", "note.body")
 
@@ -94,7 +94,7 @@ def rttm_lines(spans: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- audio
 
 
-@F.pandas_udf("struct<rate: int, pcm: binary>")
+@F.pandas_udf(T.StructType([T.StructField("rate", T.IntegerType()), T.StructField("pcm", T.BinaryType())]))
 def decode_wav(content: pd.Series) -> pd.DataFrame:
     """Rate and 16-bit mono samples of WAV files of 16 bits; channels are averaged."""
     out = []
