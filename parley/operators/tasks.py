@@ -41,8 +41,9 @@ def parse_tasks(notes: DataFrame) -> DataFrame:
     parts = [F.regexp_extract("__rest", rf"(?s)^(.*?){DUE}(.*)$", k) for k in (1, 2, 3, 4)]
     dated = F.col("__rest").rlike(DUE)
     split = owned.withColumns({"due": F.when(dated, F.coalesce(blank_to_null(parts[1]), blank_to_null(parts[2]))), "text": F.when(dated, F.concat(parts[0], parts[3])).otherwise(F.col("__rest"))})
-    text = F.regexp_replace("text", r"^\s+|\s+$", "")
-    return split.select("id", "line", "done", text.alias("text"), "owner", "due", "turn", F.lit(True).alias("editable")).where("text <> ''")
+    task = F.struct("line", "done", F.regexp_replace("text", r"^\s+|\s+$", "").alias("text"), "owner", "due", "turn", F.lit(True).alias("editable"))
+    # Blank texts are left out within the row, so that the patterns are not matched again for a filter.
+    return split.select("id", F.inline(F.filter(F.array(task), lambda t: t["text"] != "")))
 
 
 def item_tasks(items: DataFrame) -> DataFrame:
