@@ -290,7 +290,8 @@ def links(sets: list[np.ndarray], labels: list[int], queries: list[bool], percen
 
     If all are queries, sets are first held against leaders, the sets that linked with no leader before them. What is left
     are links between sets of different groups, at least one of which is no leader; sets outside the largest group look
-    for those. If only some are queries, they search among all.
+    for those, among the followers and, followers that precede a leader, among the leaders too. If only some are queries,
+    they search among all.
     """
     parent = list(range(len(sets)))
 
@@ -312,7 +313,7 @@ def links(sets: list[np.ndarray], labels: list[int], queries: list[bool], percen
     block = Block(sets, percent)
     searched, asking = list(range(len(sets))), [k for k, q in enumerate(queries) if q]
     if len(asking) == len(sets):
-        leaders, followers = block.index(), []
+        leaders, followers, last = block.index(), [], 0
         for k in searched:
             near = block.linked(leaders, k)
             for other in near:
@@ -321,11 +322,17 @@ def links(sets: list[np.ndarray], labels: list[int], queries: list[bool], percen
                 followers.append(k)
             else:
                 block.add(leaders, k)
+                last = k
         groups: dict[int, int] = {}
         for k in searched:
             groups[root(k)] = groups.get(root(k), 0) + 1
         largest = max(groups, key=groups.get)
         searched, asking = followers, [k for k in searched if root(k) != largest]
+        outside = set(asking)
+        for k in followers:
+            if k in outside and k < last:  # a later leader was held against leaders only
+                for other in block.linked(leaders, k):
+                    tie(k, other)
     if searched and asking:
         index = block.index()
         for k in searched:

@@ -76,6 +76,41 @@ def test_blocks_that_are_cut(spark):
     assert found(df, block=600, broadcast_rows=10) == want
 
 
+def nested(rng):
+    """Sets that grow out of one another by about as much as a link allows, with branches that differ from each other."""
+    fresh, found = iter(range(10**6)), []
+    for _ in range(rng.randint(1, 2)):
+        chain = [{next(fresh) for _ in range(rng.randint(60, 130))}]
+        for _ in range(rng.randint(2, 6)):
+            chain.append(chain[-1] | {next(fresh) for _ in range(rng.randint(len(chain[-1]) // 20, len(chain[-1]) // 6))})
+        found += chain
+        for base in rng.choices(chain, k=rng.randint(1, 3)):
+            found += [base | {next(fresh) for _ in range(len(base) // 9)} for _ in range(rng.randint(1, 3))]
+    return found
+
+
+def test_links_of_nested_sets():
+    """A follower outside the largest group links with a later leader inside it; sets of equal size come in any order."""
+    small = set(range(100))
+    b = small | set(range(200, 210))
+    a = b | set(range(300, 312))
+    cases = [[small, b, a, a | set(range(400, 413)), a | set(range(500, 513))]]
+    rng = random.Random(6)
+    cases += [nested(rng) for _ in range(120)]
+    for sets in cases:
+        rows = [np.array(sorted(x), np.uint64) for x in sets]
+        for _ in range(4):
+            order = sorted(range(len(sets)), key=lambda k: (len(sets[k]), rng.random()))
+            own = [rows[k] for k in order]
+            want, got = ({k: k for k in range(len(own))} for _ in range(2))
+            every = [(x, y) for x in range(len(own)) for y in range(x) if 100 * (n := len(np.intersect1d(own[x], own[y]))) >= 85 * (len(own[x]) + len(own[y]) - n)]
+            for parent, edges in ((want, every), (got, j.links(own, list(range(len(own))), [True] * len(own), 85))):
+                for x, y in edges:
+                    x, y = parent[x], parent[y]
+                    parent.update({k: min(x, y) for k, v in parent.items() if v in (x, y)})
+            assert got == want, [len(x) for x in own]
+
+
 def test_documents(docs):
     assert found(docs) == brute(pairs(docs), 85, 4)
 
