@@ -1,4 +1,9 @@
-"""Language-model scores by a weighted backoff automaton over words."""
+"""Language-model scores by a backoff model over words: all n-grams up to three that occur at least LEAST times.
+
+With discounts and backoff weights, the log probability of a text is a sum of one value for each of its words, pairs and
+triples; those that were not kept add nothing. The values are a table by key: its frequent part is sent to every task, the rest
+is joined. ``Automaton`` is the same model over frequent n-grams alone, as states and arcs; tests walk it.
+"""
 
 from __future__ import annotations
 
@@ -10,15 +15,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import Memo, crc_bucket, durable, raw_texts, signed, slices, table, whole_text, words_of, word_memo
+from parley.llm.common import Memo, crc_bucket, durable, mixed, raw_texts, signed, slices, table, whole_text, words_of, word_memo
 
 #: Hash of the token that ends each text; words' hashes that equal it are moved by one.
 END = 1
 
-#: Least share of the training tokens at which a word's root arc is sent to every task, and at which a longer n-gram is a
-#: state or an arc. At most 1 / share n-grams of an order can reach it, so what is broadcast has a bound for any corpus.
+#: Least share of the training tokens at which a word's values, and at which a longer n-gram's, are sent to every task. At
+#: most 1 / share n-grams of an order can reach it, so what is broadcast has a bound for any corpus. The rest is joined.
 WORD_SHARE, ARC_SHARE = 1e-6, 1e-5
 
+#: Least count of pairs and triples in the model, whatever the size of the corpus.
+LEAST = 2
+
 #: Absolute discount of the counts of longer n-grams.
 DISCOUNT = 0.75
 
@@ -189,54 +197,131 @@ def train(texts: DataFrame, word_share: float = WORD_SHARE, arc_share: float = A
     return counted, Automaton(hashes, counts, tokens, distinct, pairs, triples)
 
 
+def gram_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of the pairs and the triples in a row of words."""
+    with np.errstate(over="ignore"):
+        pairs = mixed(mixed(words[:-1], 11) + words[1:], 12)
+        return pairs, mixed(mixed(pairs[:-1], 13) + words[2:], 14)
+
+
+def hashed(raw: bytes, memo: Memo) -> np.ndarray:
+    words = words_of(raw)
+    return np.append(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)), np.uint64(END))
+
+
+def count_grams(texts: DataFrame, least: int = LEAST) -> DataFrame:
+    """(key, context, lower, triple, n) of the pairs and triples that occur at least ``least`` times in a column ``text``.
+
+    ``context`` is the key of an n-gram without its last word, ``lower`` without its first. Batches are counted before the exchange.
+    """
+    schema = pa.schema([("key", pa.int64()), ("context", pa.int64()), ("lower", pa.int64()), ("triple", pa.bool_()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _token_memo()
+        for batch in slices(batches, "text"):
+            twos, threes = [], []
+            for raw in raw_texts(batch.column("text")):
+                words = hashed(raw, memo)
+                pairs, triples = gram_keys(words)
+                twos.append((pairs, words[:-1], words[1:]))
+                threes.append((triples, pairs[:-1], pairs[1:]))
+            memo.trim()
+            for triple, parts in enumerate((twos, threes)):
+                key, context, lower = map(np.concatenate, zip(*parts))
+                key, at, n = np.unique(key, return_index=True, return_counts=True)
+                yield table(schema, signed(key), signed(context[at]), signed(lower[at]), np.full(len(key), bool(triple)), n)
+
+    rows = texts.mapInArrow(run, "key long, context long, lower long, triple boolean, n long")
+    sums = rows.groupBy("key").agg(F.min("context").alias("context"), F.min("lower").alias("lower"), F.max("triple").alias("triple"), F.sum("n").alias("n"))
+    return sums.where(F.col("n") >= least)
+
+
+def weights(grams: DataFrame, lower: DataFrame, context: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of n-grams of one order, given (lower, below) with the probability without the first word and (context, of) with the
+    context's count: (key, n, p, delta), and (key, back) of their contexts. delta is what log p exceeds the backed-off one by."""
+    p = grams.join(lower, "lower").join(context, "context").withColumn("p", (F.col("n") - DISCOUNT) / F.col("of"))
+    left = [F.greatest(1 - F.sum(c), F.lit(1e-12)) for c in ("p", "below")]
+    back = durable(p.groupBy("context").agg(F.log10(left[0] / left[1]).alias("back")))
+    delta = F.log10("p") - F.col("back") - F.log10("below")
+    return durable(p.join(back, "context").select("key", "n", "p", delta.alias("delta"))), back.withColumnRenamed("context", "key")
+
+
+def values(texts: DataFrame, least: int = LEAST) -> tuple[DataFrame, int, int]:
+    """(key, is_word, n, base, value) of all words and of the pairs and triples kept; the numbers of tokens and of distinct words.
+
+    ``base`` is a word's log10 probability alone, ``value`` what it adds to a text's. Every pair within a triple that is
+    kept has been kept too, as it occurs at least as often.
+    """
+    counted = durable(count_words(texts))
+    tokens, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    words = counted.select(F.col("word").alias("key"), "n", ((F.col("n") + 1) / F.lit(float(tokens + distinct + 1))).alias("p"))
+    grams = durable(count_grams(texts, least))
+
+    def below(of: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return of.select(F.col("key").alias("lower"), F.col("p").alias("below")), of.select(F.col("key").alias("context"), F.col("n").alias("of"))
+
+    pairs, back1 = weights(grams.where("not triple"), *below(words))
+    triples, back2 = weights(grams.where("triple"), *below(pairs))
+    back = F.coalesce("back", F.lit(0.0))
+    base = F.log10("p")
+    first = words.join(back1, "key", "left").select("key", F.lit(True).alias("is_word"), "n", base.alias("base"), (base + back).alias("value"))
+    second = pairs.join(back2, "key", "left").select("key", F.lit(False), "n", F.lit(0.0), F.col("delta") + back)
+    third = triples.select("key", F.lit(False), "n", F.lit(0.0), "delta")
+    return durable(first.union(second).union(third)), tokens, distinct
+
+
 def score_texts(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", buckets: int = 7, held_bucket: int = 2, word_share: float = WORD_SHARE, arc_share: float = ARC_SHARE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``df``.
 
-    The model learns from rows whose crc32 of the id modulo ``buckets`` is not ``held_bucket``. Words are counted exactly
-    over all of those; words too rare to be sent to every task are scored by a join with the counts. A null or empty text
-    is its end token; repeated rows are kept; a null id counts as the empty text for the split; without training
-    rows every probability is 1. Other columns are not read. Texts start in the empty context.
+    The model learns from rows whose crc32 of the id modulo ``buckets`` is not ``held_bucket``: all words, and all pairs and
+    triples that occur there at least LEAST times. What is too rare to be sent to every task is joined; the shares decide
+    only that, not the scores. A null or empty text is its end token; repeated rows are kept; a null id counts as the empty
+    text for the split; without training rows every probability is 1. Other columns are not read. Texts start in the empty context.
     """
     rows = df.select(
         F.monotonically_increasing_id().alias("row_id"), F.col(id_column).cast("long").alias("doc_id"), (crc_bucket(id_column, buckets) == held_bucket).alias("held_out"), whole_text(text_column).alias("text")
     )
-    counted, automaton = train(rows.where(~F.col("held_out")).select("text"), word_share, arc_share)
-    sent = df.sparkSession.sparkContext.broadcast(automaton)
+    model, tokens, distinct = values(rows.where(~F.col("held_out")).select("text"))
+    frequent = model.where(F.col("n") >= F.when(F.col("is_word"), word_share * tokens).otherwise(arc_share * tokens)).toPandas()
+    keys = frequent["key"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    sent = df.sparkSession.sparkContext.broadcast((keys[order], *(frequent[c].to_numpy(float)[order] for c in ("base", "value"))))
     fields = [("row_id", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64())]
-    schema = pa.schema(fields + [("base_score", pa.float64()), ("score", pa.float64()), ("word", pa.int64()), ("times", pa.int64())])
+    schema = pa.schema(fields + [("base_score", pa.float64()), ("score", pa.float64()), ("key", pa.int64()), ("times", pa.int32()), ("word", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        ids, (root, back, fail) = Ids(model.hashes), (x.tolist() for x in (model.root, model.back, model.fail))
-        for batch in slices(batches, "text", 8 << 20):
-            numbers, sums, rare_rows, rare_words = batch.column("row_id").to_pylist(), [], [], []
+        keys, base, value = sent.value
+        memo = _token_memo()
+        for batch in slices(batches, "text", 4 << 20):
+            numbers, sums, rare = batch.column("row_id").to_pylist(), [], []
             for row, raw in zip(numbers, raw_texts(batch.column("text"))):
-                tokens = ids.text(raw)
-                rare = [-x - 1 for x in tokens if x < 0]
-                total, base = model.traverse(tokens, root, back, fail)
-                sums.append((len(tokens), len(tokens) - len(rare), base, total))
-                if rare:
-                    rare_words.append(np.array(rare, np.uint64))
-                    rare_rows.append(np.full(len(rare), row))
-            ids.memo.trim()
+                words = hashed(raw, memo)
+                own = np.concatenate((words, *gram_keys(words)))
+                at = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
+                known = keys[at] == own if len(keys) else np.zeros(len(own), bool)
+                at = at[known]
+                sums.append((len(words), int(known[: len(words)].sum()), float(base[at].sum()), float(value[at].sum())))
+                for is_word, part in ((True, slice(0, len(words))), (False, slice(len(words), None))):
+                    left, times = np.unique(own[part][~known[part]], return_counts=True)
+                    rare.append((np.full(len(left), row), left, times, np.full(len(left), is_word)))
+            memo.trim()
             if not sums:
                 continue
             size = len(numbers)
-            n_tokens, n_known, base, total = zip(*sums)
             spread = signed(np.array(numbers, np.uint64) * np.uint64(0x9E3779B97F4A7C15))  # no row's own line shares a key
-            yield table(schema, numbers, batch.column("doc_id"), batch.column("held_out"), n_tokens, n_known, base, total, spread, np.zeros(size, np.int64))
-            if rare_rows:
-                pairs = pd.DataFrame({"row": np.concatenate(rare_rows), "word": signed(np.concatenate(rare_words))}).value_counts(sort=False).reset_index()
-                blank = [pa.nulls(len(pairs), schema.field(k).type) for k in range(1, 7)]
-                yield pa.RecordBatch.from_arrays([pa.array(pairs["row"], pa.int64()), *blank, pa.array(pairs["word"], pa.int64()), pa.array(pairs["count"], pa.int64())], schema=schema)
-
-    parts = rows.mapInArrow(run, "row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, word long, times long")
-    joined = parts.join(counted, "word", "left")
-    weight = F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(automaton.whole)))
-    known = F.when((F.col("times") > 0) & F.col("n").isNotNull(), F.col("times")).otherwise(0)
-    lines = joined.select("row_id", "doc_id", "held_out", "n_tokens", (F.coalesce("n_known", F.lit(0)) + known).alias("n_known"), (F.coalesce("base_score", F.lit(0.0)) + weight).alias("base_score"), (F.coalesce("score", F.lit(0.0)) + weight).alias("score"))
+            yield table(schema, numbers, batch.column("doc_id"), batch.column("held_out"), *zip(*sums), spread, np.zeros(size, np.int32), np.zeros(size, bool))
+            row, left, times, is_word = map(np.concatenate, zip(*rare))
+            blank = [pa.nulls(len(row), schema.field(k).type) for k in range(1, 7)]
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), *blank, pa.array(signed(left)), pa.array(times, pa.int32()), pa.array(is_word)], schema=schema)
+
+    parts = rows.mapInArrow(run, "row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, key long, times int, word boolean")
+    joined = parts.join(model.select("key", "is_word", "base", "value"), "key", "left")
+    unseen = F.when(F.col("word"), -F.log10(F.lit(float(tokens + distinct + 1)))).otherwise(0.0)
+    known = F.when(F.col("word") & F.col("is_word"), F.col("times")).otherwise(0)
+    lines = joined.select("row_id", "doc_id", "held_out", "n_tokens", (F.coalesce("n_known", F.lit(0)) + known).alias("n_known"),
+        *((F.coalesce(total, F.lit(0.0)) + F.col("times") * F.coalesce(one, unseen)).alias(total) for total, one in (("base_score", "base"), ("score", "value"))))
     whole = lines.groupBy("row_id").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
-    return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(automaton.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op9_lm_scores(spark, sf_dir: str) -> DataFrame:

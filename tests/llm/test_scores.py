@@ -93,5 +93,34 @@ def test_traversal_is_plain_backoff(spark):
     assert np.isfinite(model.back).all() and n > 0
 
 
+def test_all_repeated_grams_count(spark):
+    """A pair or triple seen twice counts however large the corpus is, and what is broadcast does not change a score."""
+    lines = ["p q r s", "p q r t", "x p q r s q"] + [f"common words w{k % 50} common" for k in range(3000)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    train = [tokens(x) for i, x in enumerate(lines) if not held(i)]
+    grams = {k: Counter(tuple(t[i : i + k]) for t in train for i in range(len(t) - k + 1)) for k in (1, 2, 3)}
+    whole = sum(grams[1].values()) + len(grams[1]) + 1
+
+    after = {}
+    for k in (2, 3):
+        for g, c in grams[k].items():
+            if c >= 2:
+                after.setdefault(g[:-1], {})[g[-1]] = (c - 0.75) / grams[k - 1][g[:-1]]
+
+    def p(context, w):
+        if not context:
+            return (grams[1][w,] + 1) / whole
+        seen = after.get(context, {})
+        if w in seen or not seen:
+            return seen[w] if seen else p(context[1:], w)
+        return p(context[1:], w) * (1 - sum(seen.values())) / (1 - sum(p(context[1:], x) for x in seen))
+
+    for share in (b.ARC_SHARE, 0.05, 1.0):
+        for r in b.score_texts(df, word_share=share, arc_share=share).where("doc_id < 60").collect():
+            t = tokens(lines[r["doc_id"]])
+            want = sum(log10(p(tuple(t[max(0, k - 2) : k]), t[k])) for k in range(len(t)))
+            assert isclose(r["score"], want, rel_tol=1e-9), (share, r)
+
+
 def test_empty(empty):
     assert b.score_texts(empty).count() == 0
