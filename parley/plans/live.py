@@ -74,6 +74,6 @@ def known_or_new_speakers(spark, sf_dir):
     from parley.plans.voices import vectors
 
     rows = vectors(spark, sf_dir)
-    scores = similarities(rows.select(F.col("vec_id").alias("query"), "embedding").where("query < 100"), rows.where("vec_id >= 100")).withColumnRenamed("query", "vec_id")
-    voices = rows.where("vec_id < 100")
-    return n.known_or_new(voices, scores.join(voices.select("vec_id", "meeting"), "vec_id"), ["meeting"], 0.2, 0.25)
+    # People as text, as they stand beside 'Speaker n'.
+    scores = similarities(rows.withColumn("query", F.col("vec_id")), rows.withColumn("person", F.col("person").cast("string")), apart="vec_id").withColumnRenamed("query", "vec_id")
+    return n.known_or_new(rows, scores.join(rows.select("vec_id", "meeting"), "vec_id"), ["meeting"], 0.2, 0.25)

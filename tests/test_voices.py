@@ -109,3 +109,22 @@ def test_zero_and_broken_vectors(spark):
     df = spark.createDataFrame([(1, 0, [0.0, 0.0]), (1, 1, [float("nan"), 1.0]), (2, 2, [3.0, 4.0])], "m int, vec_id long, embedding array<double>")
     got = {r["m"]: r["mean"] for r in v.mean_vectors(df, ["m"]).collect()}
     assert got == {1: None, 2: [0.6, 0.8]}
+
+
+def test_every_voice_is_known_or_new(spark, small):
+    """All vectors get a speaker, each held against all the others."""
+    from parley.plans.live import known_or_new_speakers
+
+    e = spark.read.parquet(f"{small}/embeddings.parquet").orderBy("vec_id").toPandas()
+    m, people = np.stack(e["embedding"]).astype(float), e["label"].to_numpy()
+    sims = m @ m.T
+    np.fill_diagonal(sims, -np.inf)
+    got = {r["vec_id"]: r["speaker"] for r in known_or_new_speakers(spark, small).collect()}
+    assert sorted(got) == e["vec_id"].tolist()
+    for k, number in enumerate(e["vec_id"]):
+        means = {p: np.mean([x for x in -np.sort(-sims[k, people == p])[:3] if x > -np.inf]) for p in np.unique(people)}
+        best = max(means, key=means.get)
+        if means[best] >= 0.2 + 1e-9:
+            assert got[number] == str(best)
+        elif means[best] < 0.2 - 1e-9:
+            assert got[number].startswith("Speaker ")
