@@ -34,6 +34,9 @@ FREQUENT, SEEN = 1_000_000, 30
 #: How much dearer a probe of a long list is than a step of the merge (fixed value of the published method).
 PROBE = 0.0085
 
+#: Long lists that are probed in one round.
+PROBED = 64
+
 
 # ---------------------------------------------------------------- sets and signatures
 
@@ -194,64 +197,84 @@ def blocks(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -> D
 # ---------------------------------------------------------------- T-occurrence search
 
 
-def divide_skip(lists: list[list[int]], needed: int) -> list[tuple[int, int]]:
-    """Members of at least ``needed`` of the sorted lists, with the number of lists that hold them.
+class Inverted:
+    """Inverted lists of a block in one array of shingle << 32 | member, sorted as a whole.
 
-    The longest lists are set aside. The rest are merged by a heap that skips ahead past members which can't reach the
-    required number any more; the survivors are then looked up in the long lists by bisection.
+    Each list has room for all members that will ever be added; free places hold a number above every member, so the array
+    stays sorted while members are added in growing order, and any list can be probed by bisection.
     """
-    if len(lists) < needed or needed < 1:
-        return []
-    lists = sorted(lists, key=len)
-    long = min(needed - 1, int(needed / (PROBE * log2(max(2, len(lists[-1]))) + 1)))
-    shorts, longs = lists[: len(lists) - long], lists[len(lists) - long :]
-    enough = needed - long
-    heap = [(x[0], k) for k, x in enumerate(shorts)]
+
+    def __init__(self, room: np.ndarray):
+        self.start = np.concatenate(([0], np.cumsum(room)))[:-1]
+        self.size = np.zeros(len(room), np.int64)
+        self.keys = np.repeat(np.arange(len(room), dtype=np.int64) << 32 | 0xFFFFFFFF, room)
+
+    def add(self, shingles: np.ndarray, member: int) -> None:
+        self.keys[self.start[shingles] + self.size[shingles]] = shingles << 32 | member
+        self.size[shingles] += 1
+
+    def members(self, shingle: int) -> list[int]:
+        at = self.start[shingle]
+        return (self.keys[at : at + self.size[shingle]] & 0xFFFFFFFF).tolist()
+
+    def holds(self, shingles: np.ndarray, members: np.ndarray) -> np.ndarray:
+        """For each member, how many of the lists hold it."""
+        wanted = (shingles << 32)[:, None] | members
+        at = np.minimum(np.searchsorted(self.keys, wanted.ravel()), len(self.keys) - 1)
+        return (self.keys[at].reshape(wanted.shape) == wanted).sum(axis=0)
+
+
+def merge_skip(lists: list[list[int]], enough: int) -> list[tuple[int, int]]:
+    """Members of at least ``enough`` of the sorted lists, with the number of lists that hold them, by a heap that skips ahead
+    past members which can't reach that number any more."""
+    heap = [x[0] << 32 | k for k, x in enumerate(lists)]
     heapq.heapify(heap)
-    at, found = [0] * len(shorts), []
+    at, found, pop, push = [0] * len(lists), [], heapq.heappop, heapq.heappush
     while len(heap) >= enough:
-        member, popped = heap[0][0], []
-        while heap and heap[0][0] == member:
-            popped.append(heapq.heappop(heap)[1])
+        beyond = (heap[0] >> 32) + 1 << 32
+        popped = []
+        while heap and heap[0] < beyond:
+            popped.append(pop(heap) & 0xFFFFFFFF)
+        goal = beyond >> 32
         if len(popped) >= enough:
-            goal = member + 1
-            found.append((member, len(popped)))
+            found.append((goal - 1, len(popped)))
         else:
             while heap and len(popped) < enough - 1:
-                popped.append(heapq.heappop(heap)[1])
+                popped.append(pop(heap) & 0xFFFFFFFF)
             if not heap:
                 break
-            goal = heap[0][0]
+            goal = heap[0] >> 32
         for k in popped:
-            at[k] = bisect_left(shorts[k], goal, at[k])
-            if at[k] < len(shorts[k]):
-                heapq.heappush(heap, (shorts[k][at[k]], k))
-    return probe(found, longs, needed)
-
-
-def probe(found: list[tuple[int, int]], longs: list[list[int]], needed: int) -> list[tuple[int, int]]:
-    """Those of the members found that the long lists lift to ``needed``. Many members are looked up in a list at once."""
-    if len(found) <= 8:
-        kept = []
-        for member, count in found:
-            for k, x in enumerate(longs):
-                if count + len(longs) - k < needed:
-                    break
-                i = bisect_left(x, member)
-                count += i < len(x) and x[i] == member
-            if count >= needed:
-                kept.append((member, count))
-        return kept
-    members, counts = np.array(found, np.int32).T.copy()
-    for k, x in enumerate(longs):
-        if k % 16 == 0:
-            alive = counts >= needed - (len(longs) - k)
-            members, counts = members[alive], counts[alive]
-            if not len(members):
-                return []
-        view = np.array(x, np.int32)
-        counts += view[np.minimum(np.searchsorted(view, members), len(view) - 1)] == members
-    return [(m, c) for m, c in zip(members.tolist(), counts.tolist()) if c >= needed]
+            own = lists[k]
+            at[k] = place = bisect_left(own, goal, at[k])
+            if place < len(own):
+                push(heap, own[place] << 32 | k)
+    return found
+
+
+def divide_skip(index: Inverted, shingles: np.ndarray, needed: int) -> list[tuple[int, int]]:
+    """Members that at least ``needed`` of the shingles' lists hold, with the number of lists that hold them.
+
+    The longest lists are set aside. The rest are merged; what survives is looked up in the long lists by bisection, in
+    rounds, after each of which members that can't reach the number any more are given up.
+    """
+    shingles = shingles[index.size[shingles] > 0]
+    if len(shingles) < needed or needed < 1:
+        return []
+    shingles = shingles[np.argsort(index.size[shingles], kind="stable")]
+    long = min(needed - 1, int(needed / (PROBE * log2(max(2, int(index.size[shingles[-1]]))) + 1)))
+    shorts, longs = shingles[: len(shingles) - long], shingles[len(shingles) - long :]
+    found = merge_skip([index.members(x) for x in shorts.tolist()], needed - long)
+    if not found:
+        return []
+    members, counts = np.array(found, np.int64).T
+    for k in range(0, long, PROBED):
+        counts = counts + index.holds(longs[k : k + PROBED], members)
+        alive = counts >= needed - max(0, long - k - PROBED)
+        members, counts = members[alive], counts[alive]
+        if not len(members):
+            return []
+    return list(zip(members.tolist(), counts.tolist()))
 
 
 class Block:
@@ -261,28 +284,22 @@ class Block:
         self.percent, self.sizes = percent, [len(x) for x in sets]
         _, numbers, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         shared = counts > 1
-        renumbered = np.where(shared, np.cumsum(shared) - 1, -1).astype(np.int32)[numbers]
-        self.shingles = int(shared.sum())
+        renumbered = np.where(shared, np.cumsum(shared) - 1, -1)[numbers]
+        self.room = counts[shared]
         self.sets = [x[x >= 0] for x in np.split(renumbered, np.cumsum(self.sizes)[:-1])]
 
-    def index(self) -> list[list[int] | None]:
-        """Empty inverted lists, by shingle."""
-        return [None] * self.shingles
+    def index(self) -> Inverted:
+        return Inverted(self.room)
 
-    def add(self, lists: list[list[int] | None], k: int) -> None:
+    def add(self, index: Inverted, k: int) -> None:
         """Positions must grow, so that lists are sorted."""
-        for x in self.sets[k].tolist():
-            if (own := lists[x]) is None:
-                lists[x] = [k]
-            else:
-                own.append(k)
+        index.add(self.sets[k], k)
 
-    def linked(self, lists: list[list[int] | None], k: int) -> list[int]:
+    def linked(self, index: Inverted, k: int) -> list[int]:
         """Indexed sets that link with set k: 100 * intersection >= percent * union."""
         size, p = self.sizes[k], self.percent
-        own = [x for x in map(lists.__getitem__, self.sets[k].tolist()) if x is not None]
         needed = -(-size * p // 100)  # no linked set shares less
-        return [other for other, both in divide_skip(own, needed) if 100 * both >= p * (size + self.sizes[other] - both)]
+        return [other for other, both in divide_skip(index, self.sets[k], needed) if 100 * both >= p * (size + self.sizes[other] - both)]
 
 
 def links(sets: list[np.ndarray], labels: list[int], queries: list[bool], percent: int) -> list[tuple[int, int]]:

@@ -111,6 +111,29 @@ def test_links_of_nested_sets():
             assert got == want, [len(x) for x in own]
 
 
+def chains(count, seed=3):
+    """Texts that grow by so much that only neighbours link; the last ones have branches that differ from each other."""
+    rng, rows = random.Random(seed), []
+    for base in range(count):
+        words = [f"{base}v{k}" for k in range(100)]
+        for step in range(4):
+            rows.append((len(rows), " ".join(words)))
+            words = words + [f"{base}s{step}n{k}" for k in range(11 + step)]
+        for branch in range(rng.randint(2, 9)):
+            rows.append((len(rows), " ".join([*words, *(f"{base}b{branch}n{k}" for k in range(3))])))
+    rng.shuffle(rows)
+    return [(k * 3 + 1, text) for k, (_, text) in enumerate(rows)]
+
+
+def test_chains_at_several_block_sizes(spark):
+    rows = chains(25)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute(rows, 85, 4)
+    assert len({c for _, c in want.values()}) == 25
+    for block in (300, 900, 600_000):
+        assert found(df, block=block) == want, block
+
+
 def test_documents(docs):
     assert found(docs) == brute(pairs(docs), 85, 4)
 
@@ -131,13 +154,17 @@ def test_signatures_are_shared():
                     assert len(np.intersect1d(a, b)), (percent, len(base), len(other), both)
 
 
-def test_divide_skip():
+def test_divide_skip(monkeypatch):
+    monkeypatch.setattr(j, "PROBED", 3)
     rng = random.Random(4)
     for _ in range(300):
-        lists = [sorted(rng.sample(range(60), rng.randint(1, 40))) for _ in range(rng.randint(1, 12))]
+        lists = [sorted(rng.sample(range(60), rng.randint(0, 40))) for _ in range(rng.randint(1, 12))]
+        index = j.Inverted(np.array([len(x) for x in lists]))
+        for member in range(60):
+            index.add(np.array([k for k, x in enumerate(lists) if member in x], np.int64), member)
         needed = rng.randint(1, len(lists) + 1)
         want = [(x, n) for x in range(60) if (n := sum(x in y for y in lists)) >= needed]
-        assert j.divide_skip(lists, needed) == want
+        assert j.divide_skip(index, np.arange(len(lists)), needed) == want
 
 
 def test_odd_input(odd, empty):
