@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import Memo, crc_bucket, durable, mixed, raw_texts, signed, slices, table, whole_text, words_of, word_memo
+from parley.llm.common import Memo, crc_bucket, durable, map_arrow, mixed, raw_texts, signed, slices, table, whole_text, word_memo, words_of
 
 #: Hash of the token that ends each text; words' hashes that equal it are moved by one.
 END = 1
@@ -48,7 +48,7 @@ def count_words(texts: DataFrame) -> DataFrame:
             yield table(schema, signed(words), counts)
             memo.trim()
 
-    return texts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return map_arrow(texts, run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Ids:
@@ -97,7 +97,7 @@ def count_longer(texts: DataFrame, hashes: np.ndarray, contexts: np.ndarray, ord
             grams, counts = np.unique(np.concatenate(keys), return_counts=True)
             yield table(schema, grams >> 20, grams & 0xFFFFF, counts)
 
-    return texts.mapInArrow(run, "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n"))
+    return map_arrow(texts, run, "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n"))
 
 
 class Automaton:
@@ -231,7 +231,7 @@ def count_grams(texts: DataFrame, least: int = LEAST) -> DataFrame:
                 key, at, n = np.unique(key, return_index=True, return_counts=True)
                 yield table(schema, signed(key), signed(context[at]), signed(lower[at]), np.full(len(key), bool(triple)), n)
 
-    rows = texts.mapInArrow(run, "key long, context long, lower long, triple boolean, n long")
+    rows = map_arrow(texts, run, "key long, context long, lower long, triple boolean, n long")
     sums = rows.groupBy("key").agg(F.min("context").alias("context"), F.min("lower").alias("lower"), F.max("triple").alias("triple"), F.sum("n").alias("n"))
     return sums.where(F.col("n") >= least)
 
@@ -314,7 +314,7 @@ def score_texts(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
             blank = [pa.nulls(len(row), schema.field(k).type) for k in range(1, 7)]
             yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), *blank, pa.array(signed(left)), pa.array(times, pa.int32()), pa.array(is_word)], schema=schema)
 
-    parts = rows.mapInArrow(run, "row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, key long, times int, word boolean")
+    parts = map_arrow(rows, run, "row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, key long, times int, word boolean")
     joined = parts.join(model.select("key", "is_word", "base", "value"), "key", "left")
     unseen = F.when(F.col("word"), -F.log10(F.lit(float(tokens + distinct + 1)))).otherwise(0.0)
     known = F.when(F.col("word") & F.col("is_word"), F.col("times")).otherwise(0)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm import merges
-from parley.llm.common import Memo, raw_texts, slices, table, vocabulary_path, whole_text
+from parley.llm.common import Memo, map_arrow, raw_texts, slices, table, vocabulary_path, whole_text
 
 #: Fixed value: the vocabulary's pattern of pieces.
 PIECES = regex.compile(
@@ -90,6 +90,11 @@ class Codec:
         for memo in (self.pieces, self.runs, self.vocabulary):
             memo.trim()
 
+    def clear(self) -> None:
+        """Forget what was memorised, also in the vocabulary, which other codecs of the process share."""
+        for memo in (self.pieces, self.runs, self.vocabulary.beside):
+            memo.clear()
+
 
 def encode_texts(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", keep: bool = True) -> DataFrame:
     """For each row of ``df``: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if ``keep``, ids (binary, little-endian
@@ -109,9 +114,10 @@ def encode_texts(df: DataFrame, path: str, id_column: str = "doc_id", text_colum
             columns = [batch.column("doc_id"), [len(x) // 4 for x in ids], [*map(sha, ids)], [*map(sha, decoded)]]
             yield table(schema, *columns, *([ids, [x.decode() for x in decoded]] if keep else []))
             codec.trim()
+        codec.clear()
 
     rows = df.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * keep)
+    return map_arrow(rows, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * keep)
 
 
 def decode_ids(df: DataFrame, path: str, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
@@ -123,7 +129,7 @@ def decode_ids(df: DataFrame, path: str, id_column: str = "doc_id", ids_column:
         for batch in slices(batches, "ids"):
             yield table(schema, batch.column("doc_id"), [codec.decode(x).decode() for x in raw_texts(batch.column("ids"))])
 
-    return df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(ids_column).alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return map_arrow(df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(ids_column).alias("ids")), run, "doc_id long, text string")
 
 
 def op8_bpe_codec(spark, sf_dir: str) -> DataFrame:

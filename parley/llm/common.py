@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -15,6 +18,9 @@ from pyspark.sql import functions as F
 #: Entries that a worker's memo holds before it starts anew; it bounds memory, never results.
 MEMO_LIMIT = 400_000
 
+#: Longest text or bytes that a memo keeps as a key.
+LONG_KEY = 64
+
 MASK = (1 << 64) - 1
 
 
@@ -33,11 +39,14 @@ def crc_bucket(column: str, buckets: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it; only where none is set (tests on
-    one machine) a temporary one is made."""
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it. Where none is set a local master gets a
+    temporary one; on a cluster that is an error, as executors could not see it."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="parley-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="parley-checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -47,6 +56,19 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def hot_join(rows: DataFrame, keyed: DataFrame, key: str, total: int, share: int = 1000) -> DataFrame:
+    """``rows`` left-joined with ``keyed``, which has one row for each key and in ``n`` how many of the ``total`` rows have it.
+
+    Keys of more than a 1 / ``share`` of all rows, of which there are fewer than ``share``, are broadcast, so that no task gets
+    all rows of such a key; the others are joined by key.
+    """
+    hot = F.col("n") * share > total
+    columns = [c for c in keyed.columns if c not in (key, "n")]
+    first = rows.join(F.broadcast(keyed.where(hot).drop("n").withColumn("__hot", F.lit(True))), key, "left")
+    rest = first.where("__hot is null").drop("__hot", *columns).join(keyed.where(~hot).drop("n"), key, "left")
+    return first.where("__hot").drop("__hot").unionByName(rest)
+
+
 def raw_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of each text, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -61,15 +83,38 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 16
             yield batch.slice(at, step)
 
 
+def map_arrow(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``rows.mapInArrow(run, schema)``, after which a worker gives back the memory that it no longer uses; workers live on and
+    serve the next stages."""
+
+    def freeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return rows.mapInArrow(freeing, schema)
+
+
+def release() -> None:
+    """Hand free memory back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class Memo(dict):
-    """Results of ``make`` by key; emptied between batches when it has grown beyond the limit."""
+    """Results of ``make`` by key; emptied between batches when it has grown beyond the limit. Long keys, which hardly ever come
+    again, are not kept, so the limit bounds its bytes too."""
 
     def __init__(self, make: Callable, limit: int = MEMO_LIMIT):
         super().__init__()
         self.make, self.limit = make, limit
 
     def __missing__(self, key):
-        self[key] = value = self.make(key)
+        value = self.make(key)
+        if not isinstance(key, (bytes, str)) or len(key) <= LONG_KEY:
+            self[key] = value
         return value
 
     def trim(self) -> None:

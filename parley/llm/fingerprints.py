@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import Memo, raw_texts, shingle_hashes, signed, slices, table, whole_text, word_hashes, word_memo
+from parley.llm.common import Memo, map_arrow, raw_texts, shingle_hashes, signed, slices, table, whole_text, word_hashes, word_memo
 
 #: Words of a shingle, and one in how many shingle hashes stays.
 WIDTH, SCALE = 5, 8
@@ -57,7 +57,7 @@ def sketch_texts(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
             memo.trim()
 
     rows = df.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, sketch array<long>")
+    return map_arrow(rows, run, "doc_id long, sketch array<long>")
 
 
 def contained(a: str, b: str) -> Column:
@@ -143,7 +143,7 @@ def edited_fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: s
     shape = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     if rows.isEmpty():
         return df.sparkSession.createDataFrame([], shape)
-    return neighbours(rows, rows_per_range).mapInArrow(run, shape)
+    return map_arrow(neighbours(rows, rows_per_range), run, shape)
 
 
 def op10_fingerprints(spark, sf_dir: str) -> DataFrame:

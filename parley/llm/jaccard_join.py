@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from parley.llm.common import Memo, durable, mixed, raw_texts, shingle_hashes, signed, slices, table, whole_text, word_hashes, word_memo
+from parley.llm.common import Memo, durable, hot_join, map_arrow, mixed, raw_texts, shingle_hashes, signed, slices, table, whole_text, word_hashes, word_memo
 from parley.llm.components import components
 
 #: Shingles of the sets in one task of the search; larger candidate groups are cut into tasks of this size.
@@ -137,7 +137,7 @@ def shingle_table(docs: DataFrame, width: int) -> DataFrame:
                 blank = pa.nulls(int(often.sum()), pa.int64())
                 yield pa.RecordBatch.from_arrays([blank, blank, pa.array(counts[often]), pa.array(signed(shingles[often]))], schema=schema)
 
-    return docs.mapInArrow(run, "row_key long, doc_id long, n_shingles long, set_id long")
+    return map_arrow(docs, run, "row_key long, doc_id long, n_shingles long, set_id long")
 
 
 def frequent_shingles(seen: DataFrame, total: int) -> np.ndarray:
@@ -184,7 +184,7 @@ def blocks(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -> D
             order = np.argsort(ids, kind="stable")
             yield table(schema, signed(key)[order], pa.array(signed(marks)[order], mask=first[order]), ids[order], role[order])
 
-    rows = docs.select("text").mapInArrow(run, "key long, signature long, id long, role byte")
+    rows = map_arrow(docs.select("text"), run, "key long, signature long, id long, role byte")
     least = F.min(F.when(F.col("role") < 2, F.col("id"))).over(W.partitionBy("key"))
     shared = durable(rows.withColumn("group", least).where("role > 0 or id <> group").select(F.coalesce("signature", "key").alias("signature"), "id", "role", "group"))
     hubs = shared.where("role = 1").select("signature", "group").distinct()
@@ -384,7 +384,7 @@ def search_tasks(rows: DataFrame, width: int, percent: int) -> DataFrame:
                 if pairs:
                     yield table(schema, [ids[a] for a, _ in pairs], [ids[b] for _, b in pairs])
 
-    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
+    return map_arrow(rows.repartition("task").sortWithinPartitions("task"), run, "a long, b long")
 
 
 # ---------------------------------------------------------------- the operator
@@ -431,7 +431,24 @@ def link_groups(docs: DataFrame, shingled: DataFrame, members: DataFrame, width:
     return components(edges.union(search_tasks(crossing, width, percent)))
 
 
-def jaccard_groups(df: DataFrame, percent: int = 85, width: int = 4, id_column: str = "doc_id", text_column: str = "text", block: int = BLOCK, broadcast_rows: int = 1_000_000) -> DataFrame:
+def keyed(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """row_key (a hash of id and text), doc_id and text of each row."""
+    docs = df.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
+    return docs.withColumn("row_key", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text"))
+
+
+def labelled_sets(docs: DataFrame, percent: int, width: int, block: int, broadcast_rows: int) -> tuple[DataFrame, DataFrame]:
+    """row_key, doc_id, n_shingles and set_id of each row of ``docs`` (0: no words), and (set_id, label, n) of each set: its group and its rows."""
+    first_pass = durable(shingle_table(docs, width))
+    shingled, seen = first_pass.where("row_key is not null"), first_pass.where("row_key is null")
+    frequent = frequent_shingles(seen, shingled.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0])
+    members = durable(blocks(docs, width, percent, frequent))
+    labels = durable(link_groups(docs.select("row_key", "text"), shingled, members, width, percent, block, broadcast_rows)).withColumnRenamed("id", "set_id")
+    sets = shingled.where("set_id <> 0").groupBy("set_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))["row_key"].alias("first"))
+    return shingled, durable(sets.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id")))
+
+
+def jaccard_groups(df: DataFrame, percent: int = 85, width: int = 4, id_column: str = "doc_id", text_column: str = "text", block: int = BLOCK, broadcast_rows: int = 300_000) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``df``: groups of texts connected by links.
 
     Two texts link when 100 times the shingles that both have is at least ``percent`` times the shingles that either
@@ -439,17 +456,30 @@ def jaccard_groups(df: DataFrame, percent: int = 85, width: int = 4, id_column:
     words (or null) it has none, links with nothing and is its own component. Repeated rows are kept; a row with a null
     id gets a component id of the others that it links with, or null. Other columns are not read.
     """
-    docs = df.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
-    docs = docs.withColumn("row_key", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text"))
-    first_pass = durable(shingle_table(docs, width))
-    shingled, seen = first_pass.where("row_key is not null"), first_pass.where("row_key is null")
-    frequent = frequent_shingles(seen, shingled.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0])
-    members = durable(blocks(docs, width, percent, frequent))
-    labels = durable(link_groups(docs.select("row_key", "text"), shingled, members, width, percent, block, broadcast_rows)).withColumnRenamed("id", "set_id")
-    rows = shingled.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    least = rows.where("set_id <> 0").groupBy("label").agg(F.min("doc_id").alias("least"))
-    full = rows.where("set_id <> 0").join(least, "label").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
-    return full.union(rows.where("set_id = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    shingled, sets = labelled_sets(keyed(df, id_column, text_column), percent, width, block, broadcast_rows)
+    total = shingled.count()
+    # A label's least id is found over sets, so that exact copies are one row; both joins keep frequent keys apart.
+    least = durable(sets.groupBy("label").agg(F.count("*").alias("n"), F.min("least").alias("component_id")))
+    found = hot_join(sets.select("set_id", "label", F.col("n").alias("rows")), least, "label", total).select("set_id", F.col("rows").alias("n"), "component_id")
+    full = hot_join(shingled.where("set_id <> 0"), durable(found), "set_id", total).select("doc_id", "n_shingles", "component_id")
+    return full.union(shingled.where("set_id = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def one_of_each_group(df: DataFrame, percent: int = 80, width: int = 5, id_column: str = "doc_id", text_column: str = "text", block: int = BLOCK, broadcast_rows: int = 300_000) -> DataFrame:
+    """``df`` with one row of each group of linked texts: that of the least id, rows without id last; of equal ids, the least by a hash
+    of the text. Of rows equal in id and text one stays. Texts without words link with nothing, so all of them stay."""
+    rows = df.withColumn("__row_key", F.xxhash64(F.coalesce(F.col(id_column).cast("long"), F.lit(-1)), whole_text(text_column)))
+    shingled, sets = labelled_sets(keyed(df, id_column, text_column), percent, width, block, broadcast_rows)
+    chosen = sets.groupBy("label").agg(F.min(F.struct(F.col("least").isNull(), "least", "first"))["first"].alias("row_key"))
+    lettered = shingled.where("set_id <> 0").groupBy("row_key").agg(F.count("*").alias("n"))
+    dropped = durable(lettered.join(chosen.withColumn("stays", F.lit(True)), "row_key", "left").where("stays is null or n > 1"))
+    gone = dropped.where("stays is null").select(F.col("row_key").alias("__row_key"))
+    kept = rows.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, "__row_key", "left_anti")
+    repeated = dropped.where("stays").select(F.col("row_key").alias("__row_key"))
+    if not repeated.isEmpty():  # only rows that repeat another one are brought together
+        few = F.broadcast(repeated) if repeated.count() <= broadcast_rows else repeated
+        kept = kept.join(few, "__row_key", "left_anti").unionByName(kept.join(few, "__row_key", "left_semi").dropDuplicates(["__row_key"]))
+    return kept.select(df.columns)
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:

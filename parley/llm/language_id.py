@@ -14,20 +14,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from parley.llm.common import crc_bucket, slices, table, whole_text
+from parley.llm.common import crc_bucket, map_arrow, slices, table, whole_text
 
 #: Buckets of the hashed features.
 FEATURES = 1 << 16
 
+#: Letters of the words whose features are held at a time.
+GROUP = 1 << 17
+
 #: Words of a training sequence, and of a chunk of the forward-backward scan.
 SEQUENCE, CHUNK = 24, 128
 
 NO_LETTER = regex.compile(r"[^\p{L}\p{M}]+")
+LETTER = regex.compile(r"\p{L}")
 
 
 def cleaned(token: str) -> str:
-    """The token's letters, in lower case."""
-    return NO_LETTER.sub("", token.lower())
+    """The token's letters with their marks, in lower case; empty if it has no letter."""
+    word = NO_LETTER.sub("", token.lower())
+    return word if word.isascii() or LETTER.search(word) else ""
 
 
 def hashed(codes: np.ndarray, salt: int) -> np.ndarray:
@@ -48,9 +53,11 @@ def features(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
     """
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     classes = np.ceil(np.log2(np.maximum(lengths, 8) / 8)).astype(np.int64)
+    groups = []
     for k in np.unique(classes):
-        at = np.flatnonzero(classes == k)
-        width = 8 << int(k)
+        alike, width = np.flatnonzero(classes == k), 8 << int(k)
+        groups += [(alike[i : i + max(1, GROUP // width)], width) for i in range(0, len(alike), max(1, GROUP // width))]
+    for at, width in groups:
         codes = np.array([words[i] for i in at], f"U{width}").view(np.uint32).reshape(len(at), width)
         own = lengths[at][:, None]
         bounded = np.zeros((len(at), width + 2), np.uint32)
@@ -226,9 +233,9 @@ def fit(sample: pd.DataFrame, rounds: int = 25, mixed_share: float = 0.3, seed:
     return model
 
 
-def labelled_sample(df: DataFrame, id_column: str, lang_column: str, text_column: str, usable, per_language: int, characters: int) -> pd.DataFrame:
-    """At most ``per_language`` labelled texts of each language, chosen by a hash of the id, and of each a window of at
-    most ``characters``. Ids are chosen before any text is read."""
+def labelled_sample(df: DataFrame, id_column: str, lang_column: str, text_column: str, usable, per_language: int, runs: int) -> pd.DataFrame:
+    """At most ``runs`` runs of SEQUENCE words of each language, drawn by hash from everywhere in at most ``per_language`` labelled
+    texts. Texts are chosen by a hash of the id, before any is read; their words are cut into runs in tasks."""
     ids = df.where(usable & F.col(lang_column).isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(lang_column).alias("lang"))
     counts = ids.groupBy("lang").count()
     draw = F.xxhash64("id", F.lit(11))
@@ -236,21 +243,23 @@ def labelled_sample(df: DataFrame, id_column: str, lang_column: str, text_column
     few = ids.join(F.broadcast(counts), "lang").where(share)
     rank = F.row_number().over(W.partitionBy("lang").orderBy(draw, "id"))
     chosen = few.select("id", "lang", rank.alias("rank")).where(F.col("rank") <= per_language).select("id", "lang")
-    text = whole_text("text")
-    start = 1 + F.pmod(F.xxhash64("id"), F.greatest(F.length(text) - characters, F.lit(0)) + 1)
-    rows = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(F.broadcast(chosen), "id")
-    return rows.select(F.substring(text, start.cast("int"), F.lit(characters)).alias("text"), "lang").toPandas()
+    rows = df.select(F.col(id_column).alias("id"), whole_text(text_column).alias("text")).join(F.broadcast(chosen), "id")
+    words = rows.select("lang", F.split(F.trim("text"), r"\s+").alias("words"))
+    starts = F.sequence(F.lit(1), F.size("words"), F.lit(SEQUENCE))
+    cut = words.select("lang", F.explode(F.transform(starts, lambda k: F.array_join(F.slice("words", k, SEQUENCE), " "))).alias("text"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
+    return cut.select("lang", "text", rank.alias("rank")).where(F.col("rank") <= runs).select("text", "lang").toPandas()
 
 
-def train(df: DataFrame, usable, id_column: str = "doc_id", lang_column: str = "lang", text_column: str = "text", per_language: int = 300, characters: int = 1500) -> Model:
+def train(df: DataFrame, usable, id_column: str = "doc_id", lang_column: str = "lang", text_column: str = "text", per_language: int = 300, runs: int = 3000) -> Model:
     """A model fitted on a bounded sample of the rows for which ``usable`` holds."""
-    return fit(labelled_sample(df, id_column, lang_column, text_column, usable, per_language, characters))
+    return fit(labelled_sample(df, id_column, lang_column, text_column, usable, per_language, runs))
 
 
 class Tagger:
     """Posteriors of the words of texts; emissions of words seen before are kept."""
 
-    def __init__(self, model: Model, limit: int = 400_000):
+    def __init__(self, model: Model, limit: int = 200_000):
         self.model, self.limit = model, limit
         self.move = np.exp(model.steps - model.steps.max(initial=-np.inf))
         self.clear()
@@ -258,7 +267,7 @@ class Tagger:
     def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.used = 0
-        self.factors = np.zeros((1024, len(self.model.languages)))
+        self.factors = np.zeros((1024, len(self.model.languages)), np.float32)
 
     def learn(self, tokens: set[str]) -> None:
         fresh, words = [], []
@@ -292,7 +301,7 @@ class Tagger:
         lettered = ids >= 0
         borders = np.concatenate(([0], np.concatenate(([0], np.cumsum(lettered)))[ends]))
         kept = ids[lettered]
-        posterior = chunk_posteriors(self.factors[kept], self.move, borders) if len(kept) else np.zeros((0, self.factors.shape[1]))
+        posterior = chunk_posteriors(self.factors[kept].astype(float), self.move, borders) if len(kept) else np.zeros((0, self.factors.shape[1]))
         return posterior, borders, tokens, np.flatnonzero(lettered)
 
 
@@ -325,7 +334,7 @@ def predict_languages(df: DataFrame, model: Model, id_column: str = "doc_id", te
 
     rows = df.select(*(F.col(f.name) for f in extra), F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("__text"))
     shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in extra), "doc_id long, lang_pred string, score double"])
-    return rows.mapInArrow(run, shape)
+    return map_arrow(rows, run, shape)
 
 
 def label_words(df: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -356,7 +365,7 @@ def label_words(df: DataFrame, model: Model, id_column: str = "doc_id", text_col
                 yield table(schema, *zip(*rows))
 
     rows = df.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, run int, first_word long, end_word long, lang string, score double")
+    return map_arrow(rows, run, "doc_id long, run int, first_word long, end_word long, lang string, score double")
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:

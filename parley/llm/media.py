@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import raw_texts, slices, table, whole_text
+from parley.llm.common import map_arrow, raw_texts, slices, table, whole_text
 
 #: Blocks of a frame; each carries one sample, and a payload is a whole number of frames.
 ACROSS, DOWN = 16, 12
@@ -358,7 +358,7 @@ def text_media(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
     rows = df.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
     shape = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return rows.mapInArrow(run, shape + ", media binary" * keep)
+    return map_arrow(rows, run, shape + ", media binary" * keep)
 
 
 def media_clips(df: DataFrame, id_column: str = "doc_id", media_column: str = "media") -> DataFrame:
@@ -381,7 +381,7 @@ def media_clips(df: DataFrame, id_column: str = "doc_id", media_column: str = "m
                 yield table(schema, *zip(*rows, strict=True))
 
     rows = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(media_column).alias("media"))
-    return rows.mapInArrow(run, "doc_id long, clip int, first_frame long, end_frame long, start_s double, end_s double, level double")
+    return map_arrow(rows, run, "doc_id long, clip int, first_frame long, end_frame long, start_s double, end_s double, level double")
 
 
 def op3_media_columns(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import durable, slices, whole_text
+from parley.llm.common import durable, hot_join, map_arrow, slices, whole_text
 
 #: Kinds in the order in which spans with one start are listed: those of the patterns, then those of the verdicts.
 KINDS = ("assign", "access", "hex", "live", "example")
@@ -23,6 +23,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_VALUE, LEAST_ACCESS = 6, 20
 
+#: From how many characters on a value needs no digits to look like a credential, and how mixed it must be (bits a character).
+LONG_VALUE, LEAST_ENTROPY = 12, 2.5
+
 #: Values that nobody would use in earnest.
 PLACEHOLDER = re.compile(r"(?i)example|sample|dummy|changeme|your|xxxx|test|placeholder|(.)\1{5}")
 
@@ -36,12 +39,14 @@ def find(text: str) -> list[tuple[int, int, int, int, int]]:
     return sorted(found, key=lambda x: (x[1], x[0]))
 
 
-def looks_live(value: str, least_length: int = 12, least_entropy: float = 2.5) -> bool:
-    """Whether a value is long and mixed enough for a credential, and no placeholder."""
-    if len(value) < least_length or PLACEHOLDER.search(value):
+def looks_live(value: str) -> bool:
+    """Whether a value is mixed enough for a credential, and no placeholder; a short one needs both letters and digits."""
+    if PLACEHOLDER.search(value):
+        return False
+    if len(value) < LONG_VALUE and not (any(map(str.isdigit, value)) and any(map(str.isalpha, value))):
         return False
     counts = Counter(value)
-    return -sum(n / len(value) * log2(n / len(value)) for n in counts.values()) >= least_entropy
+    return -sum(n / len(value) * log2(n / len(value)) for n in counts.values()) >= (LEAST_ENTROPY if len(value) >= LONG_VALUE else LEAST_ENTROPY - 0.5)
 
 
 def candidates(df: DataFrame, id_column: str, owner_column: str, repository_column: str, text_column: str) -> DataFrame:
@@ -51,8 +56,8 @@ def candidates(df: DataFrame, id_column: str, owner_column: str, repository_colu
     """
     span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
     value = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("hash", pa.string()), ("live", pa.bool_())])
-    kept = ("row_id", "doc_id", "owner", "repository")
-    types = (pa.int64(), pa.int64(), pa.string(), pa.string())
+    kept = ("row_id", "doc_id", "owner", "repository", "text_key")
+    types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
     schema = pa.schema([*zip(kept, types), *((f"n_{k}", pa.int64()) for k in KINDS[:3]), ("base_sha256", pa.string()), ("base", pa.list_(span)), ("found", pa.list_(value))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,21 +75,27 @@ def candidates(df: DataFrame, id_column: str, owner_column: str, repository_colu
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     rows = df.select(
-        F.monotonically_increasing_id().alias("row_id"), F.col(id_column).cast("long").alias("doc_id"), F.col(owner_column).cast("string").alias("owner"), F.col(repository_column).cast("string").alias("repository"), whole_text(text_column).alias("text")
+        F.monotonically_increasing_id().alias("row_id"), F.col(id_column).cast("long").alias("doc_id"), F.col(owner_column).cast("string").alias("owner"), F.col(repository_column).cast("string").alias("repository"), F.xxhash64(whole_text(text_column)).alias("text_key"), whole_text(text_column).alias("text")
     )
-    shape = "row_id long, doc_id long, owner string, repository string, n_assign long, n_access long, n_hex long, base_sha256 string"
-    return rows.mapInArrow(run, shape + ", base array<struct<start int, kind int, end int>>, found array<struct<start int, end int, hash string, live boolean>>")
+    shape = "row_id long, doc_id long, owner string, repository string, text_key long, n_assign long, n_access long, n_hex long, base_sha256 string"
+    return map_arrow(rows, run, shape + ", base array<struct<start int, kind int, end int>>, found array<struct<start int, end int, hash string, live boolean>>")
 
 
 def ownership(values: DataFrame) -> DataFrame:
-    """hash, owners, repositories: in how many distinct owners' texts a value stands, and in how many repositories.
+    """hash, n, owners, repositories: in how many rows a value stands, and over distinct texts, how many distinct owners and
+    repositories hold it. Copies of one text count as one, held by the least of their owners and the least of their repositories.
 
     Repeats are removed before owners are counted, so a value that fills a third of the corpus meets in one row per task.
     A row without owner counts as the owner ''.
     """
-    pairs = values.select("hash", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repository", F.lit("")).alias("repository")).distinct()
-    by_owner = pairs.groupBy("hash", "owner").agg(F.count("*").alias("n"))
-    return by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
+    def named(column: str) -> Column:
+        return F.min(F.coalesce(column, F.lit(""))).alias(column)
+
+    texts = values.groupBy("hash", "text_key").agg(named("owner"), named("repository"), F.count("*").alias("n"))
+    pairs = texts.groupBy("hash", "owner", "repository").agg(F.sum("n").alias("n"))
+    owners = pairs.groupBy("hash", "owner").agg(F.count("*").alias("repositories"), F.sum("n").alias("n"))
+    # A repository that several owners share counts once for each, as each holds it.
+    return owners.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("n"))
 
 
 def listed(spans: Column) -> Column:
@@ -94,44 +105,56 @@ def listed(spans: Column) -> Column:
 
 
 def scan_secrets(
-    df: DataFrame, id_column: str = "doc_id", owner_column: str = "source", repository_column: str = "doc_id", text_column: str = "text", most_live_owners: int = 1, least_example_owners: int = 3, broadcast_rows: int = 500_000
+    df: DataFrame, id_column: str = "doc_id", owner_column: str = "source", repository_column: str = "doc_id", text_column: str = "text", example_owners: int = 3, example_repositories: int = 20
 ) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, n_live, n_example, base (spans), judged (spans) and spans.
-
-    Matches of the patterns are the base. Every value found is counted over the whole corpus: one that at least
-    ``least_example_owners`` owners hold is an ``example``; one that at most ``most_live_owners`` hold and that looks
-    like a credential is ``live``. Both are added as spans of the value. A null or empty text has no spans, a null owner
-    is an owner of its own, repeated rows are kept, and other columns are not read. Offsets are code points.
+    """doc_id, n_assign, n_access, n_hex, base_sha256, n_live, n_example, most_owners, most_repositories, base (spans), judged
+    (spans) and spans.
+
+    Matches of the patterns are the base. Every value found is counted over the whole corpus, copies of a text once: one that at least
+    ``example_owners`` owners or ``example_repositories`` repositories hold is widely copied, an ``example``; any other one that looks
+    like a credential is ``live``. Both are added as spans of the value; most_owners and most_repositories are the largest counts of the
+    row's values, 0 without values. A null or empty text has no spans, a null owner is an owner of its own, repeated rows are kept, and other
+    columns are not read. Offsets are code points.
     """
     rows = durable(candidates(df, id_column, owner_column, repository_column, text_column))
-    values = rows.select("row_id", "owner", "repository", F.explode("found").alias("v")).select("row_id", "owner", "repository", "v.*")
-    verdicts = ownership(values).withColumn("kind", F.when(F.col("owners") >= least_example_owners, KINDS.index("example")).when(F.col("owners") <= most_live_owners, KINDS.index("live")))
-    verdicts = durable(verdicts.where("kind is not null").select("hash", "kind", "owners", "repositories"))
-    known = F.broadcast(verdicts) if verdicts.count() <= broadcast_rows else verdicts
-    judged = values.join(known, "hash").where((F.col("kind") == KINDS.index("example")) | F.col("live"))
-    judged = judged.groupBy("row_id").agg(F.collect_list(F.struct("start", "kind", "end")).alias("judged"))
+    values = rows.select("row_id", "owner", "repository", "text_key", F.explode("found").alias("v")).select("row_id", "owner", "repository", "text_key", "v.*")
+    counts = durable(ownership(values))
+    known = hot_join(values.select("row_id", "hash", "start", "end", "live"), counts, "hash", values.count())
+    example = (F.col("owners") >= example_owners) | (F.col("repositories") >= example_repositories)
+    known = known.withColumn("kind", F.when(example, KINDS.index("example")).when(F.col("live"), KINDS.index("live")))
+    span = F.when(F.col("kind").isNotNull(), F.struct("start", "kind", "end"))
+    judged = known.groupBy("row_id").agg(F.collect_list(span).alias("judged"), F.max("owners").alias("most_owners"), F.max("repositories").alias("most_repositories"))
     none = F.array().cast("array<struct<start int, kind int, end int>>")
     with_values = rows.where(F.size("found") > 0).join(judged, "row_id", "left").withColumn("judged", F.coalesce("judged", none))
-    all_rows = with_values.drop("found").unionByName(rows.where(F.size("found") == 0).drop("found").withColumn("judged", none))
+    without = rows.where(F.size("found") == 0).withColumn("judged", none).withColumns({c: F.lit(0).cast("long") for c in ("most_owners", "most_repositories")})
+    all_rows = with_values.drop("found").unionByName(without.drop("found"))
 
     def count(kind: str) -> Column:
         return F.size(F.filter("judged", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
 
-    return all_rows.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", count("live"), count("example"), "base", "judged", listed(F.concat("base", "judged")).alias("spans"))
+    return all_rows.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", count("live"), count("example"), "most_owners", "most_repositories", "base", "judged", listed(F.concat("base", "judged")).alias("spans"))
 
 
 def redact_live(df: DataFrame, id_column: str = "doc_id", owner_column: str = "source", text_column: str = "text", broadcast_rows: int = 200_000, **options) -> DataFrame:
     """``df`` with each live credential's value replaced by '[secret]'; all rows and columns stay.
 
-    Rows are matched by id and text, so ids may repeat; rows without live values pass through unread.
+    Values that overlap are replaced together, and nothing beside them. Rows are matched by id and text, so ids may repeat; rows
+    without live values, null and empty texts pass through as they are.
     """
     marked = df.withColumn("__row_key", F.xxhash64(F.coalesce(F.col(id_column).cast("long"), F.lit(-1)), whole_text(text_column)))
     spans = scan_secrets(marked, "__row_key", owner_column, id_column, text_column, **options).where("n_live > 0")
     live = F.filter("judged", lambda s: s["kind"] == KINDS.index("live"))
     spans = durable(spans.select(F.col("doc_id").alias("__row_key"), F.array_sort(live).alias("__live")).dropDuplicates(["__row_key"]))
     joined = marked.join(F.broadcast(spans) if spans.count() <= broadcast_rows else spans, "__row_key", "left")
-    # From the last span to the first, so that offsets before it keep their meaning.
-    redacted = F.aggregate(F.reverse("__live"), F.col(text_column), lambda t, s: F.concat(F.substr(t, F.lit(1), s["start"]), F.lit("[secret]"), F.substr(t, s["end"] + 1)))
+    start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
+
+    def replace(state: Column, s: Column) -> Column:
+        before = F.substr(F.col(text_column), state["at"] + 1, s["start"] - state["at"])
+        fresh = F.concat(state["done"], before, F.lit("[secret]"))  # a span that begins within the last one only moves its end
+        done = F.when(s["start"] >= state["at"], fresh).otherwise(state["done"])
+        return F.struct(done.alias("done"), F.greatest(state["at"], s["end"]).alias("at"))
+
+    redacted = F.aggregate("__live", start, replace, lambda state: F.concat(state["done"], F.substr(F.col(text_column), state["at"] + 1)))
     return joined.withColumn(text_column, F.when(F.col("__live").isNotNull(), redacted).otherwise(F.col(text_column))).select(df.columns)
 
 

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from itertools import groupby
 
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm import merges
-from parley.llm.common import Memo, slices, table, vocabulary_path, whole_text
+from parley.llm.common import Memo, map_arrow, slices, table, vocabulary_path, whole_text
 
 #: Characters of a chunk; longer texts are cut, and their chunks are counted in different tasks.
 CHUNK = 65_536
@@ -96,7 +96,7 @@ class Counter:
         self.vocabulary = merges.load(path)
         self.transducer = Transducer(self.vocabulary)
         self.pieces = Memo(self.transducer.count)
-        self.words = Memo(self._word, 600_000)
+        self.words = Memo(self._word)
 
     def _word(self, word: str) -> int:
         total, specials = 0, 0
@@ -123,6 +123,13 @@ class Counter:
         for memo in (self.words, self.pieces, self.transducer, self.vocabulary):
             memo.trim()
 
+    def clear(self) -> None:
+        """Forget what was memorised, also in the vocabulary, which other counters of the process share."""
+        self.words.clear()
+        self.pieces.clear()
+        self.transducer.reset()
+        self.vocabulary.beside.clear()
+
     def chunk_map(self, chunk: str) -> tuple[str, int, str | None]:
         """What a chunk does to whichever state the transducer is in when it begins.
 
@@ -174,6 +181,7 @@ def token_counts(df: DataFrame, path: str, id_column: str = "doc_id", text_colum
             texts = batch.column("text").to_pylist()
             yield table(short_schema, batch.column("doc_id"), batch.column("n_bytes"), [counter.text(x) for x in texts])
             counter.trim()
+        counter.clear()
 
     def map_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(path)
@@ -181,40 +189,27 @@ def token_counts(df: DataFrame, path: str, id_column: str = "doc_id", text_colum
             head, count, tail = zip(*map(counter.chunk_map, batch.column("text").to_pylist()), strict=True)
             yield table(map_schema, *(batch.column(c) for c in ("row_id", "doc_id", "at", "n_bytes")), head, count, tail)
             counter.trim()
+        counter.clear()
 
-    def fold(chunks: pd.DataFrame) -> pd.DataFrame:
-        chunks = chunks.sort_values("at")
-        maps = [(h, c, None if t is None or t != t else t) for h, c, t in zip(chunks["head"], chunks["count"], chunks["tail"])]
-        first = chunks["doc_id"].iloc[0]
-        return pd.DataFrame({"doc_id": [None if pd.isna(first) else int(first)], "n_bytes": [int(chunks["n_bytes"].iloc[0])], "n_tokens": [_counter(path).scan(maps)]})
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter(path)
+        chunks = (x for batch in batches for x in zip(*(batch.column(c).to_pylist() for c in ("row_id", "doc_id", "n_bytes", "head", "count", "tail"))))
+        for _, group in groupby(chunks, key=lambda x: x[0]):
+            maps = [*group]
+            yield table(short_schema, [maps[0][1]], [maps[0][2]], [counter.scan([x[3:] for x in maps])])
+            counter.trim()
+        counter.clear()
 
-    short = (
-        rows.where(F.length("text") <= chunk)
-        .select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
-        .mapInArrow(count_short, "doc_id long, n_bytes long, n_tokens long")
-    )
-    long = (
-        rows.where(F.length("text") > chunk)
-        .select("row_id", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chunk}}}"), 0)).alias("at", "text"))
-        .withColumn("at", F.col("at").cast("long"))
-        .repartition("row_id", "at")
-        .mapInArrow(map_chunks, "row_id long, doc_id long, at long, n_bytes long, head string, count long, tail string")
-        .groupBy("row_id")
-        .applyInPandas(fold, "doc_id long, n_bytes long, n_tokens long")
+    counted = "doc_id long, n_bytes long, n_tokens long"
+    short = map_arrow(rows.where(F.length("text") <= chunk).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text"), count_short, counted)
+    cut = rows.where(F.length("text") > chunk).select(
+        "row_id", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chunk}}}"), 0)).alias("at", "text")
     )
+    cut = cut.withColumn("at", F.col("at").cast("long")).repartition("row_id", "at")
+    maps = map_arrow(cut, map_chunks, "row_id long, doc_id long, at long, n_bytes long, head string, count long, tail string")
+    long = map_arrow(maps.repartition("row_id").sortWithinPartitions("row_id", "at"), fold, counted)
     return short.unionByName(long).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
-_counters: dict[str, Counter] = {}
-
-
-def _counter(path: str) -> Counter:
-    """The counter of a worker process; groups of chunks are many and small."""
-    if path not in _counters:
-        _counters[path] = Counter(path)
-    _counters[path].trim()
-    return _counters[path]
-
-
 def op1_token_counts(spark, sf_dir: str) -> DataFrame:
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary_path("word_bpe_49k.json"))

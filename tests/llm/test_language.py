@@ -51,7 +51,7 @@ def test_switched_text(spark):
     texts = {r["lang"]: r["t"].split() for r in docs.where(held & F.col("lang").isNotNull()).groupBy("lang").agg(F.max_by("text", F.length("text")).alias("t")).collect()}
     pairs_of = list(itertools.permutations(sorted(texts), 2))
     mixed = [" ".join(texts[a][5:20] + texts[b][5:20]) for a, b in pairs_of]
-    df = spark.createDataFrame([(k, t) for k, t in enumerate(mixed)] + [(90, "123"), (91, None)], "doc_id long, text string")
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(mixed)] + [(90, "123"), (91, None), (92, "\u0301\u0300 \u0308")], "doc_id long, text string")
     right = total = 0
     for r in l.label_words(df, model).collect():
         a, b = pairs_of[r["doc_id"]]

@@ -35,7 +35,7 @@ def test_base_spans(spark, docs, odd):
 
 def test_ownership(spark):
     live, shared = "Zx9Kq2Lm8Pw4Rt7v", "Qw3Er5Ty7Ui9Op1a"
-    rows = [(1, f"password = {live}", "a"), (2, f"token: '{live}' again", "a"), (3, f"secret={shared}", "a"), (4, f"secret={shared}", "b"), (5, f"secret={shared}", "c"), (6, "password=changeme12345", "a"), (7, f"token = {shared} 😀 passwd = {live}", "a")]
+    rows = [(1, f"password = {live}", "a"), (2, f"token: '{live}' again", "a"), (3, f"secret={shared}", "a"), (4, f"secret={shared} in b", "b"), (5, f"secret={shared} in c", "c"), (6, "password=changeme12345", "a"), (7, f"token = {shared} 😀 passwd = {live}", "a")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r["doc_id"]: r for r in s.scan_secrets(df).collect()}
     assert [got[k]["n_live"] for k in range(1, 8)] == [1, 1, 0, 0, 0, 0, 1]
@@ -45,17 +45,55 @@ def test_ownership(spark):
     assert clean[1] == "password = [secret]" and clean[7] == f"token = {shared} 😀 passwd = [secret]" and clean[3] == f"secret={shared}"
 
 
+def verdicts(rows):
+    """By doc_id: live values, example values, most owners and most repositories; rows: (doc_id, text, source)."""
+    texts = {}
+    for i, text, owner in rows:
+        held = texts.setdefault(text or "", [owner or "", str(i)])
+        held[0], held[1] = min(held[0], owner or ""), min(held[1], str(i))
+    holders = {}
+    for text, held in texts.items():
+        for *_, c, d in s.find(text):
+            holders.setdefault(text[c:d], set()).add(tuple(held))
+    owners = {v: len({o for o, _ in h}) for v, h in holders.items()}
+    kind = {v: "example" if owners[v] >= 3 or len(h) >= 20 else "live" if s.looks_live(v) else "" for v, h in holders.items()}
+    want = {}
+    for i, text, _ in rows:
+        own = [(text or "")[c:d] for c, d in {(c, d) for *_, c, d in s.find(text or "")}]
+        want[i] = (sum(kind[v] == "live" for v in own), sum(kind[v] == "example" for v in own), max((owners[v] for v in own), default=0), max((len(holders[v]) for v in own), default=0))
+    return want
+
+
 def test_verdicts_are_plain_counts(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    owners = {}
-    for r in df.collect():
-        for _, a, b, c, d in s.find(r["text"] or ""):
-            owners.setdefault(r["text"][c:d], set()).add(r["source"] or "")
-    want = {}
-    for r in df.collect():
-        values = {(c, d): r["text"][c:d] for *_, c, d in s.find(r["text"] or "")}
-        want[r["doc_id"]] = (sum(len(owners[v]) <= 1 and s.looks_live(v) for v in values.values()), sum(len(owners[v]) >= 3 for v in values.values()))
-    assert {r["doc_id"]: (r["n_live"], r["n_example"]) for r in s.scan_secrets(df).collect()} == want
+    copied = [(k, f"number {k} password = Zx9Kq2Lm8Pw4", "one owner") for k in range(30)]  # one owner's value in thirty repositories
+    twice = [(100 + k, f"{k} token: a1b2c3", f"owner {k}") for k in range(2)] + [(200 + k, "secret=Qp7Rt5Xc3Vb1 in one text", f"owner {k}") for k in range(5)]
+    for rows in ([(r["doc_id"], r["text"], r["source"]) for r in df.collect()], copied + twice):
+        found = s.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+        assert {r["doc_id"]: (r["n_live"], r["n_example"], r["most_owners"], r["most_repositories"]) for r in found} == verdicts(rows)
+    want = verdicts(copied + twice)
+    assert want[0] == (0, 1, 1, 30) and want[100] == (1, 0, 2, 2) and want[200] == (1, 0, 1, 1)
+
+
+def test_redaction_keeps_all_else(spark):
+    hexes = "9f3ac07be18d4526a9c0b71e"
+    rows = [
+        (1, f"token = sk-{hexes} and the rest stays 😀", "a"),
+        (1, f"another text with that id: {hexes}", "a"),
+        (None, f"secret: {hexes}Z1 then password=hunter42 end", "a"),
+        (2, None, "a"),
+        (3, "", None),
+        (4, f"password={hexes}", "b"),
+    ]
+    clean = s.redact_live(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert counted(tuple(r) for r in clean) == counted([
+        (1, "token = [secret] and the rest stays 😀", "a"),
+        (1, "another text with that id: [secret]", "a"),
+        (None, "secret: [secret] then password=[secret] end", "a"),
+        (2, None, "a"),
+        (3, "", None),
+        (4, "password=[secret]", "b"),
+    ])
 
 
 def test_odd_input(odd, empty):
