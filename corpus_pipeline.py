@@ -12,10 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import durable, shared_folder
-from parley.llm.jaccard_join import jaccard_groups
+from parley.llm.common import shared_folder, vocabulary_path
+from parley.llm.jaccard_join import one_of_each_group
 from parley.llm.language_id import predict_languages, train
-from parley.llm.packing import pack, text_length
+from parley.llm.packing import pack_texts
 from parley.llm.secrets import redact_live
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -38,29 +38,29 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts linked at a similarity of 0.8 over five-word shingles stays: that of least id."""
-    groups = jaccard_groups(docs, percent=80, width=5)
-    kept = durable(groups.where("doc_id = component_id").select("doc_id").distinct())
-    few = kept.count() <= 2_000_000
-    chosen = docs.join(F.broadcast(kept) if few else kept, "doc_id", "left_semi")
-    rest = docs.where(F.col("doc_id").isNull())  # without an id nothing can be chosen, so nothing is dropped
-    return chosen.select(*COLUMNS).dropDuplicates(["doc_id"]).union(rest.select(*COLUMNS)) if _repeats(docs) else chosen.select(*COLUMNS).union(rest.select(*COLUMNS))
+    """One document of each group of texts linked at a similarity of 0.8 over five-word shingles stays: that of least id.
 
-
-def _repeats(docs: DataFrame) -> bool:
-    ids = docs.select("doc_id").where("doc_id is not null")
-    return ids.count() > ids.distinct().count()
+    Rows without an id are chosen last, texts without words all stay, and of rows equal in id and text one stays. Two texts
+    that do not link both stay, whatever their ids.
+    """
+    return one_of_each_group(docs.select(*COLUMNS), percent=80, width=5)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; the value of each live-looking credential is replaced in the text."""
+    """All documents stay; the value of each live-looking credential is replaced in the text, and n_chars counts anew.
+
+    Null and empty texts, repeated rows and rows without id stay as they are.
+    """
     clean = redact_live(docs.select(*COLUMNS))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's pieces with their places in training sequences."""
-    return pack(docs, text_length())
+    """Every document's pieces, with their texts, exact token counts and places in training sequences.
+
+    Null and empty texts are one piece, an end token; repeated rows and rows without id are packed like others.
+    """
+    return pack_texts(docs, vocabulary_path("word_bpe_49k.json"), keep=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -75,9 +75,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each written to the shared folder and read again; an empty table passes through them.
+
+    A stage's folder is removed when the next one has been written; the last one is the result.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        stage(spark, docs, sf_dir).write.parquet(at := f"{folder}/{k}-{name}")
+        if before is not None:
+            path = spark._jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        docs, before = spark.read.parquet(at), at
     return docs
