@@ -1,17 +1,19 @@
-"""Language-model scores by a backoff model over words: all n-grams up to three that occur at least LEAST times.
+"""Language-model scores by a weighted backoff automaton over words, of all pairs and triples that occur at least LEAST times.
 
-With discounts and backoff weights, the log probability of a text is a sum of one value for each of its words, pairs and
-triples; those that were not kept add nothing. The values are a table by key: its frequent part is sent to every task, the rest
-is joined. ``Automaton`` is the same model over frequent n-grams alone, as states and arcs; tests walk it.
+States are the contexts of two words, of one and of none; an arc reads a word, a failure arc drops a context's first word. Texts
+are kept in blocks as numbered tokens. A block sends its distinct n-grams, packed by the hash of their context, to where all blocks'
+counts meet, and gets the counts back; so each block holds the arcs that its texts can take, and walks them from left to right.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,308 +22,345 @@ from parley.llm.common import Memo, crc_bucket, durable, map_arrow, mixed, raw_t
 #: Hash of the token that ends each text; words' hashes that equal it are moved by one.
 END = 1
 
-#: Least share of the training tokens at which a word's values, and at which a longer n-gram's, are sent to every task. At
-#: most 1 / share n-grams of an order can reach it, so what is broadcast has a bound for any corpus. The rest is joined.
-WORD_SHARE, ARC_SHARE = 1e-6, 1e-5
+#: Least share of the training tokens at which a word gets a short number, which every task is told; at most 1 / share words can reach
+#: it. Other words go by their hash. It makes no difference to any score.
+WORD_SHARE = 1e-6
 
-#: Least count of pairs and triples in the model, whatever the size of the corpus.
-LEAST = 2
+#: Least count of pairs and triples in the model, whatever the size of the corpus, and the discount of their counts.
+LEAST, DISCOUNT = 2, 0.75
 
-#: Absolute discount of the counts of longer n-grams.
-DISCOUNT = 0.75
+#: Bytes of text in a block, and tokens whose n-grams meet in one place.
+BLOCK, MEETING = 8 << 20, 1_500_000
 
+#: What marks a word without a short number: in its 64-bit code, and in the 32 bits of a packed one.
+RARE, PACKED_RARE = 1 << 63, 1 << 31
 
-def _token_memo() -> Memo:
-    plain = word_memo().make
-    return Memo(lambda w: h if (h := plain(w)) != END else END + 1)
 
+# ---------------------------------------------------------------- packed arrays
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """(word, n): exact counts of all words and ends in a column ``text``. Batches are counted before the exchange."""
-    schema = pa.schema([("word", pa.int64()), ("n", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _token_memo()
-        for batch in slices(batches, "text"):
-            found = [np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)) for words in map(words_of, raw_texts(batch.column("text")))]
-            words, counts = np.unique(np.concatenate([np.full(len(found), END, np.uint64), *found]), return_counts=True)
-            yield table(schema, signed(words), counts)
-            memo.trim()
+def squeeze(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers, byte plane by byte plane, compressed."""
+    head = struct.pack(f"<I{'BI' * len(arrays)}", len(arrays), *(x for a in arrays for x in (a.itemsize, len(a))))
+    planes = [np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(planes))
 
-    return map_arrow(texts, run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+def unsqueeze(data: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    count = struct.unpack_from("<I", raw)[0]
+    fields = struct.unpack_from(f"<{'BI' * count}", raw, 4)
+    at, found = 4 + 5 * count, []
+    for size, length in zip(fields[::2], fields[1::2]):
+        planes = np.frombuffer(raw, np.uint8, size * length, at).reshape(size, length)
+        found.append(np.ascontiguousarray(planes.T).view(f"<u{size}").reshape(-1))
+        at += size * length
+    return found
 
-class Ids:
-    """Numbers of frequent words; any other word is minus its hash, minus one."""
 
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = hashes  # sorted
-        plain = _token_memo().make
-        self.memo = Memo(lambda w: self.of(plain(w)))
-        self.end = self.of(END)
+# ---------------------------------------------------------------- blocks
 
-    def of(self, word: int) -> int:
-        k = int(np.searchsorted(self.hashes, np.uint64(word)))
-        return k if k < len(self.hashes) and int(self.hashes[k]) == word else -word - 1
 
-    def text(self, raw: bytes) -> list[int]:
-        return [*map(self.memo.__getitem__, words_of(raw)), self.end]
+def _token_memo() -> Memo:
+    plain = word_memo().make
+    return Memo(lambda w: h if (h := plain(w)) != END else END + 1)
 
 
-def count_longer(texts: DataFrame, hashes: np.ndarray, contexts: np.ndarray, order: int) -> DataFrame:
-    """(context, word, n) for n-grams of ``order`` whose words are frequent and whose first and last ``order`` - 1 words are
-    known contexts; no other n-gram can be frequent. ``contexts``: sorted keys of order - 1.
-    """
-    sent = texts.sparkSession.sparkContext.broadcast((hashes, contexts))
-    schema = pa.schema([("context", pa.int64()), ("word", pa.int64()), ("n", pa.int64())])
+def block_texts(rows: DataFrame, most_bytes: int = BLOCK) -> DataFrame:
+    """(block, payload) of rows (row_id, doc_id, held_out, text): the texts as numbered words with an end each, and what else the
+    result needs. Numbers are places in the block's sorted list of word hashes."""
+    schema = pa.schema([("block", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, contexts = sent.value
         memo = _token_memo()
-        for batch in slices(batches, "text"):
-            keys = []
+        for batch in slices(batches, "text", most_bytes):
+            found = []
             for raw in raw_texts(batch.column("text")):
                 words = words_of(raw)
-                found = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-                found = np.append(found, np.uint64(END))
-                ids = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1).astype(np.int64)
-                known = hashes[ids] == found
-                grams, good = ids, known
-                if order == 3:
-                    pairs = ids[:-1] << 20 | ids[1:]
-                    at = np.minimum(np.searchsorted(contexts, pairs), max(0, len(contexts) - 1))
-                    grams, good = at, known[:-1] & known[1:] & (contexts[at] == pairs)
-                both = good[:-1] & good[1:] if len(good) > 1 else np.zeros(0, bool)
-                keys.append((grams[:-1] << 20 | ids[order - 1 :])[both])
+                found.append(np.append(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)), np.uint64(END)))
             memo.trim()
-            grams, counts = np.unique(np.concatenate(keys), return_counts=True)
-            yield table(schema, grams >> 20, grams & 0xFFFFF, counts)
+            if not found:
+                continue
+            words, tokens = np.unique(np.concatenate(found), return_inverse=True)
+            ids = batch.column("doc_id")
+            numbers = np.array(ids.fill_null(0).to_pylist(), np.int64).view(np.uint64)
+            flags = np.array(ids.is_null().to_pylist(), np.uint8) | np.array(batch.column("held_out").to_pylist(), np.uint8) << 1
+            payload = squeeze(words, tokens.astype(np.uint32), np.array([len(x) for x in found], np.uint32), numbers, flags)
+            yield table(schema, [batch.column("row_id")[0].as_py()], [payload])
+
+    return map_arrow(rows, run, "block long, payload binary")
+
+
+class Block:
+    """A block's tokens, and its distinct pairs and triples, in the order of the places where they meet."""
+
+    def __init__(self, payload: bytes):
+        self.words, tokens, self.lengths, self.ids, self.flags = unsqueeze(payload)
+        self.tokens = tokens.astype(np.int64)
+        self.training = np.repeat((self.flags & 2) == 0, self.lengths)
+
+    def counts(self) -> np.ndarray:
+        """How often each word occurs in training texts."""
+        return np.bincount(self.tokens[self.training], minlength=len(self.words))
+
+    def grams(self, meetings: int) -> None:
+        """Sets pairs (first, second) and triples (pair, third) with their places; of each position the pair and the triple that end there, or -1."""
+        t, v = self.tokens, len(self.words)
+        end = int(np.searchsorted(self.words, np.uint64(END)))
+        at = np.flatnonzero(t[:-1] != end)  # a text's last token begins nothing
+        pairs, of_pair = np.unique(t[at] * v + t[at + 1], return_inverse=True)
+        first, second = pairs // v, pairs % v
+        place = (pair_hash(self.words[first], self.words[second]) % np.uint64(meetings)).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        moved = np.empty(len(order), np.int64)
+        moved[order] = np.arange(len(order))
+        self.first, self.second, self.place = first[order], second[order], place[order]
+        self.pair_ending = np.full(len(t), -1)
+        self.pair_ending[at + 1] = moved[of_pair]
+        at = at[t[at + 1] != end]
+        triples, of_triple = np.unique(self.pair_ending[at + 1] * v + t[at + 2], return_inverse=True)
+        self.context, self.third = triples // v, triples % v
+        self.triple_ending = np.full(len(t), -1)
+        self.triple_ending[at + 2] = of_triple
+
+    def training_counts(self, ending: np.ndarray, size: int) -> np.ndarray:
+        return np.bincount(ending[(ending >= 0) & self.training], minlength=size)
+
+
+def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mixed(mixed(a, 11) + b, 12)
 
-    return map_arrow(texts, run, "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n"))
 
+def coded(words: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """64-bit codes of word hashes: the place among the frequent ones, or the hash with RARE set."""
+    at = np.minimum(np.searchsorted(frequent, words), max(0, len(frequent) - 1))
+    known = frequent[at] == words if len(frequent) else np.zeros(len(words), bool)
+    return np.where(known, at.astype(np.uint64), words | np.uint64(RARE))
 
-class Automaton:
-    """States are contexts of two, one or no words; arcs consume a word, failure arcs drop a context's first word.
 
-    State 0 is the empty context. An arc's weight is a log10 probability, a failure arc's the log10 backoff weight. With both
-    discounts redistributed through the failure arcs, each state's probabilities sum to one over all words.
+def meeting_rows(blocks: DataFrame, frequent, meetings: int) -> DataFrame:
+    """(meeting, block, payload): each block's distinct n-grams by meeting place, with their counts in training texts."""
+    schema = pa.schema([("meeting", pa.int32()), ("block", pa.int64()), ("payload", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, payload in zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist()):
+                block = Block(payload)
+                block.grams(meetings)
+                codes = coded(block.words, frequent.value)
+                n2 = block.training_counts(block.pair_ending, len(block.first)).astype(np.uint32)
+                n3 = block.training_counts(block.triple_ending, len(block.context)).astype(np.uint32)
+                followers = np.bincount(block.context, minlength=len(block.first)).astype(np.uint32)
+                borders = np.searchsorted(block.place, np.arange(meetings + 1))
+                borders3 = np.searchsorted(block.context, borders)
+                out = []
+                for k in np.flatnonzero(np.diff(borders)).tolist():
+                    own, own3 = slice(borders[k], borders[k + 1]), slice(borders3[k], borders3[k + 1])
+                    parts = [codes[x] for x in (block.first[own], block.second[own], block.third[own3])]
+                    rare = np.unique(np.concatenate([x[x >= RARE] for x in parts]))
+                    first, second, third = (np.where(x < RARE, x, PACKED_RARE + np.searchsorted(rare, x).astype(np.uint64)).astype(np.uint32) for x in parts)
+                    out.append((k, number, squeeze(rare, np.diff(first, prepend=np.uint32(0)), second, n2[own], followers[own], third, n3[own3])))
+                if out:
+                    yield table(schema, *zip(*out))
+
+    return map_arrow(blocks, run, "meeting int, block long, payload binary")
+
+
+# ---------------------------------------------------------------- where counts meet
+
+
+def meet(rows: list[tuple[int, bytes]], least: int = LEAST) -> tuple[list[tuple[int, bytes]], bytes]:
+    """Answers to the blocks' rows of one meeting place, and what the contexts of one word have here.
+
+    An answer gives for each pair its count, and as a context the sum and the number of its kept triples; for each triple its count. What
+    is not kept has count 0.
     """
+    firsts, seconds, thirds, n2s, n3s, followed = [], [], [], [], [], []
+    for _, payload in rows:
+        rare, first, second, n2, followers, third, n3 = unsqueeze(payload)
+        for codes, into in ((np.cumsum(first, dtype=np.uint32), firsts), (second, seconds), (third, thirds)):
+            wide = codes.astype(np.uint64)
+            marked = codes >= PACKED_RARE
+            wide[marked] = rare[codes[marked] - np.uint32(PACKED_RARE)]
+            into.append(wide)
+        n2s.append(n2)
+        n3s.append(n3)
+        followed.append(followers)
+    sizes, sizes3 = [len(x) for x in firsts], [len(x) for x in thirds]
+    first, second, third, n2, n3, followers = map(np.concatenate, (firsts, seconds, thirds, n2s, n3s, followed))
+    plain = (first < RARE) & (second < RARE)
+    keys = np.where(plain, first << np.uint64(20) | second, pair_hash(first, second) | np.uint64(RARE))
+    pairs, at, pair = np.unique(keys, return_index=True, return_inverse=True)
+    c2 = np.bincount(pair, n2).astype(np.int64)
+    c2[c2 < least] = 0
+    context = np.repeat(pair, followers)
+    keys = np.where(third < RARE, context.astype(np.uint64) << np.uint64(20) | third, pair_hash(context.astype(np.uint64), third) | np.uint64(RARE))
+    triples, at3, triple = np.unique(keys, return_index=True, return_inverse=True)
+    c3 = np.bincount(triple, n3, len(triples)).astype(np.int64)
+    c3[c3 < least] = 0
+    owner = context[at3]
+    sum2 = np.bincount(owner, c3, len(pairs)).astype(np.int64)
+    kept2 = np.bincount(owner, c3 > 0, len(pairs)).astype(np.int64)
+    words, word = np.unique(first[at], return_inverse=True)
+    below = squeeze(words, np.bincount(word, c2).astype(np.uint64), np.bincount(word, c2 > 0).astype(np.uint64))
+    found, a, b = [], 0, 0
+    for (number, _), size, size3 in zip(rows, sizes, sizes3):
+        own, own3 = pair[a : a + size], triple[b : b + size3]
+        found.append((number, squeeze(*(x[own].astype(np.uint64) for x in (c2, sum2, kept2)), c3[own3].astype(np.uint64))))
+        a, b = a + size, b + size3
+    return found, below
+
+
+def answers(rows: DataFrame) -> DataFrame:
+    """(block, meeting, payload) for each row of ``meeting_rows``, and rows without block: a meeting place's sums for contexts of one word."""
+    schema = pa.schema([("block", pa.int64()), ("meeting", pa.int32()), ("payload", pa.binary())])
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, tokens: int, distinct: int, pairs: pd.DataFrame, triples: pd.DataFrame):
-        self.hashes, self.tokens = hashes, tokens
-        self.whole = tokens + distinct + 1
-        unigram = (counts + 1) / self.whole
-        self.root = np.log10(unigram)
-        pairs, triples = pairs.sort_values(["context", "word"]), triples.sort_values(["context", "word"])
-        first, second = pairs["context"].to_numpy(np.int64), pairs["word"].to_numpy(np.int64)
-        pair_keys = first << 20 | second
-        words = np.unique(first)  # contexts of one word
-        longer = np.unique(triples["context"].to_numpy(np.int64))  # positions in pair_keys
-        self.state_of_word = dict(zip(words.tolist(), range(1, 1 + len(words))))
-        self.state_of_pair = dict(zip(pair_keys[longer].tolist(), range(1 + len(words), 1 + len(words) + len(longer))))
-        size = 1 + len(words) + len(longer)
-        self.back, self.fail = np.zeros(size), np.zeros(size, np.int64)
-        # Arcs of the one-word contexts.
-        p = (pairs["n"].to_numpy(float) - DISCOUNT) / counts[first]
-        state = 1 + np.searchsorted(words, first)
-        taken = np.bincount(state, p, size)
-        lower = np.bincount(state, unigram[second], size)
-        self.back[1 : 1 + len(words)] = np.log10(np.maximum(1 - taken, 1e-12) / np.maximum(1 - lower, 1e-12))[1 : 1 + len(words)]
-        # Arcs of the two-word contexts; they fail to the context of their second word.
-        context, third = triples["context"].to_numpy(np.int64), triples["word"].to_numpy(np.int64)
-        p3 = (triples["n"].to_numpy(float) - DISCOUNT) / pairs["n"].to_numpy(float)[context] if len(triples) else np.zeros(0)
-        ends = second[longer]
-        falls = np.array([self.state_of_word.get(w, 0) for w in ends.tolist()], np.int64)
-        self.fail[1 + len(words) :] = falls
-        state3 = 1 + len(words) + np.searchsorted(longer, context)
-        step = second[context] << 20 | third if len(triples) else np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(pair_keys, step), max(0, len(pair_keys) - 1))
-        seen = pair_keys[at] == step if len(pair_keys) else np.zeros(len(step), bool)
-        below = np.where(seen, p[at] if len(p) else 0, 10 ** self.back[self.fail[state3]] * unigram[third]) if len(step) else np.zeros(0)
-        taken3, lower3 = np.bincount(state3, p3, size), np.bincount(state3, below, size)
-        self.back[1 + len(words) :] = np.log10(np.maximum(1 - taken3, 1e-12) / np.maximum(1 - lower3, 1e-12))[1 + len(words) :]
-        goals = [self.state_of_pair.get(k) or self.state_of_word.get(w, 0) for k, w in zip(pair_keys.tolist(), second.tolist())]
-        self.arcs = dict(zip((state << 20 | second).tolist(), zip(goals, np.log10(p).tolist())))
-        goals3 = [self.state_of_pair.get(k) or self.state_of_word.get(w, 0) for k, w in zip(step.tolist(), third.tolist())]
-        self.arcs |= dict(zip((state3 << 20 | third).tolist(), zip(goals3, np.log10(p3).tolist())))
-
-    def traverse(self, ids: list[int], root: list[float], back: list[float], fail: list[int]) -> tuple[float, float]:
-        """Log probability of the tokens by this automaton and by the root alone, without the root's weights of words that
-        have no number (they are minus values in ``ids``); those are added where exact counts are joined."""
-        arcs, words = self.arcs, self.state_of_word
-        state, total, base = 0, 0.0, 0.0
-        for word in ids:
-            if word < 0:
-                while state:
-                    total += back[state]
-                    state = fail[state]
-                continue
-            weight = root[word]
-            base += weight
-            while True:
-                if state == 0:
-                    total += weight
-                    state = words.get(word, 0)
-                    break
-                arc = arcs.get(state << 20 | word)
-                if arc is not None:
-                    state, weight = arc
-                    total += weight
-                    break
-                total += back[state]
-                state = fail[state]
-        return total, base
-
-
-def train(texts: DataFrame, word_share: float = WORD_SHARE, arc_share: float = ARC_SHARE) -> tuple[DataFrame, Automaton]:
-    """All word counts as a table, and the automaton of frequent n-grams up to three words, from a column ``text``."""
-    counted = durable(count_words(texts))
-    tokens, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    frequent = counted.where(F.col("n") >= max(1, word_share * tokens)).toPandas()
-    hashes = frequent["word"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    hashes, counts = hashes[order], frequent["n"].to_numpy(np.int64)[order]
-    least = max(2, arc_share * tokens)
-    empty = pd.DataFrame({"context": np.zeros(0, np.int64), "word": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
-    pairs = triples = empty
-    if len(hashes):
-        often = np.flatnonzero(counts >= least)
-        if len(often):
-            pairs = count_longer(texts, hashes[often], np.zeros(0, np.int64), 2).where(F.col("n") >= least).toPandas()
-            pairs = pairs.sort_values(["context", "word"], ignore_index=True)
-        if len(pairs):
-            keys = (pairs["context"].to_numpy(np.int64) << 20) | pairs["word"].to_numpy(np.int64)
-            triples = count_longer(texts, hashes[often], keys, 3).where(F.col("n") >= least).toPandas()
-            triples["word"] = often[triples["word"].to_numpy(np.int64)]
-            pairs["context"], pairs["word"] = (often[pairs[c].to_numpy(np.int64)] for c in ("context", "word"))
-    return counted, Automaton(hashes, counts, tokens, distinct, pairs, triples)
-
-
-def gram_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit keys of the pairs and the triples in a row of words."""
-    with np.errstate(over="ignore"):
-        pairs = mixed(mixed(words[:-1], 11) + words[1:], 12)
-        return pairs, mixed(mixed(pairs[:-1], 13) + words[2:], 14)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = (x for batch in batches for x in zip(*(batch.column(c).to_pylist() for c in ("meeting", "block", "payload"))))
+        for place, group in groupby(every, key=lambda x: x[0]):
+            found, below = meet([x[1:] for x in group])
+            for number, payload in [*found, (None, below)]:
+                yield table(schema, [number], [place], [payload])
 
+    return map_arrow(rows.repartition("meeting").sortWithinPartitions("meeting"), run, "block long, meeting int, payload binary")
 
-def hashed(raw: bytes, memo: Memo) -> np.ndarray:
-    words = words_of(raw)
-    return np.append(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)), np.uint64(END))
 
+# ---------------------------------------------------------------- words
 
-def count_grams(texts: DataFrame, least: int = LEAST) -> DataFrame:
-    """(key, context, lower, triple, n) of the pairs and triples that occur at least ``least`` times in a column ``text``.
 
-    ``context`` is the key of an n-gram without its last word, ``lower`` without its first. Batches are counted before the exchange.
-    """
-    schema = pa.schema([("key", pa.int64()), ("context", pa.int64()), ("lower", pa.int64()), ("triple", pa.bool_()), ("n", pa.int64())])
+def word_counts(blocks: DataFrame) -> DataFrame:
+    """(word, n): exact counts of all words and ends in training texts; words of other texts alone have none."""
+    schema = pa.schema([("word", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _token_memo()
-        for batch in slices(batches, "text"):
-            twos, threes = [], []
-            for raw in raw_texts(batch.column("text")):
-                words = hashed(raw, memo)
-                pairs, triples = gram_keys(words)
-                twos.append((pairs, words[:-1], words[1:]))
-                threes.append((triples, pairs[:-1], pairs[1:]))
-            memo.trim()
-            for triple, parts in enumerate((twos, threes)):
-                key, context, lower = map(np.concatenate, zip(*parts))
-                key, at, n = np.unique(key, return_index=True, return_counts=True)
-                yield table(schema, signed(key), signed(context[at]), signed(lower[at]), np.full(len(key), bool(triple)), n)
+        for batch in batches:
+            for payload in batch.column("payload").to_pylist():
+                block = Block(payload)
+                n = block.counts()
+                yield table(schema, signed(block.words[n > 0]), n[n > 0])
 
-    rows = map_arrow(texts, run, "key long, context long, lower long, triple boolean, n long")
-    sums = rows.groupBy("key").agg(F.min("context").alias("context"), F.min("lower").alias("lower"), F.max("triple").alias("triple"), F.sum("n").alias("n"))
-    return sums.where(F.col("n") >= least)
+    return map_arrow(blocks, run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def weights(grams: DataFrame, lower: DataFrame, context: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of n-grams of one order, given (lower, below) with the probability without the first word and (context, of) with the
-    context's count: (key, n, p, delta), and (key, back) of their contexts. delta is what log p exceeds the backed-off one by."""
-    p = grams.join(lower, "lower").join(context, "context").withColumn("p", (F.col("n") - DISCOUNT) / F.col("of"))
-    left = [F.greatest(1 - F.sum(c), F.lit(1e-12)) for c in ("p", "below")]
-    back = durable(p.groupBy("context").agg(F.log10(left[0] / left[1]).alias("back")))
-    delta = F.log10("p") - F.col("back") - F.log10("below")
-    return durable(p.join(back, "context").select("key", "n", "p", delta.alias("delta"))), back.withColumnRenamed("context", "key")
+def context_sums(answered: DataFrame) -> DataFrame:
+    """(code, total, kept): of each word as a context, the sum and the number of its kept pairs."""
+    schema = pa.schema([("code", pa.int64()), ("total", pa.int64()), ("kept", pa.int64())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload in batch.column("payload").to_pylist():
+                yield table(schema, *(signed(x) for x in unsqueeze(payload)))
 
-def values(texts: DataFrame, least: int = LEAST) -> tuple[DataFrame, int, int]:
-    """(key, is_word, n, base, value) of all words and of the pairs and triples kept; the numbers of tokens and of distinct words.
+    return map_arrow(answered.where("block is null").select("payload"), run, "code long, total long, kept long").groupBy("code").agg(F.sum("total").alias("total"), F.sum("kept").alias("kept"))
 
-    ``base`` is a word's log10 probability alone, ``value`` what it adds to a text's. Every pair within a triple that is
-    kept has been kept too, as it occurs at least as often.
-    """
-    counted = durable(count_words(texts))
-    tokens, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    words = counted.select(F.col("word").alias("key"), "n", ((F.col("n") + 1) / F.lit(float(tokens + distinct + 1))).alias("p"))
-    grams = durable(count_grams(texts, least))
 
-    def below(of: DataFrame) -> tuple[DataFrame, DataFrame]:
-        return of.select(F.col("key").alias("lower"), F.col("p").alias("below")), of.select(F.col("key").alias("context"), F.col("n").alias("of"))
+def rare_words(blocks: DataFrame, frequent) -> DataFrame:
+    """(block, code) for the words of each block that have no short number."""
+    schema = pa.schema([("block", pa.int64()), ("code", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, payload in zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist()):
+                codes = coded(unsqueeze(payload)[0], frequent.value)
+                codes = codes[codes >= RARE]
+                yield table(schema, np.full(len(codes), number), signed(codes))
 
-    pairs, back1 = weights(grams.where("not triple"), *below(words))
-    triples, back2 = weights(grams.where("triple"), *below(pairs))
-    back = F.coalesce("back", F.lit(0.0))
-    base = F.log10("p")
-    first = words.join(back1, "key", "left").select("key", F.lit(True).alias("is_word"), "n", base.alias("base"), (base + back).alias("value"))
-    second = pairs.join(back2, "key", "left").select("key", F.lit(False), "n", F.lit(0.0), F.col("delta") + back)
-    third = triples.select("key", F.lit(False), "n", F.lit(0.0), "delta")
-    return durable(first.union(second).union(third)), tokens, distinct
+    return map_arrow(blocks, run, "block long, code long")
 
 
-def score_texts(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", buckets: int = 7, held_bucket: int = 2, word_share: float = WORD_SHARE, arc_share: float = ARC_SHARE) -> DataFrame:
+# ---------------------------------------------------------------- the walk
+
+
+def walk(block: Block, c1: np.ndarray, sum1: np.ndarray, kept1: np.ndarray, c2: np.ndarray, sum2: np.ndarray, kept2: np.ndarray, c3: np.ndarray, tokens: int, distinct: int) -> tuple[np.ndarray, np.ndarray]:
+    """log10 probability of each text by the automaton, and by its root alone.
+
+    Read from left to right, the state behind a token is the longest context that was kept: its last two words, its last one, or none. The
+    next word takes the state's arc, whose weight is the discounted share with what the failure arcs would add, or else the failure arc,
+    whose weight is what the discounts of the context's arcs leave, to the state behind. So each state's probabilities sum to one. A
+    token's state depends on the two before it only, so all tokens take their arcs at once.
+    """
+    t = block.tokens
+    root = (c1 + 1.0) / (tokens + distinct + 1.0)
+    weight = root[t]
+    base = np.log10(weight)
+    fail1 = np.where(kept1 > 0, 1 - (sum1 - DISCOUNT * kept1) / np.maximum(c1, 1), 1.0)
+    at = np.flatnonzero(block.pair_ending >= 0)
+    pair, before = block.pair_ending[at], t[at - 1]
+    weight[at] = np.where(c2[pair] > 0, c2[pair] - DISCOUNT, 0.0) / np.maximum(c1[before], 1) + fail1[before] * weight[at]
+    fail2 = np.where(kept2 > 0, 1 - (sum2 - DISCOUNT * kept2) / np.maximum(c2, 1), 1.0)
+    at = np.flatnonzero(block.triple_ending >= 0)
+    triple, state = block.triple_ending[at], block.pair_ending[at - 1]
+    weight[at] = np.where(c3[triple] > 0, c3[triple] - DISCOUNT, 0.0) / np.maximum(c2[state], 1) + fail2[state] * weight[at]
+    starts = np.concatenate(([0], np.cumsum(block.lengths.astype(np.int64))))[:-1]
+    return np.add.reduceat(np.log10(weight), starts), np.add.reduceat(base, starts)
+
+
+def score_texts(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", buckets: int = 7, held_bucket: int = 2, word_share: float = WORD_SHARE, block_bytes: int = BLOCK, meeting_tokens: int = MEETING) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``df``.
 
     The model learns from rows whose crc32 of the id modulo ``buckets`` is not ``held_bucket``: all words, and all pairs and
-    triples that occur there at least LEAST times. What is too rare to be sent to every task is joined; the shares decide
-    only that, not the scores. A null or empty text is its end token; repeated rows are kept; a null id counts as the empty
-    text for the split; without training rows every probability is 1. Other columns are not read. Texts start in the empty context.
+    triples that occur there at least LEAST times. A null or empty text is its end token; repeated rows are kept; a null id counts as the empty
+    text for the split; without training rows every probability is 1; an empty table gives an empty one. Other columns are not read. Texts
+    start in the empty context.
     """
     rows = df.select(
         F.monotonically_increasing_id().alias("row_id"), F.col(id_column).cast("long").alias("doc_id"), (crc_bucket(id_column, buckets) == held_bucket).alias("held_out"), whole_text(text_column).alias("text")
     )
-    model, tokens, distinct = values(rows.where(~F.col("held_out")).select("text"))
-    frequent = model.where(F.col("n") >= F.when(F.col("is_word"), word_share * tokens).otherwise(arc_share * tokens)).toPandas()
-    keys = frequent["key"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    sent = df.sparkSession.sparkContext.broadcast((keys[order], *(frequent[c].to_numpy(float)[order] for c in ("base", "value"))))
-    fields = [("row_id", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64())]
-    schema = pa.schema(fields + [("base_score", pa.float64()), ("score", pa.float64()), ("key", pa.int64()), ("times", pa.int32()), ("word", pa.bool_())])
+    spark = df.sparkSession
+    blocks = durable(block_texts(rows, block_bytes))
+    counted = durable(word_counts(blocks))
+    tokens, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    known = counted.where(F.col("n") >= max(1, word_share * tokens)).toPandas()
+    hashes = known["word"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    hashes, counts = hashes[order], known["n"].to_numpy(np.int64)[order]
+    frequent = spark.sparkContext.broadcast(hashes)
+    meetings = max(1, -(-tokens // meeting_tokens))
+    answered = durable(answers(meeting_rows(blocks, frequent, meetings)))
+    sums = durable(context_sums(answered))
+    own = sums.where("code >= 0").toPandas()
+    total, kept = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+    total[own["code"]], kept[own["code"]] = own["total"], own["kept"]
+    sent = spark.sparkContext.broadcast((counts, total, kept))
+    # Rare words, by block: at most as many rows as a block has distinct ones.
+    mark = F.col("word").bitwiseOR(F.lit(-RARE))
+    rare = counted.where(F.col("n") < max(1, word_share * tokens)).groupBy(mark.alias("code")).agg(F.sum("n").alias("n")).join(sums, "code", "left")
+    found = rare_words(blocks, frequent).join(rare, "code").select("block", F.lit(1).alias("kind"), F.lit(0).alias("meeting"), F.lit(None).cast("binary").alias("payload"), "code", "n", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("kept", F.lit(0)).alias("kept"))
+    none = [F.lit(None).cast("long").alias(c) for c in ("code", "n", "total", "kept")]
+    lines = blocks.select("block", F.lit(0).alias("kind"), F.lit(0).alias("meeting"), "payload", *none)
+    lines = lines.union(found).union(answered.where("block is not null").select("block", F.lit(2).alias("kind"), "meeting", "payload", *none))
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, base, value = sent.value
-        memo = _token_memo()
-        for batch in slices(batches, "text", 4 << 20):
-            numbers, sums, rare = batch.column("row_id").to_pylist(), [], []
-            for row, raw in zip(numbers, raw_texts(batch.column("text"))):
-                words = hashed(raw, memo)
-                own = np.concatenate((words, *gram_keys(words)))
-                at = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
-                known = keys[at] == own if len(keys) else np.zeros(len(own), bool)
-                at = at[known]
-                sums.append((len(words), int(known[: len(words)].sum()), float(base[at].sum()), float(value[at].sum())))
-                for is_word, part in ((True, slice(0, len(words))), (False, slice(len(words), None))):
-                    left, times = np.unique(own[part][~known[part]], return_counts=True)
-                    rare.append((np.full(len(left), row), left, times, np.full(len(left), is_word)))
-            memo.trim()
-            if not sums:
-                continue
-            size = len(numbers)
-            spread = signed(np.array(numbers, np.uint64) * np.uint64(0x9E3779B97F4A7C15))  # no row's own line shares a key
-            yield table(schema, numbers, batch.column("doc_id"), batch.column("held_out"), *zip(*sums), spread, np.zeros(size, np.int32), np.zeros(size, bool))
-            row, left, times, is_word = map(np.concatenate, zip(*rare))
-            blank = [pa.nulls(len(row), schema.field(k).type) for k in range(1, 7)]
-            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), *blank, pa.array(signed(left)), pa.array(times, pa.int32()), pa.array(is_word)], schema=schema)
-
-    parts = map_arrow(rows, run, "row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, key long, times int, word boolean")
-    joined = parts.join(model.select("key", "is_word", "base", "value"), "key", "left")
-    unseen = F.when(F.col("word"), -F.log10(F.lit(float(tokens + distinct + 1)))).otherwise(0.0)
-    known = F.when(F.col("word") & F.col("is_word"), F.col("times")).otherwise(0)
-    lines = joined.select("row_id", "doc_id", "held_out", "n_tokens", (F.coalesce("n_known", F.lit(0)) + known).alias("n_known"),
-        *((F.coalesce(total, F.lit(0.0)) + F.col("times") * F.coalesce(one, unseen)).alias(total) for total, one in (("base_score", "base"), ("score", "value"))))
-    whole = lines.groupBy("row_id").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
-    return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+        hashes, frequent_words = frequent.value, sent.value
+        every = (x for batch in batches for x in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "payload", "code", "n", "total", "kept"))))
+        for _, group in groupby(every, key=lambda x: x[0]):
+            (_, _, payload, *_), *rest = group
+            block = Block(payload)
+            block.grams(meetings)
+            codes = coded(block.words, hashes)
+            short = codes < RARE
+            c1, sum1, kept1 = (np.zeros(len(codes), np.int64) for _ in range(3))
+            for into, of in zip((c1, sum1, kept1), frequent_words):
+                into[short] = of[codes[short].astype(np.int64)]
+            rare = [x[3:] for x in rest if x[1] == 1]
+            if rare:
+                numbers = np.array(rare, np.int64)
+                by_code = np.argsort(codes)
+                places = by_code[np.searchsorted(codes, numbers[:, 0].view(np.uint64), sorter=by_code)]
+                for into, column in zip((c1, sum1, kept1), numbers.T[1:]):
+                    into[places] = column
+            told = [unsqueeze(x[2]) for x in rest if x[1] == 2]
+            c2, sum2, kept2, c3 = (np.concatenate(x).astype(np.int64) for x in zip(*told)) if told else (np.zeros(0, np.int64) for _ in range(4))
+            score, base = walk(block, c1, sum1, kept1, c2, sum2, kept2, c3, tokens, distinct)
+            starts = np.concatenate(([0], np.cumsum(block.lengths.astype(np.int64))))[:-1]
+            size = len(block.ids)
+            ids = pa.array(block.ids.view(np.int64), mask=(block.flags & 1) == 1)
+            yield table(schema, ids, (block.flags & 2) == 2, block.lengths, np.add.reduceat((c1 > 0)[block.tokens].astype(np.int64), starts), np.full(size, tokens), base, score)
+
+    together = lines.repartition("block").sortWithinPartitions("block", "kind", "meeting")
+    return map_arrow(together, run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op9_lm_scores(spark, sf_dir: str) -> DataFrame:

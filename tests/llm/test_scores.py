@@ -1,10 +1,11 @@
-"""Language-model scores: exact base, probabilities that sum to one, a plain backoff beside the automaton."""
+"""Language-model scores: exact base, probabilities that sum to one, a plain backoff over all n-grams."""
 
 import zlib
 from collections import Counter
 from math import isclose, log10
 
 import numpy as np
+import pytest
 
 from parley.llm import backoff_lm as b
 
@@ -19,107 +20,77 @@ def tokens(text):
     return [*text.encode().lower().split(), None]
 
 
-def test_base_scores(docs, odd):
+class Plain:
+    """All n-grams of the training texts in dictionaries, and the model's probabilities by its definition."""
+
+    def __init__(self, rows):
+        train = [tokens(t) for i, t in rows if not held(i)]
+        self.grams = {k: Counter(tuple(t[i : i + k]) for t in train for i in range(len(t) - k + 1)) for k in (1, 2, 3)}
+        self.n, self.v = sum(self.grams[1].values()), len(self.grams[1])
+        self.after = {}
+        for k in (2, 3):
+            for g, c in self.grams[k].items():
+                if c >= 2:
+                    self.after.setdefault(g[:-1], {})[g[-1]] = c
+
+    def p(self, context, w):
+        if not context:
+            return (self.grams[1][w,] + 1) / (self.n + self.v + 1)
+        lower = self.p(context[1:], w)
+        if context not in self.after:
+            return lower
+        seen, whole = self.after[context], self.grams[len(context)][context]
+        return max(seen.get(w, 0) - 0.75, 0) / whole + (1 - sum(c - 0.75 for c in seen.values()) / whole) * lower
+
+    def score(self, text):
+        t = tokens(text)
+        return sum(log10(self.p(tuple(t[max(0, k - 2) : k]), t[k])) for k in range(len(t)))
+
+
+@pytest.mark.parametrize("options", [{}, {"word_share": 0.01, "block_bytes": 3000, "meeting_tokens": 4000}, {"word_share": 1.0, "block_bytes": 20_000, "meeting_tokens": 50_000}])
+def test_scores_are_those_of_all_grams(docs, odd, options):
+    """Whatever is cut into blocks, meets in one place or has a short number."""
     for df in (docs, odd):
         rows = pairs(df)
-        counts = Counter(w for i, t in rows if not held(i) for w in tokens(t))
-        n, v = sum(counts.values()), len(counts)
-        want = {(i, t): (held(i), len(tokens(t)), sum(counts[w] > 0 for w in tokens(t)), sum(log10((counts[w] + 1) / (n + v + 1)) for w in tokens(t))) for i, t in rows}
-        for share in (1e-6, 0.01):  # with and without words that are joined
-            got = b.score_texts(df, word_share=share, arc_share=0.001).collect()
-            assert len(got) == len(rows)
-            by_id = {i: x for (i, _), x in want.items()}
-            for r in got:
-                is_held, size, known, base = by_id[r["doc_id"]]
-                assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (is_held, size, known, n)
-                assert isclose(r["base_score"], base, rel_tol=1e-9, abs_tol=1e-9)
-                assert r["score"] <= 1e-9
-
-
-def test_model_beats_its_base(docs):
-    got = b.score_texts(docs).where("held_out").collect()
-    assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
-
-
-def test_probabilities_sum_to_one(spark):
-    texts = spark.createDataFrame([("a b c a b c a b d a b c x a b",), ("b c a b c d d a b",), ("a b c a b e",)] * 3, "text string")
-    counted, model = b.train(texts, 0, 0.01)
-    root, back, fail = model.root.tolist(), model.back.tolist(), model.fail.tolist()
-    assert len(model.state_of_pair) > 0
-    unseen = 1 / model.whole
-    for state in range(len(back)):
-        total = 0.0
-        for word in range(len(root)):
-            at, weight = state, 0.0
-            while at and (at << 20 | word) not in model.arcs:
-                weight += back[at]
-                at = fail[at]
-            total += 10 ** (weight + (model.arcs[at << 20 | word][1] if at else root[word]))
-        at, weight = state, 0.0
-        while at:
-            weight += back[at]
-            at = fail[at]
-        total += unseen * 10**weight  # the one word that was never seen
-        assert isclose(total, 1, rel_tol=1e-9), state
-
-
-def test_traversal_is_plain_backoff(spark):
-    lines = ["a b c a b c a b d a b c x a b", "b c a b c d d a b", "a b c a b e"] * 3
-    _, model = b.train(spark.createDataFrame([(x,) for x in lines], "text string"), 0, 0.01)
-    ids = b.Ids(model.hashes)
-    counts = Counter(w for x in lines for w in ids.text(x.encode()))
-    n, least = sum(counts.values()), max(2, 0.01 * sum(counts.values()))
-    grams = {k: Counter(tuple(t[i : i + k]) for x in lines for t in [ids.text(x.encode())] for i in range(len(t) - k + 1)) for k in (2, 3)}
-    kept = {k: {g: c for g, c in v.items() if c >= least} for k, v in grams.items()}
-
-    def one(w):
-        return (counts[w] + 1) / model.whole
-
-    def two(u, w):
-        seen = {g[1]: (c - b.DISCOUNT) / counts[u] for g, c in kept[2].items() if g[0] == u}
-        return seen[w] if w in seen else one(w) * (1 - sum(seen.values())) / (1 - sum(map(one, seen)))
-
-    def three(t, u, w):
-        if (t, u) not in kept[2]:
-            return two(u, w)
-        seen = {g[2]: (c - b.DISCOUNT) / kept[2][t, u] for g, c in kept[3].items() if g[:2] == (t, u)}
-        return seen[w] if w in seen else two(u, w) * (1 - sum(seen.values())) / (1 - sum(two(u, x) for x in seen))
-
-    for line in ("a b c d", "e a b x", "b c a b c a", "d d d"):
-        t = ids.text(line.encode())
-        want = log10(one(t[0])) + sum(log10(two(t[0], t[1]) if k == 1 else three(t[k - 2], t[k - 1], t[k])) for k in range(1, len(t)))
-        total, _ = model.traverse(t, model.root.tolist(), model.back.tolist(), model.fail.tolist())
-        assert isclose(total, want, rel_tol=1e-9), line
-    assert np.isfinite(model.back).all() and n > 0
-
-
-def test_all_repeated_grams_count(spark):
-    """A pair or triple seen twice counts however large the corpus is, and what is broadcast does not change a score."""
-    lines = ["p q r s", "p q r t", "x p q r s q"] + [f"common words w{k % 50} common" for k in range(3000)]
+        plain = Plain(rows)
+        want = {i: (held(i), len(tokens(t)), sum(plain.grams[1][w,] > 0 for w in tokens(t)), plain.n, sum(log10(plain.p((), w)) for w in tokens(t)), plain.score(t)) for i, t in rows}
+        got = b.score_texts(df, **options).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            *exact, base, score = want[r["doc_id"]]
+            assert [r[c] for c in ("held_out", "n_tokens", "n_known", "train_tokens")] == exact
+            assert isclose(r["base_score"], base, rel_tol=1e-9, abs_tol=1e-9) and isclose(r["score"], score, rel_tol=1e-9, abs_tol=1e-9), r
+
+
+def test_probabilities_sum_to_one():
+    plain = Plain([(0, x) for x in ["a b c a b c a b d a b c x a b", "b c a b c d d a b", "a b c a b e"] * 3])
+    words = [w for w, in plain.grams[1]] + [b"never seen"]
+    assert len(plain.after) > 5
+    for context in [(), *plain.after]:
+        assert isclose(sum(plain.p(context, w) for w in words), 1, rel_tol=1e-9)
+
+
+def test_model_beats_its_base(spark):
+    got = b.score_texts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
+    score, base = (sum(r[c] for r in got) for c in ("score", "base_score"))
+    assert score > base
+
+
+def test_a_rare_gram_counts_in_a_large_corpus(spark):
+    """A pair or triple seen twice counts however large the corpus is."""
+    lines = ["p q r s", "p q r t", "x p q r s q", "p q r s p"] + [f"common words w{k % 50} common" for k in range(3000)]
+    plain = Plain(list(enumerate(lines)))
+    assert any(c in plain.after for c in ((b"p", b"q"), (b"q", b"r")))
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
-    train = [tokens(x) for i, x in enumerate(lines) if not held(i)]
-    grams = {k: Counter(tuple(t[i : i + k]) for t in train for i in range(len(t) - k + 1)) for k in (1, 2, 3)}
-    whole = sum(grams[1].values()) + len(grams[1]) + 1
+    for r in b.score_texts(df, block_bytes=9000, meeting_tokens=2000).where("doc_id < 60").collect():
+        assert isclose(r["score"], plain.score(lines[r["doc_id"]]), rel_tol=1e-9), r
 
-    after = {}
-    for k in (2, 3):
-        for g, c in grams[k].items():
-            if c >= 2:
-                after.setdefault(g[:-1], {})[g[-1]] = (c - 0.75) / grams[k - 1][g[:-1]]
 
-    def p(context, w):
-        if not context:
-            return (grams[1][w,] + 1) / whole
-        seen = after.get(context, {})
-        if w in seen or not seen:
-            return seen[w] if seen else p(context[1:], w)
-        return p(context[1:], w) * (1 - sum(seen.values())) / (1 - sum(p(context[1:], x) for x in seen))
-
-    for share in (b.ARC_SHARE, 0.05, 1.0):
-        for r in b.score_texts(df, word_share=share, arc_share=share).where("doc_id < 60").collect():
-            t = tokens(lines[r["doc_id"]])
-            want = sum(log10(p(tuple(t[max(0, k - 2) : k]), t[k])) for k in range(len(t)))
-            assert isclose(r["score"], want, rel_tol=1e-9), (share, r)
+def test_packed_arrays():
+    rng = np.random.default_rng(1)
+    arrays = [rng.integers(0, 1 << 63, 50, np.uint64), np.zeros(0, np.uint32), rng.integers(0, 9, 7).astype(np.uint8), np.arange(5, dtype=np.uint32)]
+    for x, y in zip(arrays, b.unsqueeze(b.squeeze(*arrays))):
+        assert x.dtype == y.dtype and (x == y).all()
 
 
 def test_empty(empty):
