@@ -10,42 +10,49 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import Memo, map_arrow, raw_texts, shingle_hashes, signed, slices, table, whole_text, word_hashes, word_memo
+from parley.llm.common import Memo, map_arrow, mixed, raw_texts, shingle_hashes, signed, slices, table, whole_text, word_hashes, word_memo
 
 #: Words of a shingle, and one in how many shingle hashes stays.
 WIDTH, SCALE = 5, 8
 
-#: Most ranges of ids into which the table is dealt to find each document's neighbour.
+#: Most ranges of ids into which the table is dealt to find each document's neighbour. A range is read as a stream, so
+#: memory does not grow with it; beyond this many ranges only the parallelism is bounded.
 MOST_RANGES = 4096
 
 
-def sketch(raw: bytes, memo: Memo, width: int = WIDTH, scale: int = SCALE) -> np.ndarray:
-    """Distinct shingle hashes below 1 / ``scale`` of their range, sorted; the least hash, where none is below.
+def sketch(raw: bytes, memo: Memo, width: int = WIDTH, scale: int = SCALE) -> tuple[np.ndarray, int]:
+    """Distinct shingle hashes below 1 / ``scale`` of their range, sorted, and a number that names the whole set of shingles.
 
-    Sketches merge: the union of two, with hashes above the fraction dropped if any is below, is the sketch of both
-    texts' shingles together.
+    Sketches merge: the union of two is the sketch of both texts' shingles together.
     """
-    hashes = shingle_hashes(word_hashes(raw, memo), width)
-    below = hashes[hashes < np.uint64((1 << 64) // scale)]
-    return np.unique(below) if len(below) else hashes.min(keepdims=True) if len(hashes) else hashes
+    hashes = np.unique(shingle_hashes(word_hashes(raw, memo), width))
+    with np.errstate(over="ignore"):
+        name = int(mixed(hashes, 21).sum(dtype=np.uint64)) if len(hashes) else 0
+    return hashes[: np.searchsorted(hashes, np.uint64((1 << 64) // scale))], name
 
 
-def written(hashes: np.ndarray) -> str:
-    """Hashes as 16 hexadecimal digits each, ascending."""
-    return hashes.astype(">u8").tobytes().hex()
+def written(own: tuple[np.ndarray, int]) -> str:
+    """The set's name and the hashes, as 16 hexadecimal digits each."""
+    return f"{own[1]:016x}" + own[0].astype(">u8").tobytes().hex()
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated Jaccard similarity; two texts without words are alike."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    either = len(a) + len(b) - both
-    return both / either if either else 1.0
+def likeness(a: tuple[np.ndarray, int], b: tuple[np.ndarray, int]) -> float:
+    """Estimated Jaccard similarity. Where neither has a hash below the fraction, only equal sets are alike."""
+    both = len(np.intersect1d(a[0], b[0], assume_unique=True))
+    either = len(a[0]) + len(b[0]) - both
+    return both / either if either else float(a[1] == b[1])
+
+
+def containment(a: tuple[np.ndarray, int], b: tuple[np.ndarray, int]) -> float:
+    """Estimated share of the first one's shingles that the second has. A first one without a hash is contained in its equal only."""
+    return len(np.intersect1d(a[0], b[0], assume_unique=True)) / len(a[0]) if len(a[0]) else float(a[1] == b[1])
 
 
 def sketch_texts(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH, scale: int = SCALE) -> DataFrame:
     """doc_id and sketch (array of longs) for each row of ``df``; use with ``contained`` and ``merged``.
 
-    A null or empty text, or one without words, has an empty sketch; one of fewer words than ``width`` is one shingle.
+    A null or empty text, or one without words, has an empty sketch, and so may a short one; one of fewer words than ``width`` is
+    one shingle.
     Repeated rows and null ids are kept; other columns are not read.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("sketch", pa.list_(pa.int64()))])
@@ -53,7 +60,7 @@ def sketch_texts(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_memo()
         for batch in slices(batches, "text"):
-            yield table(schema, batch.column("doc_id"), [signed(sketch(x, memo, width, scale)) for x in raw_texts(batch.column("text"))])
+            yield table(schema, batch.column("doc_id"), [signed(sketch(x, memo, width, scale)[0]) for x in raw_texts(batch.column("text"))])
             memo.trim()
 
     rows = df.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
@@ -65,11 +72,9 @@ def contained(a: str, b: str) -> Column:
     return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
-def merged(a: str, b: str, scale: int = SCALE) -> Column:
+def merged(a: str, b: str) -> Column:
     """The sketch of both sketches' shingles together."""
-    union, border = F.array_union(a, b), (1 << 64) // scale
-    below = F.filter(union, lambda x: (x >= 0) & (x < border)) if border < 1 << 63 else union
-    return F.when(F.size(below) > 0, below).otherwise(union)
+    return F.array_union(a, b)
 
 
 def neighbours(df: DataFrame, rows_per_range: int) -> DataFrame:
@@ -112,14 +117,18 @@ def neighbours(df: DataFrame, rows_per_range: int) -> DataFrame:
 
 def edited_fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH, scale: int = SCALE, rows_per_range: int = 512) -> DataFrame:
     """Fingerprints of each row's text and of its edited text: doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next.
+    edited_fingerprint, near_edited, near_next, in_edited, edited_in, in_next, next_in.
+
+    near_* are estimates of Jaccard similarity, in_* of the share of the document's shingles that the other text has, *_in of the share of
+    the other text's shingles that the document has; the latter two hold for texts of very unequal lengths.
 
     The edited text's last n_chars // 2 code points are the next document's first ones. Documents follow by descending
-    id, null ids last, equal ids by a hash of the text; the first follows the last. Null texts count as empty. Repeated
+    id, null ids last and by a hash of the text, equal ids by that hash; the first follows the last. Null texts count as empty. Repeated
     rows are kept; other columns are not read.
     """
     fields = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string())]
-    schema = pa.schema(fields + [("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+    estimates = ("near_edited", "near_next", "in_edited", "edited_in", "in_next", "next_in")
+    schema = pa.schema(fields + [("edited_fingerprint", pa.string()), *((c, pa.float64()) for c in estimates)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, last = word_memo(), None
@@ -132,15 +141,18 @@ def edited_fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: s
                     half = len(earlier) // 2
                     edited = (earlier[: len(earlier) - half] + text[:half]).encode()
                     changed = sketch(edited, memo, width, scale)
-                    rows.append((before, len(earlier), hashlib.sha256(edited).hexdigest(), written(theirs), written(changed), likeness(theirs, changed), likeness(theirs, own)))
+                    found = (likeness(theirs, changed), likeness(theirs, own), containment(theirs, changed), containment(changed, theirs), containment(theirs, own), containment(own, theirs))
+                    rows.append((before, len(earlier), hashlib.sha256(edited).hexdigest(), written(theirs), written(changed), *found))
                 last = (part, copy, doc, text, own)
             if rows:
                 yield table(schema, *zip(*rows, strict=True))
             memo.trim()
 
     rows = df.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
-    rows = rows.withColumn("at", F.coalesce("doc_id", F.lit(-(1 << 63)))).select("at", "doc_id", "text")
-    shape = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    # Rows without id are spread over the lowest 2 ** 40 numbers, so that they needn't share a range.
+    spread = F.lit(-(1 << 63)) + F.pmod(F.xxhash64("text"), F.lit(1 << 40))
+    rows = rows.withColumn("at", F.coalesce("doc_id", spread)).select("at", "doc_id", "text")
+    shape = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, " + ", ".join(f"{c} double" for c in estimates)
     if rows.isEmpty():
         return df.sparkSession.createDataFrame([], shape)
     return map_arrow(neighbours(rows, rows_per_range), run, shape)
