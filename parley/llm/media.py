@@ -103,13 +103,13 @@ def riff_chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, in
 def read_avi(data: bytes) -> tuple[float, np.ndarray, np.ndarray]:
     """Frames a second, and the offset and size of each video frame as the index has them (or the list of frames, if
     there is no index)."""
-    if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
+    if len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("no AVI file")
     rate, movie, index = 25.0, None, None
-    for name, begin, end in riff_chunks(data, 12, 8 + struct.unpack_from("<I", data, 4)[0]):
+    for name, begin, end in riff_chunks(data, 12, min(len(data), 8 + struct.unpack_from("<I", data, 4)[0])):
         if name == b"LIST" and data[begin : begin + 4] == b"hdrl":
             for inner, b, _ in riff_chunks(data, begin + 4, end):
-                if inner == b"avih" and (period := struct.unpack_from("<I", data, b)[0]):
+                if inner == b"avih" and end - b >= 4 and (period := struct.unpack_from("<I", data, b)[0]):
                     rate = 1e6 / period
         elif name == b"LIST" and data[begin : begin + 4] == b"movi":
             movie = (begin, end)
@@ -126,6 +126,8 @@ def read_avi(data: bytes) -> tuple[float, np.ndarray, np.ndarray]:
     offsets = index[:, 2] + 8
     if len(offsets) and data[movie[0] + index[0, 2] : movie[0] + index[0, 2] + 4] == index[0, 0].astype("<u4").tobytes():
         offsets = offsets + movie[0]  # offsets count from the list's name; some writers count from the file's start
+    if (offsets + index[:, 3] > len(data)).any():
+        raise ValueError("the index names a frame beyond the file's end")
     return rate, offsets, index[:, 3]
 
 
@@ -140,12 +142,39 @@ def huffman(lengths: bytes, symbols: bytes) -> dict[tuple[int, int], int]:
     return codes
 
 
+# Fixed values of the JPEG standard (annex K.3): codes of each length, and the first symbols of the coefficient tables; frames of
+# motion JPEG that have no tables of their own use these. The rest of a coefficient table's symbols ascend.
+MEAN_LENGTHS = (bytes([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]), bytes([0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0]))
+REST_LENGTHS = (bytes([0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125]), bytes([0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119]))
+REST_FIRST = (
+    bytes.fromhex("01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82 09 0a"),
+    bytes.fromhex("00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1"),
+)
+
+
+@cache
+def standard_codes() -> dict[int, dict[tuple[int, int], int]]:
+    """The standard's tables by class and number, as a frame names them."""
+    symbols = [0x00, 0xF0, *(run << 4 | size for run in range(16) for size in range(1, 11))]
+    found = {}
+    for k in (0, 1):
+        found[k] = huffman(MEAN_LENGTHS[k], bytes(range(12)))
+        found[16 + k] = huffman(REST_LENGTHS[k], REST_FIRST[k] + bytes(sorted(set(symbols) - set(REST_FIRST[k]))))
+    return found
+
+
 class Frame:
-    """The tables of a baseline JPEG and where its coded samples begin."""
+    """The tables of a baseline JPEG and where its coded samples begin. A frame that cannot be read raises ValueError."""
 
     def __init__(self, data: bytes):
+        try:
+            self._read(data)
+        except (IndexError, KeyError, struct.error) as error:
+            raise ValueError("a JPEG frame is cut short or lacks a table") from error
+
+    def _read(self, data: bytes) -> None:
         self.quanta: dict[int, np.ndarray] = {}
-        self.codes: dict[int, dict[tuple[int, int], int]] = {}
+        self.codes = dict(standard_codes())
         self.restart, at = 0, 2
         if data[:2] != b"\xff\xd8":
             raise ValueError("no JPEG frame")
@@ -170,6 +199,8 @@ class Frame:
             elif marker == 0xDA:
                 self.scan = {body[i]: (body[i + 1] >> 4, body[i + 1] & 15 | 16) for i in range(1, 1 + 2 * body[0], 2)}
                 self.begin = at
+                for name, _, _, quantum in self.parts:
+                    self.quanta[quantum], self.codes[self.scan[name][0]], self.codes[self.scan[name][1]]
                 return
             elif 0xC1 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
                 raise ValueError("only baseline JPEG frames are read")
@@ -197,6 +228,8 @@ class Frame:
         def take(n: int) -> int:
             nonlocal bits, at, left
             while left < n:
+                if at > len(data) + 8:
+                    raise ValueError("a frame's samples are cut short")
                 byte = data[at] if at < len(data) else 0
                 at += 2 if byte == 0xFF and at + 1 < len(data) and data[at + 1] == 0 else 1
                 bits, left = (bits << 8 | byte) & 0xFFFFFFFFFF, left + 8
@@ -225,7 +258,7 @@ class Frame:
         for unit in range(columns * rows):
             if self.restart and unit and unit % self.restart == 0:
                 bits = left = 0
-                while not (data[at] == 0xFF and 0xD0 <= data[at + 1] <= 0xD7):
+                while at + 1 < len(data) and not (data[at] == 0xFF and 0xD0 <= data[at + 1] <= 0xD7):
                     at += 1
                 at, last = at + 2, dict.fromkeys(last, 0)
             for k, (name, h, v, q) in enumerate(self.parts):
@@ -242,6 +275,8 @@ class Frame:
                             break
                         i += s >> 4
                         if s & 15:
+                            if i > 63:
+                                raise ValueError("a block has too many coefficients")
                             block_values[i] = value(s & 15)
                         i += 1
                     if k == 0:
@@ -285,6 +320,8 @@ def decode_frames(data: bytes, offsets: np.ndarray, sizes: np.ndarray) -> tuple[
             means = np.cumsum(differences, axis=1) * int(first.quanta[first.parts[0][3]][0])
             return np.clip((means + 4) // 8 + 128, 0, 255).astype(np.uint8), 64
     planes = [Frame(data[o : o + s]).luma(data[o : o + s]).reshape(-1) for o, s in zip(offsets.tolist(), sizes.tolist())]
+    if len({len(x) for x in planes}) > 1:
+        raise ValueError("frames of different sizes")
     return np.stack(planes), 1
 
 
@@ -362,26 +399,27 @@ def text_media(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
 
 def media_clips(df: DataFrame, id_column: str = "doc_id", media_column: str = "media") -> DataFrame:
-    """One row for each clip of each AVI file: doc_id, clip, first_frame, end_frame, start_s, end_s, level.
+    """One row for each clip of each AVI file: doc_id, clip, first_frame, end_frame, start_s, end_s, level, error.
 
-    Null or empty media give no row; a file that is no AVI with baseline frames ends the job with an error.
+    Null or empty media and files without frames give no row. A file that is no AVI, is cut short or has other frames than baseline JPEG
+    gives one row, with what is wrong as ``error`` and null in all clip columns; ``error`` is null in other rows.
     """
     fields = [("doc_id", pa.int64()), ("clip", pa.int32()), ("first_frame", pa.int64()), ("end_frame", pa.int64())]
-    schema = pa.schema(fields + [(c, pa.float64()) for c in ("start_s", "end_s", "level")])
+    schema = pa.schema([*fields, *((c, pa.float64()) for c in ("start_s", "end_s", "level")), ("error", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "media"):
-            rows = [
-                (doc, k, *clip)
-                for doc, data in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist())
-                if data
-                for k, clip in enumerate(clips_of(bytes(data))[1])
-            ]
+            rows = []
+            for doc, data in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist()):
+                try:
+                    rows += [(doc, k, *clip, None) for k, clip in enumerate(clips_of(bytes(data))[1] if data else ())]
+                except ValueError as error:
+                    rows.append((doc, *[None] * 6, str(error)))
             if rows:
                 yield table(schema, *zip(*rows, strict=True))
 
     rows = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(media_column).alias("media"))
-    return map_arrow(rows, run, "doc_id long, clip int, first_frame long, end_frame long, start_s double, end_s double, level double")
+    return map_arrow(rows, run, "doc_id long, clip int, first_frame long, end_frame long, start_s double, end_s double, level double, error string")
 
 
 def op3_media_columns(spark, sf_dir: str) -> DataFrame:
