@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_right
-from itertools import accumulate
+from itertools import accumulate, groupby
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from parley.llm.common import MASK, durable, whole_text
 
-#: Bits by which a round of probes refines the key, and the bits of both keys together.
+#: Bits by which a round of probes refines a key, and the bits of each of the two keys.
 STEP, KEY_BITS = 8, 64
 BIAS = 1 << 63
 
+#: Bits of the key by which boundaries are looked up.
+GRAIN = 12
+
+#: Least and most intervals of rows that are sorted by a task each.
+LEAST_PARTS, MOST_PARTS = 64, 2000
+
 
 def digits(key: str, bits: int) -> Column:
     """The first ``bits`` bits of a key, in the key's order."""
@@ -22,91 +29,93 @@ def digits(key: str, bits: int) -> Column:
     return F.shiftrightunsigned(flipped, KEY_BITS - bits)
 
 
-def weigh(rows: DataFrame, key: str, fixed: int, prefixes: list[int] | None) -> dict[int, int]:
-    """Exact bytes for each value of the key's next bits, below the given prefixes of ``fixed`` bits.
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of numbers that the driver made."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema}>>"))).select(*names)
 
-    At most 256 numbers for each prefix come to the driver, whatever the rows.
-    """
-    if prefixes is not None:
-        rows = rows.where(digits(key, fixed).isin(prefixes))
-    return {r["at"] & MASK: r["bytes"] for r in rows.groupBy(digits(key, fixed + STEP).alias("at")).agg(F.sum("size").alias("bytes")).collect()}
 
+def boundaries(rows: DataFrame, weight: str, goals: list[int], tight: float, loose: float) -> list[tuple[int, int]]:
+    """For each goal the boundary (key, tie), as unsigned numbers, below which about that much of ``weight`` lies.
 
-def refine(rows: DataFrame, key: str, total: int, goals: list[int], tolerance: int) -> list[tuple[int, int, int]]:
-    """For each goal a boundary of the key: (boundary, bytes below it, the largest error left).
-
-    Each round counts the bytes below 256 further probes in every interval that still holds a goal without a boundary
-    near enough, until all are within ``tolerance`` or single values of the key remain.
+    Each round counts exactly what lies below 256 further probes in every interval that still holds a goal, one job for all of
+    them, until a boundary is within ``tight`` of each goal. Rows of one key stay together where an error of ``loose`` allows it;
+    where a goal falls into a larger group of one key, rounds go on with the second key, again one job for all groups.
+    At most 256 numbers an open interval come to the driver, whatever the rows.
     """
     found: dict[int, tuple[int, int]] = {}
-    open_goals = {goal: (0, 0) for goal in goals}  # prefix of the interval that holds the goal, and the bytes below it
+    groups: dict[int, tuple[int, int]] = {}  # goal: the key of the group that holds it, and what lies below the group
+    still = {goal: (0, 0) for goal in goals}  # goal: prefix of the interval that holds it, and what lies below that
     for fixed in range(0, KEY_BITS, STEP):
-        if not open_goals:
+        if not still:
             break
-        weights = weigh(rows, key, fixed, sorted({p for p, _ in open_goals.values()}) if fixed else None)
-        by_prefix: dict[int, list[int]] = {}
-        for at in sorted(weights):
-            by_prefix.setdefault(at >> STEP, []).append(at)
-        left = KEY_BITS - fixed - STEP
-        still = {}
-        for goal, (prefix, below) in open_goals.items():
-            values = by_prefix[prefix]
-            edges = list(accumulate((weights[v] for v in values), initial=below))
-            k = min(bisect_right(edges, goal) - 1, len(values) - 1)
-            low, high = edges[k], edges[k + 1]
-            if min(goal - low, high - goal) <= tolerance or not left:
-                nearest = (values[k] << left, low) if goal - low <= high - goal else ((values[k] + 1) << left, high)
-                found[goal] = nearest
+        part = rows.where(digits("key", fixed).isin(sorted({p for p, _ in still.values()}))) if fixed else rows
+        counted = part.groupBy(digits("key", fixed + STEP).alias("at")).agg(F.sum(weight).alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).collect()
+        counted = sorted((r["at"] & MASK, r["n"], r["low"], r["low"] == r["high"]) for r in counted)
+        inside = {prefix: list(x) for prefix, x in groupby(counted, key=lambda x: x[0] >> STEP)}
+        left, now, still = KEY_BITS - fixed - STEP, still, {}
+        for goal, (prefix, below) in now.items():
+            low, high, (at, _, key, alone) = interval(inside[prefix], goal, below)
+            error = min(goal - low, high - goal)
+            if error <= tight or alone and error <= loose:
+                found[goal] = (at << left, 0) if goal - low <= high - goal else (at + 1 << left, 0)
+            elif alone:
+                groups[goal] = (key + BIAS, low)
             else:
-                still[goal] = (values[k], low)
-        open_goals = still
-    return [(*found[goal], abs(found[goal][1] - goal)) for goal in goals]
+                still[goal] = (at, low)
+    open_groups = {goal: (key, 0, below) for goal, (key, below) in groups.items()}
+    for fixed in range(0, KEY_BITS, STEP):
+        if not open_groups:
+            break
+        part = rows.where(F.col("key").isin(sorted({key - BIAS for key, _, _ in open_groups.values()})))
+        part = part.where(digits("tie", fixed).isin(sorted({p for _, p, _ in open_groups.values()}))) if fixed else part
+        counted = part.groupBy("key", digits("tie", fixed + STEP).alias("at")).agg(F.sum(weight).alias("n")).collect()
+        counted = sorted((r["key"] + BIAS, r["at"] & MASK, r["n"]) for r in counted)
+        inside = {name: [x[1:] for x in own] for name, own in groupby(counted, key=lambda x: (x[0], x[1] >> STEP))}
+        left, now, open_groups = KEY_BITS - fixed - STEP, open_groups, {}
+        for goal, (key, prefix, below) in now.items():
+            low, high, (at, _) = interval(inside[key, prefix], goal, below)
+            if min(goal - low, high - goal) <= tight or not left:
+                tie = at << left if goal - low <= high - goal else at + 1 << left
+                found[goal] = (key, tie) if tie < 1 << KEY_BITS else (key + 1, 0)
+            else:
+                open_groups[goal] = (key, at, low)
+    return [found[goal] for goal in goals]
+
+
+def interval(counted: list[tuple], goal: int, below: int) -> tuple[int, int, tuple]:
+    """What lies below and up to the end of the counted interval that holds the goal, and that interval."""
+    edges = list(accumulate((x[1] for x in counted), initial=below))
+    k = max(0, min(bisect_right(edges, goal) - 1, len(counted) - 1))
+    return edges[k], edges[k + 1], counted[k]
 
 
-def splitters(rows: DataFrame, total: int, shards: int, loose: float, tight: float) -> list[tuple[int, int]]:
-    """Boundaries (key, tie) between shards.
+def place(rows: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
+    """``rows`` with the number of boundaries at or below each as ``part``; boundaries (key, tie) ascend.
 
-    Rows of one text share the key and stay together where the shard's size allows an error of ``loose`` of its bytes.
-    A larger group is cut along the second key, to within ``tight``.
+    Boundaries are looked up by the key's first bits: how many lie below those, and the few that share them.
     """
-    mean = total / shards
-    goals = [round(mean * k) for k in range(1, shards)]
-    bounds: list[tuple[int, int]] = []
-    for goal, (key, below, error) in zip(goals, refine(rows, "key", total, goals, int(mean * tight)), strict=True):
-        if error <= mean * loose:
-            bounds.append((key, 0))
-            continue
-        if below > goal:  # the boundary found is behind the group that holds the goal
-            key -= 1
-            below -= rows.where(F.col("key") == key - BIAS).agg(F.sum("size")).first()[0]
-        group = rows.where(F.col("key") == key - BIAS)
-        tie, *_ = refine(group, "tie", 0, [goal - below], int(mean * tight))[0]
-        bounds.append((key, tie) if tie < 1 << KEY_BITS else (key + 1, 0))
-    return bounds
-
-
-def place(bounds: list[tuple[int, int]], first: int = 0) -> Column:
-    """The number of boundaries at or below a row, by halving."""
-    if not bounds:
-        return F.lit(first)
-    half = len(bounds) // 2
-    key, tie = bounds[half]
-    if key >= 1 << KEY_BITS:
-        behind = F.lit(False)
-    else:
-        at = F.lit(key - BIAS)
-        behind = (F.col("key") > at) | ((F.col("key") == at) & (F.col("tie") >= F.lit(tie - BIAS)))
-    return F.when(behind, place(bounds[half + 1 :], first + half + 1)).otherwise(place(bounds[:half], first))
+    inside: dict[int, list[dict]] = {}
+    for key, tie in bounds:
+        if key < 1 << KEY_BITS:
+            inside.setdefault(key >> (KEY_BITS - GRAIN), []).append({"key": key - BIAS, "tie": tie - BIAS})
+    before = list(accumulate((len(inside.get(k, ())) for k in range(1 << GRAIN)), initial=0))
+    table = small_table(rows.sparkSession, [(k, before[k], inside.get(k, [])) for k in range(1 << GRAIN)], "grain int, before int, own array<struct<key:long,tie:long>>")
+    passed = F.filter("own", lambda b: (b["key"] < F.col("key")) | ((b["key"] == F.col("key")) & (b["tie"] <= F.col("tie"))))
+    found = rows.withColumn("grain", digits("key", GRAIN).cast("int")).join(F.broadcast(table), "grain")
+    return found.withColumn("part", F.col("before") + F.size(passed)).drop("grain", "before", "own")
 
 
 def shard_by_bytes(df: DataFrame, shards: int = 40, id_column: str = "doc_id", text_column: str = "text", loose: float = 0.01, tight: float = 0.001, rows_per_part: int = 50_000) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard for each row of ``df``.
 
-    A row's size is its text's UTF-8 bytes (null: none) plus 16. Shards are ranges of (hash of the text, hash of the
-    row), found by counting bytes below probes until every boundary meets its tolerance; then the rows are exchanged
-    once. Equal texts share a shard unless their group straddles a boundary and is larger than the tolerance. Slots
-    are gapless from 0 in each shard. Null ids and repeated rows are rows like others; an empty table gives an empty
-    one; other columns are not read.
+    A row's size is its text's UTF-8 bytes (null: none) plus 16. Rows are ordered by a hash of the text and then a hash of the
+    row; shards are ranges of that order, found by counting bytes below probes until every boundary meets its tolerance.
+    Boundaries by the number of rows cut shards into intervals of about ``rows_per_part`` rows in the same way; then rows are exchanged once,
+    by interval, and sorted there. Slots count a shard's rows in that order, gapless from 0. Equal texts share a shard unless their
+    group straddles a boundary and is larger than the tolerance. Null ids and repeated rows are rows like others; an empty
+    table gives an empty one; other columns are not read.
     """
     text = whole_text(text_column)
     rows = df.select(
@@ -115,21 +124,30 @@ def shard_by_bytes(df: DataFrame, shards: int = 40, id_column: str = "doc_id", t
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("key"),
         F.xxhash64(F.monotonically_increasing_id(), F.col(id_column)).alias("tie"),
+        F.lit(1).alias("one"),
     )
     rows = durable(rows)
     total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    bounds = splitters(rows, total, shards, loose, tight) if count else []
-    parts = max(8, -(-count // (shards * rows_per_part)))
-    placed = rows.withColumn("shard", place(bounds)).withColumn("part", F.pmod("tie", F.lit(parts)))
-    # Slots: ranks within small parts of a shard, moved up by the counts of the shard's parts before.
-    counts = placed.groupBy("shard", "part").count()
-    before = W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select("shard", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    rank = F.row_number().over(W.partitionBy("shard", "part").orderBy("tie", "key", "doc_id"))
+    of_shards = of_parts = []
+    if count:
+        mean, parts = total / shards, max(LEAST_PARTS, min(MOST_PARTS, -(-count // rows_per_part)))
+        of_shards = boundaries(rows, "size", [round(mean * k) for k in range(1, shards)], mean * tight, mean * loose)
+        of_parts = boundaries(rows, "one", sorted({count * k // parts for k in range(1, parts)} - {0}), count / parts / 8, count / parts / 2)
+    bounds = sorted({*of_shards, *of_parts})
+    placed = place(rows, bounds)
+    counts = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}  # at most as many numbers as boundaries
+    begins = [(0, 0), *bounds]
+    shard_of = [bisect_right(sorted(of_shards), b) for b in begins]
+    starts, held = [], dict.fromkeys(range(shards), 0)
+    for part, shard in enumerate(shard_of):
+        starts.append((part, shard, held[shard]))
+        held[shard] += counts.get(part, 0)
+    table = small_table(df.sparkSession, starts, "part int, shard int, start long")
+    rank = F.row_number().over(W.partitionBy("part").orderBy("key", "tie", "doc_id"))
     return (
         placed.withColumn("rank", rank)
-        .join(starts, ["shard", "part"])
-        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("start") + F.col("rank") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+        .join(F.broadcast(table), "part")
+        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("rank") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     )
 
 
