@@ -34,7 +34,7 @@ class Codec:
             if v.stands[token]:
                 self.matcher.add_word(bytes(symbols).decode("latin-1"), (len(symbols), token))
         self.matcher.make_automaton()
-        self.pieces, self.runs = Memo(self._piece, 700_000), Memo(self._run, 500_000)
+        self.pieces, self.runs = Memo(self._piece, 300_000), Memo(self._run, 300_000)
         spelling = {t: bytes(s) for t, s in v.spelling.items()} | {t: s.encode() for s, t in v.specials.items()}
         self.spelling = [spelling.get(t, b"") for t in range(max(spelling) + 1)]
         self.special_ids = {s: np.array([t], "<u4").tobytes() for s, t in v.specials.items()}
@@ -108,7 +108,7 @@ def encode_texts(df: DataFrame, path: str, id_column: str = "doc_id", text_colum
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, sha = Codec(path), lambda x: hashlib.sha256(x).hexdigest()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             ids = [codec.encode(x) for x in batch.column("text").to_pylist()]
             decoded = [codec.decode(x) for x in ids]
             columns = [batch.column("doc_id"), [len(x) // 4 for x in ids], [*map(sha, ids)], [*map(sha, decoded)]]

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries that a worker's memo holds before it starts anew; it bounds memory, never results.
-MEMO_LIMIT = 400_000
+MEMO_LIMIT = 200_000
 
 #: Longest text or bytes that a memo keeps as a key.
 LONG_KEY = 64
@@ -74,7 +74,7 @@ def raw_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most about ``most_bytes`` of text (one row at least)."""
     for batch in batches:
         rows = batch.num_rows

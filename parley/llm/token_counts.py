@@ -35,7 +35,7 @@ class Transducer:
 
     START = 0
 
-    def __init__(self, vocabulary: merges.Vocabulary, limit: int = 400_000):
+    def __init__(self, vocabulary: merges.Vocabulary, limit: int = 200_000):
         self.vocabulary, self.limit = vocabulary, limit
         self.trie: list[dict[int, int]] = [{}]
         self.token_at: dict[int, int] = {}
@@ -177,7 +177,7 @@ def token_counts(df: DataFrame, path: str, id_column: str = "doc_id", text_colum
 
     def count_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(path)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             texts = batch.column("text").to_pylist()
             yield table(short_schema, batch.column("doc_id"), batch.column("n_bytes"), [counter.text(x) for x in texts])
             counter.trim()
@@ -185,7 +185,7 @@ def token_counts(df: DataFrame, path: str, id_column: str = "doc_id", text_colum
 
     def map_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(path)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             head, count, tail = zip(*map(counter.chunk_map, batch.column("text").to_pylist()), strict=True)
             yield table(map_schema, *(batch.column(c) for c in ("row_id", "doc_id", "at", "n_bytes")), head, count, tail)
             counter.trim()
