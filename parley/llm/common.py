@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 #: Entries that a worker's memo holds before it starts anew; it bounds memory, never results.
 MEMO_LIMIT = 200_000
 
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
+
 #: Longest text or bytes that a memo keeps as a key.
 LONG_KEY = 64
 
@@ -75,17 +78,38 @@ def raw_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most about ``most_bytes`` of text (one row at least)."""
+    """The same rows in batches of about ``most_bytes`` of text at most (one row at least); small ones are joined."""
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
         rows = batch.num_rows
         step = max(1, int(rows * most_bytes / max(1, batch.column(column).nbytes)))
         for at in range(0, rows, step):
-            yield batch.slice(at, step)
+            part = batch.slice(at, step)
+            own = part.column(column).nbytes
+            if held and size + own > most_bytes:
+                yield _joined(held)
+                held, size = [], 0
+            held.append(part)
+            size += own
+    if held:
+        yield _joined(held)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.concat_batches(batches)
 
 
 def map_arrow(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``rows.mapInArrow(run, schema)``, after which a worker gives back the memory that it no longer uses; workers live on and
-    serve the next stages."""
+    serve the next stages.
+
+    Rows hold long texts, so where the session has Spark's default of 10,000 rows to an Arrow batch, it gets BATCH_ROWS; ``slices`` makes of
+    them what an operator wants at a time.
+    """
+    conf = rows.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def freeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)

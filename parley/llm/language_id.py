@@ -318,7 +318,7 @@ def predict_languages(df: DataFrame, model: Model, id_column: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         tagger = Tagger(model)
-        for batch in slices(batches, "__text", 1 << 20):
+        for batch in slices(batches, "__text", 2 << 20):
             languages, scores = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
             if model.languages and batch.num_rows:
                 posterior, borders, _, _ = tagger.tag(batch.column("__text").to_pylist())
@@ -348,7 +348,7 @@ def label_words(df: DataFrame, model: Model, id_column: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         tagger = Tagger(model)
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             posterior, borders, tokens, places = tagger.tag(batch.column("text").to_pylist())
             offset = np.concatenate(([0], np.cumsum([len(t) for t in tokens])))
             rows = []

@@ -55,7 +55,7 @@ class Vocabulary:
             self.merge_rank[pair] = rank
             if made not in self.parts:
                 self.rank[made], self.parts[made] = rank, pair
-        self.beside = Memo(self._beside, 400_000)
+        self.beside = Memo(self._beside, 600_000)
         self.stands = Memo(self._stands)
 
     def _stands(self, token: int) -> bool:

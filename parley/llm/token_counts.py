@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -14,12 +16,18 @@ from pyspark.sql import functions as F
 from parley.llm import merges
 from parley.llm.common import Memo, map_arrow, slices, table, vocabulary_path, whole_text
 
-#: Characters of a chunk; longer texts are cut, and their chunks are counted in different tasks.
+#: Symbols of a chunk; texts of more characters are cut, and their chunks are read in different tasks.
 CHUNK = 65_536
 
+#: Symbols before a chunk from which the state at its beginning is told. Where a piece began before them, that is a guess.
+LOOKBACK = 512
+
+#: The symbol of a special token, beside 0 to 255 for bytes and 256 to 511 for bytes that end a piece.
+SPECIAL = 512
+
 #: Fixed values of the vocabulary's normaliser and splitter.
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{merges.SPACE}\p{{L}}\p{{N}}]+")
-GAPS = regex.compile(f"[{merges.SPACE}]+")
+GAPS, WORDS = regex.compile(f"[{merges.SPACE}]+"), regex.compile(f"[^{merges.SPACE}]+")
 PYTHON_ONLY_SPACE = regex.compile("[\x1c-\x1f]")
 
 
@@ -35,7 +43,7 @@ class Transducer:
 
     START = 0
 
-    def __init__(self, vocabulary: merges.Vocabulary, limit: int = 200_000):
+    def __init__(self, vocabulary: merges.Vocabulary, limit: int = 400_000):
         self.vocabulary, self.limit = vocabulary, limit
         self.trie: list[dict[int, int]] = [{}]
         self.token_at: dict[int, int] = {}
@@ -80,13 +88,51 @@ class Transducer:
         arc = self.arcs[state << 9 | symbol] = (number, emitted)
         return arc
 
-    def count(self, piece: bytes) -> int:
-        """Tokens of a piece, its last byte ending the word."""
-        state, total, arcs = self.START, 0, self.arcs
-        for symbol in (*piece[:-1], piece[-1] + 256):
+    def run(self, state: int, symbols: Iterable[int]) -> tuple[int, int]:
+        """The state after the symbols, and how many tokens they add. A piece's end leads back to the start, as does a special token."""
+        total, arcs = 0, self.arcs
+        for symbol in symbols:
+            if symbol == SPECIAL:
+                total += 1
+                continue
             state, emitted = arcs.get(state << 9 | symbol) or self.compile(state, symbol)
             total += emitted
-        return total
+            if symbol > 255:
+                state = self.START
+        return state, total
+
+    def count(self, piece: bytes) -> int:
+        """Tokens of a piece, its last byte ending the word."""
+        return self.run(self.START, (*piece[:-1], piece[-1] + 256))[1]
+
+    def name(self, state: int) -> str:
+        """What a state is, so that any other compilation of the vocabulary knows it."""
+        return ";".join(",".join(map(str, x)) for x in self.states[state])
+
+    def named(self, name: str) -> int:
+        key = tuple(tuple(map(int, x.split(","))) for x in name.split(";"))
+        if key not in self.numbers:
+            self.numbers[key] = len(self.states)
+            self.states.append(key)
+        return self.numbers[key]
+
+
+#: What a chunk does: for an entry state the state behind it and the tokens counted on the way.
+StateMap = dict[str, tuple[str, int]]
+
+
+def compose(first: StateMap, second: StateMap) -> StateMap:
+    """The map of two neighbouring chunks together; associative, so a scan may take neighbours in any grouping."""
+    return {entry: (second[middle][0], count + second[middle][1]) for entry, (middle, count) in first.items() if middle in second}
+
+
+def scan(maps: list[StateMap]) -> list[StateMap]:
+    """Of each prefix of the chunks the map: inclusive scan, in which the distance of what is composed doubles each round."""
+    distance = 1
+    while distance < len(maps):
+        maps = [compose(maps[k - distance], m) if k >= distance else m for k, m in enumerate(maps)]
+        distance *= 2
+    return maps
 
 
 class Counter:
@@ -95,8 +141,8 @@ class Counter:
     def __init__(self, path: str):
         self.vocabulary = merges.load(path)
         self.transducer = Transducer(self.vocabulary)
-        self.pieces = Memo(self.transducer.count)
-        self.words = Memo(self._word)
+        self.pieces = Memo(self.transducer.count, 400_000)
+        self.words = Memo(self._word, 600_000)
 
     def _word(self, word: str) -> int:
         total, specials = 0, 0
@@ -106,11 +152,15 @@ class Counter:
         else:
             parts = [word]
         for part in parts:
-            if not part.isascii():
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # sigma is lower-cased without its context
-            total += sum(self.pieces[x.encode()] for x in PIECES.findall(part.lower()))
+            total += sum(self.pieces[x.encode()] for x in self.pieces_of(part))
         return total + specials
 
+    @staticmethod
+    def pieces_of(part: str) -> list[str]:
+        if not part.isascii():
+            part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # sigma is lower-cased without its context
+        return PIECES.findall(part.lower())
+
     def split(self, text: str) -> list[str]:
         if PYTHON_ONLY_SPACE.search(text):
             return [x for x in GAPS.split(text) if x]
@@ -130,84 +180,113 @@ class Counter:
         self.transducer.reset()
         self.vocabulary.beside.clear()
 
-    def chunk_map(self, chunk: str) -> tuple[str, int, str | None]:
-        """What a chunk does to whichever state the transducer is in when it begins.
-
-        White space brings the transducer to its start from any state. So the map is constant after the chunk's
-        first word: (symbols still to be read from the entry state, tokens counted behind them, the symbols that
-        name the state at the end). Without white space the end is None: all of it is read from the entry state.
+    def symbols(self, text: str) -> np.ndarray:
+        """The symbols of a whole text: what the transducer reads. White space and borders of pieces are in its ends of pieces."""
+        found = array("H")
+        for match in WORDS.finditer(text):
+            word = match[0]
+            specials = self.vocabulary.special_pattern.findall(word) if "<|" in word else []
+            for k, part in enumerate(self.vocabulary.special_pattern.split(word) if specials else [word]):
+                if k:
+                    found.append(SPECIAL)
+                for piece in self.pieces_of(part):
+                    raw = piece.encode()
+                    found.extend(raw[:-1])
+                    found.append(raw[-1] + 256)
+        return np.frombuffer(found, np.uint16)
+
+    def chunk_map(self, before: bytes, symbols: bytes) -> StateMap:
+        """A chunk's map for the state that the symbols before it lead to from the start."""
+        fst = self.transducer
+        entry, _ = fst.run(fst.START, np.frombuffer(before, np.uint16).tolist())
+        leave, count = fst.run(entry, np.frombuffer(symbols, np.uint16).tolist())
+        return {fst.name(entry): (fst.name(leave), count)}
+
+    def total(self, chunks: list[tuple[StateMap, bytes | None]]) -> int:
+        """Tokens of a whole text from its chunks' maps in order, and the symbols of those whose entry was guessed.
+
+        The scan tells how far the guesses were right. From a wrong one on, chunks follow one another, and where a map does not know its
+        true entry, the chunk is read again from there.
         """
-        gaps = [m.span() for m in GAPS.finditer(chunk)]
-        if not gaps:
-            return chunk, 0, None
-        return chunk[: gaps[0][0]], self.text(chunk[gaps[0][1] : gaps[-1][0]]), chunk[gaps[-1][1] :]
-
-    def compose(self, first: tuple, second: tuple) -> tuple:
-        """The map of two neighbouring chunks; associative, so a scan may take them in any grouping."""
-        (head, count, end), (head2, count2, end2) = first, second
-        if end is None:
-            return head + head2, count2, end2
-        if end2 is None:
-            return head, count, end + head2
-        return head, count + self.text(end + head2) + count2, end2
-
-    def scan(self, maps: list[tuple]) -> int:
-        """Tokens of a whole text: neighbouring maps are composed pairwise, level by level."""
-        while len(maps) > 1:
-            paired = [self.compose(a, b) for a, b in zip(maps[::2], maps[1::2])]
-            maps = paired + maps[len(paired) * 2 :]
-        head, count, end = maps[0]
-        return self.text(head) + count + (0 if end is None else self.text(end))
-
-
-def token_counts(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", limit: int = 2048, chunk: int = CHUNK) -> DataFrame:
+        fst = self.transducer
+        start = fst.name(fst.START)
+        prefixes = scan([m for m, _ in chunks])
+        right = next((k for k, m in enumerate(prefixes) if start not in m), len(chunks))
+        state, total = prefixes[right - 1][start] if right else (start, 0)
+        for own, symbols in chunks[right:]:
+            if state not in own:
+                leave, count = fst.run(fst.named(state), np.frombuffer(symbols, np.uint16).tolist())
+                own = {state: (fst.name(leave), count)}
+            state, total = own[state][0], total + own[state][1]
+        return total
+
+
+def cut_symbols(symbols: np.ndarray, chunk: int, lookback: int) -> Iterator[tuple[int, bytes, bytes, bool]]:
+    """Number, symbols before, symbols, and whether the symbols before do not reach back to a piece's begin, of each chunk."""
+    borders = np.flatnonzero(symbols > 255) + 1  # where the transducer is at its start
+    for k, at in enumerate(range(0, max(1, len(symbols)), chunk)):
+        last = int(np.searchsorted(borders, at, "right")) - 1
+        begin = int(borders[last]) if last >= 0 else 0
+        first = max(begin, at - lookback)
+        yield k, symbols[first:at].tobytes(), symbols[at : at + chunk].tobytes(), first > begin
+
+
+def token_counts(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", limit: int = 2048, chunk: int = CHUNK, lookback: int = LOOKBACK) -> DataFrame:
     """One row for each row of ``df``: doc_id, n_bytes, n_tokens, over_limit.
 
     A null or empty text has 0 bytes and 0 tokens; repeated rows and null ids are kept as they are; other columns
-    are not read. Texts of more than ``chunk`` characters are cut into chunks, wherever that falls, which other
-    tasks count; only their maps (a word at each end and a number) meet again, by row.
+    are not read. Texts of more than ``chunk`` characters become chunks of that many symbols, cut anywhere, which other
+    tasks read; a chunk gives back its state map, and a text's maps are composed by a prefix scan. Where a piece began more than
+    ``lookback`` symbols before a chunk, the entry state is a guess, and the chunk's symbols go along, so that a wrong guess is mended.
     """
     rows = df.select(
-        F.monotonically_increasing_id().alias("row_id"), F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text")
-    )
-    short_schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
-    map_schema = pa.schema(
-        [("row_id", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n_bytes", pa.int64()), ("head", pa.string()), ("count", pa.int64()), ("tail", pa.string())]
+        F.monotonically_increasing_id().alias("row_id"), F.col(id_column).cast("long").alias("doc_id"), F.octet_length(whole_text(text_column)).cast("long").alias("n_bytes"), whole_text(text_column).alias("text")
     )
+    counted = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
+    keys = [("row_id", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("at", pa.int64())]
+    chunked = pa.schema([*keys, ("before", pa.binary()), ("symbols", pa.binary()), ("guessed", pa.bool_())])
+    mapped = pa.schema([*keys, ("entry", pa.string()), ("leave", pa.string()), ("count", pa.int64()), ("symbols", pa.binary())])
 
     def count_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(path)
         for batch in slices(batches, "text", 4 << 20):
-            texts = batch.column("text").to_pylist()
-            yield table(short_schema, batch.column("doc_id"), batch.column("n_bytes"), [counter.text(x) for x in texts])
+            yield table(counted, batch.column("doc_id"), batch.column("n_bytes"), [counter.text(x) for x in batch.column("text").to_pylist()])
             counter.trim()
         counter.clear()
 
-    def map_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(path)
         for batch in slices(batches, "text", 4 << 20):
-            head, count, tail = zip(*map(counter.chunk_map, batch.column("text").to_pylist()), strict=True)
-            yield table(map_schema, *(batch.column(c) for c in ("row_id", "doc_id", "at", "n_bytes")), head, count, tail)
+            for *own, text in zip(*(batch.column(c).to_pylist() for c in ("row_id", "doc_id", "n_bytes", "text"))):
+                yield table(chunked, *zip(*((*own, *x) for x in cut_symbols(counter.symbols(text), chunk, lookback))))
+
+    def map_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter(path)
+        for batch in slices(batches, "symbols", 4 << 20):
+            found = []
+            for *own, before, symbols, guessed in zip(*(batch.column(c).to_pylist() for c in chunked.names)):
+                [(entry, (leave, count))] = counter.chunk_map(before, symbols).items()
+                found.append((*own, entry, leave, count, symbols if guessed else None))
+            if found:
+                yield table(mapped, *zip(*found))
             counter.trim()
         counter.clear()
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(path)
-        chunks = (x for batch in batches for x in zip(*(batch.column(c).to_pylist() for c in ("row_id", "doc_id", "n_bytes", "head", "count", "tail"))))
-        for _, group in groupby(chunks, key=lambda x: x[0]):
-            maps = [*group]
-            yield table(short_schema, [maps[0][1]], [maps[0][2]], [counter.scan([x[3:] for x in maps])])
+        every = (x for batch in batches for x in zip(*(batch.column(c).to_pylist() for c in mapped.names)))
+        for _, group in groupby(every, key=lambda x: x[0]):
+            chunks = [*group]
+            total = counter.total([({entry: (leave, count)}, symbols) for *_, entry, leave, count, symbols in chunks])
+            yield table(counted, [chunks[0][1]], [chunks[0][2]], [total])
             counter.trim()
         counter.clear()
 
-    counted = "doc_id long, n_bytes long, n_tokens long"
-    short = map_arrow(rows.where(F.length("text") <= chunk).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text"), count_short, counted)
-    cut = rows.where(F.length("text") > chunk).select(
-        "row_id", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chunk}}}"), 0)).alias("at", "text")
-    )
-    cut = cut.withColumn("at", F.col("at").cast("long")).repartition("row_id", "at")
-    maps = map_arrow(cut, map_chunks, "row_id long, doc_id long, at long, n_bytes long, head string, count long, tail string")
-    long = map_arrow(maps.repartition("row_id").sortWithinPartitions("row_id", "at"), fold, counted)
+    shape = "doc_id long, n_bytes long, n_tokens long"
+    short = map_arrow(rows.where(F.length("text") <= chunk).select("doc_id", "n_bytes", "text"), count_short, shape)
+    cut = map_arrow(rows.where(F.length("text") > chunk), cut_long, "row_id long, doc_id long, n_bytes long, at long, before binary, symbols binary, guessed boolean")
+    maps = map_arrow(cut.repartition("row_id", "at"), map_chunks, "row_id long, doc_id long, n_bytes long, at long, entry string, leave string, count long, symbols binary")
+    long = map_arrow(maps.repartition("row_id").sortWithinPartitions("row_id", "at"), fold, shape)
     return short.unionByName(long).withColumn("over_limit", F.col("n_tokens") > limit)
 
 

@@ -31,12 +31,36 @@ def test_counts_are_the_librarys(spark, docs, odd, library):
         assert all(r["over_limit"] == (r["n_tokens"] > 2048) for r in got)
 
 
-def test_chunks_may_fall_anywhere(spark, docs, odd, library):
-    for df in (docs.limit(40), odd):
-        got = token_counts.token_counts(df, WORDS, chunk=7).collect()
+@pytest.mark.parametrize("chunk, lookback", [(7, 512), (7, 2)])
+def test_chunks_may_fall_anywhere(spark, docs, odd, library, chunk, lookback):
+    """Also where most entry states are guessed wrong at first."""
+    for df in (docs.limit(12), odd.where("length(text) < 5000")):
+        got = token_counts.token_counts(df, WORDS, chunk=chunk, lookback=lookback).collect()
         assert counted((r["doc_id"], r["n_tokens"]) for r in got) == counted((i, size(library, WORDS, t)) for i, t in pairs(df))
 
 
+def test_words_longer_than_chunks(spark, library):
+    texts = ["ab" * 3000, "中文字符很长的文本没有空格" * 200, "<|endoftext|>" * 300 + "x" * 2000, "9" * 900 + "é" * 900, "tokenization" * 400 + " end", " " * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for chunk, lookback in ((500, 100), (1000, 3), (400, 0)):
+        got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(df, WORDS, chunk=chunk, lookback=lookback).collect()}
+        assert got == {i: size(library, WORDS, t) for i, t in enumerate(texts)}
+
+
+def test_maps_compose_in_any_grouping():
+    counter = token_counts.Counter(WORDS)
+    symbols = counter.symbols("unbelievable reinterpretation of transliterations, again")
+    maps = [counter.chunk_map(before, own) for _, before, own, _ in token_counts.cut_symbols(symbols, 5, 512)]
+    start, fst = counter.transducer.name(counter.transducer.START), counter.transducer
+    one = maps[0]
+    for m in maps[1:]:
+        one = token_counts.compose(one, m)
+    right = maps[-1]
+    for m in maps[-2::-1]:
+        right = token_counts.compose(m, right)
+    assert one[start] == right[start] == token_counts.scan(maps)[-1][start] == (start, fst.run(fst.START, symbols.tolist())[1])
+
+
 def test_random_strings(library):
     rng, counter, codec = random.Random(5), token_counts.Counter(WORDS), bpe_codec.Codec(BYTES)
     letters = "aabbeehnt  'sSlLΣσéı1²½٣中  \x1c\x00\n\t.,<|endoftext|>😀-"
