@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import accumulate
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,12 +14,15 @@ from parley.operators.timeline import merge_spans, overlap, range_join
 
 
 def _distance(a: list[str], b: list[str]) -> int:
-    """Fewest insertions, deletions and substitutions of words that turn one into the other."""
-    row = list(range(len(b) + 1))
-    for k, word in enumerate(a, 1):
-        kept = [k, *(min(row[j] + (word != other), row[j + 1] + 1) for j, other in enumerate(b))]
-        row = list(accumulate(kept, lambda left, here: min(left + 1, here)))
-    return row[-1]
+    """Fewest insertions, deletions and substitutions of words that turn one into the other; a row of the table at a time."""
+    numbers: dict[str, int] = {}
+    left, right = ([numbers.setdefault(w, len(numbers)) for w in words] for words in (a, b))
+    other, steps = np.array(right, np.int64), np.arange(len(right) + 1)
+    row = steps
+    for k, word in enumerate(left, 1):
+        kept = np.concatenate(([k], np.minimum(row[:-1] + (other != word), row[1:] + 1)))
+        row = np.minimum.accumulate(kept - steps) + steps  # insertions from the left
+    return int(row[-1])
 
 
 @F.pandas_udf(T.LongType())

@@ -109,8 +109,9 @@ def similarities(queries: DataFrame, library: DataFrame, k: int = TOP, least: fl
     sides = library.select("person", "embedding", *extra).withColumn("__block", spread)
     # Own names keep the two sides apart where both come from one table.
     asked = queries.select("query", *(F.col(c).alias(f"q_{c}") for c in ("embedding", *extra))).withColumns({"__block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
-    asked = asked.withColumn("__part", F.pmod(F.xxhash64("query"), F.lit(8)).cast("int"))
-    sides = sides.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    parts = max(1, -(-queries.count() // block))  # so that a task's share of the queries does not grow with them
+    asked = asked.withColumn("__part", F.pmod(F.xxhash64("query"), F.lit(parts)).cast("int"))
+    sides = sides.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     found = asked.groupBy("__block", "__part").cogroup(sides.groupBy("__block", "__part")).applyInPandas(compare, shape)
     scored = found.groupBy("query", "person").agg(top_mean(F.flatten(F.collect_list("best")), k).alias("score"))
     return scored if least is None else scored.where(F.col("score") >= least)
@@ -292,12 +293,13 @@ def average_linkage(rows: DataFrame, keys: list[str], least: float, order: str =
     return _grouped(rows, keys, "cluster", T.IntegerType(), lambda m: _linkage(m, least), order)
 
 
-def _leaders(m: np.ndarray, least: float) -> list[int]:
+def _leaders(m: np.ndarray, least: float, later: bool = True) -> list[int]:
+    """Each vector's group; of groups equally near the ``later`` or the earlier one."""
     sums: list[np.ndarray] = []
     out = []
     for v in m:
         scores = [float(s @ v / (np.linalg.norm(s) or 1.0)) for s in sums]
-        best = max(range(len(scores)), key=lambda k: (scores[k], k), default=-1)
+        best = max(range(len(scores)), key=lambda k: (scores[k], k if later else -k), default=-1)
         if best >= 0 and scores[best] >= least:
             sums[best] = sums[best] + v
         else:
@@ -316,20 +318,27 @@ def online_speakers(rows: DataFrame, keys: list[str], least: float = LIVE_VOICE,
 
 def _split(windows: pd.DataFrame, same: float, seconds: float) -> list[int]:
     m, length = _matrix(windows["embedding"]), windows["seconds"].to_numpy(float)
-    label = np.array(_leaders(m, same))
-    major = [k for k in np.unique(label) if length[label == k].sum() >= seconds]
-    groups = [m[label == k] for k in major]
+    named = windows["known"].notna().to_numpy()
+    # A window that is near a known person is that person's; the others are grouped in order.
+    label: list = [("person", x) if k else None for k, x in zip(named, windows["known"])]
+    for k, number in zip(np.flatnonzero(~named), _leaders(m[~named], same, later=False)):
+        label[k] = ("voice", number)
+    major = [x for x in dict.fromkeys(label) if length[[y == x for y in label]].sum() >= seconds]
+    groups = [(x[0] == "person", m[[y == x for y in label]]) for x in major]
     while len(groups) > 1:
-        centres = _length_one(np.stack([g.mean(axis=0) for g in groups]))
+        centres = _length_one(np.stack([g.mean(axis=0) for _, g in groups]))
         near = centres @ centres.T
         near[np.tril_indices(len(groups))] = -np.inf
+        known = np.array([k for k, _ in groups])
+        near[np.outer(known, known)] = -np.inf  # two known people are never one
         a, b = np.unravel_index(int(near.argmax()), near.shape)
         if near[a, b] < same:
             break
-        groups[a] = np.concatenate((groups[a], groups.pop(b)))
+        person, taken = groups.pop(b)
+        groups[a] = (groups[a][0] or person, np.concatenate((groups[a][1], taken)))
     if len(groups) < 2:
         return [0] * len(m)
-    found = (m @ _length_one(np.stack([g.mean(axis=0) for g in groups])).T).argmax(axis=1)
+    found = (m @ _length_one(np.stack([g.mean(axis=0) for _, g in groups])).T).argmax(axis=1)
     segment = windows["segment"].to_numpy()
     for k in range(1, len(found) - 1):
         if segment[k - 1] == segment[k] == segment[k + 1] and found[k - 1] == found[k + 1]:
@@ -338,18 +347,22 @@ def _split(windows: pd.DataFrame, same: float, seconds: float) -> list[int]:
 
 
 def split_voices(windows: DataFrame, keys: list[str], same: float = SAME_VOICE, seconds: float = VOICE_SECONDS) -> DataFrame:
-    """keys, seq, voice: windows (seq, segment, seconds, embedding) of one supposed voice, told apart where it is several.
+    """keys, seq, voice: windows (seq, segment, seconds, embedding and, if there is that column, ``known``, the person that the window was
+    recognised as) of one supposed voice, told apart where it is several.
 
-    Groups of at least ``seconds`` count as voices; near ones are merged; every window joins the nearest, and a lone one between
+    A known person's windows are a group, the others are grouped in order, of groups equally near the first. Groups of at least
+    ``seconds`` count as voices; near ones are merged, but never two known people; every window joins the nearest, and a lone one between
     two of another in its segment follows those. With fewer than two voices all are voice 0.
     """
+    if "known" not in windows.columns:
+        windows = windows.withColumn("known", F.lit(None).cast("string"))
     shape = T.StructType([*_fields(windows, *keys, "seq"), T.StructField("voice", T.IntegerType())])
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("seq")
         return group[[*keys, "seq"]].assign(voice=_split(group, same, seconds))
 
-    return windows.where(finite("embedding")).select(*keys, "seq", "segment", "seconds", "embedding").groupBy(*keys).applyInPandas(run, shape)
+    return windows.where(finite("embedding")).select(*keys, "seq", "segment", "seconds", "embedding", "known").groupBy(*keys).applyInPandas(run, shape)
 
 
 def solo_share(spans: DataFrame, keys: list[str], most: int) -> DataFrame:

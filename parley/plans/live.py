@@ -63,17 +63,19 @@ def session_windows(spark, sf_dir):
 
 @query()
 def speech_utterances(spark, sf_dir):
-    """Documents' bytes as samples: a deterministic stand-in for sound."""
-    d = table(spark, sf_dir, "documents").select(F.col("source").alias("recording"), F.col("doc_id").alias("seq"), F.col("text").cast("binary").alias("pcm"))
+    """Each document's bytes as a recording's samples: a deterministic stand-in for sound."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("recording"), F.lit(0).alias("seq"), F.col("text").cast("binary").alias("pcm"))
     return n.utterances(d)
 
 
 @query()
 def known_or_new_speakers(spark, sf_dir):
+    """The stated queries as voices, four to a recording, held against all other vectors."""
     from parley.operators.voices import similarities
-    from parley.plans.voices import vectors
+    from parley.plans.voices import asked, vectors
 
     rows = vectors(spark, sf_dir)
+    voices = asked(rows).withColumn("meeting", F.floor(F.col("vec_id") / 400))
     # People as text, as they stand beside 'Speaker n'.
-    scores = similarities(rows.withColumn("query", F.col("vec_id")), rows.withColumn("person", F.col("person").cast("string")), apart="vec_id").withColumnRenamed("query", "vec_id")
-    return n.known_or_new(rows, scores.join(rows.select("vec_id", "meeting"), "vec_id"), ["meeting"], 0.2, 0.25)
+    scores = similarities(voices.withColumn("query", F.col("vec_id")), rows.withColumn("person", F.col("person").cast("string")), apart="vec_id").withColumnRenamed("query", "vec_id")
+    return n.known_or_new(voices, scores.join(voices.select("vec_id", "meeting"), "vec_id"), ["meeting"], 0.2, 0.25)

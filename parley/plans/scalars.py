@@ -21,10 +21,10 @@ def format_timestamps(spark, sf_dir):
 
 @query("""
 SELECT conv_id, regexp_replace(regexp_replace(string_agg(trim(w), ' ' ORDER BY turn, k), '\\s+([,.;:!?%)\\]}])', '\\1', 'g'), '([(\\[{])\\s+', '\\1', 'g') AS text
-FROM (SELECT conv_id, turn, unnest(string_split(replace(text, '.', ' . '), ' ')) AS w, generate_subscripts(string_split(replace(text, '.', ' . '), ' '), 1) AS k FROM conversations WHERE turn < 2)
+FROM (SELECT conv_id, turn, unnest(string_split(replace(text, '.', ' . '), ' ')) AS w, generate_subscripts(string_split(replace(text, '.', ' . '), ' '), 1) AS k FROM conversations)
 WHERE trim(w) <> '' GROUP BY conv_id""")
 def join_words_text(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("turn < 2")
+    c = table(spark, sf_dir, "conversations")
     words = c.select("conv_id", "turn", F.posexplode(F.split(F.replace("text", F.lit("."), F.lit(" . ")), " ")).alias("k", "w"))
     told = F.transform(F.array_sort(F.collect_list(F.struct("turn", "k", "w"))), lambda v: v["w"])
     return words.groupBy("conv_id").agg(x.join_words(told).alias("text"))

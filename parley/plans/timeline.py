@@ -14,7 +14,7 @@ KEYS = ["meeting"]
 WORDS_SQL = """SELECT user_id AS meeting, event_id AS seq, epoch_us(ts) // 60000000 AS start, epoch_us(ts) // 60000000 + 1 + event_id % 240 AS "end",
   event_type AS text, CASE WHEN event_id % 7 <> 0 THEN event_type END AS label FROM events"""
 SEGMENTS_SQL = """SELECT user_id AS meeting, event_id AS seq, epoch_us(ts) // 60000000 AS start, epoch_us(ts) // 60000000 + 60 + event_id % 600 AS "end",
-  event_type AS speaker FROM events WHERE event_id % 3 = 0"""
+  event_type AS speaker FROM events"""
 
 
 def minutes(column: str = "ts") -> Column:
@@ -29,7 +29,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_id % 3 = 0")
+    e = table(spark, sf_dir, "events")
     return e.select(F.col("user_id").alias("meeting"), F.col("event_id").alias("seq"), minutes().alias("start"), (minutes() + 60 + F.col("event_id") % 600).alias("end"), F.col("event_type").alias("speaker"))
 
 
@@ -49,21 +49,20 @@ def assign_by_overlap(spark, sf_dir):
 
 @query(f"""
 WITH w AS ({WORDS_SQL}), s AS ({SEGMENTS_SQL}), p AS (SELECT w.meeting, w.seq, w.label, s.speaker, s.seq AS c,
-  least(s."end", w."end") - greatest(s.start, w.start) AS shared FROM w JOIN s ON w.meeting = s.meeting AND s.seq % 2 = 1 AND w.start < s."end" AND s.start < w."end")
+  least(s."end", w."end") - greatest(s.start, w.start) AS shared FROM w JOIN s ON w.meeting = s.meeting AND w.start < s."end" AND s.start < w."end")
 SELECT w.meeting, w.seq, coalesce(any_value(b.speaker), any_value(w.label)) AS label FROM w LEFT JOIN
   (SELECT meeting, seq, list(speaker ORDER BY shared DESC, c)[1] AS speaker FROM p GROUP BY ALL) b USING (meeting, seq) GROUP BY ALL""")
 def corrections_by_overlap(spark, sf_dir):
-    corrections = segments(spark, sf_dir).where("seq % 2 = 1")
-    return t.relabel(words(spark, sf_dir), corrections, KEYS, 720).select("meeting", "seq", "label")
+    return t.relabel(words(spark, sf_dir), segments(spark, sf_dir), KEYS, 720).select("meeting", "seq", "label")
 
 
 @query(f"""
-WITH p AS (SELECT meeting, seq, start AS at FROM ({WORDS_SQL}) WHERE seq % 3 = 1), m AS (SELECT meeting, seq, start AS at, speaker AS label FROM ({SEGMENTS_SQL})),
+WITH p AS (SELECT meeting, seq, start + 7 AS at FROM ({WORDS_SQL})), m AS (SELECT meeting, seq, start AS at, speaker AS label FROM ({SEGMENTS_SQL})),
 r AS (SELECT p.meeting, p.seq, m.label, row_number() OVER (PARTITION BY p.meeting, p.seq
   ORDER BY abs(m.at - p.at), m.at, CASE WHEN m.at <= p.at THEN -m.seq ELSE m.seq END) AS rn FROM p JOIN m ON p.meeting = m.meeting)
 SELECT p.meeting, p.seq, p.at, r.label AS near FROM p LEFT JOIN r ON r.meeting = p.meeting AND r.seq = p.seq AND rn = 1""")
 def nearest_interval_asof(spark, sf_dir):
-    points = words(spark, sf_dir).where("seq % 3 = 1").select("meeting", "seq", F.col("start").alias("at"))
+    points = words(spark, sf_dir).select("meeting", "seq", (F.col("start") + 7).alias("at"))
     marks = segments(spark, sf_dir).select("meeting", "seq", F.col("start").alias("at"), F.col("speaker").alias("label"))
     return t.nearest_mark(points, marks, KEYS)
 
@@ -125,7 +124,7 @@ def join_touching_spans(spark, sf_dir):
 
 _GAPS = f"""
 WITH r AS ({_merged(SEGMENTS_SQL, "meeting", 30)}), w AS ({WORDS_SQL}),
-p AS (SELECT r.meeting, r.start, r."end", w.start AS ws, w."end" AS we FROM r JOIN w ON r.meeting = w.meeting AND w.start < r."end" AND r.start < w."end" AND w.seq % 2 = 0),
+p AS (SELECT r.meeting, r.start, r."end", w.start AS ws, w."end" AS we FROM r JOIN w ON r.meeting = w.meeting AND w.start < r."end" AND r.start < w."end"),
 g AS (SELECT meeting, greatest(start, coalesce(max(we) OVER (PARTITION BY meeting, start, "end" ORDER BY ws, we ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), start)) AS a, ws AS b FROM p
   UNION ALL SELECT r.meeting, greatest(r.start, coalesce(max(we), r.start)), r."end" FROM r LEFT JOIN p USING (meeting, start, "end") GROUP BY r.meeting, r.start, r."end")"""
 
@@ -133,14 +132,14 @@ g AS (SELECT meeting, greatest(start, coalesce(max(we) OVER (PARTITION BY meetin
 @query(_GAPS + _merged('SELECT meeting, a AS start, b AS "end" FROM g WHERE b - a >= 60', "meeting", 0))
 def missing_spans(spark, sf_dir):
     regions = t.merge_spans(segments(spark, sf_dir), KEYS, 30)
-    return t.missing_spans(words(spark, sf_dir).where("seq % 2 = 0"), regions, KEYS, 720, 60)
+    return t.missing_spans(words(spark, sf_dir), regions, KEYS, 720, 60)
 
 
 @query(f"""
-SELECT meeting, seq, start, "end" FROM ({WORDS_SQL}) w WHERE seq % 3 = 1 AND NOT EXISTS (SELECT 1 FROM ({SEGMENTS_SQL}) s
+SELECT meeting, seq, start, "end" FROM ({WORDS_SQL}) w WHERE NOT EXISTS (SELECT 1 FROM ({SEGMENTS_SQL}) s
   WHERE s.meeting = w.meeting AND least(s."end", w."end") - greatest(s.start, w.start) > 5)""")
 def range_anti_overlap(spark, sf_dir):
-    found = words(spark, sf_dir).where("seq % 3 = 1").select("meeting", "seq", "start", "end")
+    found = words(spark, sf_dir).select("meeting", "seq", "start", "end")
     return t.without_overlap(found, segments(spark, sf_dir), KEYS, "seq", 720, 5)
 
 
@@ -189,7 +188,7 @@ def tokens_to_words(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT conv_id AS meeting, turn AS seq, CASE WHEN turn % 3 <> 2 THEN role END AS speaker, turn % 3 = 2 AS partial, left(text, 20) AS text FROM conversations),
+WITH s AS (SELECT conv_id AS meeting, turn AS seq, CASE WHEN turn % 3 <> 2 THEN role END AS speaker, turn % 3 = 2 AS partial, text FROM conversations),
 j AS (SELECT *, partial AND speaker IS NULL AS joins FROM s),
 l AS (SELECT *, last_value(CASE WHEN NOT joins THEN {'s': speaker} END IGNORE NULLS) OVER (PARTITION BY meeting ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)['s'] AS lead,
   lag(seq) OVER (PARTITION BY meeting ORDER BY seq) AS p FROM j),
@@ -197,7 +196,7 @@ g AS (SELECT *, sum(CASE WHEN (joins AND p IS NOT NULL) OR coalesce(speaker = le
 SELECT meeting, CAST(paragraph AS BIGINT) AS paragraph, first(speaker ORDER BY seq) AS speaker, string_agg(text, ' ' ORDER BY seq) AS text FROM g GROUP BY meeting, paragraph""")
 def speaker_paragraphs(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    live = c.select(F.col("conv_id").alias("meeting"), F.col("turn").alias("seq"), F.when(F.col("turn") % 3 != 2, F.col("role")).alias("speaker"), (F.col("turn") % 3 == 2).alias("partial"), F.left("text", F.lit(20)).alias("text"))
+    live = c.select(F.col("conv_id").alias("meeting"), F.col("turn").alias("seq"), F.when(F.col("turn") % 3 != 2, F.col("role")).alias("speaker"), (F.col("turn") % 3 == 2).alias("partial"), "text")
     return t.paragraphs(live, KEYS)
 
 
@@ -232,10 +231,10 @@ def words_inside_spans(spark, sf_dir):
 
 @query(f"""
 WITH l AS ({SEGMENTS_SQL}), p AS (SELECT x.meeting, x.speaker AS turn_label, l.seq % 3 AS lane, least(x."end", l."end") - greatest(x.start, l.start) AS s
-  FROM l JOIN (SELECT meeting, speaker, min(start) AS start, min("end") AS "end" FROM l GROUP BY ALL) x ON x.meeting = l.meeting WHERE l.seq % 2 = 0),
+  FROM l JOIN (SELECT meeting, speaker, min(start) AS start, min("end") AS "end" FROM l GROUP BY ALL) x ON x.meeting = l.meeting),
 g AS (SELECT meeting, turn_label, lane, min(greatest(0, -s)) AS gap, sum(greatest(0, s)) AS shared FROM p GROUP BY ALL)
 SELECT meeting, turn_label, list(lane ORDER BY gap, shared DESC, lane)[1] AS lane FROM g GROUP BY ALL""")
 def nearest_lane(spark, sf_dir):
     s = segments(spark, sf_dir)
     turns = s.groupBy("meeting", F.col("speaker").alias("turn_label")).agg(F.min("start").alias("start"), F.min("end").alias("end"))
-    return t.nearest_lane(s.where("seq % 2 = 0").select("meeting", (F.col("seq") % 3).alias("lane"), "start", "end"), turns, KEYS)
+    return t.nearest_lane(s.select("meeting", (F.col("seq") % 3).alias("lane"), "start", "end"), turns, KEYS)

@@ -1,4 +1,4 @@
-"""Queries over voice vectors. Labels stand for people, every fifth vector for one meeting."""
+"""Queries over voice vectors. Labels stand for people; every fifth vector is of one meeting, and runs of vectors are one recording's."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parley.operators import voices as v
 from parley.plans import query, table
 
-VECTORS_SQL = "SELECT vec_id, CAST(vec_id % 5 AS BIGINT) AS meeting, label AS person, CAST(embedding AS DOUBLE[]) AS e FROM embeddings"
+VECTORS_SQL = "SELECT vec_id, CAST(vec_id % 5 AS BIGINT) AS meeting, vec_id // 50 AS recording, label AS person, CAST(embedding AS DOUBLE[]) AS e FROM embeddings"
 
 _MEANS_SQL = f"""SELECT meeting, person, list_transform(m, lambda x: x / sqrt(list_sum(list_transform(m, lambda y: y * y)))) AS e FROM
   (SELECT meeting, person, list(x ORDER BY k) AS m FROM (SELECT meeting, person, k, avg(x) AS x FROM
@@ -17,7 +17,7 @@ _MEANS_SQL = f"""SELECT meeting, person, list_transform(m, lambda x: x / sqrt(li
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", (F.col("vec_id") % 5).alias("meeting"), F.col("label").alias("person"), "embedding")
+    return e.select("vec_id", (F.col("vec_id") % 5).alias("meeting"), F.floor(F.col("vec_id") / 50).alias("recording"), F.col("label").alias("person"), "embedding")
 
 
 def asked(rows: DataFrame) -> DataFrame:
@@ -26,13 +26,13 @@ def asked(rows: DataFrame) -> DataFrame:
 
 
 _PAIR_SCORES = f"""SELECT vec_id AS query, person, list_sum(s[1:3]) / len(s[1:3]) AS score FROM (SELECT q.vec_id, l.person, list(list_inner_product(q.e, l.e) ORDER BY list_inner_product(q.e, l.e) DESC) AS s
-  FROM ({VECTORS_SQL}) q JOIN ({VECTORS_SQL}) l ON q.vec_id % 100 = 0 AND l.vec_id % 100 <> 0 GROUP BY ALL)"""
+  FROM ({VECTORS_SQL}) q JOIN ({VECTORS_SQL}) l ON q.vec_id % 100 = 0 AND l.vec_id <> q.vec_id GROUP BY ALL)"""
 
 
 @query(f"SELECT query, person, round(score, 4) AS score FROM ({_PAIR_SCORES})")
 def pairwise_similarity_topk(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    found = v.similarities(asked(rows).withColumnRenamed("vec_id", "query"), rows.where("vec_id % 100 <> 0"))
+    found = v.similarities(asked(rows).withColumn("query", F.col("vec_id")), rows, apart="vec_id")
     return found.select("query", "person", F.round("score", 4).alias("score"))
 
 
@@ -40,10 +40,10 @@ _GENUINE = f"""SELECT a.vec_id AS query, b.vec_id AS other, a.person = b.person
   ON a.vec_id % 100 = 0 AND a.meeting <> b.meeting AND NOT (b.vec_id % 100 = 0 AND a.vec_id > b.vec_id)"""
 
 
-@query(f"SELECT query, other, genuine, round(score, 4) AS score FROM ({_GENUINE.replace('vec_id % 100 = 0', 'vec_id % 50 < 2')})")
+@query(f"SELECT query, other, genuine, round(score, 4) AS score FROM ({_GENUINE})")
 def genuine_impostor_pairs(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    return v.verification_scores(rows.where("vec_id % 50 < 2"), rows).select("query", "other", "genuine", F.round("score", 4).alias("score"))
+    return v.verification_scores(asked(rows), rows).select("query", "other", "genuine", F.round("score", 4).alias("score"))
 
 
 @query(f"SELECT meeting, person, list_transform(e, lambda x: round(x, 4)) AS mean FROM ({_MEANS_SQL})")
@@ -79,17 +79,18 @@ def verification_eer(spark, sf_dir):
 
 
 def _voices(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Four voices a meeting, and what they score against every person."""
-    rows = vectors(spark, sf_dir).where("vec_id < 200")
-    voices = rows.where("vec_id < 40").select(F.pmod(F.col("vec_id"), F.lit(10)).alias("meeting"), F.floor(F.col("vec_id") / 10).alias("cluster"), F.floor(F.col("vec_id") / 10).alias("seq"), "vec_id", "embedding")
-    found = v.similarities(voices.select(F.col("vec_id").alias("query"), "embedding"), rows.where("vec_id >= 40"))
+    """The stated queries as voices, four to a meeting, and what they score against every person's other vectors."""
+    rows = vectors(spark, sf_dir)
+    number = F.floor(F.col("vec_id") / 100)
+    voices = asked(rows).select(F.floor(number / 4).alias("meeting"), (number % 4).alias("cluster"), (number % 4).alias("seq"), "vec_id", "embedding")
+    found = v.similarities(voices.select(F.col("vec_id").alias("query"), "vec_id", "embedding"), rows, apart="vec_id")
     scores = found.join(voices.select(F.col("vec_id").alias("query"), "meeting", "cluster"), "query").select("meeting", "cluster", "person", "score")
     return voices.select("meeting", "cluster", "seq"), scores
 
 
 @query(f"""
-WITH RECURSIVE s AS (SELECT vec_id % 10 AS meeting, vec_id // 10 AS cluster, person, list_sum(l[1:3]) / len(l[1:3]) AS score FROM (SELECT q.vec_id, p.person, list(list_inner_product(q.e, p.e) ORDER BY list_inner_product(q.e, p.e) DESC) AS l
-  FROM ({VECTORS_SQL}) q JOIN ({VECTORS_SQL}) p ON q.vec_id < 40 AND p.vec_id BETWEEN 40 AND 199 GROUP BY ALL)),
+WITH RECURSIVE s AS (SELECT vec_id // 400 AS meeting, vec_id // 100 % 4 AS cluster, person, list_sum(l[1:3]) / len(l[1:3]) AS score FROM (SELECT q.vec_id, p.person, list(list_inner_product(q.e, p.e) ORDER BY list_inner_product(q.e, p.e) DESC) AS l
+  FROM ({VECTORS_SQL}) q JOIN ({VECTORS_SQL}) p ON q.vec_id % 100 = 0 AND p.vec_id <> q.vec_id GROUP BY ALL)),
 o AS (SELECT *, row_number() OVER (PARTITION BY meeting ORDER BY score DESC, cluster, person) AS n FROM s WHERE score >= 0.15),
 w AS (SELECT m.meeting, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS cs, CAST([] AS BIGINT[]) AS ps, CAST(NULL AS BIGINT) AS cluster, CAST(NULL AS BIGINT) AS person, CAST(NULL AS DOUBLE) AS score FROM (SELECT DISTINCT meeting FROM s) m UNION ALL
   SELECT o.meeting, o.n, CASE WHEN ok THEN list_append(w.cs, o.cluster) ELSE w.cs END, CASE WHEN ok THEN list_append(w.ps, CAST(o.person AS BIGINT)) ELSE w.ps END, CASE WHEN ok THEN o.cluster END, CASE WHEN ok THEN o.person END, CASE WHEN ok THEN o.score END
@@ -110,23 +111,27 @@ def redundancy(spark, sf_dir):
 
 @query()
 def prune_most_redundant(spark, sf_dir):
-    return v.prune(vectors(spark, sf_dir), ["person"])
+    return v.prune(vectors(spark, sf_dir), ["recording"])
 
 
 @query()
 def average_linkage_labels(spark, sf_dir):
-    return v.average_linkage(vectors(spark, sf_dir), ["meeting", "person"], 0.1)
+    return v.average_linkage(vectors(spark, sf_dir), ["recording"], 0.1)
 
 
 @query()
 def online_leader_clustering(spark, sf_dir):
-    return v.online_speakers(vectors(spark, sf_dir), ["meeting"], 0.25)
+    return v.online_speakers(vectors(spark, sf_dir), ["recording"], 0.25)
 
 
 @query()
 def split_voices(spark, sf_dir):
-    rows = vectors(spark, sf_dir).select("person", F.col("vec_id").alias("seq"), F.floor(F.col("vec_id") / 20).alias("segment"), F.lit(1.5).alias("seconds"), "embedding")
-    return v.split_voices(rows, ["person"], 0.2, 3.0)
+    """Windows that are asked for are named by the person they are nearest to, if near enough."""
+    rows = vectors(spark, sf_dir)
+    near = v.best_person(v.similarities(asked(rows).withColumn("query", F.col("vec_id")), rows, apart="vec_id")).where("score >= 0.2").select(F.col("query").alias("vec_id"), F.col("person").alias("known"))
+    named = rows.join(near, "vec_id", "left")
+    windows = named.select("recording", F.col("vec_id").alias("seq"), F.floor(F.col("vec_id") / 10).alias("segment"), F.lit(1.5).alias("seconds"), "embedding", "known")
+    return v.split_voices(windows, ["recording"], 0.2, 3.0)
 
 
 @query("""

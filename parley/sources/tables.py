@@ -1,34 +1,119 @@
-"""Stored tables: durable intermediate results and snapshots that replace each other."""
+"""Stored tables: durable intermediate results, and tables of parts whose present versions a log of pointers names."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Parts of a table that is kept by key.
+PARTS = 64
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in ``spark.checkpoint.dir``; only where none is set (tests) a folder is made."""
-    context = df.sparkSession.sparkContext
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it. Where none is set a local master gets a
+    temporary one; on a cluster that is an error, as executors could not see it."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="parley-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="parley-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def snapshot(spark: SparkSession, table: str) -> DataFrame | None:
-    """The table's present contents, or None if it was never written."""
+def fresh_folder(spark: SparkSession) -> str:
+    """A new folder's path in the shared one."""
+    return f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+
+
+def _pointers(spark: SparkSession, table: str) -> list[tuple[int, int, str]]:
+    """Number, part and folder of each part's present version; at most as many as the table has parts."""
     try:
-        current = spark.read.text(f"{table}/CURRENT").first()[0]
+        lines = spark.read.text(f"{table}/pointers").select(F.split("value", " ").alias("v"))
+        newest = lines.select(F.col("v")[0].cast("long").alias("n"), F.col("v")[1].cast("int").alias("part"), F.col("v")[2].alias("folder"))
+        rows = newest.groupBy("part").agg(F.max(F.struct("n", "folder")).alias("last")).select("last.n", "part", "last.folder").collect()
     except AnalysisException:
-        return None
-    return spark.read.parquet(f"{table}/{current}")
+        return []
+    return [(r["n"], r["part"], r["folder"]) for r in rows]
+
+
+def snapshot(spark: SparkSession, table: str, parts: list[int] | None = None) -> DataFrame | None:
+    """The present contents of a table, or of some of its parts; None if nothing was ever written there."""
+    folders = [f"{table}/{folder}" for _, part, folder in _pointers(spark, table) if parts is None or part in parts]
+    return spark.read.parquet(*folders) if folders else None
+
+
+def replace_parts(df: DataFrame, table: str, part: str | None = None) -> None:
+    """Write new versions of the parts that the column ``part`` names (without it, of the whole table, as part 0) and point to them.
+
+    Versions are written beside the old ones. Then one small file is added to the pointers, and nothing is ever overwritten or
+    deleted: a reader at any time sees the old versions or the new ones, all parts together, and a job that fails halfway has
+    changed nothing. One writer at a time is assumed. A part that has no rows in ``df`` stays as it is.
+    """
+    spark, name = df.sparkSession, f"v-{uuid.uuid4().hex}"
+    last = max((n for n, _, _ in _pointers(spark, table)), default=0)
+    if part is None:
+        df.write.parquet(f"{table}/{name}")
+        lines = [f"{last + 1} 0 {name}"]
+    else:
+        df.write.partitionBy(part).parquet(f"{table}/{name}")
+        touched = spark.read.parquet(f"{table}/{name}").select(part).distinct().collect()
+        lines = [f"{last + 1} {r[0]} {name}/{part}={r[0]}" for r in touched]
+    if lines:
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("append").text(f"{table}/pointers")
 
 
 def replace_table(df: DataFrame, table: str) -> None:
-    """Write a new snapshot beside the old one, then point to it. Readers of the old one are not disturbed, and a job that fails
-    halfway changes nothing. One writer at a time is assumed."""
-    name = f"v-{uuid.uuid4().hex}"
-    df.write.parquet(f"{table}/{name}")
-    df.sparkSession.createDataFrame([(name,)], "name string").coalesce(1).write.mode("overwrite").text(f"{table}/CURRENT")
+    """Replace a table as a whole; a reader of the old version is not disturbed."""
+    replace_parts(df, table)
+
+
+def upsert_by_key(changes: DataFrame, table: str, keys: list[str], newest: str | None = None, parts: int = PARTS) -> None:
+    """Rows with the keys of ``changes`` are replaced by those, other rows stay; of several with equal keys, stored ones included, the one of
+    largest ``newest`` stays, if that is given. Only parts of the table that a change falls into are read and written."""
+    dealt = changes.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
+    touched = [r["part"] for r in dealt.select("part").distinct().collect()]
+    known = snapshot(changes.sparkSession, table, touched)
+    both = dealt.withColumn("__age", F.lit(1))
+    if known is not None:
+        old = known.withColumns({"part": F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"), "__age": F.lit(0)})
+        both = both.unionByName(old, allowMissingColumns=True)
+    rest = [c for c in both.columns if c not in (*keys, "part", "__age")]
+    order = F.struct(*([newest] if newest else []), "__age", F.xxhash64(*(F.col(c).cast("string") for c in rest)))
+    latest = both.groupBy(*keys, "part").agg(F.max_by(F.struct(*rest), order).alias("row")).select(*keys, "part", "row.*")
+    replace_parts(latest, table, "part")
+
+
+# ---------------------------------------------------------------- records
+
+
+def save_records(records: DataFrame, table: str, kept: tuple[str, ...] = ("_tasks",)) -> None:
+    """Store records by id. Columns of ``kept`` that the new record leaves null keep what is stored."""
+    known = snapshot(records.sparkSession, table)
+    held = [c for c in kept if c in records.columns and known is not None and c in known.columns]
+    if held:
+        old = known.join(records.select("id").distinct(), "id", "left_semi").select("id", *(F.col(c).alias(f"__{c}") for c in held))
+        records = records.join(old, "id", "left").withColumns({c: F.coalesce(c, f"__{c}") for c in held}).select(records.columns)
+    upsert_by_key(records, table, ["id"])
+
+
+def load_record(spark: SparkSession, table: str, record: str | int, parts: int = PARTS) -> DataFrame:
+    """The record of one id, from the part that it is in; a missing one is an error."""
+    wanted = F.lit(record) if isinstance(record, str) else F.lit(record).cast("long")
+    part = spark.range(1).select(F.pmod(F.xxhash64(wanted), F.lit(parts))).first()[0]
+    known = snapshot(spark, table, [part])
+    found = known.where(F.col("id") == wanted) if known is not None else None
+    if found is None or found.isEmpty():
+        raise KeyError(f"no record {record}")
+    return found
