@@ -17,14 +17,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import Memo, crc_bucket, durable, map_arrow, mixed, raw_texts, signed, slices, table, whole_text, word_memo, words_of
+from parley.llm.common import Memo, crc_bucket, durable, map_arrow, mixed, raw_texts, slices, table, whole_text, word_memo, words_of
 
 #: Hash of the token that ends each text; words' hashes that equal it are moved by one.
 END = 1
 
-#: Least share of the training tokens at which a word gets a short number, which every task is told; at most 1 / share words can reach
-#: it. Other words go by their hash. It makes no difference to any score.
-WORD_SHARE = 1e-6
+#: Most words that get short numbers, which every task is told, and blocks from which they are drawn. Other words go by their hash; it
+#: makes no difference to any score.
+SHORT, SAMPLE = 1_000_000, 32
 
 #: Least count of pairs and triples in the model, whatever the size of the corpus, and the discount of their counts.
 LEAST, DISCOUNT = 2, 0.75
@@ -67,9 +67,9 @@ def _token_memo() -> Memo:
 
 
 def block_texts(rows: DataFrame, most_bytes: int = BLOCK) -> DataFrame:
-    """(block, payload) of rows (row_id, doc_id, held_out, text): the texts as numbered words with an end each, and what else the
-    result needs. Numbers are places in the block's sorted list of word hashes."""
-    schema = pa.schema([("block", pa.int64()), ("payload", pa.binary())])
+    """(block, training, payload) of rows (row_id, doc_id, held_out, text): the texts as numbered words with an end each, and what else
+    the result needs; ``training`` counts tokens of training texts. Numbers are places in the block's sorted list of word hashes."""
+    schema = pa.schema([("block", pa.int64()), ("training", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _token_memo()
@@ -85,17 +85,19 @@ def block_texts(rows: DataFrame, most_bytes: int = BLOCK) -> DataFrame:
             ids = batch.column("doc_id")
             numbers = np.array(ids.fill_null(0).to_pylist(), np.int64).view(np.uint64)
             flags = np.array(ids.is_null().to_pylist(), np.uint8) | np.array(batch.column("held_out").to_pylist(), np.uint8) << 1
-            payload = squeeze(words, tokens.astype(np.uint32), np.array([len(x) for x in found], np.uint32), numbers, flags)
-            yield table(schema, [batch.column("row_id")[0].as_py()], [payload])
+            lengths = np.array([len(x) for x in found], np.uint32)
+            payload = squeeze(np.diff(words, prepend=np.uint64(0)), tokens.astype(np.uint32), lengths, numbers, flags)
+            yield table(schema, [batch.column("row_id")[0].as_py()], [int(lengths[(flags & 2) == 0].sum())], [payload])
 
-    return map_arrow(rows, run, "block long, payload binary")
+    return map_arrow(rows, run, "block long, training long, payload binary")
 
 
 class Block:
     """A block's tokens, and its distinct pairs and triples, in the order of the places where they meet."""
 
     def __init__(self, payload: bytes):
-        self.words, tokens, self.lengths, self.ids, self.flags = unsqueeze(payload)
+        words, tokens, self.lengths, self.ids, self.flags = unsqueeze(payload)
+        self.words = np.cumsum(words, dtype=np.uint64)
         self.tokens = tokens.astype(np.int64)
         self.training = np.repeat((self.flags & 2) == 0, self.lengths)
 
@@ -103,14 +105,26 @@ class Block:
         """How often each word occurs in training texts."""
         return np.bincount(self.tokens[self.training], minlength=len(self.words))
 
-    def grams(self, meetings: int) -> None:
-        """Sets pairs (first, second) and triples (pair, third) with their places; of each position the pair and the triple that end there, or -1."""
+    def word_places(self, meetings: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words' marks, the places where they meet, and their order by place and mark."""
+        marks = self.words | np.uint64(RARE)
+        places = word_place(marks, meetings)
+        return marks, places, np.lexsort((marks, places))
+
+    def grams(self, meetings: int, frequent: np.ndarray) -> np.ndarray:
+        """Sets pairs (first, second) and triples (pair, third) with their places; of each position the pair and the triple that end there, or -1.
+
+        A pair with a word that has no short number meets others where that word's do, so the word goes to few places. Returns the words' codes.
+        """
+        codes = coded(self.words, frequent)
         t, v = self.tokens, len(self.words)
         end = int(np.searchsorted(self.words, np.uint64(END)))
         at = np.flatnonzero(t[:-1] != end)  # a text's last token begins nothing
         pairs, of_pair = np.unique(t[at] * v + t[at + 1], return_inverse=True)
         first, second = pairs // v, pairs % v
-        place = (pair_hash(self.words[first], self.words[second]) % np.uint64(meetings)).astype(np.int64)
+        a, b, rare = self.words[first], self.words[second], codes >= RARE
+        key = np.where(rare[first], mixed(a, 16), np.where(rare[second], mixed(b, 16), pair_hash(a, b)))
+        place = (key % np.uint64(meetings)).astype(np.int64)
         order = np.argsort(place, kind="stable")
         moved = np.empty(len(order), np.int64)
         moved[order] = np.arange(len(order))
@@ -122,6 +136,7 @@ class Block:
         self.context, self.third = triples // v, triples % v
         self.triple_ending = np.full(len(t), -1)
         self.triple_ending[at + 2] = of_triple
+        return codes
 
     def training_counts(self, ending: np.ndarray, size: int) -> np.ndarray:
         return np.bincount(ending[(ending >= 0) & self.training], minlength=size)
@@ -132,11 +147,103 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mixed(mixed(a, 11) + b, 12)
 
 
+def word_place(marks: np.ndarray, meetings: int) -> np.ndarray:
+    return (mixed(marks, 15) % np.uint64(meetings)).astype(np.int64)
+
+
 def coded(words: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """64-bit codes of word hashes: the place among the frequent ones, or the hash with RARE set."""
-    at = np.minimum(np.searchsorted(frequent, words), max(0, len(frequent) - 1))
-    known = frequent[at] == words if len(frequent) else np.zeros(len(words), bool)
-    return np.where(known, at.astype(np.uint64), words | np.uint64(RARE))
+    """64-bit codes of word hashes: the place of the mark, which is the hash with RARE set, among the frequent ones, or the mark."""
+    marks = words | np.uint64(RARE)
+    at = np.minimum(np.searchsorted(frequent, marks), max(0, len(frequent) - 1))
+    known = frequent[at] == marks if len(frequent) else np.zeros(len(marks), bool)
+    return np.where(known, at.astype(np.uint64), marks)
+
+
+def word_rows(blocks: DataFrame, meetings: int) -> DataFrame:
+    """(meeting, block, payload): each block's distinct words by meeting place, with their counts in training texts."""
+    schema = pa.schema([("meeting", pa.int32()), ("block", pa.int64()), ("payload", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, payload in zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist()):
+                block = Block(payload)
+                marks, places, order = block.word_places(meetings)
+                marks, counts = marks[order], block.counts()[order].astype(np.uint32)
+                borders = np.searchsorted(places[order], np.arange(meetings + 1))
+                out = [(k, number, squeeze(np.diff(marks[a:b], prepend=np.uint64(0)), counts[a:b])) for k, (a, b) in enumerate(zip(borders, borders[1:])) if b > a]
+                yield table(schema, *zip(*out))
+
+    return map_arrow(blocks, run, "meeting int, block long, payload binary")
+
+
+def by_meeting(rows: DataFrame, run_one, shape: str) -> DataFrame:
+    """What ``run_one`` makes of each meeting place's rows (block, payload), as (block, meeting, payload) rows."""
+    schema = pa.schema([("block", pa.int64()), ("meeting", pa.int32()), ("payload", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = (x for batch in batches for x in zip(*(batch.column(c).to_pylist() for c in ("meeting", "block", "payload"))))
+        for place, group in groupby(every, key=lambda x: x[0]):
+            for number, at, payload in run_one(place, [x[1:] for x in group]):
+                yield table(schema, [number], [at], [payload])
+
+    return map_arrow(rows.select("meeting", "block", "payload").repartition("meeting").sortWithinPartitions("meeting"), run, shape)
+
+
+ANSWER = "block long, meeting int, payload binary"
+
+
+def meet_words(rows: list[tuple[int | None, bytes]]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
+    """The distinct marks of a meeting place, their counts, and of each block the places of its words among them."""
+    own = [(number, *unsqueeze(payload)) for number, payload in rows]
+    marks = [np.cumsum(diff, dtype=np.uint64) for _, diff, _ in own]
+    words, at = np.unique(np.concatenate(marks), return_inverse=True)
+    counts = np.bincount(at, np.concatenate([n for *_, n in own]), len(words)).astype(np.int64)
+    ends = np.cumsum([len(m) for m in marks])
+    return words, counts, [(number, part) for (number, *_), part in zip(own, np.split(at, ends[:-1]))]
+
+
+def short_words(blocks: DataFrame, most: int, sample: int) -> np.ndarray:
+    """At most ``most`` sorted marks of words that deserve short numbers: those that stand twice in one of at most ``sample`` blocks, the
+    most frequent ones there first. Which words these are decides how small packed rows get, and nothing else."""
+    schema = pa.schema([("payload", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload in batch.column("payload").to_pylist():
+                block = Block(payload)
+                counts = np.bincount(block.tokens)
+                marks = np.unique(block.words[counts > 1] | np.uint64(RARE))
+                yield table(schema, [squeeze(np.diff(marks, prepend=np.uint64(0)))])
+
+    drawn = blocks.orderBy(F.xxhash64("block")).limit(sample).select("block")
+    chosen = blocks.join(F.broadcast(drawn), "block", "left_semi").select("payload")
+    told = [np.cumsum(unsqueeze(r["payload"])[0], dtype=np.uint64) for r in map_arrow(chosen, run, "payload binary").collect()]
+    if not told:
+        return np.zeros(0, np.uint64)
+    marks, times = np.unique(np.concatenate(told), return_counts=True)
+    return np.sort(marks[np.argsort(-times, kind="stable")[:most]])
+
+
+def word_answers(blocks: DataFrame, answered: DataFrame, meetings: int) -> DataFrame:
+    """For each block and meeting place its words' counts, and as contexts the sum and the number of their kept pairs; and rows without
+    block with the number of distinct words of training texts."""
+
+    def one(place: int, rows: list[tuple[int | None, bytes]]) -> list[tuple[int, int, bytes]]:
+        asked, sums = [x for x in rows if x[0] is not None], [unsqueeze(x[1]) for x in rows if x[0] is None]
+        if not asked:
+            return []
+        words, counts, blocks_at = meet_words(asked)
+        total, kept = np.zeros(len(words)), np.zeros(len(words))
+        for marks, own_total, own_kept in sums:
+            at = np.searchsorted(words, marks)  # a context is a word of some block
+            total[at] += own_total
+            kept[at] += own_kept
+        told = [x.astype(np.uint64) for x in (counts, total, kept)]
+        distinct = squeeze(np.array([np.count_nonzero(counts)], np.uint64))
+        return [(number, place, squeeze(*(x[at] for x in told))) for number, at in blocks_at] + [(None, place, distinct)]
+
+    below = answered.where("block is null").select("meeting", "block", "payload")
+    return by_meeting(word_rows(blocks, meetings).union(below), one, ANSWER)
 
 
 def meeting_rows(blocks: DataFrame, frequent, meetings: int) -> DataFrame:
@@ -147,8 +254,7 @@ def meeting_rows(blocks: DataFrame, frequent, meetings: int) -> DataFrame:
         for batch in batches:
             for number, payload in zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist()):
                 block = Block(payload)
-                block.grams(meetings)
-                codes = coded(block.words, frequent.value)
+                codes = block.grams(meetings, frequent.value)
                 n2 = block.training_counts(block.pair_ending, len(block.first)).astype(np.uint32)
                 n3 = block.training_counts(block.triple_ending, len(block.context)).astype(np.uint32)
                 followers = np.bincount(block.context, minlength=len(block.first)).astype(np.uint32)
@@ -170,8 +276,8 @@ def meeting_rows(blocks: DataFrame, frequent, meetings: int) -> DataFrame:
 # ---------------------------------------------------------------- where counts meet
 
 
-def meet(rows: list[tuple[int, bytes]], least: int = LEAST) -> tuple[list[tuple[int, bytes]], bytes]:
-    """Answers to the blocks' rows of one meeting place, and what the contexts of one word have here.
+def meet(rows: list[tuple[int, bytes]], frequent: np.ndarray, meetings: int, least: int = LEAST) -> tuple[list[tuple[int, bytes]], list[tuple[int, bytes]]]:
+    """Answers to the blocks' rows of one meeting place, and for the words' meeting places what their words have here as contexts.
 
     An answer gives for each pair its count, and as a context the sum and the number of its kept triples; for each triple its count. What
     is not kept has count 0.
@@ -202,8 +308,13 @@ def meet(rows: list[tuple[int, bytes]], least: int = LEAST) -> tuple[list[tuple[
     owner = context[at3]
     sum2 = np.bincount(owner, c3, len(pairs)).astype(np.int64)
     kept2 = np.bincount(owner, c3 > 0, len(pairs)).astype(np.int64)
-    words, word = np.unique(first[at], return_inverse=True)
-    below = squeeze(words, np.bincount(word, c2).astype(np.uint64), np.bincount(word, c2 > 0).astype(np.uint64))
+    words, word = np.unique(first[at][c2 > 0], return_inverse=True)
+    total, kept = np.bincount(word, c2[c2 > 0], len(words)).astype(np.uint64), np.bincount(word, minlength=len(words)).astype(np.uint64)
+    short = words < RARE
+    marks = words.copy()
+    marks[short] = frequent[words[short].astype(np.int64)]
+    places = word_place(marks, meetings)
+    below = [(k, squeeze(marks[own], total[own], kept[own])) for k in np.unique(places).tolist() for own in [places == k]]
     found, a, b = [], 0, 0
     for (number, _), size, size3 in zip(rows, sizes, sizes3):
         own, own3 = pair[a : a + size], triple[b : b + size3]
@@ -212,61 +323,14 @@ def meet(rows: list[tuple[int, bytes]], least: int = LEAST) -> tuple[list[tuple[
     return found, below
 
 
-def answers(rows: DataFrame) -> DataFrame:
-    """(block, meeting, payload) for each row of ``meeting_rows``, and rows without block: a meeting place's sums for contexts of one word."""
-    schema = pa.schema([("block", pa.int64()), ("meeting", pa.int32()), ("payload", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = (x for batch in batches for x in zip(*(batch.column(c).to_pylist() for c in ("meeting", "block", "payload"))))
-        for place, group in groupby(every, key=lambda x: x[0]):
-            found, below = meet([x[1:] for x in group])
-            for number, payload in [*found, (None, below)]:
-                yield table(schema, [number], [place], [payload])
-
-    return map_arrow(rows.repartition("meeting").sortWithinPartitions("meeting"), run, "block long, meeting int, payload binary")
-
-
-# ---------------------------------------------------------------- words
-
-
-def word_counts(blocks: DataFrame) -> DataFrame:
-    """(word, n): exact counts of all words and ends in training texts; words of other texts alone have none."""
-    schema = pa.schema([("word", pa.int64()), ("n", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for payload in batch.column("payload").to_pylist():
-                block = Block(payload)
-                n = block.counts()
-                yield table(schema, signed(block.words[n > 0]), n[n > 0])
-
-    return map_arrow(blocks, run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
+def answers(rows: DataFrame, frequent, meetings: int) -> DataFrame:
+    """(block, meeting, payload) for each row of ``meeting_rows``, and rows without block for the words' meeting places."""
 
-def context_sums(answered: DataFrame) -> DataFrame:
-    """(code, total, kept): of each word as a context, the sum and the number of its kept pairs."""
-    schema = pa.schema([("code", pa.int64()), ("total", pa.int64()), ("kept", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for payload in batch.column("payload").to_pylist():
-                yield table(schema, *(signed(x) for x in unsqueeze(payload)))
-
-    return map_arrow(answered.where("block is null").select("payload"), run, "code long, total long, kept long").groupBy("code").agg(F.sum("total").alias("total"), F.sum("kept").alias("kept"))
-
-
-def rare_words(blocks: DataFrame, frequent) -> DataFrame:
-    """(block, code) for the words of each block that have no short number."""
-    schema = pa.schema([("block", pa.int64()), ("code", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, payload in zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist()):
-                codes = coded(unsqueeze(payload)[0], frequent.value)
-                codes = codes[codes >= RARE]
-                yield table(schema, np.full(len(codes), number), signed(codes))
+    def one(place: int, own: list[tuple[int, bytes]]) -> list[tuple[int | None, int, bytes]]:
+        found, below = meet(own, frequent.value, meetings)
+        return [(number, place, payload) for number, payload in found] + [(None, k, payload) for k, payload in below]
 
-    return map_arrow(blocks, run, "block long, code long")
+    return by_meeting(rows, one, ANSWER)
 
 
 # ---------------------------------------------------------------- the walk
@@ -296,7 +360,7 @@ def walk(block: Block, c1: np.ndarray, sum1: np.ndarray, kept1: np.ndarray, c2:
     return np.add.reduceat(np.log10(weight), starts), np.add.reduceat(base, starts)
 
 
-def score_texts(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", buckets: int = 7, held_bucket: int = 2, word_share: float = WORD_SHARE, block_bytes: int = BLOCK, meeting_tokens: int = MEETING) -> DataFrame:
+def score_texts(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", buckets: int = 7, held_bucket: int = 2, most_short: int = SHORT, block_bytes: int = BLOCK, meeting_tokens: int = MEETING) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``df``.
 
     The model learns from rows whose crc32 of the id modulo ``buckets`` is not ``held_bucket``: all words, and all pairs and
@@ -307,50 +371,29 @@ def score_texts(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     rows = df.select(
         F.monotonically_increasing_id().alias("row_id"), F.col(id_column).cast("long").alias("doc_id"), (crc_bucket(id_column, buckets) == held_bucket).alias("held_out"), whole_text(text_column).alias("text")
     )
-    spark = df.sparkSession
     blocks = durable(block_texts(rows, block_bytes))
-    counted = durable(word_counts(blocks))
-    tokens, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    known = counted.where(F.col("n") >= max(1, word_share * tokens)).toPandas()
-    hashes = known["word"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    hashes, counts = hashes[order], known["n"].to_numpy(np.int64)[order]
-    frequent = spark.sparkContext.broadcast(hashes)
+    tokens = blocks.agg(F.coalesce(F.sum("training"), F.lit(0))).first()[0]
     meetings = max(1, -(-tokens // meeting_tokens))
-    answered = durable(answers(meeting_rows(blocks, frequent, meetings)))
-    sums = durable(context_sums(answered))
-    own = sums.where("code >= 0").toPandas()
-    total, kept = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
-    total[own["code"]], kept[own["code"]] = own["total"], own["kept"]
-    sent = spark.sparkContext.broadcast((counts, total, kept))
-    # Rare words, by block: at most as many rows as a block has distinct ones.
-    mark = F.col("word").bitwiseOR(F.lit(-RARE))
-    rare = counted.where(F.col("n") < max(1, word_share * tokens)).groupBy(mark.alias("code")).agg(F.sum("n").alias("n")).join(sums, "code", "left")
-    found = rare_words(blocks, frequent).join(rare, "code").select("block", F.lit(1).alias("kind"), F.lit(0).alias("meeting"), F.lit(None).cast("binary").alias("payload"), "code", "n", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("kept", F.lit(0)).alias("kept"))
-    none = [F.lit(None).cast("long").alias(c) for c in ("code", "n", "total", "kept")]
-    lines = blocks.select("block", F.lit(0).alias("kind"), F.lit(0).alias("meeting"), "payload", *none)
-    lines = lines.union(found).union(answered.where("block is not null").select("block", F.lit(2).alias("kind"), "meeting", "payload", *none))
+    frequent = df.sparkSession.sparkContext.broadcast(short_words(blocks, most_short, SAMPLE))
+    answered = durable(answers(meeting_rows(blocks, frequent, meetings), frequent, meetings))
+    lines = blocks.select("block", F.lit(0).alias("kind"), F.lit(0).alias("meeting"), "payload")
+    words = durable(word_answers(blocks, answered, meetings))
+    distinct = sum(int(unsqueeze(r["payload"])[0][0]) for r in words.where("block is null").select("payload").collect())  # one number a meeting place
+    lines = lines.union(words.where("block is not null").select("block", F.lit(1), "meeting", "payload"))
+    lines = lines.union(answered.where("block is not null").select("block", F.lit(2), "meeting", "payload"))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, frequent_words = frequent.value, sent.value
-        every = (x for batch in batches for x in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "payload", "code", "n", "total", "kept"))))
+        every = (x for batch in batches for x in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "payload"))))
         for _, group in groupby(every, key=lambda x: x[0]):
-            (_, _, payload, *_), *rest = group
+            (_, _, payload), *rest = group
             block = Block(payload)
-            block.grams(meetings)
-            codes = coded(block.words, hashes)
-            short = codes < RARE
-            c1, sum1, kept1 = (np.zeros(len(codes), np.int64) for _ in range(3))
-            for into, of in zip((c1, sum1, kept1), frequent_words):
-                into[short] = of[codes[short].astype(np.int64)]
-            rare = [x[3:] for x in rest if x[1] == 1]
-            if rare:
-                numbers = np.array(rare, np.int64)
-                by_code = np.argsort(codes)
-                places = by_code[np.searchsorted(codes, numbers[:, 0].view(np.uint64), sorter=by_code)]
-                for into, column in zip((c1, sum1, kept1), numbers.T[1:]):
-                    into[places] = column
+            block.grams(meetings, frequent.value)
+            order = block.word_places(meetings)[2]
+            words = [unsqueeze(x[2]) for x in rest if x[1] == 1]
+            c1, sum1, kept1 = (np.zeros(len(order), np.int64) for _ in range(3))
+            for into, parts in zip((c1, sum1, kept1), zip(*words)):
+                into[order] = np.concatenate(parts)
             told = [unsqueeze(x[2]) for x in rest if x[1] == 2]
             c2, sum2, kept2, c3 = (np.concatenate(x).astype(np.int64) for x in zip(*told)) if told else (np.zeros(0, np.int64) for _ in range(4))
             score, base = walk(block, c1, sum1, kept1, c2, sum2, kept2, c3, tokens, distinct)

@@ -47,7 +47,7 @@ class Plain:
         return sum(log10(self.p(tuple(t[max(0, k - 2) : k]), t[k])) for k in range(len(t)))
 
 
-@pytest.mark.parametrize("options", [{}, {"word_share": 0.01, "block_bytes": 3000, "meeting_tokens": 4000}, {"word_share": 1.0, "block_bytes": 20_000, "meeting_tokens": 50_000}])
+@pytest.mark.parametrize("options", [{}, {"most_short": 5, "block_bytes": 3000, "meeting_tokens": 4000}, {"most_short": 0, "block_bytes": 20_000, "meeting_tokens": 50_000}])
 def test_scores_are_those_of_all_grams(docs, odd, options):
     """Whatever is cut into blocks, meets in one place or has a short number."""
     for df in (docs, odd):
