@@ -173,14 +173,14 @@ def cut_text(counter: Counter, text: str, largest: int) -> list[tuple[int, int,
     return found or [(0, len(text), 1)]
 
 
-def text_pieces(df: DataFrame, path: str, largest: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def text_pieces(df: DataFrame, path: str, largest: int, id_column: str = "doc_id", text_column: str = "text", memo: int = 600_000) -> DataFrame:
     """doc_id, row_key, piece, first_char, end_char and piece_length for the pieces of each row's text; a null or empty text is
     one piece, its end token. ``row_key`` is a hash of id and text."""
     fields = [("doc_id", pa.int64()), ("row_key", pa.int64()), ("row_id", pa.int64())]
     schema = pa.schema(fields + [("piece", pa.int32()), ("first_char", pa.int64()), ("end_char", pa.int64()), ("piece_length", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path)
+        counter = Counter(path, memo)
         for batch in slices(batches, "text", 4 << 20):
             rows = []
             for *keys, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row_key", "row_id", "text"))):
@@ -211,10 +211,10 @@ def pack(df: DataFrame, length: Column, id_column: str = "doc_id", capacities: t
     """
     rows = df.select(F.col(id_column).cast("long").alias("doc_id"), F.greatest(F.coalesce(length.cast("long"), F.lit(1)), F.lit(1)).alias("length"), F.monotonically_increasing_id().alias("row_id"))
     cut = pieces(rows, max(capacities)).select("doc_id", "piece", "piece_length", F.xxhash64("row_id", "piece").alias("tie"))
-    return place_pieces(cut, capacities, opening, span, rows_per_part)
+    return place_pieces(durable(cut), capacities, opening, span, rows_per_part)
 
 
-def pack_texts(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", capacities: tuple[int, ...] = CAPACITIES, opening: int = OPENING, span: int = SPAN, rows_per_part: int = 50_000, keep: bool = False) -> DataFrame:
+def pack_texts(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", capacities: tuple[int, ...] = CAPACITIES, opening: int = OPENING, span: int = SPAN, rows_per_part: int = 50_000, keep: bool = False, memo: int = 600_000, broadcast_rows: int = 300_000) -> DataFrame:
     """One row for each piece of each row's text: doc_id, piece, first_char, end_char, length, bin, capacity, filled, at and, if
     ``keep``, the piece's text.
 
@@ -222,25 +222,28 @@ def pack_texts(df: DataFrame, path: str, id_column: str = "doc_id", text_column:
     characters from ``first_char`` to before ``end_char``. Texts longer than the largest capacity are cut between words, longer words
     inside. Null and empty texts are an end token; repeated rows and null ids are packed like others; other columns are not read.
     """
-    cut = text_pieces(df, path, max(capacities), id_column, text_column).withColumn("tie", F.xxhash64("row_id", "piece")).drop("row_id")
+    cut = durable(text_pieces(df, path, max(capacities), id_column, text_column, memo).withColumn("tie", F.xxhash64("row_id", "piece")).drop("row_id"))
     packed = place_pieces(cut, capacities, opening, span, rows_per_part)
     if keep:
-        # Rows of one id and text have the same pieces, so one text for each key is enough.
         key = F.xxhash64(F.coalesce(F.col(id_column).cast("long"), F.lit(-1)), whole_text(text_column))
-        texts = df.select(key.alias("row_key"), F.coalesce(F.col(id_column).cast("long"), F.lit(-1)).alias("id"), whole_text(text_column).alias("text")).groupBy("row_key", "id").agg(F.first("text").alias("text"))
-        packed = packed.withColumn("id", F.coalesce("doc_id", F.lit(-1))).join(texts, ["row_key", "id"]).drop("id")
+        texts = df.select(key.alias("row_key"), F.coalesce(F.col(id_column).cast("long"), F.lit(-1)).alias("id"), whole_text(text_column).alias("text"))
+        packed = packed.withColumn("id", F.coalesce("doc_id", F.lit(-1)))
+        rows, distinct = cut.agg(F.count("*"), F.count_distinct("row_key", "piece")).first()
+        if rows == distinct and rows <= broadcast_rows:
+            packed = texts.join(F.broadcast(packed), ["row_key", "id"]).select(*packed.columns, "text").drop("id")
+        else:  # rows of one id and text have the same pieces, so one text for each key is enough
+            packed = packed.join(texts.groupBy("row_key", "id").agg(F.first("text").alias("text")), ["row_key", "id"]).drop("id")
         packed = packed.withColumn("text", F.substr("text", (F.col("first_char") + 1).cast("int"), (F.col("end_char") - F.col("first_char")).cast("int")))
     return packed.drop("row_key")
 
 
 def place_pieces(cut: DataFrame, capacities: tuple[int, ...] = CAPACITIES, opening: int = OPENING, span: int = SPAN, rows_per_part: int = 50_000) -> DataFrame:
-    """The rows of ``cut`` (doc_id, piece, piece_length, tie and others) with length, bin, capacity, filled and at.
+    """The rows of ``cut`` (doc_id, piece, piece_length, tie and others; stored, as it is read several times) with length, bin, capacity, filled and at.
 
     ``at`` is where the piece begins in its bin, ``filled`` what the bin holds. Only the count of pieces of each
     length comes to the driver, at most as many numbers as the largest capacity; the plan made of it is as small and is
     joined back by length and rank.
     """
-    cut = durable(cut)
     others = [c for c in cut.columns if c not in ("doc_id", "piece", "piece_length", "tie")]
     histogram = {r["piece_length"]: r["count"] for r in cut.groupBy("piece_length").count().collect()}
     made = plan(histogram, capacities, opening, span)

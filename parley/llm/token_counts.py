@@ -138,11 +138,12 @@ def scan(maps: list[StateMap]) -> list[StateMap]:
 class Counter:
     """Counts tokens of texts; words between white space are independent of each other."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = 600_000):
+        """``memo``: words whose counts are kept, which bounds a worker's memory (600,000: some 300 MB)."""
         self.vocabulary = merges.load(path)
-        self.transducer = Transducer(self.vocabulary)
-        self.pieces = Memo(self.transducer.count, 400_000)
-        self.words = Memo(self._word, 600_000)
+        self.transducer = Transducer(self.vocabulary, memo * 2 // 3)
+        self.pieces = Memo(self.transducer.count, memo * 2 // 3)
+        self.words = Memo(self._word, memo)
 
     def _word(self, word: str) -> int:
         total, specials = 0, 0
