@@ -60,7 +60,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null and empty texts are one piece, an end token; repeated rows and rows without id are packed like others.
     """
-    return pack_texts(docs, vocabulary_path("word_bpe_49k.json"), keep=True)
+    return pack_texts(docs, vocabulary_path("word_bpe_49k.json"), keep=True, memo=100_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
