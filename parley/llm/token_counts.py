@@ -103,7 +103,11 @@ class Transducer:
 
     def count(self, piece: bytes) -> int:
         """Tokens of a piece, its last byte ending the word."""
-        return self.run(self.START, (*piece[:-1], piece[-1] + 256))[1]
+        state, total, arcs = self.START, 0, self.arcs
+        for symbol in (*piece[:-1], piece[-1] + 256):
+            state, emitted = arcs.get(state << 9 | symbol) or self.compile(state, symbol)
+            total += emitted
+        return total
 
     def name(self, state: int) -> str:
         """What a state is, so that any other compilation of the vocabulary knows it."""
@@ -146,6 +150,11 @@ class Counter:
         self.words = Memo(self._word, memo)
 
     def _word(self, word: str) -> int:
+        if word.isascii():  # most words are one piece of letters, or that and a mark
+            if word.isalpha():
+                return self.transducer.count(word.lower().encode())
+            if word[:-1].isalpha() and not word[-1].isalnum():
+                return self.pieces[word[:-1].lower().encode()] + self.pieces[word[-1].encode()]
         total, specials = 0, 0
         if "<|" in word:
             specials = len(self.vocabulary.special_pattern.findall(word))
