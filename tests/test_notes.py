@@ -1,8 +1,12 @@
 """Tasks, passages, files and edits: golden cases."""
 
+import io
 import random
 import struct
+import wave
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from parley.functions import text as x
@@ -161,6 +165,41 @@ def test_snapshots(spark, tmp_path):
     assert sorted(r["id"] for r in tables.snapshot(spark, path).collect()) == [1, 2]
 
 
+def test_a_failed_write_changes_nothing(spark, tmp_path):
+    """A version that no pointer names is not read; parts that a change does not touch stay as they are."""
+    path = str(tmp_path / "t")
+    tables.upsert_by_key(spark.createDataFrame([(k, f"old {k}") for k in range(200)], "id long, text string"), path, ["id"])
+    before = {r["id"]: r["text"] for r in tables.snapshot(spark, path).collect()}
+    spark.createDataFrame([(1, "half")], "id long, text string").write.parquet(f"{path}/v-unfinished")
+    assert {r["id"]: r["text"] for r in tables.snapshot(spark, path).collect()} == before
+    tables.upsert_by_key(spark.createDataFrame([(7, "new"), (500, "more")], "id long, text string"), path, ["id"])
+    after = {r["id"]: r["text"] for r in tables.snapshot(spark, path).collect()}
+    assert after == before | {7: "new", 500: "more"}
+    assert tables.load_record(spark, path, 500).first()["text"] == "more"
+    with pytest.raises(KeyError):
+        tables.load_record(spark, path, 9999)
+
+
+def wav(samples, width, channels, rate):
+    out = io.BytesIO()
+    with wave.open(out, "wb") as file:
+        file.setparams((channels, width, rate, 0, "NONE", ""))
+        file.writeframes(b"".join((x + 128 if width == 1 else x).to_bytes(width, "little", signed=width > 1) for x in samples))
+    return bytearray(out.getvalue())
+
+
+def test_sound_of_many_kinds(spark):
+    """Samples of 8 to 32 bits, channels averaged, another rate; what is no sound is null and ends nothing."""
+    files_ = [wav([0, 64, -64, 127], 1, 1, 8000), wav([0, 16384, -16384, 0], 2, 2, 8000), wav([0, 1 << 22, -(1 << 22)], 3, 1, 8000), wav([1 << 30, 0], 4, 1, 8000), bytearray(b"no sound"), None]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(files_)], "id int, content binary").withColumn("a", files.decode_wav("content")).orderBy("id")
+    got = [None if r["a"]["pcm"] is None else (r["a"]["rate"], np.frombuffer(r["a"]["pcm"], "<i2").tolist()) for r in df.collect()]
+    assert got == [(8000, [0, 16384, -16384, 32512]), (8000, [8192, -8192]), (8000, [0, 16384, -16384]), (8000, [16384, 0]), None, None]
+    tone = wav([int(9000 * np.sin(k / 20)) for k in range(4800)], 2, 1, 48_000)
+    slow = spark.createDataFrame([(tone,)], "content binary").select(files.decode_wav_16k("content").alias("a")).first()["a"]
+    back = np.frombuffer(slow["pcm"], "<i2")
+    assert slow["rate"] == 16_000 and len(back) == 1600 and np.abs(back - 9000 * np.sin(np.arange(1600) * 3 / 20)).max() < 500
+
+
 def test_edits_of_nothing(spark):
     turns = spark.createDataFrame([(1, 1, "S0", "a")], "id int, turn int, speaker string, text string")
     none = spark.createDataFrame([], "id int, turn int, seq int, speaker string, text string")
