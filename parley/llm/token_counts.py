@@ -22,6 +22,9 @@ CHUNK = 65_536
 #: Symbols before a chunk from which the state at its beginning is told. Where a piece began before them, that is a guess.
 LOOKBACK = 512
 
+#: Memorised words from which on a worker keeps the vocabulary too.
+KEEPS_VOCABULARY = 200_000
+
 #: The symbol of a special token, beside 0 to 255 for bytes and 256 to 511 for bytes that end a piece.
 SPECIAL = 512
 
@@ -143,7 +146,9 @@ class Counter:
     """Counts tokens of texts; words between white space are independent of each other."""
 
     def __init__(self, path: str, memo: int = 600_000):
-        """``memo``: words whose counts are kept, which bounds a worker's memory (600,000: some 300 MB)."""
+        """``memo``: words whose counts are kept, which bounds a worker's memory (600,000: some 300 MB). Below KEEPS_VOCABULARY the worker
+        doesn't keep the vocabulary between tasks either."""
+        self.memo = memo
         self.vocabulary = merges.load(path)
         self.transducer = Transducer(self.vocabulary, memo * 2 // 3)
         self.pieces = Memo(self.transducer.count, memo * 2 // 3)
@@ -189,6 +194,8 @@ class Counter:
         self.pieces.clear()
         self.transducer.reset()
         self.vocabulary.beside.clear()
+        if self.memo < KEEPS_VOCABULARY:
+            merges.load.cache_clear()
 
     def symbols(self, text: str) -> np.ndarray:
         """The symbols of a whole text: what the transducer reads. White space and borders of pieces are in its ends of pieces."""
