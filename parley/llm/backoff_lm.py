@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import Memo, crc_bucket, durable, map_arrow, mixed, raw_texts, slices, table, whole_text, word_memo, words_of
+from parley.llm.common import Memo, crc_bucket, drop_finished_shuffles, durable, map_arrow, mixed, raw_texts, slices, table, whole_text, word_memo, words_of
 
 #: Hash of the token that ends each text; words' hashes that equal it are moved by one.
 END = 1
@@ -376,6 +376,7 @@ def score_texts(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     meetings = max(1, -(-tokens // meeting_tokens))
     frequent = df.sparkSession.sparkContext.broadcast(short_words(blocks, most_short, SAMPLE))
     answered = durable(answers(meeting_rows(blocks, frequent, meetings), frequent, meetings))
+    drop_finished_shuffles(df.sparkSession)  # the n-grams that met are as large as the texts
     lines = blocks.select("block", F.lit(0).alias("kind"), F.lit(0).alias("meeting"), "payload")
     words = durable(word_answers(blocks, answered, meetings))
     distinct = sum(int(unsqueeze(r["payload"])[0][0]) for r in words.where("block is null").select("payload").collect())  # one number a meeting place
