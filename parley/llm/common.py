@@ -59,13 +59,6 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def drop_finished_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps that are over: it does so when the driver has collected the objects that stood for
-    them, which may be long after."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def hot_join(rows: DataFrame, keyed: DataFrame, key: str, total: int, share: int = 1000) -> DataFrame:
     """``rows`` left-joined with ``keyed``, which has one row for each key and in ``n`` how many of the ``total`` rows have it.
 
