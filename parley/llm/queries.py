@@ -19,6 +19,9 @@ OPERATORS = {
     "op8_bpe_codec": "bpe_codec",
     "op9_lm_scores": "backoff_lm",
     "op10_fingerprints": "fingerprints",
+    "op11_license_scans": "licenses",
+    "op12_conversation_repair": "conversation_repair",
+    "op13_embedding_whitening": "whitening",
 }
 
 
