@@ -1,4 +1,4 @@
-"""Secret scans: candidates by pattern, judged by how many owners and repositories hold the same value."""
+"""Secret scans: candidates by pattern, judged by how many distinct owners and repositories hold the same value."""
 
 from __future__ import annotations
 
@@ -26,6 +26,9 @@ LEAST_VALUE, LEAST_ACCESS = 6, 20
 #: From how many characters on a value needs no digits to look like a credential, and how mixed it must be (bits a character).
 LONG_VALUE, LEAST_ENTROPY = 12, 2.5
 
+#: What counts as holding a value.
+HOLDERS = ("owners", "repositories", "texts")
+
 #: Values that nobody would use in earnest.
 PLACEHOLDER = re.compile(r"(?i)example|sample|dummy|changeme|your|xxxx|test|placeholder|(.)\1{5}")
 
@@ -82,20 +85,18 @@ def candidates(df: DataFrame, id_column: str, owner_column: str, repository_colu
 
 
 def ownership(values: DataFrame) -> DataFrame:
-    """hash, n, owners, repositories: in how many rows a value stands, and over distinct texts, how many distinct owners and
-    repositories hold it. Copies of one text count as one, held by the least of their owners and the least of their repositories.
+    """hash, n, owners, repositories, texts: in how many rows a value stands, and how many distinct owners, repositories (of an owner) and
+    texts hold it, over all rows.
 
-    Repeats are removed before owners are counted, so a value that fills a third of the corpus meets in one row per task.
-    A row without owner counts as the owner ''.
+    Repeats are removed before anything is counted by value, and then by partial counts, so a value that fills a third of the corpus meets
+    in one row per task. A row without owner counts as the owner ''.
     """
-    def named(column: str) -> Column:
-        return F.min(F.coalesce(column, F.lit(""))).alias(column)
-
-    texts = values.groupBy("hash", "text_key").agg(named("owner"), named("repository"), F.count("*").alias("n"))
-    pairs = texts.groupBy("hash", "owner", "repository").agg(F.sum("n").alias("n"))
+    named = values.withColumns({c: F.coalesce(c, F.lit("")) for c in ("owner", "repository")})
+    pairs = named.groupBy("hash", "owner", "repository").agg(F.count("*").alias("n"))
     owners = pairs.groupBy("hash", "owner").agg(F.count("*").alias("repositories"), F.sum("n").alias("n"))
-    # A repository that several owners share counts once for each, as each holds it.
-    return owners.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("n"))
+    held = owners.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("n"))
+    texts = named.groupBy("hash", "text_key").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("texts"))
+    return held.join(texts, "hash")
 
 
 def listed(spans: Column) -> Column:
@@ -107,32 +108,32 @@ def listed(spans: Column) -> Column:
 def scan_secrets(
     df: DataFrame, id_column: str = "doc_id", owner_column: str = "source", repository_column: str = "doc_id", text_column: str = "text", example_owners: int = 3, example_repositories: int = 20
 ) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, n_live, n_example, most_owners, most_repositories, base (spans), judged
+    """doc_id, n_assign, n_access, n_hex, base_sha256, n_live, n_example, most_owners, most_repositories, most_texts, base (spans), judged
     (spans) and spans.
 
-    Matches of the patterns are the base. Every value found is counted over the whole corpus, copies of a text once: one that at least
-    ``example_owners`` owners or ``example_repositories`` repositories hold is widely copied, an ``example``; any other one that looks
-    like a credential is ``live``. Both are added as spans of the value; most_owners and most_repositories are the largest counts of the
-    row's values, 0 without values. A null or empty text has no spans, a null owner is an owner of its own, repeated rows are kept, and other
+    Matches of the patterns are the base. Every value found is counted over all rows of the corpus: one that at least ``example_owners``
+    owners hold, or two at least in ``example_repositories`` repositories, is widely copied, an ``example``; any other one that looks
+    like a credential is ``live``, and one owner's value is so in however many of its repositories. Both are added as spans of the value;
+    most_owners, most_repositories and most_texts (distinct ones) are the largest counts of the row's values, 0 without values. A null or empty text has no spans, a null owner is an owner of its own, repeated rows are kept, and other
     columns are not read. Offsets are code points.
     """
     rows = durable(candidates(df, id_column, owner_column, repository_column, text_column))
     values = rows.select("row_id", "owner", "repository", "text_key", F.explode("found").alias("v")).select("row_id", "owner", "repository", "text_key", "v.*")
     counts = durable(ownership(values))
     known = hot_join(values.select("row_id", "hash", "start", "end", "live"), counts, "hash", values.count())
-    example = (F.col("owners") >= example_owners) | (F.col("repositories") >= example_repositories)
+    example = (F.col("owners") >= example_owners) | (F.col("owners") >= 2) & (F.col("repositories") >= example_repositories)
     known = known.withColumn("kind", F.when(example, KINDS.index("example")).when(F.col("live"), KINDS.index("live")))
     span = F.when(F.col("kind").isNotNull(), F.struct("start", "kind", "end"))
-    judged = known.groupBy("row_id").agg(F.collect_list(span).alias("judged"), F.max("owners").alias("most_owners"), F.max("repositories").alias("most_repositories"))
+    judged = known.groupBy("row_id").agg(F.collect_list(span).alias("judged"), *(F.max(c).alias(f"most_{c}") for c in HOLDERS))
     none = F.array().cast("array<struct<start int, kind int, end int>>")
     with_values = rows.where(F.size("found") > 0).join(judged, "row_id", "left").withColumn("judged", F.coalesce("judged", none))
-    without = rows.where(F.size("found") == 0).withColumn("judged", none).withColumns({c: F.lit(0).cast("long") for c in ("most_owners", "most_repositories")})
+    without = rows.where(F.size("found") == 0).withColumn("judged", none).withColumns({c: F.lit(0).cast("long") for c in (f"most_{h}" for h in HOLDERS)})
     all_rows = with_values.drop("found").unionByName(without.drop("found"))
 
     def count(kind: str) -> Column:
         return F.size(F.filter("judged", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
 
-    return all_rows.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", count("live"), count("example"), "most_owners", "most_repositories", "base", "judged", listed(F.concat("base", "judged")).alias("spans"))
+    return all_rows.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", count("live"), count("example"), *(f"most_{c}" for c in HOLDERS), "base", "judged", listed(F.concat("base", "judged")).alias("spans"))
 
 
 def redact_live(df: DataFrame, id_column: str = "doc_id", owner_column: str = "source", text_column: str = "text", broadcast_rows: int = 200_000, **options) -> DataFrame:

@@ -46,33 +46,42 @@ def test_ownership(spark):
 
 
 def verdicts(rows):
-    """By doc_id: live values, example values, most owners and most repositories; rows: (doc_id, text, source)."""
-    texts = {}
-    for i, text, owner in rows:
-        held = texts.setdefault(text or "", [owner or "", str(i)])
-        held[0], held[1] = min(held[0], owner or ""), min(held[1], str(i))
+    """By doc_id: live values, example values, most owners, repositories and texts; rows: (doc_id, text, source), ids distinct."""
     holders = {}
-    for text, held in texts.items():
-        for *_, c, d in s.find(text):
-            holders.setdefault(text[c:d], set()).add(tuple(held))
-    owners = {v: len({o for o, _ in h}) for v, h in holders.items()}
-    kind = {v: "example" if owners[v] >= 3 or len(h) >= 20 else "live" if s.looks_live(v) else "" for v, h in holders.items()}
+    for i, text, owner in rows:
+        for *_, c, d in s.find(text or ""):
+            holders.setdefault(text[c:d], set()).add((owner or "", i, text))
+    owners = {v: len({o for o, *_ in h}) for v, h in holders.items()}
+    texts = {v: len({t for *_, t in h}) for v, h in holders.items()}
+    kind = {v: "example" if owners[v] >= 3 or owners[v] >= 2 and len(h) >= 20 else "live" if s.looks_live(v) else "" for v, h in holders.items()}
     want = {}
     for i, text, _ in rows:
-        own = [(text or "")[c:d] for c, d in {(c, d) for *_, c, d in s.find(text or "")}]
-        want[i] = (sum(kind[v] == "live" for v in own), sum(kind[v] == "example" for v in own), max((owners[v] for v in own), default=0), max((len(holders[v]) for v in own), default=0))
+        own = [text[c:d] for c, d in {(c, d) for *_, c, d in s.find(text or "")}]
+        want[i] = (sum(kind[v] == "live" for v in own), sum(kind[v] == "example" for v in own), *(max((x(v) for v in own), default=0) for x in (owners.get, lambda v: len(holders[v]), texts.get)))
     return want
 
 
+def judged(spark, rows):
+    found = s.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    return {r["doc_id"]: (r["n_live"], r["n_example"], r["most_owners"], r["most_repositories"], r["most_texts"]) for r in found}
+
+
 def test_verdicts_are_plain_counts(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    copied = [(k, f"number {k} password = Zx9Kq2Lm8Pw4", "one owner") for k in range(30)]  # one owner's value in thirty repositories
-    twice = [(100 + k, f"{k} token: a1b2c3", f"owner {k}") for k in range(2)] + [(200 + k, "secret=Qp7Rt5Xc3Vb1 in one text", f"owner {k}") for k in range(5)]
-    for rows in ([(r["doc_id"], r["text"], r["source"]) for r in df.collect()], copied + twice):
-        found = s.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
-        assert {r["doc_id"]: (r["n_live"], r["n_example"], r["most_owners"], r["most_repositories"]) for r in found} == verdicts(rows)
-    want = verdicts(copied + twice)
-    assert want[0] == (0, 1, 1, 30) and want[100] == (1, 0, 2, 2) and want[200] == (1, 0, 1, 1)
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in df.collect()]
+    assert judged(spark, rows) == verdicts(rows)
+
+
+def test_an_owners_own_value_is_live_and_a_copied_sample_an_example(spark):
+    own = [(k, f"note {k} password = Zx9Kq2Lm8Pw4", "one owner") for k in range(25)]  # one owner's value in 25 repositories
+    copied = [(1000 + k, "secret=Qp7Rt5Xc3Vb1 in one text", f"owner {k}") for k in range(500)]  # one text, word for word
+    two = [(2000 + k, f"{k} token: a1b2c3", f"owner {k % 2}") for k in range(19)]  # two owners, too few repositories
+    many = [(3000 + k, f"{k} token: d4e5f6", f"owner {k % 2}") for k in range(20)]
+    got = judged(spark, own + copied + two + many)
+    assert got == verdicts(own + copied + two + many)
+    assert got[3] == (1, 0, 1, 25, 25) and got[1003] == (0, 1, 500, 500, 1) and got[2003] == (1, 0, 2, 19, 19) and got[3003] == (0, 1, 2, 20, 20)
+    clean = {r["doc_id"]: r["text"] for r in s.redact_live(spark.createDataFrame(own + copied, "doc_id long, text string, source string")).collect()}
+    assert clean[3] == "note 3 password = [secret]" and clean[1003] == copied[3][1]
 
 
 def test_redaction_keeps_all_else(spark):
