@@ -29,5 +29,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def load_all() -> None:
     from importlib import import_module
 
-    for module in ("dashboard", "tasks", "people", "retrieval", "voices", "timeline", "quality", "live", "editing", "scalars", "documents", "stores"):
+    for module in ("dashboard", "tasks", "people", "retrieval", "voices", "timeline", "quality", "live", "editing", "scalars", "documents", "stores", "answers", "sound"):
         import_module(f"parley.plans.{module}")

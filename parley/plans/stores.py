@@ -117,3 +117,53 @@ def markdown_report(spark, sf_dir):
     number = F.regexp_extract("value", r"^\| (\d+) ", 1)
     line = F.when(number != "", number.cast("int") + 1).when(F.col("value").startswith("|-"), 0).otherwise(-1)
     return lines.select(line.alias("line"), "value")
+
+
+@query("""
+SELECT o_orderkey AS id, o_orderstatus AS title FROM orders WHERE o_orderkey % 3 <> 0
+UNION ALL SELECT o_orderkey, 'again' FROM orders WHERE o_orderkey % 9 = 0""")
+def records_deleted(spark, sf_dir):
+    """Records stored, a third of them deleted, and some of these stored again."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("title"))
+    at = tables.fresh_folder(spark)
+    tables.save_records(o, at)
+    tables.delete_records(o.where("id % 3 = 0").select("id"), at)
+    tables.save_records(o.where("id % 9 = 0").withColumn("title", F.lit("again")), at)
+    return tables.snapshot(spark, at)
+
+
+@query("""
+SELECT o_orderkey AS id, o_totalprice AS price FROM orders WHERE o_orderkey % 2 = 1 UNION ALL SELECT -c_custkey, c_acctbal FROM customer""")
+def keyed_table_replaced(spark, sf_dir):
+    """A table kept by key, replaced by some of its rows, then changed by key."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    at = tables.fresh_folder(spark)
+    tables.upsert_by_key(o.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price")), at, ["id"])
+    tables.replace_table(tables.snapshot(spark, at).where("id % 2 = 1"), at, ["id"])
+    tables.upsert_by_key(c.select((-F.col("c_custkey")).alias("id"), F.col("c_acctbal").alias("price")), at, ["id"])
+    return tables.snapshot(spark, at)
+
+
+@query("""
+WITH n AS (SELECT CASE WHEN n_name = 'NATION_3' THEN 'North' ELSE n_name END AS project, n_nationkey FROM nation WHERE n_name <> 'NATION_5'), o AS (SELECT c_custkey AS id, CASE WHEN n_name = 'NATION_3' THEN 'North' WHEN n_name <> 'NATION_5' THEN n_name END AS project,
+  'about [[' || CASE WHEN n_name = 'NATION_3' THEN 'North' ELSE n_name END || '|it]] and [[' || n_name || 'x]]' AS text FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT 'project' AS kind, project, CAST(n_nationkey AS BIGINT) AS id, NULL AS text FROM n UNION ALL SELECT 'record', project, id, NULL FROM o UNION ALL SELECT 'note', NULL, id, text FROM o""")
+def project_in_all_tables(spark, sf_dir):
+    """A project renamed in four tables as one change, another one deleted from them."""
+    n, c = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    c = c.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    at = tables.fresh_folder(spark)
+    with tables.Change(spark, at) as change:
+        change.replace("projects", n.select(F.col("n_name").alias("name"), "n_nationkey"), ["name"])
+        change.replace("members", n.select(F.col("n_name").alias("project"), "n_regionkey"), ["project"])
+        change.upsert("records", c.select(F.col("c_custkey").alias("id"), F.col("n_name").alias("project")), ["id"])
+        change.upsert("notes", c.select(F.col("c_custkey").alias("id"), F.concat(F.lit("about [["), "n_name", F.lit("|it]] and [["), "n_name", F.lit("x]]")).alias("text")), ["id"])
+    tables.rename_project(spark, at, "NATION_3", "North")
+    tables.delete_project(spark, at, "NATION_5")
+    none = F.lit(None).cast("string")
+    projects, records, notes = (tables.snapshot(spark, f"{at}#{x}") for x in ("projects", "records", "notes"))
+    return (
+        projects.select(F.lit("project").alias("kind"), F.col("name").alias("project"), F.col("n_nationkey").cast("long").alias("id"), none.alias("text"))
+        .unionByName(records.select(F.lit("record").alias("kind"), "project", "id", none.alias("text")))
+        .unionByName(notes.select(F.lit("note").alias("kind"), none.alias("project"), "id", "text"))
+    )
