@@ -1,0 +1,44 @@
+"""Queries over sound: customers are recordings of a made tone."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from parley.operators import sound
+from parley.plans import query, table
+
+_LENGTH = "(300 + 97 * (c_custkey % 23))"
+
+
+def recordings(spark, sf_dir):
+    """Pieces of 700 samples: sample k of customer c is (k * 37 + c * 11) % 2001 - 1000."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("recording"), (300 + 97 * (F.col("c_custkey") % 23)).alias("length"))
+    pieces = c.withColumn("seq", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / 700).cast("int"))))
+    at = F.sequence(F.col("seq") * 700, F.least(F.col("seq") * 700 + 700, F.col("length")) - 1)
+    value = F.transform(at, lambda k: F.pmod(k * 37 + F.col("recording") * 11, F.lit(2001)) - 1000)
+    raw = F.array_join(F.transform(value, lambda v: F.concat(F.lpad(F.hex(F.pmod(v, F.lit(256))), 2, "0"), F.lpad(F.hex(F.pmod(F.floor(v / 256), F.lit(256))), 2, "0"))), "")
+    return pieces.select("recording", "seq", F.unhex(raw).alias("pcm"))
+
+
+@query(f"""
+WITH c AS (SELECT c_custkey, {_LENGTH} AS n FROM customer), k AS (SELECT c_custkey, n, unnest(range(n)) AS k FROM c),
+f AS (SELECT c_custkey, CASE WHEN n < 400 THEN 0 ELSE (n - 400) // 160 + 1 END AS frames, k, (k * 37 + c_custkey * 11) % 2001 - 1000 AS v FROM k)
+SELECT c_custkey AS recording, CAST(max(frames) AS BIGINT) AS frames, CAST(sum(v * v * greatest(0, least(k // 160, frames - 1) - (CASE WHEN k < 400 THEN 0 ELSE (k - 400) // 160 + 1 END) + 1)) AS BIGINT) AS energy
+FROM f WHERE frames > 0 GROUP BY c_custkey""")
+def mel_frames(spark, sf_dir):
+    """Frames of each recording and the energy in them, from the blocks of log-mel features."""
+    return sound.mel_means(recordings(spark, sf_dir)).select("recording", "frames", "energy")
+
+
+@query(f"""
+WITH c AS (SELECT c_custkey, {_LENGTH} AS n FROM customer), k AS (SELECT c_custkey, unnest(range(n)) AS k FROM c), v AS (SELECT c_custkey, k, (k * 37 + c_custkey * 11) % 2001 - 1000 AS v FROM k),
+w AS (SELECT c_custkey, k, coalesce(lead(v, 2) OVER s, 0) AS a, coalesce(lead(v, 1) OVER s, 0) AS b, coalesce(lag(v, 1) OVER s, 0) AS d FROM v WINDOW s AS (PARTITION BY c_custkey ORDER BY k))
+SELECT c_custkey AS recording, count(*) AS samples, CAST(sum((k % 7 + 1) * (2 * a + 4 * b + 6 * d)) AS BIGINT) AS weighed FROM w GROUP BY c_custkey""")
+def filtered_recordings(spark, sf_dir):
+    """Each recording through a filter of taps 2, 4, 0, 6, whose delay of two samples is taken back."""
+    out = sound.filtered(recordings(spark, sf_dir), taps=[2, 4, 0, 6], delay=2, strength=1.0, size=500)
+    sample = F.transform(F.sequence(F.lit(0), (F.octet_length("pcm") / 2).cast("int") - 1), lambda k: F.struct((F.col("at") + k).alias("k"), F.hex(F.substring("pcm", 2 * k + 2, F.lit(1))).alias("h"), F.hex(F.substring("pcm", 2 * k + 1, F.lit(1))).alias("l")))
+    s = out.select("recording", F.explode(sample).alias("s"))
+    value = F.conv("s.h", 16, 10).cast("long") * 256 + F.conv("s.l", 16, 10).cast("long")
+    value = F.when(value >= 32768, value - 65536).otherwise(value)
+    return s.groupBy("recording").agg(F.count("*").alias("samples"), F.sum((F.col("s.k") % 7 + 1) * value).alias("weighed"))

@@ -10,6 +10,7 @@ import pickle
 from collections.abc import Callable, Iterator
 from functools import partial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulP
 
 from parley.operators.common import Walk
 from parley.operators.early import LET_OUT, SESSION, SPAN, Conflate, EarlySessions, EarlySpeech, Shed, _timed, interval, micros
+from parley.operators.sound import DELAY, PIECES, Filter, low_pass
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
@@ -117,3 +119,12 @@ def conflated_stream(rows: DataFrame, keys: list[str], every: str, time: str = "
 def shed_stream(rows: DataFrame, keys: list[str], busy: str, must: str, time: str = "ts", item: str = "event_id") -> DataFrame:
     """keys, at, item, skipped: what a worker has the time for, and what must be kept. State: a time and a count a key."""
     return _stream(_timed(rows, keys, time, item, must), keys, ["w_at", "w_item"], ["w_at", "w_item", f"w_{must}"], partial(Shed, interval(busy)), LET_OUT, 3_600_000, False)
+
+
+def filter_stream(pcm: DataFrame, key: str = "recording", taps: np.ndarray | None = None, delay: int = DELAY, strength: float = 0.5, idle_ms: int = 3_600_000) -> DataFrame:
+    """key, at, pcm: sound filtered as it comes (key, seq, pcm, control), on its own time line. State: what the taps and the delay still reach.
+
+    'finish' drains it, 'cancel' drops it, and ``idle_ms`` without a piece is like 'finish'.
+    """
+    taps = low_pass() if taps is None else np.asarray(taps, float)
+    return _stream(pcm.select(key, "seq", "pcm", "control"), [key], ["seq"], ["pcm", "control"], partial(Filter, taps=taps, delay=delay, strength=strength), PIECES, idle_ms, True)
