@@ -164,6 +164,17 @@ def notes(value: str | Column) -> Column:
 Model = Callable[[list[str]], list[str]]
 
 
+def user_prompt(instructions: Column, heading: Column, body: Column, own_notes: Column) -> Column:
+    """The sections of a prompt, blank ones left out, with the fixed headings that models are given."""
+    def part(heading_: str, text: Column) -> Column:
+        bare = F.trim(F.coalesce(text, F.lit("")), F.lit(" \t\n\r\x0b\x0c"))
+        return F.when(bare != "", F.concat(F.lit(heading_), bare))
+
+    guidance = part("## Format guidance (controls presentation; it is not meeting evidence)\n", instructions)
+    notes_ = part("## Note-taker's own notes (what to make sure is covered; not meeting evidence)\n", own_notes)
+    return F.concat_ws("\n\n", guidance, notes_, F.concat(F.lit("## "), heading, F.lit("\n"), F.coalesce(body, F.lit(""))))
+
+
 def asked(prompts: DataFrame, model: Model, prompt: str = "prompt", answer: str = "answer") -> DataFrame:
     """``prompts`` with the model's answer to each; the model gets a batch's prompts and gives as many answers."""
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in prompts.schema)}, `{answer}` string"

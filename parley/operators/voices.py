@@ -105,8 +105,9 @@ def similarities(queries: DataFrame, library: DataFrame, k: int = TOP, least: fl
             out += [(q, person, row[row > -np.inf].tolist()) for q, row in zip(left["query"], top) if row[0] > -np.inf]
         return pd.DataFrame(out, columns=["query", "person", "best"])
 
-    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
-    sides = library.select("person", "embedding", *extra).withColumn("__block", spread)
+    # By what the rows hold, so that a task that runs again deals them as before; equal rows share a block.
+    spread = F.pmod(F.xxhash64(*(c for c in library.columns if c != "embedding")), F.lit(blocks)).cast("int")
+    sides = library.withColumn("__block", spread).select("person", "embedding", *extra, "__block")
     # Own names keep the two sides apart where both come from one table.
     asked = queries.select("query", *(F.col(c).alias(f"q_{c}") for c in ("embedding", *extra))).withColumns({"__block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
     parts = max(1, -(-queries.count() // block))  # so that a task's share of the queries does not grow with them
@@ -134,6 +135,28 @@ def left_out_accuracy(voices: DataFrame, k: int = TOP) -> DataFrame:
     return judged.groupBy("truth").agg(F.count_if(F.col("person") == F.col("truth")).alias("correct"), F.count("*").alias("total"))
 
 
+def left_out_segments(queries: DataFrame, voices: DataFrame, k: int = TOP) -> DataFrame:
+    """The stated queries (vec_id, meeting, person, embedding), each a segment, identified by all voices of other meetings: correct and total,
+    by person. A segment whose person no other meeting has is not judged, as none could name it."""
+    found = best_person(similarities(queries.withColumn("query", F.col("vec_id")), voices, k, apart="meeting"))
+    own = queries.select(F.col("vec_id").alias("query"), F.col("meeting").alias("__meeting"), F.col("person").alias("truth"))
+    elsewhere = voices.groupBy("person").agg(F.min("meeting").alias("__low"), F.max("meeting").alias("__high")).withColumnRenamed("person", "__person")
+    known = own.join(elsewhere, F.col("truth") == F.col("__person")).where((F.col("__low") != F.col("__meeting")) | (F.col("__high") != F.col("__meeting"))).select("query", "truth")
+    return known.join(found, "query").groupBy("truth").agg(F.count_if(F.col("person") == F.col("truth")).alias("correct"), F.count("*").alias("total"))
+
+
+def split_ids(parts: DataFrame, keys: list[str], cluster: str = "cluster", voice: str = "voice", start: str = "start") -> DataFrame:
+    """keys, cluster, voice, id of the voices that clusters were split into (parts, with their starts): the voice heard first keeps its
+    cluster's id, the others are <cluster>_2, <cluster>_3 and so on in order of their first part, past ids that other clusters have."""
+    first = parts.groupBy(*keys, cluster, voice).agg(F.min(start).alias("__start"))
+    names = first.groupBy(*keys).agg(F.collect_set(cluster).alias("__names"))  # a recording's clusters, which are few
+    rank = F.row_number().over(W.partitionBy(*keys, cluster).orderBy("__start", voice))
+    joined = first.withColumn("__rank", rank).join(names, keys)
+    free = F.filter(F.sequence(F.lit(2), F.col("__rank") + F.size("__names") + 1), lambda k: ~F.array_contains("__names", F.concat(cluster, F.lit("_"), k.cast("string"))))
+    name = F.when(F.col("__rank") == 1, F.col(cluster)).otherwise(F.concat(cluster, F.lit("_"), F.get(free, F.col("__rank") - 2).cast("string")))
+    return joined.select(*keys, cluster, voice, name.alias("id"))
+
+
 def verification_scores(queries: DataFrame, voices: DataFrame) -> DataFrame:
     """query, other, genuine, score for the stated queries against all voices of other meetings.
 

@@ -94,3 +94,25 @@ def meetings_summarised(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     done = answers.summarised(c.select("conv_id", "turn", "text"), counting_model, ["conv_id"], order="turn", fan_in=4)
     return done.select("conv_id", F.col("notes.summary").alias("summary"), "merges", "failed")
+
+
+@query("""
+SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN '## Format guidance (controls presentation; it is not meeting evidence)' || chr(10) || 'short' || chr(10) || chr(10) ELSE '' END ||
+  CASE WHEN c_custkey % 3 = 0 THEN '## Note-taker' || chr(39) || 's own notes (what to make sure is covered; not meeting evidence)' || chr(10) || c_name || chr(10) || chr(10) ELSE '' END || '## Transcript' || chr(10) || c_mktsegment AS prompt FROM customer""")
+def prompts_built(spark, sf_dir):
+    """Prompts of the sections that are there."""
+    c = table(spark, sf_dir, "customer")
+    own = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit(" "), "c_name", F.lit("\n")))
+    return c.select(F.col("c_custkey").alias("id"), answers.user_prompt(F.when(F.col("c_custkey") % 2 == 0, "short ").otherwise(" "), F.lit("Transcript"), F.col("c_mktsegment"), own).alias("prompt"))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 OR o_orderkey % 4 = o_custkey % 3 THEN 't' || o_custkey % 3 ELSE 't' || o_orderkey % 4 || ',t' || o_custkey % 3 END AS kept FROM orders""")
+def citations_kept(spark, sf_dir):
+    """Cited turns without unknown ones and repeats, in the order in which they were cited."""
+    from parley.operators.retrieval import keep_valid
+
+    o = table(spark, sf_dir, "orders")
+    first, second = F.concat(F.lit("t"), F.col("o_orderkey") % 4), F.concat(F.lit("t"), F.col("o_custkey") % 3)
+    rows = o.select("o_orderkey", F.array(first, second, F.lit("t9"), first, second).alias("ids"), F.array(*(F.lit(f"t{k}") for k in range(3))).alias("valid"))
+    return rows.select("o_orderkey", F.array_join(keep_valid("ids", "valid"), ",").alias("kept"))

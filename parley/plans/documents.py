@@ -173,11 +173,15 @@ def selected_meetings(spark, sf_dir):
 @query("""
 SELECT l_orderkey AS task_id, l_linenumber AS line, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag = 'R', l_linenumber) AS place FROM lineitem""")
 def tasks_in_list_order(spark, sf_dir):
-    """Each order's lines as tasks: open ones first, then by their place."""
+    """Lines as tasks, in the order of the task list: the place of each among its order's."""
     from pyspark.sql import Window as W
 
+    from parley.operators.tasks import task_list
+
     l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").alias("line"), (F.col("l_returnflag") == "R").alias("done"))
-    return l.withColumn("place", F.row_number().over(W.partitionBy("task_id").orderBy("done", "line")).cast("long")).drop("done")
+    l = l.withColumn("reminder_date", F.date_add(F.lit("2026-01-01").cast("date"), F.col("line").cast("int")))
+    listed = task_list(l).withColumn("at", F.monotonically_increasing_id())  # ascends through the sorted ranges
+    return listed.select("task_id", "line", F.row_number().over(W.partitionBy("task_id").orderBy("at")).cast("long").alias("place"))
 
 
 @query("""

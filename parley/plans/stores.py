@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from parley.functions import headers
 from parley.plans import query, table
 from parley.sources import files, tables
 
@@ -56,15 +57,20 @@ def audacity_round_trip(spark, sf_dir):
 
 
 @query("""
-SELECT c_custkey AS id, c_name AS title, o_orderkey AS turn, o_orderpriority AS text FROM customer JOIN orders ON o_custkey = c_custkey""")
+SELECT c_custkey AS id, c_name AS title, o_orderkey AS turn, o_orderpriority AS text FROM customer JOIN orders ON o_custkey = c_custkey UNION ALL SELECT -1, 'by hand', -1, 'one'""")
 def records_as_json(spark, sf_dir):
-    """Meeting records written as JSON, beside a file that is none, and read again, one row for each turn."""
+    """Meeting records written as JSON, beside a file of one record and one that is none, and read again, one row for each turn."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     turn = F.struct(F.col("o_orderkey").cast("string").alias("id"), F.lit("S0").alias("speaker"), F.lit(0.0).alias("start"), F.lit(1.0).alias("end"), F.col("o_orderpriority").alias("text"))
     turns = o.groupBy("o_custkey").agg(F.collect_list(turn).alias("turns"))
     records = c.join(turns, F.col("o_custkey") == F.col("c_custkey"), "left").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("title"), "turns")
-    records.write.json(at := tables.fresh_folder(spark))
-    read = spark.read.schema(files.RECORD).json(at)
+    files.write_records(records, at := tables.fresh_folder(spark))
+    for name, text in (("broken.json", '{"id": "1", '), ("note.json", '{\n "id": "-1",\n "title": "by hand",\n "turns": [{"id": "-1", "text": "one"}]\n}')):
+        folder, path = tables._fs(spark, f"{at}/{name}")
+        stream = folder.create(path, False)
+        stream.write(text.encode())
+        stream.close()
+    read = files.read_records(spark, at)
     told = files.turns_of(read).join(read.select("id", "title"), "id")
     return told.select(F.col("id").cast("long").alias("id"), "title", F.col("turn").cast("long").alias("turn"), "text")
 
@@ -104,9 +110,8 @@ def notes_read(spark, sf_dir):
     at = tables.fresh_folder(spark)
     note = F.concat(F.lit("---\ntitle: "), "n_name", F.lit("\n---\n# "), "n_name", F.lit("\nabout [["), "r_name", F.lit("]]"))
     n.select("n_nationkey", note.alias("value")).write.partitionBy("n_nationkey").text(at)
-    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(at, wholetext=True)
-    parts = whole.select(F.regexp_extract(F.col("_metadata.file_path"), r"n_nationkey=(\d+)", 1).cast("int").alias("id"), files.front_matter("value").alias("note"))
-    return parts.select("id", "note.header", F.regexp_replace("note.body", r"\s+$", "").alias("body"))
+    notes = files.read_notes(spark, at, suffix=".txt")
+    return notes.select(F.regexp_extract("path", r"n_nationkey=(\d+)", 1).cast("int").alias("id"), "header", F.regexp_replace("body", r"\s+$", "").alias("body"))
 
 
 @query("""
@@ -167,3 +172,44 @@ def project_in_all_tables(spark, sf_dir):
         .unionByName(records.select(F.lit("record").alias("kind"), "project", "id", none.alias("text")))
         .unionByName(notes.select(F.lit("note").alias("kind"), none.alias("project"), "id", "text"))
     )
+
+
+@query("""
+SELECT CAST(event_id % 50 AS DOUBLE) AS start, event_id % 50 + 1.5 AS "end", event_type AS speaker FROM events UNION ALL SELECT CAST(event_id % 50 AS DOUBLE), event_id % 50 + 0.5, 'user' || user_id FROM events""")
+def labels_read(spark, sf_dir):
+    """Speaker spans of label files of two kinds, told apart by their suffix."""
+    e = table(spark, sf_dir, "events")
+    start, at = (F.col("event_id") % 50).cast("double"), tables.fresh_folder(spark)
+    files.rttm_lines(e.select(F.lit("r").alias("file"), start.alias("start"), (start + 1.5).alias("end"), F.col("event_type").alias("speaker"))).write.text(f"{at}.rttm")
+    e.select(F.concat_ws("\t", start.cast("string"), (start + 0.5).cast("string"), F.concat(F.lit("user"), "user_id")).alias("value")).write.text(f"{at}.txt")
+    return files.read_labels(spark, f"{at}.rttm").unionByName(files.read_labels(spark, f"{at}.txt"))
+
+
+@query("""
+SELECT event_id, user_id AS cluster, value AS score FROM events UNION ALL SELECT -event_id, user_id, NULL FROM events WHERE event_id % 3 = 0""")
+def feedback_logged(spark, sf_dir):
+    """What people said of guesses, added to a log in two turns."""
+    e, at = table(spark, sf_dir, "events"), tables.fresh_folder(spark)
+    tables.append(e.select("event_id", F.col("user_id").alias("cluster"), F.col("value").alias("score")), at)
+    tables.append(e.where("event_id % 3 = 0").select((-F.col("event_id")).alias("event_id"), F.col("user_id").alias("cluster"), F.lit(None).cast("double").alias("score")), at)
+    return tables.snapshot(spark, at)
+
+
+@query("""
+SELECT c_custkey AS id, c_name AS title, 'City ' || n_name AS city, n_nationkey AS rank, 'b: ' || r_name AS second, 3 AS tags FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON r_regionkey = n_regionkey""")
+def headers_nested(spark, sf_dir):
+    """Headers with maps, lists and quotes, read to a VARIANT."""
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    text = F.concat(F.lit("title: "), "c_name", F.lit(" # the customer\nplace:\n  city: 'City "), "n_name", F.lit("'\n  rank: "), F.col("n_nationkey").cast("string"), F.lit('\nlist:\n- {a: 1}\n- "b: '), "r_name", F.lit('"\ntags: [x, "y, z", 3]'))
+    v = rows.select(F.col("c_custkey").alias("id"), headers.header_map(text).alias("v"))
+    return v.select("id", *(F.try_variant_get("v", path, kind).alias(name) for path, kind, name in (("$.title", "string", "title"), ("$.place.city", "string", "city"), ("$.place.rank", "int", "rank"), ("$.list[1]", "string", "second"), ("$.tags[2]", "int", "tags"))))
+
+
+@query("""
+SELECT o_orderkey AS id, concat_ws(chr(10), '---', 'title: Order ' || o_orderkey, 'note: ' || chr(39) || 'a: ' || o_orderpriority || chr(39), 'who:', '- c' || o_custkey, '- ' || chr(39) || o_custkey || chr(39), 'price:', '  status: ' || o_orderstatus, '  none: null', '---', '') AS header FROM orders""")
+def headers_written(spark, sf_dir):
+    """Headers written in the order of their keys, with quotes where a text would read as something else."""
+    o = table(spark, sf_dir, "orders")
+    key, customer = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    text = F.concat(F.lit("title: Order "), key, F.lit('\nnote: "a: '), "o_orderpriority", F.lit('"\nwho: [c'), customer, F.lit(", '"), customer, F.lit("']\nprice: {status: "), "o_orderstatus", F.lit(", none: ~}\n"))
+    return o.select(F.col("o_orderkey").alias("id"), headers.written_header(headers.header_json(text)).alias("header"))

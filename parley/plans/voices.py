@@ -172,3 +172,24 @@ SELECT meeting, slot, CAST(activity AS DOUBLE) AS activity FROM (SELECT *, row_n
 def active_slots(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("meeting"), F.col("event_type").alias("slot"), (F.col("event_id") % 16 / 16).alias("activity"))
     return v.active_slots(e, ["meeting"], 3)
+
+
+@query(f"""
+WITH s AS (SELECT q.vec_id, q.person AS truth, l.person, list(list_inner_product(q.e, l.e) ORDER BY list_inner_product(q.e, l.e) DESC)[1:3] AS l FROM ({VECTORS_SQL}) q JOIN ({VECTORS_SQL}) l ON q.vec_id % 100 = 0 AND q.meeting <> l.meeting GROUP BY ALL),
+b AS (SELECT vec_id, truth, list(person ORDER BY list_sum(l) / len(l) DESC, person)[1] AS best, bool_or(person = truth) AS judged FROM s GROUP BY ALL)
+SELECT truth, count(*) FILTER (best = truth) AS correct, count(*) AS total FROM b WHERE judged GROUP BY truth""")
+def leave_one_out_segments(spark, sf_dir):
+    """The stated queries as segments, named by what other meetings hold."""
+    rows = vectors(spark, sf_dir)
+    return v.left_out_segments(asked(rows), rows)
+
+
+@query("""
+WITH f AS (SELECT user_id % 7 AS recording, 'S' || user_id % 3 AS cluster, event_type AS voice, min(event_id) AS s FROM events GROUP BY ALL UNION ALL SELECT r, 'S1_2', 'own', -1 FROM range(7) t(r)),
+r AS (SELECT *, row_number() OVER (PARTITION BY recording, cluster ORDER BY s) AS k FROM f)
+SELECT recording, cluster, voice, CASE WHEN k = 1 THEN cluster WHEN cluster = 'S1' THEN 'S1_' || (k + 1) ELSE cluster || '_' || k END AS id FROM r""")
+def split_voice_ids(spark, sf_dir):
+    """Names of the voices that clusters were split into, past a cluster that has one of these names already."""
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("recording"), F.concat(F.lit("S"), F.col("user_id") % 3).alias("cluster"), F.col("event_type").alias("voice"), F.col("event_id").alias("start"))
+    taken = e.select("recording").distinct().select("recording", F.lit("S1_2").alias("cluster"), F.lit("own").alias("voice"), F.lit(-1).cast("long").alias("start"))
+    return v.split_ids(e.unionByName(taken), ["recording"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import struct
 import wave
 
@@ -26,9 +27,11 @@ RECORD = (
 
 
 def read_records(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """Meeting records of a folder of JSON files. Files that are no JSON are passed over, or end the job if ``strict``."""
-    reader = spark.read.schema(RECORD + ", _corrupt string").option("multiLine", True).option("pathGlobFilter", "*.json").option("columnNameOfCorruptRecord", "_corrupt")
-    rows = reader.option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
+    """Meeting records of a folder of JSON files: one record a file, or, in files that begin with 'part-' as ``write_records`` leaves them, one
+    a line. What is no JSON is passed over, or ends the job if ``strict``."""
+    reader = spark.read.schema(RECORD + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").option("mode", "FAILFAST" if strict else "PERMISSIVE")
+    lines = reader.option("multiLine", False).option("pathGlobFilter", "part-*.json").json(path)
+    rows = lines.unionByName(reader.option("multiLine", True).option("pathGlobFilter", "{[!p]*,p[!a]*,pa[!r]*,par[!t]*,part[!-]*}.json").json(path))
     return rows.where(F.col("_corrupt").isNull() & F.col("id").isNotNull()).drop("_corrupt")
 
 
@@ -38,6 +41,7 @@ def repeated_ids(records: DataFrame) -> DataFrame:
 
 
 def write_records(records: DataFrame, path: str) -> None:
+    """Records as JSON lines, in as many files as there are tasks."""
     records.write.mode("overwrite").json(path)
 
 
@@ -51,10 +55,10 @@ def assignments_of(records: DataFrame) -> DataFrame:
     return records.select("id", F.explode("assignments").alias("cluster", "a")).select("id", "cluster", "a.*")
 
 
-def read_notes(spark: SparkSession, path: str) -> DataFrame:
+def read_notes(spark: SparkSession, path: str, suffix: str = ".md") -> DataFrame:
     """path, stem, header and body of Markdown notes; folders that begin with a dot are left out."""
-    rows = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).text(path, wholetext=True)
-    named = rows.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("_metadata.file_name", r"\.md$", "").alias("stem"), front_matter("value").alias("note"))
+    rows = spark.read.option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", True).text(path, wholetext=True)
+    named = rows.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("_metadata.file_name", re.escape(suffix) + "$", "").alias("stem"), front_matter("value").alias("note"))
     return named.where(~F.col("path").rlike(r"/\.[^/]+/")).select("path", "stem", "note.header", "note.body")
 
 

@@ -255,6 +255,12 @@ class Change:
         schema = T.StructType([f for f in latest.schema if f.name != "part"])
         self._tell(name, schema, count, grown, [[p, *x] for p, x in fresh.items()])
 
+    def append(self, name: str, rows: DataFrame) -> None:
+        """Rows are added as a part of their own; nothing that is there is read. For logs, which are not kept by key."""
+        table = self.state.tables.get(name, Table())
+        fresh = self._write(rows.withColumn("part", F.lit(max(table.parts, default=-1) + 1)), "part")
+        self._tell(name, rows.schema, table.count, False, [[p, *x] for p, x in fresh.items()])
+
     def delete(self, name: str, gone: DataFrame, keys: list[str]) -> None:
         """Rows whose keys ``gone`` has are removed; a part without rows left is marked as removed."""
         table = self.state.tables.get(name)
@@ -320,6 +326,12 @@ def delete_by_key(gone: DataFrame, table: str, keys: list[str]) -> None:
     _tried(gone.sparkSession, root, lambda c: c.delete(name, gone, keys))
 
 
+def append(rows: DataFrame, table: str) -> None:
+    """``Change.append`` of one table, such as what people said of guesses; tried again if another writer added at the same time."""
+    root, name = _split(table)
+    _tried(rows.sparkSession, root, lambda c: c.append(name, rows))
+
+
 def clean_up(spark: SparkSession, root: str) -> int:
     """Remove versions that the present state does not name and log files before the last summary; how many folders went.
 
