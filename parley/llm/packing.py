@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from parley.llm.common import durable, map_arrow, slices, table, vocabulary_path, whole_text
-from parley.llm.token_counts import GAPS, Counter
+from parley.llm.token_counts import GAPS, MEMO, Counter
 
 #: Permitted sequence lengths.
 CAPACITIES = (512, 1024, 2048, 4096)
@@ -173,14 +173,14 @@ def cut_text(counter: Counter, text: str, largest: int) -> list[tuple[int, int,
     return found or [(0, len(text), 1)]
 
 
-def text_pieces(df: DataFrame, path: str, largest: int, id_column: str = "doc_id", text_column: str = "text", memo: int = 600_000) -> DataFrame:
+def text_pieces(df: DataFrame, path: str, largest: int, id_column: str = "doc_id", text_column: str = "text", memo: int = MEMO) -> DataFrame:
     """doc_id, row_key, piece, first_char, end_char and piece_length for the pieces of each row's text; a null or empty text is
     one piece, its end token. ``row_key`` is a hash of id and text."""
     fields = [("doc_id", pa.int64()), ("row_key", pa.int64()), ("row_id", pa.int64())]
     schema = pa.schema(fields + [("piece", pa.int32()), ("first_char", pa.int64()), ("end_char", pa.int64()), ("piece_length", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path, memo)
+        counter = Counter.of_worker(path, memo)
         for batch in slices(batches, "text", 4 << 20):
             rows = []
             for *keys, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row_key", "row_id", "text"))):
@@ -188,7 +188,7 @@ def text_pieces(df: DataFrame, path: str, largest: int, id_column: str = "doc_id
             if rows:
                 yield table(schema, *zip(*rows, strict=True))
             counter.trim()
-        counter.clear()
+        counter.done()
 
     text = whole_text(text_column)
     key = F.xxhash64(F.coalesce(F.col(id_column).cast("long"), F.lit(-1)), text)
@@ -214,7 +214,7 @@ def pack(df: DataFrame, length: Column, id_column: str = "doc_id", capacities: t
     return place_pieces(durable(cut), capacities, opening, span, rows_per_part)
 
 
-def pack_texts(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", capacities: tuple[int, ...] = CAPACITIES, opening: int = OPENING, span: int = SPAN, rows_per_part: int = 50_000, keep: bool = False, memo: int = 600_000, broadcast_rows: int = 300_000) -> DataFrame:
+def pack_texts(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", capacities: tuple[int, ...] = CAPACITIES, opening: int = OPENING, span: int = SPAN, rows_per_part: int = 50_000, keep: bool = False, memo: int = MEMO, broadcast_rows: int = 300_000) -> DataFrame:
     """One row for each piece of each row's text: doc_id, piece, first_char, end_char, length, bin, capacity, filled, at and, if
     ``keep``, the piece's text.
 

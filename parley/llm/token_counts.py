@@ -22,8 +22,8 @@ CHUNK = 65_536
 #: Symbols before a chunk from which the state at its beginning is told. Where a piece began before them, that is a guess.
 LOOKBACK = 512
 
-#: Memorised words from which on a worker keeps the vocabulary too.
-KEEPS_VOCABULARY = 200_000
+#: Memorised words, and from how many on a worker keeps them from task to task, and the vocabulary too.
+MEMO, KEEPS_VOCABULARY = 900_000, 200_000
 
 #: The symbol of a special token, beside 0 to 255 for bytes and 256 to 511 for bytes that end a piece.
 SPECIAL = 512
@@ -142,18 +142,31 @@ def scan(maps: list[StateMap]) -> list[StateMap]:
     return maps
 
 
+#: A worker's counters by vocabulary and size.
+_KEPT: dict[tuple[str, int], Counter] = {}
+
+
 class Counter:
     """Counts tokens of texts; words between white space are independent of each other."""
 
-    def __init__(self, path: str, memo: int = 600_000):
-        """``memo``: words whose counts are kept, which bounds a worker's memory (600,000: some 300 MB). Below KEEPS_VOCABULARY the worker
-        doesn't keep the vocabulary between tasks either."""
+    def __init__(self, path: str, memo: int = MEMO):
+        """``memo``: words whose counts are kept, which bounds a worker's memory (900,000: some 400 MB). From KEEPS_VOCABULARY on a worker
+        keeps them, and the vocabulary, from task to task (``of_worker``)."""
         self.memo = memo
         self.vocabulary = merges.load(path)
         self.transducer = Transducer(self.vocabulary, memo * 2 // 3)
         self.pieces = Memo(self.transducer.count, memo * 2 // 3)
         self.words = Memo(self._word, memo)
 
+    @classmethod
+    def of_worker(cls, path: str, memo: int = MEMO) -> Counter:
+        """The worker's counter, which goes on with what earlier tasks have compiled; with a small memo a new one."""
+        if memo < KEEPS_VOCABULARY:
+            return cls(path, memo)
+        if (path, memo) not in _KEPT:
+            _KEPT[path, memo] = cls(path, memo)
+        return _KEPT[path, memo]
+
     def _word(self, word: str) -> int:
         if word.isascii():  # most words are one piece of letters, or that and a mark
             if word.isalpha():
@@ -188,14 +201,17 @@ class Counter:
         for memo in (self.words, self.pieces, self.transducer, self.vocabulary):
             memo.trim()
 
-    def clear(self) -> None:
-        """Forget what was memorised, also in the vocabulary, which other counters of the process share."""
+    def done(self) -> None:
+        """At a task's end: keep what later tasks can use, within the bounds, or with a small memo forget it all, also in the vocabulary, which
+        other counters of the process share."""
+        if self.memo >= KEEPS_VOCABULARY:
+            self.trim()
+            return
         self.words.clear()
         self.pieces.clear()
         self.transducer.reset()
         self.vocabulary.beside.clear()
-        if self.memo < KEEPS_VOCABULARY:
-            merges.load.cache_clear()
+        merges.load.cache_clear()
 
     def symbols(self, text: str) -> np.ndarray:
         """The symbols of a whole text: what the transducer reads. White space and borders of pieces are in its ends of pieces."""
@@ -265,20 +281,20 @@ def token_counts(df: DataFrame, path: str, id_column: str = "doc_id", text_colum
     mapped = pa.schema([*keys, ("entry", pa.string()), ("leave", pa.string()), ("count", pa.int64()), ("symbols", pa.binary())])
 
     def count_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path)
+        counter = Counter.of_worker(path)
         for batch in slices(batches, "text", 4 << 20):
             yield table(counted, batch.column("doc_id"), batch.column("n_bytes"), [counter.text(x) for x in batch.column("text").to_pylist()])
             counter.trim()
-        counter.clear()
+        counter.done()
 
     def cut_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path)
+        counter = Counter.of_worker(path)
         for batch in slices(batches, "text", 4 << 20):
             for *own, text in zip(*(batch.column(c).to_pylist() for c in ("row_id", "doc_id", "n_bytes", "text"))):
                 yield table(chunked, *zip(*((*own, *x) for x in cut_symbols(counter.symbols(text), chunk, lookback))))
 
     def map_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path)
+        counter = Counter.of_worker(path)
         for batch in slices(batches, "symbols", 4 << 20):
             found = []
             for *own, before, symbols, guessed in zip(*(batch.column(c).to_pylist() for c in chunked.names)):
@@ -287,17 +303,17 @@ def token_counts(df: DataFrame, path: str, id_column: str = "doc_id", text_colum
             if found:
                 yield table(mapped, *zip(*found))
             counter.trim()
-        counter.clear()
+        counter.done()
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path)
+        counter = Counter.of_worker(path)
         every = (x for batch in batches for x in zip(*(batch.column(c).to_pylist() for c in mapped.names)))
         for _, group in groupby(every, key=lambda x: x[0]):
             chunks = [*group]
             total = counter.total([({entry: (leave, count)}, symbols) for *_, entry, leave, count, symbols in chunks])
             yield table(counted, [chunks[0][1]], [chunks[0][2]], [total])
             counter.trim()
-        counter.clear()
+        counter.done()
 
     shape = "doc_id long, n_bytes long, n_tokens long"
     short = map_arrow(rows.where(F.length("text") <= chunk).select("doc_id", "n_bytes", "text"), count_short, shape)
