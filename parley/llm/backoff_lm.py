@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import Memo, crc_bucket, durable, map_arrow, mixed, raw_texts, slices, table, whole_text, word_memo, words_of
+from parley.llm.common import Memo, brief_shuffles, crc_bucket, durable, map_arrow, mixed, raw_texts, slices, table, whole_text, word_memo, words_of
 
 #: Hash of the token that ends each text; words' hashes that equal it are moved by one.
 END = 1
@@ -371,13 +371,15 @@ def score_texts(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     rows = df.select(
         F.monotonically_increasing_id().alias("row_id"), F.col(id_column).cast("long").alias("doc_id"), (crc_bucket(id_column, buckets) == held_bucket).alias("held_out"), whole_text(text_column).alias("text")
     )
-    blocks = durable(block_texts(rows, block_bytes))
-    tokens = blocks.agg(F.coalesce(F.sum("training"), F.lit(0))).first()[0]
-    meetings = max(1, -(-tokens // meeting_tokens))
-    frequent = df.sparkSession.sparkContext.broadcast(short_words(blocks, most_short, SAMPLE))
-    answered = durable(answers(meeting_rows(blocks, frequent, meetings), frequent, meetings))
+    spark = df.sparkSession
+    with brief_shuffles(spark):  # what the n-grams and words met by is done with when their counts are stored
+        blocks = durable(block_texts(rows, block_bytes))
+        tokens = blocks.agg(F.coalesce(F.sum("training"), F.lit(0))).first()[0]
+        meetings = max(1, -(-tokens // meeting_tokens))
+        frequent = spark.sparkContext.broadcast(short_words(blocks, most_short, SAMPLE))
+        answered = durable(answers(meeting_rows(blocks, frequent, meetings), frequent, meetings))
+        words = durable(word_answers(blocks, answered, meetings))
     lines = blocks.select("block", F.lit(0).alias("kind"), F.lit(0).alias("meeting"), "payload")
-    words = durable(word_answers(blocks, answered, meetings))
     distinct = sum(int(unsqueeze(r["payload"])[0][0]) for r in words.where("block is null").select("payload").collect())  # one number a meeting place
     lines = lines.union(words.where("block is not null").select("block", F.lit(1), "meeting", "payload"))
     lines = lines.union(answered.where("block is not null").select("block", F.lit(2), "meeting", "payload"))

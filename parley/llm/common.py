@@ -8,6 +8,7 @@ import os
 import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it, the shuffle files of an action go when it ends, as is right where its result is a checkpoint; the session's setting comes back."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def hot_join(rows: DataFrame, keyed: DataFrame, key: str, total: int, share: int = 1000) -> DataFrame:
     """``rows`` left-joined with ``keyed``, which has one row for each key and in ``n`` how many of the ``total`` rows have it.
 
