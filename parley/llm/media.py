@@ -253,6 +253,8 @@ class Frame:
             most_h = most_v = 1
         columns, rows = -(-self.wide // (8 * most_h)), -(-self.high // (8 * most_v))
         first_h, first_v = (1, 1) if len(self.parts) == 1 else self.parts[0][1:3]
+        if rows * columns > 4 * len(data):  # a block has two codes of a bit at least
+            raise ValueError("a frame's samples are cut short")
         plane = np.zeros((rows * first_v * 8, columns * first_h * 8), np.uint8)
         last = dict.fromkeys((p[0] for p in self.parts), 0)
         for unit in range(columns * rows):
@@ -398,6 +400,10 @@ def text_media(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     return map_arrow(rows, run, shape + ", media binary" * keep)
 
 
+#: What reading a damaged file may end with: wrong values, sizes beyond all bounds, places or parts that are not there.
+DAMAGED = (ValueError, ArithmeticError, LookupError, AttributeError, TypeError, struct.error)
+
+
 def media_clips(df: DataFrame, id_column: str = "doc_id", media_column: str = "media") -> DataFrame:
     """One row for each clip of each AVI file: doc_id, clip, first_frame, end_frame, start_s, end_s, level, error.
 
@@ -413,8 +419,8 @@ def media_clips(df: DataFrame, id_column: str = "doc_id", media_column: str = "m
             for doc, data in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist()):
                 try:
                     rows += [(doc, k, *clip, None) for k, clip in enumerate(clips_of(bytes(data))[1] if data else ())]
-                except ValueError as error:
-                    rows.append((doc, *[None] * 6, str(error)))
+                except DAMAGED as error:
+                    rows.append((doc, *[None] * 6, str(error) or type(error).__name__))
             if rows:
                 yield table(schema, *zip(*rows, strict=True))
 

@@ -171,3 +171,23 @@ def test_shots(spark):
 
 def test_empty(empty):
     assert m.text_media(empty).count() == 0
+
+
+def test_damaged_files_are_rows(spark):
+    """Files with bytes changed, cut or doubled anywhere, of the operator's own frames and another writer's: each is clips or an error."""
+    rng = np.random.default_rng(11)
+    y, x = np.mgrid[0:16, 0:32]
+    own = [bytes(r["media"]) for r in m.text_media(spark.createDataFrame([(1, "one text " * 60), (2, "b")], "doc_id long, text string")).collect()]
+    tables = m.standard_codes()
+    other = avi_of([encode((x * 4 + y * k).astype(np.uint8), chroma, tables, 2, True) for chroma in (False, True) for k in (1, 2)][:2])
+    files = []
+    for k in range(600):
+        data = bytearray((*own, other)[k % 3])
+        for at in rng.integers(0, len(data), rng.integers(1, 6)).tolist():
+            data[at] = int(rng.integers(0, 256))
+        if k % 5 == 0:
+            data = data[: int(rng.integers(0, len(data)))]
+        files.append((k, data))
+    found = m.media_clips(spark.createDataFrame(files, "doc_id long, media binary").repartition(4)).collect()
+    assert len({r["doc_id"] for r in found if r["error"] is not None}) > 50
+    assert all((r["error"] is None) == (r["first_frame"] is not None) for r in found)
