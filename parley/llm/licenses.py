@@ -245,3 +245,36 @@ def scan_licenses(df: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 def op11_license_scans(spark, sf_dir: str) -> DataFrame:
     return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("places")
+
+
+def license_sql() -> str:
+    """The statement that ``op11_license_scans`` equals: by joins of all words with the templates' words instead of an index."""
+    base, statements, notices = templates()
+
+    def listed(words: tuple[str, ...]) -> str:
+        return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+    phrases = [(t.label, int(k < len(base)), listed(t.words)) for k, t in enumerate([*base, *statements])]
+    once = [(t.label, w, k, span(t)) for t in notices for k, w in enumerate(t.words) if t.words.count(w) == 1]
+    keys = [(t.label, k, span(t), listed(p)) for t in notices for k, p in enumerate(t.phrases)]
+
+    def values(rows: list[tuple]) -> str:
+        return ", ".join("(" + ", ".join(x if isinstance(x, str) and x[:1] == "[" else repr(x) for x in r) + ")" for r in rows)
+
+    return f"""
+WITH phrase(label, base, words) AS (VALUES {values(phrases)}), once(label, word, place, span) AS (VALUES {values(once)}), mandatory(label, number, span, words) AS (VALUES {values(keys)}),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS words FROM documents),
+t AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS at_ FROM d),
+f AS (SELECT word, count(DISTINCT r) AS n FROM t GROUP BY word),
+rare AS (SELECT o.*, count(*) OVER (PARTITION BY o.label) AS many FROM (SELECT o.* FROM once o LEFT JOIN f ON f.word = o.word QUALIFY row_number() OVER (PARTITION BY o.label ORDER BY coalesce(f.n, 0), o.word, o.place) <= {ANCHORS}) o),
+p AS (SELECT t.r, p.label, p.base, t.at_ FROM t JOIN phrase p ON t.word = p.words[1] JOIN d ON d.r = t.r WHERE d.words[t.at_ + 1:t.at_ + len(p.words)] = p.words),
+k AS (SELECT t.r, m.label, m.number, unnest([w - 1, w, w + 1]) AS w FROM (SELECT t.r, m.label, m.number, (t.at_ + m.span) // m.span AS w FROM t JOIN mandatory m ON t.word = m.words[1] JOIN d ON d.r = t.r WHERE d.words[t.at_ + 1:t.at_ + len(m.words)] = m.words) t JOIN mandatory m USING (label, number)),
+need AS (SELECT label, count(*) AS n FROM mandatory GROUP BY label),
+near AS (SELECT k.r, k.label, k.w FROM k JOIN need ON need.label = k.label GROUP BY k.r, k.label, k.w, need.n HAVING count(DISTINCT k.number) = need.n),
+b AS (SELECT r, label, span, many, b, count(DISTINCT word) AS n FROM (SELECT t.r, a.label, a.span, a.many, a.word, unnest([x, x + 1]) AS b FROM (SELECT t.r, a.*, CAST(floor((t.at_ - a.place + a.span) / {DRIFT}) AS BIGINT) AS x FROM t JOIN rare a ON a.word = t.word) a JOIN t ON t.r = a.r AND t.at_ = 0) GROUP BY ALL),
+s AS (SELECT b.r, b.label, max(b.n / b.many) AS share FROM b JOIN near ON near.r = b.r AND near.label = b.label AND near.w = CAST(floor(b.b * {DRIFT} / b.span) AS BIGINT) WHERE b.n >= least({NEEDED}, b.many) GROUP BY ALL),
+l AS (SELECT r, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM p UNION SELECT r, label FROM s) GROUP BY r),
+g AS (SELECT r, count(*) FILTER (base = 1) AS n, min(at_) FILTER (base = 1) AS low, max(at_) FILTER (base = 1) AS high, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base = 1) AS labels FROM p GROUP BY r)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, coalesce(g.n, 0) AS n_base, CAST(g.low AS BIGINT) AS first_word, CAST(g.high AS BIGINT) AS last_word, coalesce(g.labels, '') AS base_labels, coalesce(l.labels, '') AS labels,
+  CASE WHEN g.r IS NOT NULL THEN 1.0::DOUBLE ELSE coalesce((SELECT max(share) FROM s WHERE s.r = d.r), 0) END AS score
+FROM d LEFT JOIN g ON g.r = d.r LEFT JOIN l ON l.r = d.r"""

@@ -31,4 +31,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from parley.llm.licenses import license_sql
+
+    return {"op11_license_scans": license_sql()}

@@ -93,6 +93,25 @@ def test_notices_whole_damaged_and_partial(spark):
             assert not own
 
 
+def test_the_statement_says_the_same(spark):
+    """The SQL over the driver's documents and over notices whole, damaged and mixed with phrases."""
+    import duckdb
+
+    rng = random.Random(4)
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    for k in range(200):
+        parts = [rng.choice([*(t for t, _ in li.NOTICES.values()), *PHRASES, *li.STATEMENTS.values(), filler(rng, 30)]) for _ in range(rng.randint(1, 5))]
+        words = " ".join(parts).split()
+        rows.append((10**6 + k, " ".join(w for w in words if rng.random() > k % 3 * 0.03)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    connection = duckdb.connect()
+    connection.register("documents", df.toPandas())
+    want = connection.execute(li.license_sql()).fetchall()
+    columns = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    assert counted((*r[:-1], round(r[-1], 9)) for r in want) == counted((*r[:-1], round(r[-1], 9)) for r in map(tuple, li.scan_licenses(df).select(columns).collect()))
+    assert any(0 < r[-1] < 1 for r in want)
+
+
 def test_equal_texts_and_plan(spark, docs):
     df = docs.select("doc_id", "text").limit(20)
     both = df.unionByName(df)
