@@ -14,9 +14,13 @@ from parley.sources.tables import durable
 #: Pieces of an answer: a string with its escapes (one that is not closed reaches the end), a brace, or what lies between.
 _PIECE = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\\?\z)|[{}]|[^{}"]++'
 
-#: Other names under which a task may be given.
+#: Other names under which a task may be given, headings of a prompt's sections, what a second try is told.
 TASK_NAMES = ("action", "action_item", "description", "text")
 
+GUIDANCE = "## Format guidance (controls presentation; it is not meeting evidence)"
+OWN_NOTES = "## Note-taker's own notes (what to make sure is covered; not meeting evidence)"
+AGAIN = "Your previous reply did not match the required schema: "
+
 #: Shapes of a declared section.
 SHAPES = ("text", "list", "items")
 
@@ -122,6 +126,16 @@ def action(value: Column) -> Column:
     return F.struct(said.alias("task"), _get(value, "owner", "string").alias("owner"), _get(value, "due", "string").alias("due"), F.coalesce(F.array_distinct(sources), F.array().cast("array<string>")).alias("source_turns"), error.alias("error"))
 
 
+def section_faults(sections: DataFrame, keys: list[str]) -> DataFrame:
+    """Declared sections (keys, key, title, type) that cannot stand, with ``fault``: no title, an unknown type, or a key that another section of
+    the same template has."""
+    named = F.trim(F.coalesce("title", F.lit("")))
+    repeated = sections.groupBy(*keys, "key").agg(F.count("*").alias("__n"))
+    joined = sections.join(repeated, [*keys, "key"])
+    fault = F.when(named == "", "no title").when(~F.coalesce(F.col("type").isin(*SHAPES), F.lit(False)), "unknown type").when(F.col("__n") > 1, "repeated key")
+    return joined.withColumn("fault", fault).where("fault is not null").drop("__n")
+
+
 def section(value: Column, shape: Column) -> Column:
     """An extra section in its declared shape, as struct(text, list, items): one is filled, the others null. Blank texts and items go; what is
     no list is a list of one; what has neither a title nor a text is no item."""
@@ -170,8 +184,8 @@ def user_prompt(instructions: Column, heading: Column, body: Column, own_notes:
         bare = F.trim(F.coalesce(text, F.lit("")), F.lit(" \t\n\r\x0b\x0c"))
         return F.when(bare != "", F.concat(F.lit(heading_), bare))
 
-    guidance = part("## Format guidance (controls presentation; it is not meeting evidence)\n", instructions)
-    notes_ = part("## Note-taker's own notes (what to make sure is covered; not meeting evidence)\n", own_notes)
+    guidance = part(f"{GUIDANCE}\n", instructions)
+    notes_ = part(f"{OWN_NOTES}\n", own_notes)
     return F.concat_ws("\n\n", guidance, notes_, F.concat(F.lit("## "), heading, F.lit("\n"), F.coalesce(body, F.lit(""))))
 
 
@@ -194,7 +208,7 @@ def asked_until_right(prompts: DataFrame, model: Model, retries: int = 1) -> Dat
         wrong = rows.where("notes.error is not null")
         if wrong.isEmpty():
             break
-        told = F.concat("prompt", F.lit("\n\nYour previous reply did not match the required schema: "), "notes.error", F.lit("\nCorrect this and return the complete JSON object."))
+        told = F.concat("prompt", F.lit(f"\n\n{AGAIN}"), "notes.error", F.lit("\nCorrect this and return the complete JSON object."))
         again = wrong.withColumns({"__first": F.col("prompt"), "prompt": told}).drop("answer", "notes")
         again = asked(again, model).withColumns({"tries": F.lit(k + 2), "prompt": F.col("__first")}).drop("__first").withColumn("notes", notes(extract_json("answer")))
         rows = durable(rows.where("notes.error is null").unionByName(again.select(rows.columns)))

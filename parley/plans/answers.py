@@ -116,3 +116,15 @@ def citations_kept(spark, sf_dir):
     first, second = F.concat(F.lit("t"), F.col("o_orderkey") % 4), F.concat(F.lit("t"), F.col("o_custkey") % 3)
     rows = o.select("o_orderkey", F.array(first, second, F.lit("t9"), first, second).alias("ids"), F.array(*(F.lit(f"t{k}") for k in range(3))).alias("valid"))
     return rows.select("o_orderkey", F.array_join(keep_valid("ids", "valid"), ",").alias("kept"))
+
+
+@query("""
+WITH s AS (SELECT user_id AS template, 'k' || event_id % 29 AS key, CASE WHEN event_id % 11 = 0 THEN ' ' ELSE event_type END AS title, CASE event_id % 7 WHEN 0 THEN 'list' WHEN 1 THEN 'items' WHEN 2 THEN 'table' ELSE 'text' END AS type FROM events)
+SELECT template, key, title, type, CASE WHEN trim(title) = '' THEN 'no title' WHEN type = 'table' THEN 'unknown type' ELSE 'repeated key' END AS fault FROM s
+WHERE trim(title) = '' OR type = 'table' OR (template, key) IN (SELECT (template, key) FROM s GROUP BY ALL HAVING count(*) > 1)""")
+def template_sections_checked(spark, sf_dir):
+    """Declared sections of templates that cannot stand as they are."""
+    kind = F.col("event_id") % 7
+    type_ = F.when(kind == 0, "list").when(kind == 1, "items").when(kind == 2, "table").otherwise("text")
+    s = table(spark, sf_dir, "events").select(F.col("user_id").alias("template"), F.concat(F.lit("k"), F.col("event_id") % 29).alias("key"), F.when(F.col("event_id") % 11 == 0, " ").otherwise(F.col("event_type")).alias("title"), type_.alias("type"))
+    return answers.section_faults(s, ["template"]).select("template", "key", "title", "type", "fault")

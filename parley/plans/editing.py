@@ -45,11 +45,13 @@ def voices_renamed(spark, sf_dir):
     return e.rename_voices(known, asked)
 
 
-@query("SELECT DISTINCT conv_id AS id, role AS cluster, 'n' AS name FROM conversations WHERE turn < 3")
+@query("SELECT DISTINCT conv_id AS id, role AS cluster, 'n' AS name FROM conversations")
 def unused_assignments_dropped(spark, sf_dir):
+    """Names of clusters that speak in no turn go."""
     all_turns = turns(spark, sf_dir)
     known = all_turns.select("id", F.col("speaker").alias("cluster")).distinct().withColumn("name", F.lit("n"))
-    return e.used_assignments(known, all_turns.where("turn < 3"))
+    silent = known.select("id", F.concat("cluster", F.lit(" who left")).alias("cluster"), "name")
+    return e.used_assignments(known.unionByName(silent), all_turns)
 
 
 @query("""

@@ -213,3 +213,23 @@ def headers_written(spark, sf_dir):
     key, customer = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
     text = F.concat(F.lit("title: Order "), key, F.lit('\nnote: "a: '), "o_orderpriority", F.lit('"\nwho: [c'), customer, F.lit(", '"), customer, F.lit("']\nprice: {status: "), "o_orderstatus", F.lit(", none: ~}\n"))
     return o.select(F.col("o_orderkey").alias("id"), headers.written_header(headers.header_json(text)).alias("header"))
+
+
+@query("""
+SELECT 'a' AS model, event_type, count(*) AS n FROM events GROUP BY ALL UNION ALL SELECT 'b', event_type, count(*) FROM events WHERE user_id % 2 = 0 GROUP BY ALL""")
+def stages_cached(spark, sf_dir):
+    """A stage's results under two sets of parameters, each made once and read twice."""
+    e, at = table(spark, sf_dir, "events"), tables.fresh_folder(spark)
+    made = []
+
+    def stage(model):
+        def make():
+            made.append(model)
+            return (e if model == "a" else e.where("user_id % 2 = 0")).groupBy("event_type").agg(F.count("*").alias("n"))
+
+        return tables.cached(spark, at, "counts", {"model": model, "version": 1}, make).select(F.lit(model).alias("model"), "event_type", "n")
+
+    found = [stage(m) for m in ("a", "b", "a", "b")]
+    if made != ["a", "b"]:
+        raise ValueError("a stage was made again")
+    return found[2].unionByName(found[3])

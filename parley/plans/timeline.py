@@ -88,7 +88,16 @@ def smooth_islands_one_pass(spark, sf_dir):
     return t.smooth_once(t.fill_labels(words(spark, sf_dir), KEYS), KEYS, 600).select("meeting", "seq", "label")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE r AS ({_RUNS}), g AS (SELECT meeting, run, any_value(label) AS label, arg_min(start, seq) AS s, arg_max("end", seq) AS e FROM r GROUP BY ALL),
+q AS (SELECT meeting, list({{'label': label, 's': s, 'e': e, 'c': 1}} ORDER BY run) AS runs FROM g GROUP BY meeting),
+w AS (SELECT meeting, runs, runs[1:0] AS done, runs[1] AS head, 2 AS pos FROM q
+  UNION ALL SELECT meeting, runs, CASE WHEN hit THEN done[1:len(done) - 1] ELSE list_append(done, head) END,
+    CASE WHEN hit THEN {{'label': done[-1].label, 's': done[-1].s, 'e': runs[pos].e, 'c': done[-1].c + head.c + runs[pos].c}} ELSE runs[pos] END, pos + 1
+  FROM (SELECT *, len(done) > 0 AND pos <= len(runs) AND done[-1].label = runs[pos].label AND runs[pos].label <> head.label AND head.e - head.s <= 600 AS hit FROM w WHERE head IS NOT NULL)),
+x AS (SELECT meeting, unnest(done) AS d, generate_subscripts(done, 1) AS k FROM w WHERE head IS NULL),
+y AS (SELECT meeting, d.label AS label, d.c AS c, sum(d.c) OVER (PARTITION BY meeting ORDER BY k) AS high FROM x)
+SELECT r.meeting, r.seq, y.label FROM r JOIN y ON r.meeting = y.meeting AND r.run > y.high - y.c AND r.run <= y.high""")
 def smooth_islands(spark, sf_dir):
     return t.smooth(t.fill_labels(words(spark, sf_dir), KEYS), KEYS, 600).select("meeting", "seq", "label")
 

@@ -109,7 +109,14 @@ def redundancy(spark, sf_dir):
     return v.redundancy(vectors(spark, sf_dir), ["person"]).select("person", "vec_id", F.round("redundancy", 4).alias("redundancy"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE p AS (SELECT recording, list(vec_id ORDER BY vec_id) AS ids, list(e ORDER BY vec_id) AS es FROM ({VECTORS_SQL}) GROUP BY recording),
+m AS (SELECT recording, ids, list_transform(es, lambda a: list_transform(es, lambda b: list_inner_product(a, b))) AS s FROM p),
+w AS (SELECT recording, ids, s, range(1, len(ids) + 1) AS alive FROM m
+  UNION ALL SELECT recording, ids, s, list_filter(alive, lambda i: i <> worst) FROM (SELECT *, list_min(list_transform(alive[1:len(alive) - 1], lambda i: {{'x': -list_sum(list_transform(alive, lambda j: CASE WHEN i = j THEN 0 ELSE s[i][j] END)), 'i': i}})).i AS worst
+    FROM w WHERE len(alive) > {v.KEEP})),
+f AS (SELECT * FROM w WHERE len(alive) <= {v.KEEP})
+SELECT recording, unnest(ids) AS vec_id, unnest(list_transform(range(1, len(ids) + 1), lambda k: list_contains(alive, k))) AS kept FROM f""")
 def prune_most_redundant(spark, sf_dir):
     return v.prune(vectors(spark, sf_dir), ["recording"])
 

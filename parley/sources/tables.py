@@ -7,10 +7,12 @@ change of however many tables whole or not at all, a job that fails halfway has
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -332,6 +334,16 @@ def append(rows: DataFrame, table: str) -> None:
     _tried(rows.sparkSession, root, lambda c: c.append(name, rows))
 
 
+def cached(spark: SparkSession, root: str, stage: str, parameters: dict, make: Callable[[], DataFrame]) -> DataFrame:
+    """A stage's result, made once for each set of parameters and stored under a hash of them; what fails halfway is not stored."""
+    key = hashlib.sha1(json.dumps(parameters, sort_keys=True, default=str).encode()).hexdigest()[:10]
+    table = f"{root}#{stage}-{key}"
+    if (known := snapshot(spark, table)) is None:
+        replace_table(make(), table)
+        known = snapshot(spark, table)
+    return known
+
+
 def clean_up(spark: SparkSession, root: str) -> int:
     """Remove versions that the present state does not name and log files before the last summary; how many folders went.
 
