@@ -5,8 +5,10 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -143,6 +145,8 @@ def cut_text(counter: Counter, text: str, largest: int) -> list[tuple[int, int,
         total = counter.text(text)
         if total <= limit:
             return [(0, len(text), total + 1)]
+    if (cut := cut_between_words(counter, text, limit)) is not None:
+        return cut
     found: list[tuple[int, int, int]] = []
     first = end = tokens = 0
 
@@ -173,6 +177,31 @@ def cut_text(counter: Counter, text: str, largest: int) -> list[tuple[int, int,
     return found or [(0, len(text), 1)]
 
 
+@cache
+def white_table() -> np.ndarray:
+    """Whether a character is white space, by its number; the last place stands for all beyond."""
+    return np.array([GAPS.fullmatch(chr(k)) is not None for k in range(0x3002)])
+
+
+def cut_between_words(counter: Counter, text: str, limit: int) -> list[tuple[int, int, int]] | None:
+    """The same pieces where each word fits into one and has tokens, from sums over all words at once; else None."""
+    white = white_table()[np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), 0x3001)]
+    edges = np.flatnonzero(np.diff(white, prepend=True, append=True))
+    starts, ends = edges[::2], edges[1::2]
+    words = counter.split(text)
+    if len(words) != len(starts) or not words or int((ends - starts).max()) > 4 * limit:
+        return None
+    counts = np.fromiter(map(counter.words.__getitem__, words), np.int64, len(words))
+    if counts.min() < 1 or counts.max() > limit:
+        return None
+    sums, found, k = np.concatenate(([0], np.cumsum(counts))), [], 0
+    while k < len(words):
+        after = int(np.searchsorted(sums, sums[k] + limit, "right")) - 1
+        found.append((int(starts[k]), int(ends[after - 1]), int(sums[after] - sums[k]) + 1))
+        k = after
+    return found
+
+
 def text_pieces(df: DataFrame, path: str, largest: int, id_column: str = "doc_id", text_column: str = "text", memo: int = MEMO) -> DataFrame:
     """doc_id, row_key, piece, first_char, end_char and piece_length for the pieces of each row's text; a null or empty text is
     one piece, its end token. ``row_key`` is a hash of id and text."""
@@ -182,12 +211,12 @@ def text_pieces(df: DataFrame, path: str, largest: int, id_column: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter.of_worker(path, memo)
         for batch in slices(batches, "text", 4 << 20):
-            rows = []
-            for *keys, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row_key", "row_id", "text"))):
+            rows, texts = [], batch.column("text").to_pylist()
+            for *keys, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row_key", "row_id")), texts):
                 rows += [(*keys, k, *piece) for k, piece in enumerate(cut_text(counter, text, largest))]
             if rows:
                 yield table(schema, *zip(*rows, strict=True))
-            counter.trim()
+            counter.trim(texts)
         counter.done()
 
     text = whole_text(text_column)

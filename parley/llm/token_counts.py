@@ -197,8 +197,14 @@ class Counter:
     def text(self, text: str) -> int:
         return sum(map(self.words.__getitem__, self.split(text)))
 
-    def trim(self) -> None:
-        for memo in (self.words, self.pieces, self.transducer, self.vocabulary):
+    def trim(self, texts: Iterable[str] = ()) -> None:
+        """Keep within the bounds. When the words are too many, those of ``texts``, the last ones read, stay, as most of what is frequent is
+        among them."""
+        if len(self.words) > self.memo:
+            kept = {w: self.words[w] for text in texts for w in self.split(text) if w in self.words}
+            self.words.clear()
+            self.words.update(kept)
+        for memo in (self.pieces, self.transducer, self.vocabulary):
             memo.trim()
 
     def done(self) -> None:
@@ -283,8 +289,9 @@ def token_counts(df: DataFrame, path: str, id_column: str = "doc_id", text_colum
     def count_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter.of_worker(path)
         for batch in slices(batches, "text", 4 << 20):
-            yield table(counted, batch.column("doc_id"), batch.column("n_bytes"), [counter.text(x) for x in batch.column("text").to_pylist()])
-            counter.trim()
+            texts = batch.column("text").to_pylist()
+            yield table(counted, batch.column("doc_id"), batch.column("n_bytes"), [counter.text(x) for x in texts])
+            counter.trim(texts)
         counter.done()
 
     def cut_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

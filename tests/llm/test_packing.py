@@ -160,3 +160,27 @@ def test_long_words_are_cut(spark):
             cut = p.cut_text(counter, text, largest)
             assert all(n <= largest and n == 1 + len(library.encode(text[a:b], add_special_tokens=False).ids) for a, b, n in cut)
             assert "".join("".join(text[a:b].split()) for a, b, _ in cut) == "".join(text.split())
+
+
+def test_sums_over_words_cut_as_the_walk_does(monkeypatch):
+    """Texts longer than a bin, with odd white space, long words and words without tokens, are cut alike on both ways."""
+    rng = random.Random(12)
+    counter = p.Counter(vocabulary_path("word_bpe_49k.json"))
+    words = ["one", "Two,", "three!", "naïve", "中文字符", "x" * 40, "😀", "<|endoftext|>", "a\x1cb", "12345", "é", "́", "ΑΣ", "y" * 700]
+    white = [" ", "  ", "\n", "\t", "　", "\x85", " ", " \n "]
+    texts = ["".join(rng.choice(words[: rng.randint(2, len(words))]) + rng.choice(white) for _ in range(rng.randint(0, 400))) for _ in range(60)] + ["", " ", "one " * 500, " one" * 500]
+    quick = [[p.cut_text(counter, t, largest) for t in texts] for largest in (8, 64, 300)]
+    used = sum(p.cut_between_words(counter, t, 299) is not None for t in texts)
+    monkeypatch.setattr(p, "cut_between_words", lambda *a: None)
+    assert quick == [[p.cut_text(counter, t, largest) for t in texts] for largest in (8, 64, 300)]
+    assert used > 20
+
+
+def test_what_is_kept_when_words_are_too_many():
+    counter = p.Counter(vocabulary_path("word_bpe_49k.json"), 250_000)
+    counter.memo = 50
+    first, last = [f"word{k}" for k in range(80)], ["word3 other word5", "more"]
+    counts = [counter.text(x) for x in (*first, *last)]
+    counter.trim(last)
+    assert set(counter.words) == {"word3", "other", "word5", "more"}
+    assert [counter.text(x) for x in (*first, *last)] == counts

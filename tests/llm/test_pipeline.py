@@ -63,4 +63,4 @@ def test_one_of_each_group_stays(spark, small):
 
 
 def test_queries_are_named():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 14)]
