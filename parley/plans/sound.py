@@ -2,22 +2,38 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parley.operators import sound
+from parley.operators.common import spread
 from parley.plans import query, table
 
 _LENGTH = "(300 + 97 * (c_custkey % 23))"
 
 
+@F.pandas_udf(T.BinaryType())
+def _tone(recording: pd.Series, first: pd.Series, end: pd.Series) -> pd.Series:
+    """16-bit samples first to end - 1 of a recording's tone."""
+    return pd.Series([((np.arange(a, b) * 37 + c * 11) % 2001 - 1000).astype("<i2").tobytes() for c, a, b in zip(recording, first, end)], dtype=object)
+
+
 def recordings(spark, sf_dir):
     """Pieces of 700 samples: sample k of customer c is (k * 37 + c * 11) % 2001 - 1000."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("recording"), (300 + 97 * (F.col("c_custkey") % 23)).alias("length"))
+    c = spread(c, ["recording"], c.count(), 10_000)  # a small file of short rows, from which much sound is made
     pieces = c.withColumn("seq", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / 700).cast("int"))))
-    at = F.sequence(F.col("seq") * 700, F.least(F.col("seq") * 700 + 700, F.col("length")) - 1)
-    value = F.transform(at, lambda k: F.pmod(k * 37 + F.col("recording") * 11, F.lit(2001)) - 1000)
-    raw = F.array_join(F.transform(value, lambda v: F.concat(F.lpad(F.hex(F.pmod(v, F.lit(256))), 2, "0"), F.lpad(F.hex(F.pmod(F.floor(v / 256), F.lit(256))), 2, "0"))), "")
-    return pieces.select("recording", "seq", F.unhex(raw).alias("pcm"))
+    first = F.col("seq").cast("long") * 700
+    return pieces.select("recording", "seq", _tone("recording", first, F.least(first + 700, F.col("length"))).alias("pcm"))
+
+
+@F.pandas_udf(T.LongType())
+def _weighed(at: pd.Series, pcm: pd.Series) -> pd.Series:
+    """Sum of a piece's samples, sample k by k % 7 + 1."""
+    samples = [np.frombuffer(raw, "<i2").astype(np.int64) for raw in pcm]
+    return pd.Series([int(((np.arange(a, a + len(x)) % 7 + 1) * x).sum()) for a, x in zip(at, samples)], dtype="int64")
 
 
 @query(f"""
@@ -37,8 +53,4 @@ SELECT c_custkey AS recording, count(*) AS samples, CAST(sum((k % 7 + 1) * (2 *
 def filtered_recordings(spark, sf_dir):
     """Each recording through a filter of taps 2, 4, 0, 6, whose delay of two samples is taken back."""
     out = sound.filtered(recordings(spark, sf_dir), taps=[2, 4, 0, 6], delay=2, strength=1.0, size=500)
-    sample = F.transform(F.sequence(F.lit(0), (F.octet_length("pcm") / 2).cast("int") - 1), lambda k: F.struct((F.col("at") + k).alias("k"), F.hex(F.substring("pcm", 2 * k + 2, F.lit(1))).alias("h"), F.hex(F.substring("pcm", 2 * k + 1, F.lit(1))).alias("l")))
-    s = out.select("recording", F.explode(sample).alias("s"))
-    value = F.conv("s.h", 16, 10).cast("long") * 256 + F.conv("s.l", 16, 10).cast("long")
-    value = F.when(value >= 32768, value - 65536).otherwise(value)
-    return s.groupBy("recording").agg(F.count("*").alias("samples"), F.sum((F.col("s.k") % 7 + 1) * value).alias("weighed"))
+    return out.groupBy("recording").agg(F.sum(F.floor(F.octet_length("pcm") / 2)).alias("samples"), F.sum(_weighed("at", "pcm")).alias("weighed"))

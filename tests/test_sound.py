@@ -124,3 +124,14 @@ def test_resampling_keeps_tones_and_drops_what_does_not_fit(rate):
     assert len(got) == 16_000 and np.abs(got - want)[200:-200].max() < 0.01
     if rate > 16_000:
         assert np.abs(_resampled(np.sin(2 * np.pi * 12_000 * t), rate, 16_000))[200:-200].max() < 0.05
+
+
+def test_queries_handle_samples_in_batches(spark, small):
+    """No sample is made or weighed by expressions of its own, and no row is a sample."""
+    from parley.plans import sound as plans
+
+    for name in ("mel_frames", "filtered_recordings"):
+        plan = getattr(plans, name)(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+        assert "unhex" not in plan and "conv(" not in plan and "RepartitionByExpression" in plan
+    first = plans.recordings(spark, small).where("recording = 5 and seq = 1").first()["pcm"]
+    assert np.frombuffer(first, "<i2").tolist() == [(k * 37 + 55) % 2001 - 1000 for k in range(700, 785)]
