@@ -87,8 +87,8 @@ def as_text(value: Column) -> Column:
 
 
 def topic(value: Column) -> Column:
-    """A topic as struct(title, points, source_turns, error). Points that are objects of a text with citations of their own are that text, and
-    their citations become the topic's, each once; error says what else does not fit, null if all does."""
+    """A topic as struct(title, points, source_turns, cited, error). Points that are objects of a text with citations of their own are that text, and
+    their citations become the topic's, each once in source_turns and as often as given in cited; error says what else does not fit, null if all does."""
     points, own = _get(value, "points"), _get(value, "source_turns")
     items = F.when(_is(points, "ARRAY"), F.try_variant_get(points, "$", "array<variant>"))
     sources = _texts(own)
@@ -103,7 +103,8 @@ def topic(value: Column) -> Column:
         .when(sources.isNull(), "source_turns: no list of texts").when(F.exists(said, lambda x: x.isNull()), "points: no text")
     )
     none = F.array().cast("array<string>")
-    return F.struct(_get(value, "title", "string").alias("title"), F.coalesce(said, none).alias("points"), F.array_distinct(F.concat(F.coalesce(sources, none), F.coalesce(more, none))).alias("source_turns"), error.alias("error"))
+    cites = F.concat(F.coalesce(sources, none), F.coalesce(more, none))
+    return F.struct(_get(value, "title", "string").alias("title"), F.coalesce(said, none).alias("points"), F.array_distinct(cites).alias("source_turns"), cites.alias("cited"), error.alias("error"))
 
 
 def action(value: Column) -> Column:

@@ -86,3 +86,10 @@ def test_calls_of_the_model(spark, tmp_path):
     calls = [json.loads(x) for x in open(log)]
     assert sum(c.startswith("Transcript") for c in calls) == 16 + 5 and sum(c.startswith("Partial") for c in calls) >= 6
     assert max(len(re.findall('"summary"', c)) for c in calls) == 3
+
+
+def test_citations_given_twice(spark):
+    """What is cited twice is one source turn, and two citations."""
+    reply = '{"summary": "s", "topics": [{"title": "t", "points": [{"text": "p", "source_turns": ["t1", "t2"]}], "source_turns": ["t1"]}]}'
+    topic = spark.createDataFrame([(reply,)], "reply string").select(a.notes(a.extract_json("reply")).alias("n")).first()["n"]["topics"][0]
+    assert topic["source_turns"] == ["t1", "t2"] and topic["cited"] == ["t1", "t1", "t2"]
