@@ -3,6 +3,8 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from parley.operators import voices as v
 
 
@@ -140,3 +142,18 @@ def test_known_people_are_never_merged(spark):
     assert len({got[0], got[3]}) == 2 and got[6] == got[0]
     plain = {r["voice"] for r in v.split_voices(df.drop("known"), ["m"], 0.5, 3.0).collect()}
     assert plain == {0}
+
+
+def test_pairs_are_told_apart_and_counted_within_blocks(spark, small):
+    """No pair is joined or shuffled, and counts by rounded score are those of the pairs."""
+    from parley.operators import voices as operators
+    from parley.plans import voices as plans
+
+    rows = plans.vectors(spark, small)
+    pairs = operators.verification_scores(plans.asked(rows), rows)
+    assert "LeftAnti" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    want = {(r["s"], r["genuine"]): r["count"] for r in pairs.groupBy(F.round("score", 6).alias("s"), "genuine").count().collect()}
+    got = {}
+    for r in operators.verification_counts(plans.asked(rows), rows).collect():
+        got |= {(r["score"], kind): n for kind, n in ((True, r["g"]), (False, r["i"])) if n}
+    assert got == want
