@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from parley.functions.text import spoken_words
+from parley.operators.common import parts_for
 from parley.operators.timeline import merge_spans, overlap, range_join
 
 
@@ -59,15 +60,15 @@ def collars(reference: DataFrame, keys: list[str], frames: int) -> DataFrame:
     return merge_spans(edges.select(*keys, F.greatest(F.col("at") - frames, F.lit(0)).alias("start"), (F.col("at") + frames).alias("end")), keys, 0)
 
 
-def speaker_overlap(reference: DataFrame, hypothesis: DataFrame, keys: list[str], masked: DataFrame, width: int) -> DataFrame:
+def speaker_overlap(reference: DataFrame, hypothesis: DataFrame, keys: list[str], masked: DataFrame, width: int, parts: int | None = None) -> DataFrame:
     """keys, reference, hypothesis, frames: how many scored frames each pair of labels shares.
 
     Both sides: keys, speaker, start, end, merged by speaker. What masked spans take from an intersection is counted off, so
     no frames are listed.
     """
-    shared = range_join(reference.withColumnRenamed("speaker", "reference"), hypothesis.withColumnRenamed("speaker", "hypothesis"), keys, width)
+    shared = range_join(reference.withColumnRenamed("speaker", "reference"), hypothesis.withColumnRenamed("speaker", "hypothesis"), keys, width, parts)
     shared = shared.select(*keys, "reference", "hypothesis", F.greatest("start", "r_start").alias("start"), F.least("end", "r_end").alias("end"))
-    lost = range_join(shared, masked, keys, width).groupBy(*keys, "reference", "hypothesis").agg(F.sum(overlap()).alias("lost"))
+    lost = range_join(shared, masked, keys, width, parts).groupBy(*keys, "reference", "hypothesis").agg(F.sum(overlap()).alias("lost"))
     sums = shared.groupBy(*keys, "reference", "hypothesis").agg(F.sum(F.col("end") - F.col("start")).alias("all"))
     return sums.join(lost, [*keys, "reference", "hypothesis"], "left").select(*keys, "reference", "hypothesis", (F.col("all") - F.coalesce("lost", F.lit(0))).alias("frames")).where("frames > 0")
 
@@ -119,7 +120,7 @@ def map_speakers(shared: DataFrame, keys: list[str]) -> DataFrame:
     return shared.groupBy(*keys).applyInPandas(run, shared.schema)
 
 
-def frame_counts(reference: DataFrame, hypothesis: DataFrame, keys: list[str], masked: DataFrame) -> DataFrame:
+def frame_counts(reference: DataFrame, hypothesis: DataFrame, keys: list[str], masked: DataFrame, parts: int | None = None) -> DataFrame:
     """keys, total, missed, false_alarm, both: scored frames of reference speech, of speech missing from either side, and of
     the lesser number of speakers at a time. Counts change only where a span begins or ends, so sums run over those."""
 
@@ -128,6 +129,7 @@ def frame_counts(reference: DataFrame, hypothesis: DataFrame, keys: list[str], m
 
     names = ("__r", "__h", "__m")
     steps = edges(reference, "__r").unionByName(edges(hypothesis, "__h"), True).unionByName(edges(masked, "__m"), True)
+    steps = steps.repartition(parts, *keys) if parts else steps
     points = steps.groupBy(*keys, "at").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names))
     order = W.partitionBy(*keys).orderBy("at")
     level = points.select(*keys, (F.lead("at").over(order) - F.col("at")).alias("frames"), *(F.sum(c).over(order.rowsBetween(W.unboundedPreceding, 0)).alias(c) for c in names))
@@ -144,12 +146,15 @@ def frame_counts(reference: DataFrame, hypothesis: DataFrame, keys: list[str], m
 def speaker_errors(reference: DataFrame, hypothesis: DataFrame, keys: list[str], collar: float = 0.25, step: float = 0.01, width: float = 60.0) -> DataFrame:
     """keys, total, missed, false_alarm, confusion (in frames of ``step``) and der of each recording.
 
-    Both sides: keys, speaker, start, end in seconds. Frames within ``collar`` of a reference border are not scored.
+    Both sides: keys, speaker, start, end in seconds. Frames within ``collar`` of a reference border are not scored. Rows are dealt into
+    parts by their number, as a task sorts spans, borders and levels of all its recordings.
     """
-    sides = [merge_spans(in_frames(s.select(*keys, "speaker", "start", "end"), step), [*keys, "speaker"], 0) for s in (reference, hypothesis)]
+    parts = parts_for(reference.count() + hypothesis.count())
+    reference, hypothesis = (s.select(*keys, "speaker", "start", "end").repartition(parts, *keys) for s in (reference, hypothesis))
+    sides = [merge_spans(in_frames(s, step), [*keys, "speaker"], 0) for s in (reference, hypothesis)]
     masked = collars(in_frames(reference.select(*keys, "start", "end"), step), keys, round(collar / step)) if round(collar / step) else sides[0].limit(0).drop("speaker")
-    counts = frame_counts(*sides, keys, masked)
-    mapped = map_speakers(speaker_overlap(*sides, keys, masked, round(width / step)), keys).groupBy(*keys).agg(F.sum("frames").alias("correct"))
+    counts = frame_counts(*sides, keys, masked, parts)
+    mapped = map_speakers(speaker_overlap(*sides, keys, masked, round(width / step), parts), keys).groupBy(*keys).agg(F.sum("frames").alias("correct"))
     joined = counts.join(mapped, keys, "left").withColumn("confusion", F.col("both") - F.coalesce("correct", F.lit(0)))
     wrong = F.col("missed") + F.col("false_alarm") + F.col("confusion")
     return joined.select(*keys, "total", "missed", "false_alarm", "confusion", F.when(F.col("total") > 0, wrong / F.col("total")).otherwise(0.0).alias("der"))

@@ -72,3 +72,14 @@ def test_one_label_for_two(spark):
     schema = "m int, speaker string, start double, end double"
     r = q.speaker_errors(spark.createDataFrame([(1, "alice", 0.0, 10.0), (1, "bob", 10.0, 20.0)], schema), spark.createDataFrame([(1, "X", 0.0, 20.0)], schema), ["m"]).first()
     assert abs(r["der"] - 0.5) < 1e-9 and r["missed"] == r["false_alarm"] == 0
+
+
+def test_parts_follow_the_number_of_rows(spark, small):
+    """Tasks of speaker errors and of assignment are as many as rows need; run time does not make them fewer and larger."""
+    from parley.operators import common
+    from parley.plans import quality as plans
+    from parley.plans import timeline
+
+    assert [common.parts_for(n, 10) for n in (0, 10, 11, 1000)] == [1, 1, 2, 100]
+    for made in (plans.der_components, plans.der_frames, plans.der_total, timeline.assign_by_overlap):
+        assert "RepartitionByExpression" in made(spark, small)._jdf.queryExecution().optimizedPlan().toString()
