@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from parley.functions.text import blank_to_null, due_mark, json_text
+from parley.sources.tables import durable
 
 #: The patterns of a task's line and its parts.
 TASK = r"^(\s*)- \[( |x|X)\] (.+)$"
@@ -63,8 +64,8 @@ def recover_owners(tasks: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def source_tasks(notes: DataFrame, items: DataFrame) -> DataFrame:
-    """The tasks of each note; a note without any takes its extracted items."""
-    read = recover_owners(parse_tasks(notes), items)
+    """The tasks of each note; a note without any takes its extracted items. Notes are parsed once, though tasks are read twice."""
+    read = durable(recover_owners(parse_tasks(notes), items))
     return read.unionByName(item_tasks(items).join(read.select("id").distinct(), "id", "left_anti"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parley.operators import tasks as k
 from parley.plans import query, table
+from parley.sources.tables import durable
 
 TODAY = "1998-06-30"
 
@@ -103,8 +104,8 @@ WITH l AS (SELECT id, x, line FROM (SELECT id, unnest(string_split(body, chr(10)
 SELECT l.id, string_agg(CASE WHEN k.key IS NOT NULL THEN regexp_replace(x, '- \\[( |x|X)\\]', '- [x]') ELSE x END, chr(10) ORDER BY l.line) AS body
 FROM l LEFT JOIN (SELECT id, line, key FROM ({KEYED_SQL}) WHERE line % 2 = 0) k ON k.id = l.id AND k.line = l.line GROUP BY l.id""")
 def carry_completion(spark, sf_dir):
-    made = notes(spark, sf_dir)
-    before = keyed(spark, sf_dir).withColumn("done", F.col("line") % 2 == 0)
+    made = durable(notes(spark, sf_dir))
+    before = k.with_keys(k.source_tasks(made, items(spark, sf_dir))).withColumn("done", F.col("line") % 2 == 0)
     return k.carry_completion(made, before, items(spark, sf_dir))
 
 

@@ -207,3 +207,10 @@ def test_edits_of_nothing(spark):
     notes = spark.createDataFrame([(1, "A\n## Transcript\nold\n## Next\nkeep"), (2, "B\n")], "id int, body string")
     new = spark.createDataFrame([(1, "new $1 \\"), (2, "n")], "id int, transcript string")
     assert {r["id"]: r["body"] for r in editing.replace_transcript(notes, new).collect()} == {1: "A\n## Transcript\n\nnew $1 \\\n\n## Next\nkeep", 2: "B\n\n## Transcript\n\nn\n"}
+
+
+def test_notes_are_parsed_once(spark, small):
+    from parley.plans import tasks as plans
+
+    for made in (plans.tasks_with_states, plans.task_state_upsert, plans.task_status_counts):
+        assert "Transcript" not in made(spark, small)._jdf.queryExecution().optimizedPlan().toString()
