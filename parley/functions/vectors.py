@@ -33,3 +33,8 @@ def top_mean(values: str | Column, k: int = 3) -> Column:
     values = F.col(values) if isinstance(values, str) else values
     top = F.slice(F.sort_array(values, asc=False), 1, k)
     return F.aggregate(top, F.lit(0.0), lambda t, x: t + x) / F.size(top)
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """A double rounded; what comes to nothing keeps its sign (-0.0), as in DuckDB."""
+    return F.when(F.round(x, digits) == 0, x * F.lit(0.0)).otherwise(F.round(x, digits))

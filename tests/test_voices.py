@@ -157,3 +157,10 @@ def test_pairs_are_told_apart_and_counted_within_blocks(spark, small):
     for r in operators.verification_counts(plans.asked(rows), rows).collect():
         got |= {(r["score"], kind): n for kind, n in ((True, r["g"]), (False, r["i"])) if n}
     assert got == want
+
+
+def test_rounding_keeps_the_sign_of_nothing(spark):
+    from parley.functions.vectors import rounded
+
+    got = [r[0] for r in spark.createDataFrame([(-0.00002,), (0.00002,), (-0.12345678,)], "x double").select(rounded(F.col("x"), 4)).collect()]
+    assert list(map(str, got)) == ["-0.0", "0.0", "-0.1235"]
