@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from parley.functions.text import blank_to_null
+from parley.operators.common import Walk, walked
 
 #: Fixed values of the speech detector.
 RATE, FRAME_S = 16_000, 0.03
@@ -122,22 +123,28 @@ class Detector:
         return span if enough else None
 
 
-def utterances(pcm: DataFrame, key: str = "recording", **settings) -> DataFrame:
-    """key, start, end of the utterances in 16-bit mono samples (key, seq, pcm): pieces of a recording in order of seq.
+@dataclass
+class _Speech(Walk):
+    """A recording's pieces through its detector."""
 
-    An odd byte at a piece's end is dropped. A recording's samples are walked in order by one task.
-    """
-    shape = T.StructType([pcm.schema[key], T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType())])
+    detector: Detector
+
+    def row(self, raw: bytes | None) -> list[tuple]:
+        return self.detector.feed(samples_of(raw or b""))
 
-    def run(pieces: pd.DataFrame) -> pd.DataFrame:
-        detector, found = Detector(**settings), []
-        for raw in pieces.sort_values("seq")["pcm"]:
-            found += detector.feed(samples_of(raw))
-        if last := detector.close():
-            found.append(last)
-        return pd.DataFrame({key: [pieces[key].iloc[0]] * len(found), "start": [a for a, _ in found], "end": [b for _, b in found]})
+    def end(self) -> list[tuple]:
+        last = self.detector.close()
+        return [last] if last else []
 
-    return pcm.groupBy(key).applyInPandas(run, shape)
+
+def utterances(pcm: DataFrame, key: str = "recording", **settings) -> DataFrame:
+    """key, start, end of the utterances in 16-bit mono samples (key, seq, pcm): pieces of a recording in order of seq; null pieces are empty.
+
+    An odd byte at a piece's end is dropped. A recording's samples are walked in order by one task, which holds a batch of pieces and one
+    detector.
+    """
+    shape = T.StructType([T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType())])
+    return walked(pcm, [key], ["seq"], ["pcm"], lambda: _Speech(Detector(**settings)), shape)
 
 
 def samples_of(raw: bytes) -> np.ndarray:

@@ -135,3 +135,14 @@ def test_queries_handle_samples_in_batches(spark, small):
         assert "unhex" not in plan and "conv(" not in plan and "RepartitionByExpression" in plan
     first = plans.recordings(spark, small).where("recording = 5 and seq = 1").first()["pcm"]
     assert np.frombuffer(first, "<i2").tolist() == [(k * 37 + 55) % 2001 - 1000 for k in range(700, 785)]
+
+
+def test_utterances_stream_through_one_walk(spark):
+    """No pandas group a recording, and null pieces are empty."""
+    from parley.operators.live import utterances
+
+    loud = np.tile(np.array([8000, -8000], "<i2"), 8000).tobytes()
+    df = spark.createDataFrame([(1, 0, loud), (1, 1, None), (2, 0, None)], "recording long, seq int, pcm binary")
+    found = utterances(df)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [(1, 0.0, 0.99)]
