@@ -174,6 +174,32 @@ def word_hashes(raw: bytes, memo: Memo) -> np.ndarray:
     return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, one after the other, and where each text's words begin and the last one's end.
+
+    Words of up to LONG_KEY bytes are hashed for all texts at once, eight bytes a round; no object is made for a word.
+    """
+    joined = b" ".join(texts).lower() + b" "
+    data = np.frombuffer(joined, np.uint8)
+    inside = ((data - np.uint8(9)) > 4) & (data != 32)
+    edges = np.flatnonzero(np.diff(inside, prepend=False))
+    starts, ends = edges[::2], edges[1::2]
+    sizes = ends - starts
+    eights = np.ndarray((len(joined),), "<u8", joined + bytes(8), strides=(1,))
+    out = mixed(sizes.astype(np.uint64), 8)
+    left = np.flatnonzero(sizes <= LONG_KEY)
+    for first in range(0, LONG_KEY, 8):
+        left = left[sizes[left] > first]
+        if not len(left):
+            break
+        spare = np.maximum(8 - (sizes[left] - first), 0).astype(np.uint64) << np.uint64(3)
+        eight = eights[starts[left] + first] & (np.uint64(MASK) >> spare)
+        out[left] = mixed(out[left] ^ eight, 9)
+    for k in np.flatnonzero(sizes > LONG_KEY).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(joined[starts[k] : ends[k]])
+    return out, np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for x in texts)]))
+
+
 def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijective 64-bit finaliser, so that sums and order statistics of hashes behave as random."""
     with np.errstate(over="ignore"):

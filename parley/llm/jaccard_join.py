@@ -7,7 +7,8 @@ so every link lies within a block, and no pairs are listed to find blocks. In ea
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 from itertools import groupby
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from parley.llm.common import Memo, durable, hot_join, map_arrow, mixed, raw_texts, shingle_hashes, signed, slices, table, whole_text, word_hashes, word_memo
+from parley.llm.common import durable, hashed_words, hot_join, map_arrow, mixed, raw_texts, shingle_hashes, signed, slices, table, whole_text
 from parley.llm.components import components
 
 #: Shingles of the sets in one task of the search; larger candidate groups are cut into tasks of this size.
@@ -34,25 +35,46 @@ FREQUENT, SEEN = 1_000_000, 30
 #: How much dearer a probe of a long list is than a step of the merge (fixed value of the published method).
 PROBE = 0.0085
 
-#: Long lists that are probed in one round.
-PROBED = 64
+#: Long lists that are probed in one round, and probes up to which a round takes more lists.
+PROBED, PROBES = 64, 2048
+
+#: Bytes of texts whose words are hashed at once; arrays of about this size stay in a core's cache.
+TOGETHER = 1 << 19
 
 
 # ---------------------------------------------------------------- sets and signatures
 
 
-def shingle_set(raw: bytes, memo: Memo, width: int) -> np.ndarray:
-    """Distinct shingles of a text, as sorted 64-bit hashes."""
-    return np.unique(shingle_hashes(word_hashes(raw, memo), width))
+def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """Distinct shingles of each text, as sorted 64-bit hashes; words and shingles are hashed for about TOGETHER bytes of texts at once."""
+    found, first, size = [], 0, 0
+    for k, raw in enumerate(texts):
+        if size and size + len(raw) > TOGETHER:
+            found += _shingle_sets(texts[first:k], width)
+            first, size = k, 0
+        size += len(raw) + 1
+    return found + _shingle_sets(texts[first:], width) if first < len(texts) else found
+
+
+def _shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+    words, bounds = hashed_words(texts)
+    runs, found = shingle_hashes(words, width), []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        own = np.sort(runs[a : b - width + 1] if b - a >= width else shingle_hashes(words[a:b], width))
+        found.append(own[np.concatenate(([True], own[1:] != own[:-1]))] if len(own) > 1 else own)
+    return found
 
 
-def set_name(shingles: np.ndarray) -> int:
+def set_names(sets: list[np.ndarray]) -> np.ndarray:
     """Equal sets have equal names; 0 is the empty set's."""
-    if not len(shingles):
-        return 0
-    with np.errstate(over="ignore"):
-        total = mixed(shingles, 1).sum(dtype=np.uint64) + np.uint64(len(shingles))
-    return int(mixed(np.array([total]), 2)[0]) | 1
+    sizes = np.array([len(x) for x in sets], np.int64)
+    names, some = np.zeros(len(sets), np.uint64), sizes > 0
+    if some.any():
+        starts = (np.cumsum(sizes) - sizes)[some]
+        with np.errstate(over="ignore"):
+            total = np.add.reduceat(mixed(np.concatenate(sets), 1), starts) + sizes[some].astype(np.uint64)
+        names[some] = mixed(total, 2) | np.uint64(1)
+    return names
 
 
 @cache
@@ -125,12 +147,9 @@ def shingle_table(docs: DataFrame, width: int) -> DataFrame:
     schema = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = word_memo()
         for batch in slices(batches, "text"):
-            sets = [shingle_set(x, memo, width) for x in raw_texts(batch.column("text"))]
-            names = signed(np.array([set_name(x) for x in sets], np.uint64))
-            yield table(schema, batch.column("row_key"), batch.column("doc_id"), [len(x) for x in sets], names)
-            memo.trim()
+            sets = shingle_sets(raw_texts(batch.column("text")), width)
+            yield table(schema, batch.column("row_key"), batch.column("doc_id"), [len(x) for x in sets], signed(set_names(sets)))
             if sets:
                 shingles, counts = np.unique(np.concatenate(sets), return_counts=True)
                 often = counts >= 3
@@ -159,18 +178,13 @@ def blocks(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -> D
     schema = pa.schema([("key", pa.int64()), ("signature", pa.int64()), ("id", pa.int64()), ("role", pa.int8())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, frequent = word_memo(), sent.value
+        frequent = sent.value
         for batch in slices(batches, "text"):
-            names, found = [], []
-            for raw in raw_texts(batch.column("text")):
-                shingles = shingle_set(raw, memo, width)
-                if len(own := signatures(shingles, percent, frequent)):
-                    names.append(np.full(len(own), set_name(shingles), np.uint64))
-                    found.append(own)
-            memo.trim()
-            if not found:
+            sets = shingle_sets(raw_texts(batch.column("text")), width)
+            found = [signatures(x, percent, frequent) for x in sets]
+            if not any(map(len, found)):
                 continue
-            marks, ids = np.concatenate(found), signed(np.concatenate(names))
+            marks, ids = np.concatenate(found), np.repeat(signed(set_names(sets)), [len(x) for x in found])
             order = np.lexsort((ids, marks))
             marks, ids = marks[order], ids[order]
             fresh = np.concatenate(([True], (marks[1:] != marks[:-1]) | (ids[1:] != ids[:-1])))  # without repeated sets
@@ -207,15 +221,27 @@ class Inverted:
     def __init__(self, room: np.ndarray):
         self.start = np.concatenate(([0], np.cumsum(room)))[:-1]
         self.size = np.zeros(len(room), np.int64)
+        self.most = 0
         self.keys = np.repeat(np.arange(len(room), dtype=np.int64) << 32 | 0xFFFFFFFF, room)
 
     def add(self, shingles: np.ndarray, member: int) -> None:
         self.keys[self.start[shingles] + self.size[shingles]] = shingles << 32 | member
         self.size[shingles] += 1
-
-    def members(self, shingle: int) -> list[int]:
-        at = self.start[shingle]
-        return (self.keys[at : at + self.size[shingle]] & 0xFFFFFFFF).tolist()
+        self.most = member + 1
+
+    def spans(self, shingles: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where each list's members from ``low`` to ``high`` - 1 begin, and how many they are."""
+        first = np.searchsorted(self.keys, shingles << 32 | low) if low else self.start[shingles]
+        ends = self.start[shingles] + self.size[shingles]
+        if high < self.most:
+            ends = np.minimum(ends, np.searchsorted(self.keys, shingles << 32 | high))
+        return first, ends - first
+
+    def lists(self, first: np.ndarray, size: np.ndarray) -> list[tuple[int, ...]]:
+        """The members of stretches of the array."""
+        ends = np.cumsum(size)
+        flat = tuple((self.keys[np.repeat(first - ends + size, size) + np.arange(ends[-1])] & 0xFFFFFFFF).tolist())
+        return [flat[a:b] for a, b in zip((ends - size).tolist(), ends.tolist())]
 
     def holds(self, shingles: np.ndarray, members: np.ndarray) -> np.ndarray:
         """For each member, how many of the lists hold it."""
@@ -224,22 +250,25 @@ class Inverted:
         return (self.keys[at].reshape(wanted.shape) == wanted).sum(axis=0)
 
 
-def merge_skip(lists: list[list[int]], enough: int) -> list[tuple[int, int]]:
+def merge_skip(lists: list[tuple[int, ...]], enough: int) -> list[tuple[int, int]]:
     """Members of at least ``enough`` of the sorted lists, with the number of lists that hold them, by a heap that skips ahead
-    past members which can't reach that number any more."""
+    past members which can't reach that number any more. Equal lists, of which near copies have many, are one list that counts as often."""
+    times = Counter(lists)
+    lists, weights = list(times), list(times.values())
     heap = [x[0] << 32 | k for k, x in enumerate(lists)]
     heapq.heapify(heap)
-    at, found, pop, push = [0] * len(lists), [], heapq.heappop, heapq.heappush
-    while len(heap) >= enough:
+    at, found, left, pop, push = [0] * len(lists), [], sum(weights), heapq.heappop, heapq.heappush
+    while left >= enough:
         beyond = (heap[0] >> 32) + 1 << 32
-        popped = []
+        popped, count = [], 0
         while heap and heap[0] < beyond:
-            popped.append(pop(heap) & 0xFFFFFFFF)
+            popped.append(k := pop(heap) & 0xFFFFFFFF)
+            count += weights[k]
         goal = beyond >> 32
-        if len(popped) >= enough:
-            found.append((goal - 1, len(popped)))
+        if count >= enough:
+            found.append((goal - 1, count))
         else:
-            while heap and len(popped) < enough - 1:
+            while heap and (count := count + weights[heap[0] & 0xFFFFFFFF]) < enough:
                 popped.append(pop(heap) & 0xFFFFFFFF)
             if not heap:
                 break
@@ -249,11 +278,13 @@ def merge_skip(lists: list[list[int]], enough: int) -> list[tuple[int, int]]:
             at[k] = place = bisect_left(own, goal, at[k])
             if place < len(own):
                 push(heap, own[place] << 32 | k)
+            else:
+                left -= weights[k]
     return found
 
 
-def divide_skip(index: Inverted, shingles: np.ndarray, needed: int) -> list[tuple[int, int]]:
-    """Members that at least ``needed`` of the shingles' lists hold, with the number of lists that hold them.
+def divide_skip(index: Inverted, shingles: np.ndarray, needed: int, low: int = 0, high: int = 1 << 31) -> list[tuple[int, int]]:
+    """Members from ``low`` to ``high`` - 1 that at least ``needed`` of the shingles' lists hold, with the number of lists that hold them.
 
     The longest lists are set aside. The rest are merged; what survives is looked up in the long lists by bisection, in
     rounds, after each of which members that can't reach the number any more are given up.
@@ -261,16 +292,23 @@ def divide_skip(index: Inverted, shingles: np.ndarray, needed: int) -> list[tupl
     shingles = shingles[index.size[shingles] > 0]
     if len(shingles) < needed or needed < 1:
         return []
-    shingles = shingles[np.argsort(index.size[shingles], kind="stable")]
-    long = min(needed - 1, int(needed / (PROBE * log2(max(2, int(index.size[shingles[-1]]))) + 1)))
-    shorts, longs = shingles[: len(shingles) - long], shingles[len(shingles) - long :]
-    found = merge_skip([index.members(x) for x in shorts.tolist()], needed - long)
+    first, size = index.spans(shingles, low, high)
+    order = np.argsort(size, kind="stable")
+    order = order[np.searchsorted(size[order], 1) :]
+    if len(order) < needed:
+        return []
+    long = min(needed - 1, int(needed / (PROBE * log2(max(2, int(size[order[-1]]))) + 1)))
+    shorts, longs = order[: len(order) - long], shingles[order[len(order) - long :]]
+    found = merge_skip(index.lists(first[shorts], size[shorts]), needed - long)
     if not found:
         return []
     members, counts = np.array(found, np.int64).T
-    for k in range(0, long, PROBED):
-        counts = counts + index.holds(longs[k : k + PROBED], members)
-        alive = counts >= needed - max(0, long - k - PROBED)
+    k = 0
+    while k < long:
+        step = max(PROBED, PROBES // len(members))
+        counts = counts + index.holds(longs[k : k + step], members)
+        k += step
+        alive = counts >= needed - max(0, long - k)
         members, counts = members[alive], counts[alive]
         if not len(members):
             return []
@@ -278,7 +316,7 @@ def divide_skip(index: Inverted, shingles: np.ndarray, needed: int) -> list[tupl
 
 
 class Block:
-    """Sets of one task, their shingles numbered anew. A shingle of one set only is left out, as no two sets share it."""
+    """Sets of one task, in order of size, their shingles numbered anew. A shingle of one set only is left out, as no two sets share it."""
 
     def __init__(self, sets: list[np.ndarray], percent: int):
         self.percent, self.sizes = percent, [len(x) for x in sets]
@@ -296,10 +334,11 @@ class Block:
         index.add(self.sets[k], k)
 
     def linked(self, index: Inverted, k: int) -> list[int]:
-        """Indexed sets that link with set k: 100 * intersection >= percent * union."""
+        """Indexed sets that link with set k: 100 * intersection >= percent * union. Only sets of a size that can link are merged."""
         size, p = self.sizes[k], self.percent
-        needed = -(-size * p // 100)  # no linked set shares less
-        return [other for other, both in divide_skip(index, self.sets[k], needed) if 100 * both >= p * (size + self.sizes[other] - both)]
+        needed = -(-size * p // 100)  # no linked set shares less, so none is smaller
+        low, high = bisect_left(self.sizes, needed), bisect_right(self.sizes, size * 100 // p)
+        return [other for other, both in divide_skip(index, self.sets[k], needed, low, high) if 100 * both >= p * (size + self.sizes[other] - both)]
 
 
 def links(sets: list[np.ndarray], labels: list[int], queries: list[bool], percent: int) -> list[tuple[int, int]]:
@@ -365,17 +404,16 @@ def search_tasks(rows: DataFrame, width: int, percent: int) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = word_memo()
 
         def members() -> Iterator[tuple]:
             for batch in slices(batches, "text"):
-                yield from zip(*(batch.column(c).to_pylist() for c in ("task", "id", "label", "asks")), raw_texts(batch.column("text")))
-                memo.trim()
+                sets = shingle_sets(raw_texts(batch.column("text")), width)
+                yield from zip(*(batch.column(c).to_pylist() for c in ("task", "id", "label", "asks")), sets, signed(set_names(sets)).tolist())
 
         for _, group in groupby(members(), key=lambda x: x[0]):
             by_id = {}  # a repeated row comes again; a row that only shares another's key has another set
-            for _, number, label, asks, raw in group:
-                if number not in by_id and signed(np.array([set_name(shingles := shingle_set(raw, memo, width))], np.uint64))[0] == number:
+            for _, number, label, asks, shingles, name in group:
+                if number not in by_id and name == number:
                     by_id[number] = (shingles, number, label, asks)
             own = sorted(by_id.values(), key=lambda x: (len(x[0]), x[1]))
             if len(own) > 1:

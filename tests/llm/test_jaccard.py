@@ -9,7 +9,7 @@ import pytest
 from parley.llm import jaccard_join as j
 from parley.llm.components import components
 
-from .conftest import pairs
+from .conftest import ODD, pairs
 
 
 def shingles(text, width):
@@ -167,6 +167,40 @@ def test_divide_skip(monkeypatch):
         assert j.divide_skip(index, np.arange(len(lists)), needed) == want
 
 
+def test_sets_of_many_texts_at_once(monkeypatch):
+    """Texts shingled together get the sets that each has alone; words are told apart by all their bytes and by nothing else."""
+    rng = random.Random(8)
+    letters = ["a", "B", "é", "\x1c", "\x85", "\u2028", "\0", "中", "😀"]
+    texts = [x or "" for x in ODD] + ["".join(rng.choices([*letters, " ", "\t", "\x0b", "\r\n"], k=rng.randint(0, 60))) for _ in range(300)]
+    texts += [" ".join(("x" * n + end, "y", "z", "w")) for n in (0, 7, 8, 9, 63, 64, 65, 200) for end in ("", "a", "b", "\0", "A")]
+    raws = [x.encode() for x in texts]
+    for together in (1, 300, 1 << 19):
+        monkeypatch.setattr(j, "TOGETHER", together)
+        for width in (1, 4):
+            sets, names, known = j.shingle_sets(raws, width), {}, {}
+            assert len(sets) == len(raws)
+            for own, name, text in zip(sets, j.set_names(sets).tolist(), texts):
+                want = shingles(text, width)
+                assert len(own) == len(want) and (np.diff(own.astype(object)) > 0).all() and (name == 0) == (not want)
+                assert names.setdefault(want, name) == name and known.setdefault(name, want) == want
+                assert [x.tolist() for x in j.shingle_sets([text.encode()], width)] == [own.tolist()]
+
+
+def test_only_sizes_that_can_link_are_merged(monkeypatch):
+    """Sets of one passage in growing sizes: the lists that are merged hold none too small to link."""
+    sets, merged, merge = [np.arange(n, dtype=np.uint64) for n in range(100, 400, 30)], [], j.merge_skip
+    monkeypatch.setattr(j, "merge_skip", lambda lists, enough: merged.extend(lists) or merge(lists, enough))
+    block = j.Block(sets, 85)
+    index = block.index()
+    for k in range(len(sets)):
+        block.add(index, k)
+    for k, own in enumerate(sets):
+        merged.clear()
+        near = [x for x, other in enumerate(sets) if 100 * min(len(own), len(other)) >= 85 * max(len(own), len(other))]
+        assert block.linked(index, k) == near
+        assert {x for members in merged for x in members} <= set(near)
+
+
 def test_odd_input(odd, empty):
     got = j.jaccard_groups(odd).collect()
     assert len(got) == odd.count()
