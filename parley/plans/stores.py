@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parley.functions import headers
+from parley.operators.common import spread
 from parley.plans import query, table
 from parley.sources import files, tables
 
@@ -80,24 +81,30 @@ def ids_repeated(spark, sf_dir):
     return files.repeated_ids(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")))
 
 
+def _tones(spark, sf_dir, wave):
+    """event_id and content: a WAV file of a made tone for each event, of one of three lengths. The longest is made once, others are its beginning."""
+    files.short_batches(spark)
+    e = table(spark, sf_dir, "events").select("event_id")
+    e = spread(e, ["event_id"], e.count(), 10_000)  # a small file of short rows, from which much sound is made
+    longest = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(2400)), wave).alias("tone"))
+    length = (800 * (1 + F.col("event_id") % 3)).cast("int")
+    tone = F.slice("tone", 1, F.when(length < 0, 0).otherwise(length))
+    return e.crossJoin(F.broadcast(longest)).select("event_id", files.encode_wav(tone, F.lit(8000)).alias("content"))
+
+
 @query("""
 SELECT event_id AS id, 800 * (1 + event_id % 3) AS n, CAST(8000 AS INTEGER) AS rate FROM events""")
 def sound_written_and_read(spark, sf_dir):
     """Tones written as WAV files and decoded again."""
-    e = table(spark, sf_dir, "events")
-    tone = F.transform(F.sequence(F.lit(1), (800 * (1 + F.col("event_id") % 3)).cast("int")), lambda k: F.sin(k / 9.0).cast("float"))
-    wav = e.select(F.col("event_id").alias("id"), files.encode_wav(tone, F.lit(8000)).alias("content"))
-    back = wav.withColumn("a", files.decode_wav("content"))
-    return back.select("id", (F.octet_length("a.pcm") / 2).cast("long").alias("n"), "a.rate")
+    back = _tones(spark, sf_dir, lambda k: F.sin(k / 9.0).cast("float")).withColumn("a", files.decode_wav("content"))
+    return back.select(F.col("event_id").alias("id"), (F.octet_length("a.pcm") / 2).cast("long").alias("n"), "a.rate")
 
 
 @query("""
 SELECT event_id AS id, (800 * least(1 + event_id % 3, 2) - 400 * (event_id % 2)) AS n FROM events""")
 def sound_sliced(spark, sf_dir):
     """The samples between two times of written tones, cut to what there is."""
-    e = table(spark, sf_dir, "events")
-    tone = F.transform(F.sequence(F.lit(1), (800 * (1 + F.col("event_id") % 3)).cast("int")), lambda k: F.cos(k / 7.0).cast("float"))
-    wav = e.select("event_id", files.encode_wav(tone, F.lit(8000)).alias("content")).withColumn("a", files.decode_wav("content")).select("event_id", "a.*")
+    wav = _tones(spark, sf_dir, lambda k: F.cos(k / 7.0).cast("float")).withColumn("a", files.decode_wav("content")).select("event_id", "a.*")
     part = files.slice_pcm((F.col("event_id") % 2) * 0.05, F.lit(0.2), "pcm", "rate")
     return wav.select(F.col("event_id").alias("id"), (F.octet_length(part) / 2).cast("long").alias("n"))
 

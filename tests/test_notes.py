@@ -200,6 +200,36 @@ def test_sound_of_many_kinds(spark):
     assert slow["rate"] == 16_000 and len(back) == 1600 and np.abs(back - 9000 * np.sin(np.arange(1600) * 3 / 20)).max() < 500
 
 
+def test_tones_of_many_events(spark, tmp_path):
+    """Tones are dealt into parts by the number of events, however few files these lie in, and a worker gets at most BATCH_ROWS at a time."""
+    from parley.plans import stores
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.range(25_000).select(F.col("id").alias("event_id")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    together = F.pandas_udf(lambda x: x * 0 + len(x), "long")
+    for made, want in ((stores.sound_written_and_read, lambda k: 800 * (1 + k % 3)), (stores.sound_sliced, lambda k: 800 * min(1 + k % 3, 2) - 400 * (k % 2))):
+        try:
+            spark.conf.set(key, "10000")
+            rows = made(spark, str(tmp_path))
+            assert rows.rdd.getNumPartitions() == 3
+            assert spark.range(0, 4000, 1, 1).select(together("id").alias("n")).agg(F.max("n")).first()[0] == files.BATCH_ROWS
+            assert {r["id"]: r["n"] for r in rows.where("id % 50 = 7").collect()} == {k: want(k) for k in range(7, 25_000, 50)}
+        finally:
+            spark.conf.set(key, before)
+
+
+def test_plain_sound_is_as_written(spark):
+    """Samples of 16 bits and one channel come back as they are, without a last odd byte; the same file at another rate is made anew."""
+    plain = bytes(wav([-32768, -1, 0, 1, 32767], 2, 1, 16_000))
+    cut = plain[:-1]
+    df = spark.createDataFrame([(0, bytearray(plain)), (1, bytearray(cut))], "id int, content binary").orderBy("id")
+    for decode in (files.decode_wav, files.decode_wav_16k):
+        got = [(r["a"]["rate"], np.frombuffer(r["a"]["pcm"], "<i2").tolist()) for r in df.withColumn("a", decode("content")).collect()]
+        assert got == [(16_000, [-32768, -1, 0, 1, 32767]), (16_000, [-32768, -1, 0, 1])]
+    assert files._plain(plain) == (16_000, plain[44:]) and files._plain(bytes(wav([0, 1], 1, 1, 8000))) is None
+
+
 def test_edits_of_nothing(spark):
     turns = spark.createDataFrame([(1, 1, "S0", "a")], "id int, turn int, speaker string, text string")
     none = spark.createDataFrame([], "id int, turn int, seq int, speaker string, text string")
