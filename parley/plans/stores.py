@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parley.functions import headers
-from parley.operators.common import spread
+from parley.operators.common import SHARE, spread
 from parley.plans import query, table
 from parley.sources import files, tables
 
@@ -82,21 +85,26 @@ def ids_repeated(spark, sf_dir):
 
 
 def _tones(spark, sf_dir, wave):
-    """event_id and content: a WAV file of a made tone for each event, of one of three lengths. The longest is made once, others are its beginning."""
+    """event_id and content: a WAV file of a made tone for each event, of one of three lengths. A batch makes the longest once, others are its beginning."""
     files.short_batches(spark)
     e = table(spark, sf_dir, "events").select("event_id")
-    e = spread(e, ["event_id"], e.count(), 10_000)  # a small file of short rows, from which much sound is made
-    longest = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(2400)), wave).alias("tone"))
+    count = e.count()  # a small file of short rows, from which much sound is made; parts of a large one are longer, as each costs its start
+    e = spread(e, ["event_id"], count, min(SHARE, max(10_000, count // 96)))
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def tone(length: pd.Series) -> pd.Series:
+        longest = wave(np.arange(1, 2401)).astype(np.float32)
+        return pd.Series([longest[: int(n)] if n == n else None for n in length], dtype=object)
+
     length = (800 * (1 + F.col("event_id") % 3)).cast("int")
-    tone = F.slice("tone", 1, F.when(length < 0, 0).otherwise(length))
-    return e.crossJoin(F.broadcast(longest)).select("event_id", files.encode_wav(tone, F.lit(8000)).alias("content"))
+    return e.select("event_id", files.encode_wav_at(8000)(tone(F.when(length < 0, 0).otherwise(length))).alias("content"))
 
 
 @query("""
 SELECT event_id AS id, 800 * (1 + event_id % 3) AS n, CAST(8000 AS INTEGER) AS rate FROM events""")
 def sound_written_and_read(spark, sf_dir):
     """Tones written as WAV files and decoded again."""
-    back = _tones(spark, sf_dir, lambda k: F.sin(k / 9.0).cast("float")).withColumn("a", files.decode_wav("content"))
+    back = _tones(spark, sf_dir, lambda k: np.sin(k / 9.0)).withColumn("a", files.decode_wav("content"))
     return back.select(F.col("event_id").alias("id"), (F.octet_length("a.pcm") / 2).cast("long").alias("n"), "a.rate")
 
 
@@ -104,7 +112,7 @@ def sound_written_and_read(spark, sf_dir):
 SELECT event_id AS id, (800 * least(1 + event_id % 3, 2) - 400 * (event_id % 2)) AS n FROM events""")
 def sound_sliced(spark, sf_dir):
     """The samples between two times of written tones, cut to what there is."""
-    wav = _tones(spark, sf_dir, lambda k: F.cos(k / 7.0).cast("float")).withColumn("a", files.decode_wav("content")).select("event_id", "a.*")
+    wav = _tones(spark, sf_dir, lambda k: np.cos(k / 7.0)).withColumn("a", files.decode_wav("content")).select("event_id", "a.*")
     part = files.slice_pcm((F.col("event_id") % 2) * 0.05, F.lit(0.2), "pcm", "rate")
     return wav.select(F.col("event_id").alias("id"), (F.octet_length(part) / 2).cast("long").alias("n"))
 

@@ -6,6 +6,8 @@ import io
 import re
 import struct
 import wave
+from collections.abc import Callable, Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -100,6 +102,12 @@ def rttm_lines(spans: DataFrame) -> DataFrame:
 #: Rows of an Arrow batch of sound.
 BATCH_ROWS = 1000
 
+#: Samples of short sounds that are made into 16 bits together.
+CHUNK = 1 << 16
+
+#: What begins a WAV file that has nothing but its samples.
+_HEADER = struct.Struct("<4sI4s4sIHHIIHH4sI")
+
 
 def short_batches(spark: SparkSession) -> None:
     """Rows hold sound, so where the session has Spark's default of 10,000 rows to an Arrow batch, it gets BATCH_ROWS: what a worker holds at a
@@ -111,6 +119,10 @@ def short_batches(spark: SparkSession) -> None:
 
 def _plain(raw: bytes) -> tuple[int, bytes] | None:
     """Rate and samples of a file that has 16-bit mono samples already; null for others."""
+    if len(raw) >= _HEADER.size:
+        riff, rest, kind, name, length, tag, channels, rate, _, _, bits, data, size = _HEADER.unpack_from(raw)
+        if (riff, kind, name, length, tag, channels, bits, data) == (b"RIFF", b"WAVE", b"fmt ", 16, 1, 1, 16, b"data") and size % 2 == 0 and rest == 36 + size and len(raw) == 44 + size:
+            return rate, raw[44:]  # the usual file, whole: there is nothing to look for in it
     with wave.open(io.BytesIO(raw)) as file:
         if (file.getsampwidth(), file.getnchannels()) != (2, 1):
             return None
@@ -162,7 +174,7 @@ def _decoded(content: pd.Series, wanted: int | None) -> pd.DataFrame:
             out.append((wanted or rate, np.clip(np.rint(samples * 32768), -32768, 32767).astype("<i2").tobytes()))
         except (wave.Error, EOFError, ValueError, TypeError, ZeroDivisionError):
             out.append((None, None))
-    return pd.DataFrame(out, columns=["rate", "pcm"]).astype({"rate": "Int32"})
+    return pd.DataFrame({"rate": pd.Series([rate for rate, _ in out], dtype="Int32"), "pcm": pd.Series([pcm for _, pcm in out], dtype=object)})
 
 
 _SOUND = T.StructType([T.StructField("rate", T.IntegerType()), T.StructField("pcm", T.BinaryType())])
@@ -188,17 +200,49 @@ def read_audio(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("seconds", F.octet_length("pcm") / (2 * F.col("rate")))
 
 
+def _pcm(sounds: list[np.ndarray]) -> Iterator[bytes]:
+    """16-bit samples of each sound; short ones are made together."""
+    first = 0
+    while first < len(sounds):
+        end, size = first + 1, len(sounds[first])
+        while end < len(sounds) and size + len(sounds[end]) <= CHUNK:
+            size += len(sounds[end])
+            end += 1
+        whole = np.concatenate(sounds[first:end])
+        np.clip(whole, -1, 1, out=whole)
+        whole *= 32767
+        raw, at = whole.astype("<i2").tobytes(), 0
+        for x in sounds[first:end]:
+            yield raw[at : at + 2 * len(x)]
+            at += 2 * len(x)
+        first = end
+
+
+def _encoded(samples: pd.Series, rates: Iterable[int]) -> pd.Series:
+    sounds = [None if x is None else np.asarray(x, np.float32) for x in samples]
+    made = _pcm([x for x in sounds if x is not None])
+
+    def one(pcm: bytes, r: int) -> bytes:
+        return _HEADER.pack(b"RIFF", 36 + len(pcm), b"WAVE", b"fmt ", 16, 1, 1, r, 2 * r, 2, 16, b"data", len(pcm)) + pcm
+
+    return pd.Series([None if x is None else one(next(made), r) for x, r in zip(sounds, rates)], dtype=object)
+
+
 @F.pandas_udf(T.BinaryType())
 def encode_wav(samples: pd.Series, rate: pd.Series) -> pd.Series:
     """16-bit mono WAV files of samples from -1 to 1; louder ones are cut off, null has none."""
+    return _encoded(samples, rate)
 
-    def one(x: np.ndarray | None, r: int) -> bytes | None:
-        if x is None:
-            return None
-        pcm = (np.clip(np.asarray(x, np.float32), -1, 1) * 32767).astype("<i2").tobytes()
-        return b"RIFF" + struct.pack("<I", 36 + len(pcm)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, r, 2 * r, 2, 16) + b"data" + struct.pack("<I", len(pcm)) + pcm
 
-    return pd.Series([one(x, r) for x, r in zip(samples, rate)])
+def encode_wav_at(rate: int) -> Callable[[str | Column], Column]:
+    """The same at one rate. As its only argument is the samples, a pandas function may make them: both run in one pass, and samples go
+    neither to Spark's rows nor back from there, which costs more than making them."""
+
+    @F.pandas_udf(T.BinaryType())
+    def encode(samples: pd.Series) -> pd.Series:
+        return _encoded(samples, repeat(rate))
+
+    return encode
 
 
 def slice_pcm(start: str | Column, end: str | Column, pcm: str = "pcm", rate: str = "rate") -> Column:

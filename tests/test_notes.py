@@ -6,6 +6,7 @@ import struct
 import wave
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,6 +220,67 @@ def test_tones_of_many_events(spark, tmp_path):
             spark.conf.set(key, before)
 
 
+def test_tones_stay_in_python(spark, small, monkeypatch):
+    """A tone is made, encoded and decoded in one pass, to which only its length goes; a large table has no more parts than it needs."""
+    from parley.plans import stores
+
+    for made in (stores.sound_written_and_read, stores.sound_sliced):
+        plan = made(spark, small)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and "Join" not in plan
+    shares = []
+    for count in (0, 25_000, 6_000_000, 36_000_000):
+        monkeypatch.setattr(stores, "table", lambda *_, n=count: spark.range(n).withColumnRenamed("id", "event_id"))
+        monkeypatch.setattr(stores, "spread", lambda rows, keys, n, share: shares.append(share) or rows)
+        stores.sound_sliced(spark, small)
+    assert shares == [10_000, 10_000, 62_500, 100_000]
+
+
+def test_tones_of_odd_events(spark, tmp_path):
+    """Negative numbers have tones without samples, null has none."""
+    from parley.plans import stores
+
+    spark.createDataFrame([(None,), (-8,), (-7,), (-3,), (4,), (5,)], "event_id long").write.parquet(str(tmp_path / "events.parquet"))
+    assert {r["id"]: (r["n"], r["rate"]) for r in stores.sound_written_and_read(spark, str(tmp_path)).collect()} == {None: (None, None), -8: (0, 8000), -7: (0, 8000), -3: (800, 8000), 4: (1600, 8000), 5: (2400, 8000)}
+
+
+def test_sounds_encoded_together(spark, monkeypatch):
+    """Files are those of each sound by itself, however many are made together, and at a fixed rate the same."""
+    monkeypatch.setattr(files, "CHUNK", 7)
+    sounds = [[], [0.0, 0.5, -0.5], None, [2.0, -2.0, 1.0, -1.0], [0.1] * 20, [], [0.25], None, [-0.999] * 7]
+
+    def alone(x):
+        pcm = (np.clip(np.asarray(x, np.float32), -1, 1) * 32767).astype("<i2").tobytes()
+        return bytes(wav(np.frombuffer(pcm, "<i2").tolist(), 2, 1, 8000))
+
+    want = [None if x is None else alone(x) for x in sounds]
+    assert list(files._encoded(pd.Series([None if x is None else np.array(x, np.float32) for x in sounds], dtype=object), [8000] * 9)) == want
+    assert list(files._encoded(pd.Series([None, None]), [8000, 8000])) == [None, None] and len(files._encoded(pd.Series([], dtype=object), [])) == 0
+    df = spark.createDataFrame(list(enumerate(sounds)), "id int, s array<float>").select("id", files.encode_wav("s", F.lit(8000)).alias("a"), files.encode_wav_at(8000)("s").alias("b"))
+    for r in df.collect():
+        assert (r["a"] and bytes(r["a"])) == (r["b"] and bytes(r["b"])) == want[r["id"]]
+
+
+def test_usual_sound_is_not_searched(monkeypatch):
+    """A whole file of the usual kind is cut behind its header; what differs in anything is left to the reader, with the same result."""
+    usual = bytes(wav([3, -4, 5], 2, 1, 8000))
+    listed = usual[:4] + struct.pack("<I", 54) + usual[8:36] + b"LIST" + struct.pack("<I", 4) + b"abcd" + usual[36:]
+    odd = [usual[:-1], usual + b"\0\0", usual[:4] + bytes(4) + usual[8:], listed, bytes(wav([], 2, 1, 8000)), usual[:30]]
+    read = [files._decoded(pd.Series([x]), None).values.tolist() for x in odd]
+    opened = wave.open
+
+    def refused(*_):
+        raise AssertionError
+
+    monkeypatch.setattr(wave, "open", refused)
+    assert files._plain(usual) == (8000, usual[44:]) and files._plain(odd[4]) == (8000, b"")
+    for k in (0, 1, 2, 3, 5):
+        with pytest.raises(AssertionError):
+            files._plain(odd[k])
+    monkeypatch.setattr(wave, "open", opened)
+    assert [r[0][1] for r in read[:2]] == [usual[44:-2], usual[44:]] and read[3][0] == [8000, usual[44:]] and read[4][0] == [8000, b""]
+    assert files._decoded(pd.Series(odd[:4] + [usual]), None)["pcm"].tolist() == [r[0][1] for r in read[:4]] + [usual[44:]]
+
+
 def test_plain_sound_is_as_written(spark):
     """Samples of 16 bits and one channel come back as they are, without a last odd byte; the same file at another rate is made anew."""
     plain = bytes(wav([-32768, -1, 0, 1, 32767], 2, 1, 16_000))
