@@ -38,6 +38,9 @@ PROBE = 0.0085
 #: Long lists that are probed in one round, and probes up to which a round takes more lists.
 PROBED, PROBES = 64, 2048
 
+#: A list that one in so many members of a block are in is kept as bits too, which takes at most the array's 64 bits for each place.
+MAPPED = 64
+
 #: Bytes of texts whose words are hashed at once; arrays of about this size stay in a core's cache.
 TOGETHER = 1 << 19
 
@@ -215,19 +218,47 @@ class Inverted:
     """Inverted lists of a block in one array of shingle << 32 | member, sorted as a whole.
 
     Each list has room for all members that will ever be added; free places hold a number above every member, so the array
-    stays sorted while members are added in growing order, and any list can be probed by bisection.
+    stays sorted while members are added in growing order, and any list can be probed by bisection. Lists with room for at least one
+    in MAPPED of the block's ``members`` are kept as bits too, a row for each member: these take no more bytes than the array, and a
+    member is probed for all of them by counting the bits that its row shares with the query's.
     """
 
-    def __init__(self, room: np.ndarray):
+    def __init__(self, room: np.ndarray, members: int | None = None):
         self.start = np.concatenate(([0], np.cumsum(room)))[:-1]
         self.size = np.zeros(len(room), np.int64)
         self.most = 0
         self.keys = np.repeat(np.arange(len(room), dtype=np.int64) << 32 | 0xFFFFFFFF, room)
+        mapped = room * MAPPED >= (room.max(initial=0) if members is None else members)
+        self.columns = np.where(mapped, np.cumsum(mapped) - 1, -1)
+        self.rows = np.zeros((members or 1, -(-int(mapped.sum()) // 64)), np.uint64)
+
+    def bits(self, shingles: np.ndarray) -> np.ndarray:
+        """A row in which the bits of those of the lists are set that are kept as bits."""
+        columns = self.columns[shingles]
+        row = np.zeros(64 * self.rows.shape[1], np.uint8)
+        row[columns[columns >= 0]] = 1
+        return np.packbits(row).view(np.uint64)
 
     def add(self, shingles: np.ndarray, member: int) -> None:
         self.keys[self.start[shingles] + self.size[shingles]] = shingles << 32 | member
         self.size[shingles] += 1
         self.most = member + 1
+        if member >= len(self.rows):
+            self.rows = np.concatenate((self.rows, np.zeros((member + 1, self.rows.shape[1]), np.uint64)))
+        self.rows[member] = self.bits(shingles)
+
+    def shared(self, shingles: np.ndarray, members: np.ndarray) -> np.ndarray:
+        """For each member, how many of the lists hold it, of those that are kept as bits."""
+        return np.bitwise_count(self.rows[members] & self.bits(shingles)).sum(axis=1, dtype=np.int64)
+
+    def united(self, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The members of stretches of the array, each once, and how many stretches hold each."""
+        ends = np.cumsum(size)
+        held = self.keys[np.repeat(first - ends + size, size) + np.arange(ends[-1])] & 0xFFFFFFFF
+        low = int(held.min())
+        counts = np.bincount(held - low)
+        members = np.flatnonzero(counts)
+        return members + low, counts[members]
 
     def spans(self, shingles: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
         """Where each list's members from ``low`` to ``high`` - 1 begin, and how many they are."""
@@ -286,8 +317,10 @@ def merge_skip(lists: list[tuple[int, ...]], enough: int) -> list[tuple[int, int
 def divide_skip(index: Inverted, shingles: np.ndarray, needed: int, low: int = 0, high: int = 1 << 31) -> list[tuple[int, int]]:
     """Members from ``low`` to ``high`` - 1 that at least ``needed`` of the shingles' lists hold, with the number of lists that hold them.
 
-    The longest lists are set aside. The rest are merged; what survives is looked up in the long lists by bisection, in
-    rounds, after each of which members that can't reach the number any more are given up.
+    The longest lists are set aside, and more of them where all are kept as bits, as probes then cost nearly nothing: all but so
+    many that one of the rest must hold each member, so the rest are united. Else the rest are merged. What survives is looked up in
+    the long lists, in those of bits at once and in others by bisection, in rounds, after each of which members that can't reach the
+    number any more are given up.
     """
     shingles = shingles[index.size[shingles] > 0]
     if len(shingles) < needed or needed < 1:
@@ -297,21 +330,29 @@ def divide_skip(index: Inverted, shingles: np.ndarray, needed: int, low: int = 0
     order = order[np.searchsorted(size[order], 1) :]
     if len(order) < needed:
         return []
-    long = min(needed - 1, int(needed / (PROBE * log2(max(2, int(size[order[-1]]))) + 1)))
-    shorts, longs = order[: len(order) - long], shingles[order[len(order) - long :]]
-    found = merge_skip(index.lists(first[shorts], size[shorts]), needed - long)
-    if not found:
-        return []
-    members, counts = np.array(found, np.int64).T
-    k = 0
-    while k < long:
+    mapped = index.columns[shingles[order]] >= 0
+    long = needed - 1
+    if not mapped[len(order) - long :].all():
+        long = min(long, int(needed / (PROBE * log2(max(2, int(size[order[-1]]))) + 1)))
+    shorts, longs, mapped = order[: len(order) - long], shingles[order[len(order) - long :]], mapped[len(order) - long :]
+    if needed - long == 1:
+        members, counts = index.united(first[shorts], size[shorts])
+    else:
+        found = merge_skip(index.lists(first[shorts], size[shorts]), needed - long)
+        if not found:
+            return []
+        members, counts = np.array(found, np.int64).T
+    counts = counts + index.shared(longs[mapped], members)
+    longs = longs[~mapped]
+    alive = counts + len(longs) >= needed
+    members, counts = members[alive], counts[alive]
+    k, long = 0, len(longs)
+    while k < long and len(members):
         step = max(PROBED, PROBES // len(members))
         counts = counts + index.holds(longs[k : k + step], members)
         k += step
         alive = counts >= needed - max(0, long - k)
         members, counts = members[alive], counts[alive]
-        if not len(members):
-            return []
     return list(zip(members.tolist(), counts.tolist()))
 
 
@@ -327,7 +368,7 @@ class Block:
         self.sets = [x[x >= 0] for x in np.split(renumbered, np.cumsum(self.sizes)[:-1])]
 
     def index(self) -> Inverted:
-        return Inverted(self.room)
+        return Inverted(self.room, len(self.sets))
 
     def add(self, index: Inverted, k: int) -> None:
         """Positions must grow, so that lists are sorted."""

@@ -167,6 +167,40 @@ def test_divide_skip(monkeypatch):
         assert j.divide_skip(index, np.arange(len(lists)), needed) == want
 
 
+@pytest.mark.parametrize("mapped", [0, 1, 3, 64])
+def test_long_lists_as_bits(monkeypatch, mapped):
+    """Whichever lists are kept as bits, members are the same; ranges of members and lists that grow count too."""
+    monkeypatch.setattr(j, "MAPPED", mapped)
+    rng = random.Random(9)
+    for _ in range(150):
+        lists = [sorted(rng.sample(range(90), rng.choice([0, 1, 2, 5, 30, 85]))) for _ in range(rng.randint(1, 90))]
+        index = j.Inverted(np.array([len(x) for x in lists]), rng.choice([None, 90]))
+        for upto in (45, 90):
+            for member in range(upto - 45, upto):
+                index.add(np.array([k for k, x in enumerate(lists) if member in x], np.int64), member)
+            own, needed = sorted(rng.sample(range(len(lists)), rng.randint(1, len(lists)))), rng.randint(1, len(lists))
+            low, high = rng.choice([(0, 1 << 31), (20, 60), (40, 41)])
+            want = [(x, n) for x in range(low, min(high, upto)) if (n := sum(x in lists[k] for k in own)) >= needed]
+            assert j.divide_skip(index, np.array(own), needed, low, high) == want
+
+
+def test_a_large_family_is_not_merged_list_by_list(monkeypatch):
+    """Of many sets near one another, most too far to link, no lists go through the heap, and links are those of brute force."""
+    monkeypatch.setattr(j, "merge_skip", lambda *_: pytest.fail("merged"))
+    rng, base, rows = random.Random(10), list(range(200)), []
+    for k in range(300):
+        lost = set(rng.sample(base, rng.choice([4, 10, 14, 20, 30])))
+        rows.append(np.array(sorted((set(base) - lost) | {1000 * (k + 1) + x for x in range(len(lost))}), np.uint64))
+    rows.sort(key=len)
+    want, got = ({k: k for k in range(len(rows))} for _ in range(2))
+    every = [(x, y) for x in range(len(rows)) for y in range(x) if 100 * (n := len(np.intersect1d(rows[x], rows[y]))) >= 85 * (len(rows[x]) + len(rows[y]) - n)]
+    for parent, edges in ((want, every), (got, j.links(rows, list(range(len(rows))), [True] * len(rows), 85))):
+        for x, y in edges:
+            x, y = parent[x], parent[y]
+            parent.update({k: min(x, y) for k, v in parent.items() if v in (x, y)})
+    assert got == want and 50 < len(set(want.values())) < 250
+
+
 def test_sets_of_many_texts_at_once(monkeypatch):
     """Texts shingled together get the sets that each has alone; words are told apart by all their bytes and by nothing else."""
     rng = random.Random(8)
