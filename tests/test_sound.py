@@ -137,6 +137,14 @@ def test_queries_handle_samples_in_batches(spark, small):
     assert np.frombuffer(first, "<i2").tolist() == [(k * 37 + 55) % 2001 - 1000 for k in range(700, 785)]
 
 
+def test_no_piece_of_a_recording_is_broadcast(spark, small):
+    """Lengths of pieces and means of recordings grow with the table, however small its file is estimated."""
+    from parley.plans import sound as plans
+
+    for df in (plans.mel_frames(spark, small), plans.filtered_recordings(spark, small), s.mel_features(plans.recordings(spark, small))):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_utterances_stream_through_one_walk(spark):
     """No pandas group a recording, and null pieces are empty."""
     from parley.operators.live import utterances
