@@ -38,7 +38,7 @@ WITH w AS ({WORDS_SQL}), s AS (SELECT *, row_number() OVER (PARTITION BY meeting
 i AS (SELECT w.meeting, w.seq, any_value(w.start) AS start, any_value(w."end") AS "end", count(s.seq) AS idx
   FROM w LEFT JOIN s ON s.meeting = w.meeting AND s.start <= w."end" GROUP BY w.meeting, w.seq),
 c AS (SELECT i.meeting, i.seq, s.speaker, s.rn, least(s."end", i."end") - greatest(s.start, i.start) AS shared,
-  greatest(0, i.start - s."end", s.start - i."end") AS gap FROM i JOIN s ON s.meeting = i.meeting AND s.rn BETWEEN i.idx - 6 AND i.idx),
+  greatest(0, i.start - s."end", s.start - i."end") AS gap FROM i JOIN s ON s.meeting = i.meeting AND s.rn <= i.idx),
 b AS (SELECT meeting, seq, list(speaker ORDER BY shared DESC, rn DESC) FILTER (shared > 0) AS best,
   list(speaker ORDER BY gap, rn DESC) FILTER (gap < 120) AS near, coalesce(min(gap) FILTER (gap < 120), 120) AS least FROM c GROUP BY ALL)
 SELECT i.meeting, i.seq, CASE WHEN len(b.best) > 0 THEN b.best[1] WHEN n.start - i."end" < coalesce(b.least, 120) THEN n.speaker ELSE b.near[1] END AS label
